@@ -14,6 +14,7 @@ from veritable.schema import ROW_ID, TEXT
 MAX_PAGE_SIZE = 1_000
 MAX_LOOKUP = 200
 EVIDENCE_ROWS = 25
+SAMPLE_ROWS = 50_000
 
 # A page that ends below this row is a top-k; deeper pages seek to their range first.
 SHALLOW_ROWS = 100_000
@@ -35,6 +36,11 @@ def sorted_rows(ds: Dataset, sort_by: str | None = None, sort_order: str = "asc"
     return ds.df.orderBy(*ordering(ds, sort_by, sort_order))
 
 
+def sample_rows(ds: Dataset, count: int = SAMPLE_ROWS) -> Dataset:
+    """The first rows of a table. A range of row ids, so the scan reads no more than it must."""
+    return ds.where(F.col(ROW_ID) < count)
+
+
 def slice_count(ds: Dataset) -> DataFrame:
     return ds.df.agg(F.count("*").alias("row_count"))
 

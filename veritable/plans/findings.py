@@ -12,12 +12,26 @@ from pyspark.sql import types as T
 
 from veritable.functions import scores
 
-FINDING_SCHEMA = T.StructType.fromDDL(
-    "dataset_id string, position int, id string, title string, category string, topic string, "
-    "plain string, technical string, confidence double, trust_score int, "
-    "evidence_rows array<bigint>, evidence_columns array<string>, supporting_metrics string, "
-    "what_to_check_next string, question string, is_limitation boolean, notability double"
-)
+_FIELDS: dict[str, T.DataType] = {
+    "dataset_id": T.StringType(),
+    "position": T.IntegerType(),
+    "id": T.StringType(),
+    "title": T.StringType(),
+    "category": T.StringType(),
+    "topic": T.StringType(),
+    "plain": T.StringType(),
+    "technical": T.StringType(),
+    "confidence": T.DoubleType(),
+    "trust_score": T.IntegerType(),
+    "evidence_rows": T.ArrayType(T.LongType()),
+    "evidence_columns": T.ArrayType(T.StringType()),
+    "supporting_metrics": T.StringType(),
+    "what_to_check_next": T.StringType(),
+    "question": T.StringType(),
+    "is_limitation": T.BooleanType(),
+    "notability": T.DoubleType(),
+}
+FINDING_SCHEMA = T.StructType([T.StructField(name, dtype) for name, dtype in _FIELDS.items()])
 
 
 def text(*parts: Column | str) -> Column:

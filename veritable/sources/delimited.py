@@ -13,16 +13,18 @@ from veritable.schema import ref
 
 # The separators that are tried.
 SEPARATORS = [",", "\t", ";", "|"]
-SAMPLE_ROWS = 50_000
 
 _READ_OPTIONS = {"header": True, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
 _CLOCK_TIME = r"^\s*\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*$"
 
 
-def scan_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def scan_delimited(
+    spark: SparkSession, path: str, sep: str | None = None, row_cap: int | None = None
+) -> DataFrame:
     """A CSV or TSV file or folder with a header row; types come from all rows.
 
-    Ragged rows are padded with NULLs, repeated and empty header names get a suffix.
+    Ragged rows are padded with NULLs, repeated and empty header names get a suffix. A
+    row cap loads the first rows only.
     """
     lines = spark.read.text(path)
     head = lines.first()
@@ -30,7 +32,8 @@ def scan_delimited(spark: SparkSession, path: str, sep: str | None = None) -> Da
         raise ValueError("no columns were found: the file is empty")
     sep = sep or guess_separator(head.value)
     options = _READ_OPTIONS | {"sep": sep, "multiLine": _has_long_records(lines)}
-    return _typed(lambda **extra: spark.read.csv(path, **options, **extra), head.value, sep)
+    table = _typed(lambda **extra: spark.read.csv(path, **options, **extra), head.value, sep)
+    return table.limit(row_cap) if row_cap else table
 
 
 def scan_text(spark: SparkSession, text: str, sep: str | None = None) -> DataFrame:
@@ -103,11 +106,6 @@ def _schema(names: list[str], types: list[T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in zip(names, types)])
 
 
-def sample_rows(df: DataFrame, count: int = SAMPLE_ROWS) -> DataFrame:
-    """The first ``count`` rows, the size of a demo load."""
-    return df.limit(count)
-
-
 def validate(df: DataFrame) -> DataFrame:
     """Refuse tables without columns, header or rows."""
     if not df.columns:

@@ -29,7 +29,7 @@ def _cell(info: ColumnInfo) -> Column:
 
 
 def export_view(
-    ds: Dataset, path: str, sort_by: str | None = None, sort_order: str = "asc"
+    ds: Dataset, path: str, sort_by: str | None = None, sort_order: str = "asc", sep: str = ","
 ) -> None:
     """Write the sorted view as CSV part files, in order of their names.
 
@@ -37,7 +37,7 @@ def export_view(
     not exported.
     """
     ordered = sorted_rows(ds, sort_by, sort_order)
-    ordered.select(*[_cell(c) for c in ds.columns]).write.csv(path, **CSV_OPTIONS)
+    ordered.select(*[_cell(c) for c in ds.columns]).write.csv(path, sep=sep, **CSV_OPTIONS)
 
 
 def save_report(report: Report, path: str) -> None:
