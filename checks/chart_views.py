@@ -178,10 +178,15 @@ r AS (SELECT label, CAST(base_value AS DOUBLE) AS base_value, CAST(current_value
   CAST(round(CASE WHEN base_value <> 0 THEN 100 * delta / abs(base_value) END, 2) + 0.0 AS DOUBLE) AS pct_change FROM d)"""
 
 
-@query("compare_delta", "WITH " + _delta_sql("orders", "o_custkey", _BASE, _CURRENT, "avg(o_totalprice)") + " SELECT * FROM r")
+@query(
+    "compare_delta",
+    "WITH " + _delta_sql("orders", "o_custkey", _BASE, _CURRENT, "sum(o_totalprice)")
+    + " SELECT label, base_value, current_value, round(delta, 2) AS delta, pct_change FROM r",
+)
 def compare_delta(spark, folder):
     base, current = _halves(spark, folder)
-    return compare.compare_delta(base, current, "o_custkey", "avg", "o_totalprice")
+    found = compare.compare_delta(base, current, "o_custkey", "sum", "o_totalprice")
+    return found.withColumn("delta", F.round("delta", 2))
 
 
 @query(

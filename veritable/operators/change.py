@@ -15,13 +15,20 @@ REPORTED_MOVERS = 6
 
 def time_midpoint(ds: Dataset, date: str) -> DataFrame:
     """The moment halfway between first and last; no row where there is no span."""
-    seconds = epoch_seconds(ds.column(date, DATE).ref)
-    ends = ds.df.agg(F.min(seconds).alias("first_epoch"), F.max(seconds).alias("last_epoch"))
+    moment = ds.column(date, DATE).ref
+    return midpoint_of(ds.df.agg(F.min(moment).alias("first"), F.max(moment).alias("last")))
+
+
+def midpoint_of(ends: DataFrame) -> DataFrame:
+    """``time_midpoint`` from a row with the first and last moment."""
+    seconds = ends.select(
+        epoch_seconds(F.col("first")).alias("first_epoch"), epoch_seconds(F.col("last")).alias("last_epoch")
+    )
     middle = (F.col("first_epoch") + F.col("last_epoch")) / 2.0
     # the printed moment is rounded to whole microseconds
     moment = F.timestamp_micros(F.rint(F.col("mid_epoch") * 1e6).cast("long"))
     return (
-        ends.where("last_epoch > first_epoch")
+        seconds.where("last_epoch > first_epoch")
         .withColumn("mid_epoch", middle)
         .withColumn("midpoint", iso_text(moment))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritable.dataset import Dataset
-from veritable.operators.profile import per_column
+from veritable.operators.profile import Measures
 from veritable.operators.selection import BRACKET_ROWS, order_statistics
 from veritable.schema import ColumnInfo
 
@@ -18,17 +18,22 @@ SEVERE_SHARE = 0.05
 _QUARTILE_SCHEMA = "position int, column string, q1 double, q3 double, values long"
 
 
-def quartiles(ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS) -> DataFrame:
+def quartiles(
+    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, rows: int | None = None
+) -> DataFrame:
     """Exact first and third quartile (linear interpolation) of each column.
 
+    ``rows`` is the size of the dataset where it is known already; it saves a count.
+
     Up to ``buffer_rows`` values, Spark's exact ``percentile`` holds a column in one
     buffer; larger columns go through ranked selection, which is exact as well.
     """
     spark = ds.df.sparkSession
     if not columns:
         return spark.createDataFrame([], _QUARTILE_SCHEMA)
-    counted = ds.df.agg(*[F.count(c.ref).alias(f"n{i}") for i, c in enumerate(columns)])
-    counts = counted.first()
+    if rows is not None and rows <= buffer_rows:
+        return _quartiles_in_buffer(ds, columns)
+    counts = ds.df.agg(*[F.count(c.ref) for c in columns]).first()
     if max(counts) <= buffer_rows:
         return _quartiles_in_buffer(ds, columns)
     wanted, places = [], []
@@ -44,18 +49,18 @@ def quartiles(ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET
     for j, (i, share, part) in enumerate(places):
         below, above = values[2 * j], values[2 * j + 1]
         found[i, share] = below + (above - below) * part
-    rows = [
+    records = [
         (i, c.name, found.get((i, 0.25)), found.get((i, 0.75)), counts[i])
         for i, c in enumerate(columns)
     ]
-    return spark.createDataFrame(rows, _QUARTILE_SCHEMA)
+    return spark.createDataFrame(records, _QUARTILE_SCHEMA)
 
 
 def _quartiles_in_buffer(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
-    aggregates, records = [], []
+    aggregates, records = {}, []
     for i, c in enumerate(columns):
         ends = F.percentile(c.ref.cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-        aggregates += [ends.alias(f"q{i}"), F.count(c.ref).alias(f"n{i}")]
+        aggregates |= {f"q{i}": ends, f"n{i}": F.count(c.ref)}
         records.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(c.name).alias("column"),
@@ -63,7 +68,7 @@ def _quartiles_in_buffer(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
                 F.col(f"n{i}").alias("values"),
             )
         )
-    return per_column(ds.df.agg(*aggregates), records)
+    return Measures(aggregates, records).table(ds)
 
 
 def outside(value: Column, low: Column, high: Column) -> Column:
@@ -71,25 +76,25 @@ def outside(value: Column, low: Column, high: Column) -> Column:
 
 
 def outlier_stats(
-    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS
+    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, rows: int | None = None
 ) -> DataFrame:
     """Values outside the fences of each column with a positive IQR, in one scan."""
     fences = [
         (row, row.q3 - row.q1)
-        for row in quartiles(ds, columns, buffer_rows).collect()
+        for row in quartiles(ds, columns, buffer_rows, rows).collect()
         if row.q1 is not None and row.q3 - row.q1 > 0
     ]
-    aggregates, records = [], []
+    aggregates, records = {}, []
     for row, iqr in fences:
         i = row.position
         value = columns[i].ref.cast("double")
         low, high = row.q1 - FENCE * iqr, row.q3 + FENCE * iqr
         beyond = outside(value, F.lit(low), F.lit(high))
-        aggregates += [
-            F.count_if(beyond).alias(f"n{i}"),
-            F.min(F.when(beyond, value)).alias(f"lo{i}"),
-            F.max(F.when(beyond, value)).alias(f"hi{i}"),
-        ]
+        aggregates |= {
+            f"n{i}": F.count_if(beyond),
+            f"lo{i}": F.min(F.when(beyond, value)),
+            f"hi{i}": F.max(F.when(beyond, value)),
+        }
         records.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(row.column).alias("column"),
@@ -107,12 +112,12 @@ def outlier_stats(
             "min_outlier double, max_outlier double"
         )
         return ds.df.sparkSession.createDataFrame([], schema)
-    return per_column(ds.df.agg(*aggregates), records)
+    return Measures(aggregates, records).table(ds)
 
 
 def outlier_top_columns(
-    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS
+    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, rows: int | None = None
 ) -> DataFrame:
     """The three columns with the largest share of outliers."""
-    stats = outlier_stats(ds, columns, buffer_rows).where("outliers > 0")
+    stats = outlier_stats(ds, columns, buffer_rows, rows).where("outliers > 0")
     return stats.orderBy(F.desc("fraction"), "position").limit(REPORTED_COLUMNS)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,26 @@ BLOCK_ROWS = 1_000_000
 CANDIDATE_SHARE = 0.80
 
 
+class Measures(NamedTuple):
+    """Aggregates by name, and how to read one record per column off their result.
+
+    Several of them can share one scan: see ``aggregate_once``.
+    """
+
+    aggregates: dict[str, Column]
+    records: list[Column]
+
+    def table(self, ds: Dataset, base: DataFrame | None = None) -> DataFrame:
+        """One row per column, from ``base`` if it already holds the aggregates."""
+        return per_column(aggregate_once(ds, self) if base is None else base, self.records)
+
+
+def aggregate_once(ds: Dataset, *measures: Measures) -> DataFrame:
+    """One wide row with all aggregates, computed in a single scan."""
+    merged = {name: value for m in measures for name, value in m.aggregates.items()}
+    return ds.df.agg(*[value.alias(name) for name, value in merged.items()])
+
+
 def per_column(df: DataFrame, structs: list[Column], order: str = "position") -> DataFrame:
     """Turn one wide aggregate row into one row per column."""
     return df.select(F.inline(F.array(*structs))).orderBy(order)
@@ -56,12 +77,13 @@ def summary(ds: Dataset) -> DataFrame:
     scalar = [(i, c) for i, c in enumerate(ds.columns) if c.kind in (NUMBER, DATE)]
     parts = []
     if scalar:
-        aggregates = []
+        aggregates = {}
         for i, c in scalar:
-            aggregates += [F.min(c.ref).alias(f"lo{i}"), F.max(c.ref).alias(f"hi{i}")]
+            aggregates |= {f"lo{i}": F.min(c.ref), f"hi{i}": F.max(c.ref)}
             if c.kind == NUMBER:
-                aggregates.append(F.round(F.avg(c.ref.cast("double")), 4).alias(f"avg{i}"))
-        parts.append(per_column(ds.df.agg(*aggregates), [_summary_struct(i, c) for i, c in scalar]))
+                aggregates[f"avg{i}"] = F.round(F.avg(c.ref.cast("double")), 4)
+        records = [_summary_struct(i, c) for i, c in scalar]
+        parts.append(Measures(aggregates, records).table(ds))
     if ds.texts:
         distinct = label_counts(ds, ds.texts).groupBy("column").agg(F.count("label").alias("n"))
         places = {c.name: i for i, c in enumerate(ds.columns)}
@@ -108,35 +130,35 @@ def exact_sum(info: ColumnInfo) -> Column:
     return F.sum(value).cast("double")
 
 
-def key_numbers(ds: Dataset) -> DataFrame:
-    """Sum, mean, min and max of the first numeric columns."""
-    chosen = list(enumerate(ds.numbers[:KEY_NUMBER_COLUMNS]))
-    aggregates, records = [], []
-    for i, c in chosen:
-        value = c.ref.cast("double")
-        stats = {"sum": exact_sum(c), "avg": F.avg(value), "min": F.min(c.ref), "max": F.max(c.ref)}
-        aggregates += [F.round(v.cast("double"), 4).alias(f"{k}{i}") for k, v in stats.items()]
+def key_number_measures(ds: Dataset) -> Measures:
+    aggregates, records = {}, []
+    for i, c in enumerate(ds.numbers[:KEY_NUMBER_COLUMNS]):
+        mean = F.avg(c.ref.cast("double"))
+        stats = {"sum": exact_sum(c), "avg": mean, "min": F.min(c.ref), "max": F.max(c.ref)}
+        for stat, value in stats.items():
+            aggregates[f"key_{stat}{i}"] = F.round(value.cast("double"), 4)
         records.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(c.name).alias("column"),
-                *[F.col(f"{k}{i}").alias(k) for k in stats],
+                *[F.col(f"key_{stat}{i}").alias(stat) for stat in stats],
             )
         )
-    if not chosen:
+    return Measures(aggregates, records)
+
+
+def key_numbers(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
+    """Sum, mean, min and max of the first numeric columns."""
+    if not ds.numbers:
         schema = "position int, column string, sum double, avg double, min double, max double"
         return ds.df.sparkSession.createDataFrame([], schema)
-    return per_column(ds.df.agg(*aggregates), records)
+    return key_number_measures(ds).table(ds, base)
 
 
-def date_range(ds: Dataset) -> DataFrame:
-    """First date column with values: its first and last moment and the whole days between."""
-    if not ds.dates:
-        schema = "column string, min string, max string, span_days long"
-        return ds.df.sparkSession.createDataFrame([], schema)
-    aggregates, records = [], []
+def date_measures(ds: Dataset) -> Measures:
+    aggregates, records = {}, []
     for i, c in enumerate(ds.dates):
-        aggregates += [F.min(c.ref).alias(f"lo{i}"), F.max(c.ref).alias(f"hi{i}")]
-        low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
+        aggregates |= {f"first{i}": F.min(c.ref), f"last{i}": F.max(c.ref)}
+        low, high = F.col(f"first{i}"), F.col(f"last{i}")
         days = F.floor((epoch_micros(high) - epoch_micros(low)) / F.lit(86_400_000_000))
         records.append(
             F.struct(
@@ -145,25 +167,37 @@ def date_range(ds: Dataset) -> DataFrame:
                 days.cast("long").alias("span_days"),
             )
         )
-    ranges = per_column(ds.df.agg(*aggregates), records).where("min IS NOT NULL")
+    return Measures(aggregates, records)
+
+
+def date_range(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
+    """First date column with values: its first and last moment and the whole days between."""
+    if not ds.dates:
+        schema = "column string, min string, max string, span_days long"
+        return ds.df.sparkSession.createDataFrame([], schema)
+    ranges = date_measures(ds).table(ds, base).where("min IS NOT NULL")
     return ranges.orderBy("position").limit(1).drop("position")
 
 
-def missing_by_column(ds: Dataset) -> DataFrame:
-    """Blank values per column, in one scan."""
-    aggregates = [F.count_if(c.blank).alias(f"m{i}") for i, c in enumerate(ds.columns)]
-    records = []
+def missing_measures(ds: Dataset) -> Measures:
+    aggregates, records = {"total": F.count("*")}, []
     for i, c in enumerate(ds.columns):
-        share = F.when(F.col("total") > 0, F.col(f"m{i}") / F.col("total")).otherwise(0.0)
+        aggregates[f"blank{i}"] = F.count_if(c.blank)
+        share = F.when(F.col("total") > 0, F.col(f"blank{i}") / F.col("total")).otherwise(0.0)
         records.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(c.name).alias("column"), F.lit(c.kind).alias("type"),
-                F.col(f"m{i}").alias("missing"),
+                F.col(f"blank{i}").alias("missing"),
                 F.round(share, 4).alias("missing_fraction"),
                 F.round(100 * share, 2).alias("missing_pct"),
             )
         )
-    return per_column(ds.df.agg(F.count("*").alias("total"), *aggregates), records)
+    return Measures(aggregates, records)
+
+
+def missing_by_column(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
+    """Blank values per column, in one scan."""
+    return missing_measures(ds).table(ds, base)
 
 
 def missing_flagged(ds: Dataset) -> DataFrame:
@@ -197,14 +231,18 @@ def duplicate_rows(ds: Dataset) -> DataFrame:
     return repeats.select(ROW_ID).orderBy(ROW_ID).limit(DUPLICATE_EXAMPLES)
 
 
-def data_quality(ds: Dataset) -> DataFrame:
+def data_quality(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
     """Shape of the table, duplicates, mean blank share and the small-sample warning."""
-    shape = ds.df.agg(F.count("*").alias("rows"))
-    blanks = missing_by_column(ds).agg(F.round(F.avg("missing_fraction"), 6).alias("mean_missing"))
-    one_row = shape.withColumn("k", F.lit(1))
-    for part in (duplicate_count(ds), blanks):
-        one_row = one_row.join(part.withColumn("k", F.lit(1)), "k")
-    return one_row.select(
+    if base is None:
+        base = aggregate_once(ds, missing_measures(ds))
+    shares = [record["missing_fraction"] for record in missing_measures(ds).records]
+    mean = sum(shares[1:], shares[0]) / len(shares)
+    shape = base.select(
+        F.col("total").alias("rows"), F.round(mean, 6).alias("mean_missing"), F.lit(1).alias("k")
+    )
+    # both sides are a single row
+    joined = shape.join(duplicate_count(ds).withColumn("k", F.lit(1)), "k")
+    return joined.select(
         "rows",
         F.lit(len(ds.columns)).alias("columns"),
         F.lit(len(ds.numbers)).alias("numeric_columns"),
@@ -250,40 +288,49 @@ def monotonic_violations(ds: Dataset, column: str, block_rows: int = BLOCK_ROWS)
     )
 
 
-def identifier_columns(ds: Dataset) -> DataFrame:
+def _probes(ds: Dataset) -> list[ColumnInfo]:
+    """Integer columns that may be identifiers by their values."""
+    return [c for c in ds.numbers if c.is_integer and not named_like_identifier(c.name)]
+
+
+def identifier_measures(ds: Dataset) -> Measures:
+    """Rows, and value counts and distinct estimates of the integer columns."""
+    aggregates = {"total": F.count("*")}
+    for i, c in enumerate(_probes(ds)):
+        aggregates[f"filled{i}"] = F.count(c.ref)
+        aggregates[f"distinct{i}"] = F.approx_count_distinct(c.ref, 0.02)
+    return Measures(aggregates, [])
+
+
+def identifier_columns(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
     """Numeric columns that name rows rather than measure something, with the reason."""
     found = [(c.name, "name") for c in ds.numbers if named_like_identifier(c.name)]
-    probes = [c for c in ds.numbers if c.is_integer and not named_like_identifier(c.name)]
+    probes = _probes(ds)
     if probes:
-        found += _identifiers_by_shape(ds, probes)
+        if base is None:
+            base = aggregate_once(ds, identifier_measures(ds))
+        found += _identifiers_by_shape(ds, probes, base.first())
     return ds.df.sparkSession.createDataFrame(found, "column string, reason string")
 
 
-def _identifiers_by_shape(ds: Dataset, probes: list[ColumnInfo]) -> list[tuple[str, str]]:
-    # Both tests need (almost) all values to differ. A sketch rules most columns out in
-    # one cheap scan; only the others pay for an exact distinct count.
-    estimates = []
-    for i, c in enumerate(probes):
-        estimates += [
-            F.count(c.ref).alias(f"n{i}"), F.approx_count_distinct(c.ref, 0.02).alias(f"d{i}")
-        ]
-    seen = ds.df.agg(F.count("*").alias("total"), *estimates).first()
-    near = [
-        (i, c) for i, c in enumerate(probes)
-        if seen[f"n{i}"] and seen[f"d{i}"] >= CANDIDATE_SHARE * seen[f"n{i}"]
-    ]
+def _identifiers_by_shape(ds: Dataset, probes: list[ColumnInfo], seen: Row) -> list[tuple[str, str]]:
+    # Both tests need (almost) all values to differ. The sketch rules most columns out;
+    # only the others pay for an exact distinct count.
     found = []
-    for i, c in near:
+    for i, c in enumerate(probes):
+        filled = seen[f"filled{i}"]
+        if not filled or seen[f"distinct{i}"] < CANDIDATE_SHARE * filled:
+            continue
         distinct = ds.df.agg(F.count_distinct(c.ref)).first()[0]
         if distinct >= UNIQUE_SHARE * seen.total:
             found.append((c.name, "unique"))
-        elif seen[f"n{i}"] >= 2 and distinct == seen[f"n{i}"]:
+        elif filled >= 2 and distinct == filled:
             if monotonic_violations(ds, c.name).first().violations == 0:
                 found.append((c.name, "increasing"))
     return found
 
 
-def measures(ds: Dataset) -> list[ColumnInfo]:
+def measure_columns(ds: Dataset, base: DataFrame | None = None) -> list[ColumnInfo]:
     """Numeric columns without the identifiers."""
-    names = {row.column for row in identifier_columns(ds).collect()}
+    names = {row.column for row in identifier_columns(ds, base).collect()}
     return [c for c in ds.numbers if c.name not in names]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritable.dataset import Dataset
-from veritable.operators.profile import per_column
+from veritable.operators.profile import Measures
 from veritable.schema import ColumnInfo
 
 MIN_PAIR_ROWS = 10
@@ -39,21 +39,21 @@ def pairwise_corr(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
 
 
 def _scan_pairs(ds: Dataset, pairs) -> DataFrame:
-    aggregates, records = [], []
+    aggregates, records = {}, []
     for i, (a, b) in pairs:
         both = a.ref.isNotNull() & b.ref.isNotNull()
         x = F.when(both, a.ref.cast("double"))
         y = F.when(both, b.ref.cast("double"))
         # corr() raises on a constant column under ANSI; a zero spread gives NULL here
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        aggregates += [r.alias(f"r{i}"), F.count(x).alias(f"n{i}")]
+        aggregates[f"r{i}"] = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        aggregates[f"n{i}"] = F.count(x)
         records.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(a.name).alias("a"), F.lit(b.name).alias("b"),
                 F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"),
             )
         )
-    return per_column(ds.df.agg(*aggregates), records)
+    return Measures(aggregates, records).table(ds)
 
 
 def relation_words(size: Column) -> tuple[Column, Column]:

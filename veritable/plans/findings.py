@@ -77,10 +77,12 @@ def statement(
     evidence_columns: Column | None = None,
     technical: Column | str | None = None,
     question: Column | str | None = None,
+    position: Column | None = None,
 ) -> DataFrame:
     """Findings of one section: scores are computed here and nowhere else."""
     return _shape(
-        df, id=id, title=title, category=category, topic=topic, plain=plain, technical=technical,
+        df, position=position, id=id, title=title, category=category, topic=topic, plain=plain,
+        technical=technical,
         confidence=scores.confidence(n, effect), trust_score=scores.trust(n, missing, consistency),
         evidence_rows=evidence_rows, evidence_columns=evidence_columns, supporting_metrics=metrics,
         what_to_check_next=check_next, question=question, is_limitation=F.lit(False),
@@ -101,10 +103,12 @@ def limitation(
     metrics: Column | None = None,
     evidence_columns: Column | None = None,
     dataset_id: Column | None = None,
+    position: Column | None = None,
 ) -> DataFrame:
     """A section that cannot make a statement says so; it carries no confidence."""
     return _shape(
-        df, id=id, title=title, category=category, topic=topic, plain=plain, dataset_id=dataset_id,
+        df, id=id, title=title, category=category, topic=topic, plain=plain,
+        dataset_id=dataset_id, position=position,
         confidence=F.lit(0.0), trust_score=F.lit(trust_score), evidence_columns=evidence_columns,
         supporting_metrics=F.lit("{}") if metrics is None else metrics,
         what_to_check_next=check_next, is_limitation=F.lit(True), notability=F.lit(0.0),

@@ -138,24 +138,23 @@ def build_report(ds: Dataset, filters: str | list[dict] | None = None, mode: str
     """The report over a dataset, optionally filtered and worded for an audience."""
     ds = ds.slice(filters)
     facts = Facts(ds)
-    try:
-        found = section_findings(facts)
-        body = found.where("category <> 'executive_summary'")
-        empty = facts.total == 0
-        duplicates = 0 if empty else profile.duplicate_count(ds).first().duplicate_rows
-        if empty:
-            questions = facts.spark.createDataFrame(
-                [(0, "Which filter leaves no rows?")], "position int, text string"
-            )
-        else:
-            questions = follow_ups(body, duplicates)
-        worded = apply_lens(found if empty else with_headlines(found), mode)
-    finally:
-        facts.release()
+    found = section_findings(facts)
+    body = found.where("category <> 'executive_summary'")
+    quality = profile.data_quality(ds, facts.base)
+    quality = facts.spark.createDataFrame(quality.collect(), quality.schema)
+    if facts.total == 0:
+        questions = facts.spark.createDataFrame(
+            [(0, "Which filter leaves no rows?")], "position int, text string"
+        )
+        worded = apply_lens(found, mode)
+    else:
+        questions = follow_ups(body, quality.first().duplicate_rows)
+        worded = apply_lens(with_headlines(found), mode)
     return Report(
-        dataset_id=ds.name, mode=audience_mode(mode), quality=profile.data_quality(ds),
-        missing=profile.missing_by_column(ds), key_numbers=profile.key_numbers(ds),
-        date_range=profile.date_range(ds), duplicate_examples=profile.duplicate_rows(ds),
+        dataset_id=ds.name, mode=audience_mode(mode), quality=quality,
+        missing=profile.missing_by_column(ds, facts.base),
+        key_numbers=profile.key_numbers(ds, facts.base),
+        date_range=profile.date_range(ds, facts.base), duplicate_examples=profile.duplicate_rows(ds),
         findings=worded.orderBy("position"), takeaways=key_takeaways(body), questions=questions,
         column_types={c.name: c.kind for c in ds.columns},
     )
