@@ -14,7 +14,7 @@ from veritable.operators import change, concentration, outliers, relations, time
 # --- concentration ---------------------------------------------------------------------
 
 
-def _labels_sql(table, columns):
+def labels_sql(table, columns):
     """Leader, runner-up, total and distinct values of text columns."""
     counts = " UNION ALL ".join(
         f"SELECT '{c}' AS col, {c} AS label, count(*) AS n FROM {table} GROUP BY {c}" for c in columns
@@ -45,7 +45,7 @@ def _rounded(df):
 
 @query(
     "concentration",
-    f"WITH {_labels_sql('documents', ['text', 'lang', 'source'])} SELECT {_SHARES} FROM leaders",
+    f"WITH {labels_sql('documents', ['text', 'lang', 'source'])} SELECT {_SHARES} FROM leaders",
 )
 def concentration_all(spark, folder):
     return _rounded(concentration.concentration(load(spark, folder, "documents")))
@@ -54,14 +54,14 @@ def concentration_all(spark, folder):
 @query(
     "concentration_blank_leader",
     f"WITH d AS (SELECT text, nullif(lang, 'en') AS lang, source FROM documents), "
-    f"{_labels_sql('d', ['text', 'lang', 'source'])} SELECT {_SHARES} FROM leaders",
+    f"{labels_sql('d', ['text', 'lang', 'source'])} SELECT {_SHARES} FROM leaders",
 )
 def concentration_blank_leader(spark, folder):
     ds = derive(load(spark, folder, "documents"), lang=F.nullif("lang", F.lit("en")))
     return _rounded(concentration.concentration(ds))
 
 
-_ACTIVITY_LABELS = f"WITH {ACTIVITY}, {_labels_sql('activity', ['kind', 'channel', 'status'])}"
+_ACTIVITY_LABELS = f"WITH {ACTIVITY}, {labels_sql('activity', ['kind', 'channel', 'status'])}"
 
 
 @query(
@@ -83,7 +83,7 @@ def single_value_columns(spark, folder):
 
 @query(
     "concentration_runner_up",
-    f"WITH {GAPPY_EVENTS}, {_labels_sql('gappy', ['event_type', 'props'])} "
+    f"WITH {GAPPY_EVENTS}, {labels_sql('gappy', ['event_type', 'props'])} "
     'SELECT "column", runner_up, runner_up_count, round(runner_up_share, 6) AS runner_up_share FROM leaders',
 )
 def concentration_runner_up(spark, folder):
@@ -102,7 +102,7 @@ def daily_counts(spark, folder):
     return days.withColumn("day", iso_text(F.col("day")))
 
 
-def _fit_sql(table, column, where="TRUE"):
+def fit_sql(table, column, where="TRUE"):
     return f"""days AS (SELECT date_trunc('day', {column}) AS day, count(*) AS n FROM {table}
   WHERE {column} IS NOT NULL AND {where} GROUP BY 1),
 points AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS x FROM days),
@@ -125,12 +125,12 @@ def _fit(df):
     return df.withColumns({c: F.round(c, 6) for c in ("slope", "intercept", "r_squared")})
 
 
-@query("trend_fit", f"WITH {_fit_sql('orders', 'o_orderdate')} SELECT {_FIT} FROM fit")
+@query("trend_fit", f"WITH {fit_sql('orders', 'o_orderdate')} SELECT {_FIT} FROM fit")
 def trend_fit(spark, folder):
     return _fit(timeline.trend_fit(timeline.daily_counts(load(spark, folder, "orders"), "o_orderdate")))
 
 
-@query("trend_verdict", f"WITH {_fit_sql('events', 'ts')} SELECT {_FIT}, direction, steadiness FROM verdict")
+@query("trend_verdict", f"WITH {fit_sql('events', 'ts')} SELECT {_FIT}, direction, steadiness FROM verdict")
 def trend_verdict(spark, folder):
     return _fit(timeline.trend_verdict(timeline.daily_counts(load(spark, folder, "events"), "ts")))
 
@@ -144,7 +144,7 @@ _GROWING = (
 
 @query(
     "trend_verdict_clear",
-    f"WITH {_GROWING}, {_fit_sql('growing', 'o_orderdate')} SELECT {_FIT}, direction, steadiness FROM verdict",
+    f"WITH {_GROWING}, {fit_sql('growing', 'o_orderdate')} SELECT {_FIT}, direction, steadiness FROM verdict",
 )
 def trend_verdict_clear(spark, folder):
     day = F.floor(F.sqrt("o_orderkey")).cast("int")
@@ -158,7 +158,7 @@ def weekday_counts(spark, folder):
     return timeline.weekday_counts(timeline.daily_counts(load(spark, folder, "events"), "ts"))
 
 
-def _busiest_sql(table):
+def busiest_sql(table):
     return f"""wd AS (SELECT dayname(ts) AS weekday, count(*) AS count FROM {table} WHERE ts IS NOT NULL GROUP BY 1),
 busy AS (SELECT weekday, count, CAST((SELECT sum(count) FROM wd) AS BIGINT) AS dated_rows FROM wd
   ORDER BY count DESC, weekday LIMIT 1),
@@ -174,12 +174,12 @@ def _busiest(days):
     return timeline.busiest_weekday(days).withColumns({c: F.round(c, 6) for c in ("share", "effect")})
 
 
-@query("busiest_weekday", f"WITH {ACTIVITY}, {_busiest_sql('activity')} SELECT {_BUSIEST} FROM busiest")
+@query("busiest_weekday", f"WITH {ACTIVITY}, {busiest_sql('activity')} SELECT {_BUSIEST} FROM busiest")
 def busiest_weekday(spark, folder):
     return _busiest(timeline.daily_counts(activity(spark, folder), "ts"))
 
 
-@query("busiest_weekday_even", f"WITH {_busiest_sql('events')} SELECT {_BUSIEST} FROM busiest")
+@query("busiest_weekday_even", f"WITH {busiest_sql('events')} SELECT {_BUSIEST} FROM busiest")
 def busiest_weekday_even(spark, folder):
     return _busiest(timeline.daily_counts(load(spark, folder, "events"), "ts"))
 
@@ -213,7 +213,7 @@ def category_peak_weekday(spark, folder):
 _LINE_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
-def _pairs_sql(table, columns):
+def pairs_sql(table, columns):
     """r and n of all pairs that vary, by position in schema order."""
     pairs = " UNION ALL ".join(
         f"SELECT {i} AS position, '{a}' AS a, '{b}' AS b, CASE WHEN stddev_pop({a}) = 0 OR stddev_pop({b}) = 0 "
@@ -226,7 +226,7 @@ def _pairs_sql(table, columns):
 
 @query(
     "pairwise_corr",
-    f"WITH {_pairs_sql('lineitem', _LINE_MEASURES)} SELECT a, b, round(r, 4) + 0.0 AS r, n FROM pairs",
+    f"WITH {pairs_sql('lineitem', _LINE_MEASURES)} SELECT a, b, round(r, 4) + 0.0 AS r, n FROM pairs",
 )
 def pairwise_corr(spark, folder):
     ds = lineitem(spark, folder)
@@ -243,7 +243,7 @@ _CORR_TABLE = (
 
 @query(
     "corr_top",
-    f"""WITH {_CORR_TABLE}, {_pairs_sql('related', _CORR_COLUMNS)}
+    f"""WITH {_CORR_TABLE}, {pairs_sql('related', _CORR_COLUMNS)}
 SELECT a, b, round(r, 4) + 0.0 AS r, n,
   CASE WHEN abs(r) < 0.2 THEN 'unrelated' WHEN abs(r) < 0.4 THEN 'weakly related'
     WHEN abs(r) < 0.7 THEN 'moderately related' ELSE 'strongly related' END AS relation,
@@ -295,7 +295,7 @@ def quartiles_selected(spark, folder):
     return _round4(outliers.quartiles(ds, columns, buffer_rows=200), "q1", "q3")
 
 
-def _outliers_sql(table, columns):
+def outliers_sql(table, columns):
     stats = " UNION ALL ".join(
         f"""SELECT position, "column", q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence,
   q3 + 1.5 * (q3 - q1) AS upper_fence, "values",
@@ -321,7 +321,7 @@ def _stats(df):
     return rounded.withColumn("fraction", F.round("fraction", 6))
 
 
-@query("outlier_stats", f"WITH {_outliers_sql('events', ['user_id', 'value'])} SELECT {_STATS} FROM stats")
+@query("outlier_stats", f"WITH {outliers_sql('events', ['user_id', 'value'])} SELECT {_STATS} FROM stats")
 def outlier_stats(spark, folder):
     ds = load(spark, folder, "events")
     return _stats(outliers.outlier_stats(ds, [ds.column(c) for c in ("user_id", "value")]))
@@ -329,7 +329,7 @@ def outlier_stats(spark, folder):
 
 @query(
     "outlier_top_columns",
-    f"""WITH {_outliers_sql('documents', ['doc_id', 'n_chars'])} SELECT {_STATS} FROM stats WHERE outliers > 0
+    f"""WITH {outliers_sql('documents', ['doc_id', 'n_chars'])} SELECT {_STATS} FROM stats WHERE outliers > 0
 ORDER BY outliers / "values" DESC, position LIMIT 3""",
 )
 def outlier_top_columns(spark, folder):
@@ -358,7 +358,7 @@ def time_midpoint(spark, folder):
     return rounded.withColumn("midpoint", F.substring("midpoint", 1, 19))
 
 
-def _halves_sql(table, column, dimension):
+def halves_sql(table, column, dimension):
     return f"""{_mid_sql(table, column)},
 halves AS (SELECT {dimension} AS label, count(*) FILTER (WHERE epoch({column}) < mid_epoch) AS first_half,
   count(*) FILTER (WHERE epoch({column}) >= mid_epoch) AS second_half FROM {table}, mid
@@ -371,7 +371,7 @@ def _half_change(ds, date, dimension):
     return change.half_change(ds, date, dimension, middle)
 
 
-@query("half_change", f"WITH {GAPPY_EVENTS}, {_halves_sql('gappy', 'ts', 'event_type')} SELECT * FROM moved")
+@query("half_change", f"WITH {GAPPY_EVENTS}, {halves_sql('gappy', 'ts', 'event_type')} SELECT * FROM moved")
 def half_change(spark, folder):
     return _half_change(gappy_events(spark, folder), "ts", "event_type")
 
@@ -381,7 +381,7 @@ _TOP_MOVER = """SELECT label, first_half, second_half, delta, round(100 * delta
   ORDER BY abs(delta) DESC, label NULLS LAST LIMIT 1"""
 
 
-@query("top_mover", f"WITH {_halves_sql('orders', 'o_orderdate', 'o_orderpriority')} {_TOP_MOVER}")
+@query("top_mover", f"WITH {halves_sql('orders', 'o_orderdate', 'o_orderpriority')} {_TOP_MOVER}")
 def top_mover(spark, folder):
     halves = _half_change(load(spark, folder, "orders"), "o_orderdate", "o_orderpriority")
     return _round4(change.top_mover(halves), "pct").withColumn("effect", F.round("effect", 6))
@@ -395,7 +395,7 @@ SELECT a.label AS leader, a.total AS leader_total, b.label AS second_label, b.to
 WHERE a.place = 1 AND b.place = 2 AND a.label = mover.label AND a.label <> '' AND b.label <> '' AND b.total > 0"""
 
 
-@query("leader_gap", f"WITH {ACTIVITY}, {_halves_sql('activity', 'ts', 'channel')}, {_LEADER}")
+@query("leader_gap", f"WITH {ACTIVITY}, {halves_sql('activity', 'ts', 'channel')}, {_LEADER}")
 def leader_gap(spark, folder):
     return change.leader_gap(_half_change(activity(spark, folder), "ts", "channel"))
 

@@ -47,9 +47,9 @@ def aggregate_once(ds: Dataset, *measures: Measures) -> DataFrame:
     return ds.df.agg(*[value.alias(name) for name, value in merged.items()])
 
 
-def per_column(df: DataFrame, structs: list[Column], order: str = "position") -> DataFrame:
-    """Turn one wide aggregate row into one row per column."""
-    return df.select(F.inline(F.array(*structs))).orderBy(order)
+def per_column(df: DataFrame, structs: list[Column]) -> DataFrame:
+    """Turn one wide aggregate row into one row per column, in the order given."""
+    return df.select(F.inline(F.array(*structs)))
 
 
 def schema_classes(ds: Dataset) -> DataFrame:

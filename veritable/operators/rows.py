@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.dataset import Dataset
 from veritable.operators.selection import rank_bounds
 from veritable.schema import ROW_ID, TEXT
+from veritable.session import small_table
 
 MAX_PAGE_SIZE = 1_000
 MAX_LOOKUP = 200
@@ -102,7 +104,8 @@ def _seek(
 def rows_by_id(ds: Dataset, ids: list[int]) -> DataFrame:
     """Rows in the order asked for; repeats are kept, unknown ids are left out."""
     wanted = [(pos, int(i)) for pos, i in enumerate(ids[:MAX_LOOKUP])]
-    lookup = ds.df.sparkSession.createDataFrame(wanted, f"pos int, {ROW_ID} long")
+    schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField(ROW_ID, T.LongType())])
+    lookup = small_table(ds.df.sparkSession, wanted, schema)
     # the IN list reaches the scan; the broadcast holds at most 200 ids
     found = ds.df.where(F.col(ROW_ID).isin([i for _, i in wanted]))
     return found.join(F.broadcast(lookup), ROW_ID).orderBy("pos")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritable.functions import scores
+from veritable.session import small_table
 
 _FIELDS: dict[str, T.DataType] = {
     "dataset_id": T.StringType(),
@@ -55,7 +56,7 @@ def enrich(df: DataFrame, extra: str, facts: Callable[[Row], tuple]) -> DataFram
     """
     rows = [tuple(row) + tuple(facts(row)) for row in df.collect()]
     fields = df.schema.fields + T.StructType.fromDDL(extra).fields
-    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+    return small_table(df.sparkSession, rows, T.StructType(fields))
 
 
 def statement(
@@ -130,10 +131,8 @@ def _shape(df: DataFrame, **given: Column | str | None) -> DataFrame:
 
 def one_row(spark: SparkSession, **facts: Any) -> DataFrame:
     """A single row of facts to build a statement on."""
-    base = spark.range(1)
-    return base.select(*[
-        (v if isinstance(v, Column) else F.lit(v)).alias(name) for name, v in facts.items()
-    ]) if facts else base
+    base = small_table(spark, [(True,)], T.StructType([T.StructField("given", T.BooleanType())]))
+    return base.select(*[F.lit(value).alias(name) for name, value in facts.items()])
 
 
 def names(columns: list[str]) -> Column:

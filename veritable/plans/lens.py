@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veritable.session import small_table
 
 # The audiences and the two that also get the technical clause.
 MODES = ("student", "analyst", "founder", "manager", "researcher")
@@ -45,7 +48,8 @@ def lens_table(spark) -> DataFrame:
         for topic, stake in STAKES.items()
         for mode, frame in READERS.items()
     ]
-    return spark.createDataFrame(rows, "topic string, mode string, why_it_matters string, technical_reader boolean")
+    text = [T.StructField(name, T.StringType()) for name in ("topic", "mode", "why_it_matters")]
+    return small_table(spark, rows, T.StructType([*text, T.StructField("technical_reader", T.BooleanType())]))
 
 
 def audience_mode(mode: str | None) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,15 +18,19 @@ from veritable.operators.profile import SMALL_SAMPLE
 from veritable.plans import sections
 from veritable.plans.findings import FINDING_SCHEMA, limitation, names, one_row
 from veritable.plans.lens import apply_lens, audience_mode
-from veritable.plans.ranking import follow_ups, key_takeaways, top_findings
+from veritable.plans.ranking import follow_ups, key_takeaways, one_question, top_findings
 from veritable.plans.sections import Facts
+from veritable.session import localize, small_table
 
 log = logging.getLogger(__name__)
 
 Section = Callable[[Facts], DataFrame]
 
-# Sections after the executive summary, in report order: title, category, builder.
+PARALLEL_SECTIONS = 4
+
+# In report order: title, category, builder.
 SECTIONS: list[tuple[str, str, Section]] = [
+    ("Executive summary", "executive_summary", sections.executive),
     ("Missing data", "missing_data", sections.missing_data),
     ("Hidden patterns", "hidden_patterns", sections.hidden_patterns),
     ("Correlations", "correlations", sections.correlations),
@@ -118,13 +123,12 @@ def section_findings(facts: Facts) -> DataFrame:
             check_next="Remove or loosen a filter.",
         ).collect()
     else:
-        rows = guarded(facts, "Executive summary", "executive_summary", sections.executive)
-        for title, category, build in SECTIONS:
-            rows += guarded(facts, title, category, build)
-    numbered = [
-        {**row.asDict(), "dataset_id": ds.name, "position": 100 * (i + 1)} for i, row in enumerate(rows)
-    ]
-    return facts.spark.createDataFrame(numbered, FINDING_SCHEMA)
+        # sections only wait for Spark; side by side their small jobs fill the cluster
+        with ThreadPoolExecutor(max_workers=PARALLEL_SECTIONS) as pool:
+            results = pool.map(lambda section: guarded(facts, *section), SECTIONS)
+        rows = [row for result in results for row in result]
+    numbered = [(ds.name, 100 * (i + 1), *row[2:]) for i, row in enumerate(rows)]
+    return small_table(facts.spark, numbered, FINDING_SCHEMA)
 
 
 def with_headlines(findings: DataFrame) -> DataFrame:
@@ -140,12 +144,9 @@ def build_report(ds: Dataset, filters: str | list[dict] | None = None, mode: str
     facts = Facts(ds)
     found = section_findings(facts)
     body = found.where("category <> 'executive_summary'")
-    quality = profile.data_quality(ds, facts.base)
-    quality = facts.spark.createDataFrame(quality.collect(), quality.schema)
+    quality = localize(profile.data_quality(ds, facts.base))
     if facts.total == 0:
-        questions = facts.spark.createDataFrame(
-            [(0, "Which filter leaves no rows?")], "position int, text string"
-        )
+        questions = one_question(facts.spark, "Which filter leaves no rows?")
         worded = apply_lens(found, mode)
     else:
         questions = follow_ups(body, quality.first().duplicate_rows)

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from typing import Any
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app: str = "veritable", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,3 +38,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="veritable-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/veritable/{name}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: T.StructType) -> DataFrame:
+    """A handful of driver-side rows as a local relation, which needs no Spark tasks."""
+    records = [dict(zip(schema.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, to_arrow_schema(schema)), schema)
+
+
+def localize(df: DataFrame) -> DataFrame:
+    """Fetch a result of bounded size, so that what reads it does not compute it again."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
