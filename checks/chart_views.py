@@ -80,11 +80,12 @@ _SPLIT_BUCKET = iso_sql("CAST(date_trunc('day', ts) AS TIMESTAMP)")
 @query(
     "time_series_split",
     f"WITH {GAPPY_EVENTS} SELECT {_SPLIT_BUCKET} AS bucket, coalesce(event_type, '(blank)') AS key, "
-    "round(avg(value), 4) AS value FROM gappy GROUP BY 1, 2",
+    "round(sum(value), 2) AS value FROM gappy GROUP BY 1, 2",
 )
 def time_series_split(spark, folder):
     ds = gappy_events(spark, folder)
-    return iso_bucket(charts.time_series_split(ds, "ts", "event_type", "avg", "value", "day"))
+    series = charts.time_series_split(ds, "ts", "event_type", "sum", "value", "day")
+    return iso_bucket(series).withColumn("value", F.round("value", 2))
 
 
 _TOP_USERS = (

@@ -177,8 +177,12 @@ def takeaways(spark, folder):
     return found.where("length(text) > 0").select("rank", "source_insight")
 
 
-_QUESTIONS = """asked AS (SELECT question AS text, min(place) AS place FROM found
-  WHERE NOT is_limitation AND question IS NOT NULL GROUP BY 1)"""
+_QUESTIONS = """copies AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (__rowid) FROM activity))
+  AS extra FROM activity),
+asked AS (SELECT question AS text, min(place) AS place FROM found
+  WHERE NOT is_limitation AND question IS NOT NULL GROUP BY 1
+  UNION ALL SELECT 'Are the ' || extra || ' repeated rows copies that should be dropped?', 1000000
+  FROM copies WHERE extra > 0)"""
 
 
 @query("follow_ups", f"{_REPORT}, {_QUESTIONS} SELECT text FROM asked ORDER BY place, text LIMIT 6")

@@ -9,8 +9,8 @@ FULL_SAMPLE = 50.0
 
 
 def unit(value: Column) -> Column:
-    """Clamp to 0..1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    """Clamp to 0..1; NULL stays NULL."""
+    return F.when(value < 0, 0.0).when(value > 1, 1.0).otherwise(value)
 
 
 def sample_weight(n: Column) -> Column:

@@ -36,19 +36,19 @@ def quartiles(
     counts = ds.df.agg(*[F.count(c.ref) for c in columns]).first()
     if max(counts) <= buffer_rows:
         return _quartiles_in_buffer(ds, columns)
-    wanted, places = [], []
-    for i, c in enumerate(columns):
-        for share in (0.25, 0.75):
-            if counts[i]:
-                place = share * (counts[i] - 1)
-                ranks = [int(place), min(int(place) + 1, counts[i] - 1)]
-                places.append((i, share, place - int(place)))
-                wanted += [(c.ref.cast("double"), counts[i], rank) for rank in ranks]
-    values = order_statistics(ds.df, wanted, buffer_rows)
+    shares = (0.25, 0.75)
+    filled = [(i, c) for i, c in enumerate(columns) if counts[i]]
+    wanted = []
+    for i, c in filled:
+        places = [int(share * (counts[i] - 1)) for share in shares]
+        ranks = [r for place in places for r in (place, min(place + 1, counts[i] - 1))]
+        wanted.append((c.ref.cast("double"), counts[i], ranks))
     found = {}
-    for j, (i, share, part) in enumerate(places):
-        below, above = values[2 * j], values[2 * j + 1]
-        found[i, share] = below + (above - below) * part
+    for (i, _), values in zip(filled, order_statistics(ds.df, wanted, buffer_rows)):
+        for j, share in enumerate(shares):
+            below, above = values[2 * j : 2 * j + 2]
+            part = share * (counts[i] - 1) % 1
+            found[i, share] = below + (above - below) * part
     records = [
         (i, c.name, found.get((i, 0.25)), found.get((i, 0.75)), counts[i])
         for i, c in enumerate(columns)

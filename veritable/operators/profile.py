@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from veritable.dataset import Dataset
 from veritable.functions.times import epoch_micros, iso_text
 from veritable.schema import DATE, NUMBER, ROW_ID, ColumnInfo, named_like_identifier
+from veritable.session import small_table
 
 SMALL_SAMPLE = 30
 MISSING_FLAG = 0.20
@@ -22,9 +23,11 @@ DUPLICATE_EXAMPLES = 25
 # Rows of one monotonicity block; each block is one window partition.
 BLOCK_ROWS = 1_000_000
 
-# The sketch behind the distinct estimate errs by 2 %; a column estimated below this
-# share is far from the 95 % line and needs no exact distinct count.
-CANDIDATE_SHARE = 0.80
+# The sketch behind the distinct estimate errs by 5 %; a column estimated below this
+# share of what it needs is too far off to be worth an exact distinct count.
+CANDIDATE_SHARE = 0.70
+
+BLOCK_AGGREGATES = 80
 
 
 class Measures(NamedTuple):
@@ -42,9 +45,19 @@ class Measures(NamedTuple):
 
 
 def aggregate_once(ds: Dataset, *measures: Measures) -> DataFrame:
-    """One wide row with all aggregates, computed in a single scan."""
+    """One wide row with all aggregates, computed in a single scan.
+
+    Very wide tables take one scan per block of aggregates: Spark stops compiling an
+    aggregate with too many buffers, and every block reads its own columns only.
+    """
     merged = {name: value for m in measures for name, value in m.aggregates.items()}
-    return ds.df.agg(*[value.alias(name) for name, value in merged.items()])
+    named = [value.alias(name) for name, value in merged.items()]
+    blocks = [ds.df.agg(*named[i : i + BLOCK_AGGREGATES]) for i in range(0, len(named), BLOCK_AGGREGATES)]
+    wide = blocks[0]
+    for block in blocks[1:]:
+        row = block.select(F.struct("*")).scalar().alias("block")
+        wide = wide.select("*", row).select("*", "block.*").drop("block")
+    return wide
 
 
 def per_column(df: DataFrame, structs: list[Column]) -> DataFrame:
@@ -237,20 +250,15 @@ def data_quality(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
         base = aggregate_once(ds, missing_measures(ds))
     shares = [record["missing_fraction"] for record in missing_measures(ds).records]
     mean = sum(shares[1:], shares[0]) / len(shares)
-    shape = base.select(
-        F.col("total").alias("rows"), F.round(mean, 6).alias("mean_missing"), F.lit(1).alias("k")
-    )
-    # both sides are a single row
-    joined = shape.join(duplicate_count(ds).withColumn("k", F.lit(1)), "k")
-    return joined.select(
-        "rows",
+    return base.select(
+        F.col("total").alias("rows"),
         F.lit(len(ds.columns)).alias("columns"),
         F.lit(len(ds.numbers)).alias("numeric_columns"),
         F.lit(len(ds.dates)).alias("date_columns"),
         F.lit(len(ds.texts)).alias("text_columns"),
-        "duplicate_rows",
-        "mean_missing",
-        (F.col("rows") < SMALL_SAMPLE).alias("small_sample"),
+        duplicate_count(ds).scalar().alias("duplicate_rows"),
+        F.round(mean, 6).alias("mean_missing"),
+        (F.col("total") < SMALL_SAMPLE).alias("small_sample"),
     )
 
 
@@ -294,11 +302,10 @@ def _probes(ds: Dataset) -> list[ColumnInfo]:
 
 
 def identifier_measures(ds: Dataset) -> Measures:
-    """Rows, and value counts and distinct estimates of the integer columns."""
+    """Rows, and the filled rows and bounds of the integer columns."""
     aggregates = {"total": F.count("*")}
     for i, c in enumerate(_probes(ds)):
-        aggregates[f"filled{i}"] = F.count(c.ref)
-        aggregates[f"distinct{i}"] = F.approx_count_distinct(c.ref, 0.02)
+        aggregates |= {f"filled{i}": F.count(c.ref), f"low{i}": F.min(c.ref), f"high{i}": F.max(c.ref)}
     return Measures(aggregates, [])
 
 
@@ -310,17 +317,31 @@ def identifier_columns(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
         if base is None:
             base = aggregate_once(ds, identifier_measures(ds))
         found += _identifiers_by_shape(ds, probes, base.first())
-    return ds.df.sparkSession.createDataFrame(found, "column string, reason string")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("column", "reason")])
+    return small_table(ds.df.sparkSession, found, schema)
 
 
 def _identifiers_by_shape(ds: Dataset, probes: list[ColumnInfo], seen: Row) -> list[tuple[str, str]]:
-    # Both tests need (almost) all values to differ. The sketch rules most columns out;
-    # only the others pay for an exact distinct count.
-    found = []
+    """Integer columns that are unique, or that increase with the row id.
+
+    Both need many different values. The span of the integers bounds how many there can
+    be, which settles most columns; a sketch settles most others; only what is left pays
+    for an exact distinct count.
+    """
+    needed = {}
     for i, c in enumerate(probes):
         filled = seen[f"filled{i}"]
-        if not filled or seen[f"distinct{i}"] < CANDIDATE_SHARE * filled:
+        enough = min(UNIQUE_SHARE * seen.total, filled)
+        if filled and seen[f"high{i}"] - seen[f"low{i}"] + 1 >= enough:
+            needed[i, c] = enough
+    if not needed:
+        return []
+    estimates = ds.df.agg(*[F.approx_count_distinct(c.ref) for _, c in needed]).first()
+    found = []
+    for (i, c), estimate in zip(needed, estimates):
+        if estimate < CANDIDATE_SHARE * needed[i, c]:
             continue
+        filled = seen[f"filled{i}"]
         distinct = ds.df.agg(F.count_distinct(c.ref)).first()[0]
         if distinct >= UNIQUE_SHARE * seen.total:
             found.append((c.name, "unique"))

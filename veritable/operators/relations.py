@@ -16,8 +16,9 @@ MIN_PAIR_ROWS = 10
 UNRELATED, WEAK, STRONG = 0.20, 0.40, 0.70
 OTHER_PAIRS = 3
 
-# Pairs computed in one aggregate; beyond that the generated code gets too long.
-PAIRS_PER_SCAN = 100
+# Pairs computed in one aggregate. With more, the generated code outgrows what the JVM
+# compiles, and the aggregate falls back to slow interpretation.
+PAIRS_PER_SCAN = 8
 
 _SCHEMA = "position int, a string, b string, r double, n long"
 
@@ -38,19 +39,24 @@ def pairwise_corr(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
     )
 
 
+def _clamped(r: Column) -> Column:
+    """Rounding may carry a perfect r past 1."""
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
 def _scan_pairs(ds: Dataset, pairs) -> DataFrame:
     aggregates, records = {}, []
     for i, (a, b) in pairs:
-        both = a.ref.isNotNull() & b.ref.isNotNull()
-        x = F.when(both, a.ref.cast("double"))
-        y = F.when(both, b.ref.cast("double"))
-        # corr() raises on a constant column under ANSI; a zero spread gives NULL here
-        aggregates[f"r{i}"] = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        aggregates[f"n{i}"] = F.count(x)
+        # The regr_ aggregates only see rows with both values. corr() does too, but it
+        # raises on a constant column under ANSI; a zero spread gives NULL here.
+        pair = a.ref.cast("double"), b.ref.cast("double")
+        spread = F.sqrt(F.regr_sxx(*pair)) * F.sqrt(F.regr_syy(*pair))
+        aggregates[f"r{i}"] = F.try_divide(F.regr_sxy(*pair), spread)
+        aggregates[f"n{i}"] = F.regr_count(*pair)
         records.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(a.name).alias("a"), F.lit(b.name).alias("b"),
-                F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"),
+                _clamped(F.col(f"r{i}")).alias("r"), F.col(f"n{i}").alias("n"),
             )
         )
     return Measures(aggregates, records).table(ds)

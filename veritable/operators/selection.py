@@ -9,7 +9,7 @@ pivots; the counts decide, so the result is exact.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,24 +18,26 @@ from pyspark.sql import functions as F
 from veritable.schema import ROW_ID
 
 # Rows of a bracket that one task may hold.
-BRACKET_ROWS = 1_000_000
+BRACKET_ROWS = 200_000
 SAMPLE_ROWS = 100_000
 
 
-@dataclass
-class _Bracket:
-    """Rank ``rank`` (0-based) lies strictly between ``low`` and ``high``."""
+@dataclass(frozen=True)
+class _Interval:
+    """The values of one key strictly between two pivots, and the rows below them."""
 
+    slot: int
     key: Column
-    rank: int
     rows: int
     below: int = 0
     low: Any = None
     high: Any = None
-    value: Any = None
-    solved: bool = False
 
-    def inside(self) -> Column:
+    @property
+    def ends(self) -> tuple:
+        return self.slot, self.low, self.high
+
+    def holds(self) -> Column:
         kept = self.key.isNotNull()
         if self.low is not None:
             kept = kept & (self.key > F.lit(self.low))
@@ -43,81 +45,105 @@ class _Bracket:
             kept = kept & (self.key < F.lit(self.high))
         return kept
 
-    def open(self, limit: int) -> bool:
-        return not self.solved and self.rows > limit
-
-    def shrink(self, a: Any, b: Any, counts: list[int]) -> None:
-        """Take in exact counts of rows < a, <= a, < b and <= b."""
-        under_a, upto_a, under_b, upto_b = counts
-        end = self.below + self.rows
-        if under_a <= self.rank < upto_a:
-            self.value, self.solved = a, True
-        elif under_b <= self.rank < upto_b:
-            self.value, self.solved = b, True
-        elif self.rank < under_a:
-            self.high, self.rows = a, under_a - self.below
-        elif self.rank >= upto_b:
-            self.low, self.below, self.rows = b, upto_b, end - upto_b
-        else:
-            self.low, self.high = a, b
-            self.below, self.rows = upto_a, under_b - upto_a
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket], limit: int) -> None:
-    """Shrink all brackets until each holds at most ``limit`` rows."""
-    seed = 0
-    while todo := [b for b in brackets if b.open(limit)]:
-        seed += 1
-        # One scan for all brackets, each with its own share of sampled rows. The draw
-        # hashes the row id, so a task that is run again picks the same rows.
-        picks = []
-        for i, b in enumerate(todo):
-            share = min(1.0, SAMPLE_ROWS / b.rows)
-            place = (b.rank - b.below + 0.5) / b.rows
-            margin = 4 * 0.5 / min(SAMPLE_ROWS, b.rows) ** 0.5
-            draw = F.shiftrightunsigned(F.xxhash64(ROW_ID, F.lit(seed * 1_000 + i)), 33)
-            sampled = F.when(b.inside() & (draw < F.lit(share * 2.0**31)), b.key)
-            ends = [max(0.0, place - margin), min(1.0, place + margin)]
-            picks.append(F.percentile_approx(sampled, F.array(*map(F.lit, ends)), 1_000).alias(f"p{i}"))
-        pivots = df.agg(*picks).first()
-        checks = []
-        active = [(b, pivots[i]) for i, b in enumerate(todo) if pivots[i]]
-        for b, (low, high) in active:
-            for pivot in (F.lit(low), F.lit(high)):
-                checks += [F.count_if(b.key < pivot), F.count_if(b.key <= pivot)]
-        if not checks:
+    def share(self, rank: int) -> float:
+        return (rank - self.below + 0.5) / self.rows
+
+    def cut(self, rank: int, pivot: Any, under: int, upto: int) -> _Interval | None:
+        """The side of a pivot that holds a rank; None if the pivot is the value itself."""
+        if under <= rank < upto:
+            return None
+        if rank < under:
+            return replace(self, high=pivot, rows=under - self.below)
+        return replace(self, low=pivot, below=upto, rows=self.below + self.rows - upto)
+
+
+def _pivots(df: DataFrame, intervals: dict[tuple, tuple[_Interval, list[int]]]) -> list[list[Any]]:
+    """Values around each wanted rank, from a sample of every interval, in one scan.
+
+    The draw hashes the row id, so a task that is run again picks the same rows.
+    """
+    picks = []
+    for i, (interval, ranks) in enumerate(intervals.values()):
+        rate = min(1.0, SAMPLE_ROWS / interval.rows)
+        margin = 0.001 + 2.0 / min(SAMPLE_ROWS, interval.rows) ** 0.5
+        shares = [interval.share(r) + side for r in ranks for side in (-margin, margin)]
+        draw = F.shiftrightunsigned(F.xxhash64(ROW_ID, F.lit(interval.rows + i)), 33)
+        sampled = F.when(interval.holds() & (draw < F.lit(rate * 2.0**31)), interval.key)
+        wanted = F.array(*[F.lit(min(1.0, max(0.0, s))) for s in shares])
+        picks.append(F.percentile_approx(sampled, wanted, 1_000).alias(f"p{i}"))
+    return [list(found or []) for found in df.agg(*picks).first()]
+
+
+def _narrow(df: DataFrame, spots: list[_Interval], ranks: list[int], values: list, limit: int) -> None:
+    """Shrink the interval of every rank until it holds at most ``limit`` rows."""
+    while True:
+        todo = [i for i, s in enumerate(spots) if values[i] is None and s.rows > limit]
+        if not todo:
+            return
+        # ranks that lie in the same interval share its sample
+        shared: dict[tuple, tuple[_Interval, list[int]]] = {}
+        for i in todo:
+            shared.setdefault(spots[i].ends, (spots[i], []))[1].append(ranks[i])
+        found = dict(zip(shared, _pivots(df, shared)))
+        pivots = {(shared[e][0].slot, v): shared[e][0].key for e, vs in found.items() for v in vs}
+        if not pivots:
             continue
-        counts = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).first()
-        for i, (b, (low, high)) in enumerate(active):
-            b.shrink(low, high, list(counts[4 * i : 4 * i + 4]))
+        checks = []
+        for (_, value), key in pivots.items():
+            checks += [F.count_if(key < F.lit(value)), F.count_if(key <= F.lit(value))]
+        row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).first()
+        counted = {pivot: (row[2 * j], row[2 * j + 1]) for j, pivot in enumerate(pivots)}
+        for i in todo:
+            spot = spots[i]
+            for pivot in found[spot.ends]:
+                inside = (spots[i].low is None or pivot > spots[i].low) and (
+                    spots[i].high is None or pivot < spots[i].high
+                )
+                if not inside:
+                    continue
+                side = spots[i].cut(ranks[i], pivot, *counted[spot.slot, pivot])
+                if side is None:
+                    values[i] = pivot
+                    break
+                spots[i] = side
 
 
 def order_statistics(
-    df: DataFrame, wanted: list[tuple[Column, int, int]], limit: int = BRACKET_ROWS
-) -> list[Any]:
-    """The values at 0-based ranks; ``wanted`` holds (key, non-null rows, rank)."""
-    brackets = [_Bracket(key, rank, rows) for key, rows, rank in wanted]
-    _narrow(df, brackets, limit)
-    rest = [(i, b) for i, b in enumerate(brackets) if not b.solved]
+    df: DataFrame, wanted: list[tuple[Column, int, list[int]]], limit: int = BRACKET_ROWS
+) -> list[list[Any]]:
+    """The values at 0-based ranks; ``wanted`` holds (key, non-null rows, ranks)."""
+    spots = [_Interval(i, key, rows) for i, (key, rows, of) in enumerate(wanted) for _ in of]
+    ranks = [rank for _, _, of in wanted for rank in of]
+    values: list[Any] = [None] * len(ranks)
+    _narrow(df, spots, ranks, values, limit)
+    rest = {s.ends: s for s, v in zip(spots, values) if v is None}
     if rest:
-        # few rows are left per bracket: count their values, then walk the counts
-        kept = F.array(*[F.when(b.inside(), b.key) for _, b in rest])
-        values = df.select(F.posexplode(kept).alias("slot", "value")).where("value IS NOT NULL")
-        counts = values.groupBy("slot", "value").agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("slot").orderBy("value"))
-        goal = F.element_at(F.array(*[F.lit(b.rank - b.below) for _, b in rest]), F.col("slot") + 1)
-        hits = (
-            counts.withColumn("upto", upto)
-            .where((F.col("upto") > goal) & (F.col("upto") - F.col("n") <= goal))
-            .select("slot", "value")
-        )
-        for slot, value in hits.collect():
-            rest[slot][1].value = value
-    return [b.value for b in brackets]
+        # few rows are left per interval: count their values, then walk the counts
+        hits = [
+            F.when(s.holds(), F.struct(F.lit(i).alias("place"), s.key.alias("value")))
+            for i, s in enumerate(rest.values())
+        ]
+        kept = df.select(F.inline(F.array_compact(F.array(*hits))))
+        counts = kept.groupBy("place", "value").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("place").orderBy("value"))
+        goals = [
+            F.struct(F.lit(place).alias("place"), F.lit(i).alias("i"), F.lit(ranks[i] - s.below).alias("goal"))
+            for place, s in enumerate(rest.values())
+            for i in range(len(ranks)) if values[i] is None and spots[i].ends == s.ends
+        ]
+        walked = counts.withColumn("upto", upto).withColumn("g", F.explode(F.filter(
+            F.array(*goals),
+            lambda g: (g["place"] == F.col("place")) & (F.col("upto") > g["goal"])
+            & (F.col("upto") - F.col("n") <= g["goal"]),
+        )))
+        for i, value in walked.select("g.i", "value").collect():
+            values[i] = value
+    results = iter(values)
+    return [[next(results) for _ in of] for _, _, of in wanted]
 
 
 def rank_bounds(df: DataFrame, key: Column, first: int, last: int, limit: int) -> tuple[Column, Column]:
     """Literals around the values at ranks ``first`` and ``last``."""
     rows = df.agg(F.count(key)).first()[0]
-    low, high = order_statistics(df, [(key, rows, first), (key, rows, last)], limit)
+    [[low, high]] = order_statistics(df, [(key, rows, [first, last])], limit)
     return F.lit(low), F.lit(high)
