@@ -85,10 +85,10 @@ def leader_gap(halves: DataFrame) -> DataFrame:
     """
     total = F.col("first_half") + F.col("second_half")
     # the higher label wins a tie, a NULL label reads as 'None'
-    order = [F.desc("total"), F.coalesce("label", F.lit("None")).desc()]
-    two = halves.withColumn("total", total).orderBy(*order).limit(2)
-    pair = two.agg(F.sort_array(F.collect_list(F.struct("total", "label")), False).alias("top"))
-    # two rows are too few to need a stable second sort, ties are settled above
+    named = F.coalesce("label", F.lit("None"))
+    ranked = halves.select("label", total.alias("total"), named.alias("named"))
+    two = ranked.orderBy(F.desc("total"), F.desc("named")).limit(2)
+    pair = two.agg(F.sort_array(F.collect_list(F.struct("total", "named", "label")), False).alias("top"))
     mover = top_movers(halves, 1).select(F.col("label").alias("mover"))
     leader, second = F.get("top", 0), F.get("top", 1)
     named = pair.select(

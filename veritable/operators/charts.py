@@ -93,15 +93,10 @@ def _has_key(info: ColumnInfo, keys: list[str]) -> Column:
     return listed | info.ref.isNull() if BLANK_KEY in keys else listed
 
 
-def time_series_split(
-    ds: Dataset,
-    column: str,
-    split_by: str,
-    agg: str = "count",
-    value_column: str | None = None,
-    interval: str | None = None,
-) -> DataFrame:
-    """One value per time bucket and key, for the top keys of ``split_by``."""
+def _split(
+    ds: Dataset, column: str, split_by: str, agg: str, value_column: str | None, interval: str | None
+) -> tuple[DataFrame, list[str]]:
+    """Unsorted values per bucket and key, and the keys."""
     if split_by == column:
         raise ValueError("split_by must differ from the date column")
     info = ds.column(split_by)
@@ -109,13 +104,24 @@ def time_series_split(
     chosen = pick_interval(ds, column, interval)
     keys = series_keys(ds, split_by) if chosen else []
     if not keys:
-        return ds.df.sparkSession.createDataFrame([], _SPLIT_SCHEMA)
-    rows = ds.where(_has_key(info, keys)).df
-    groups = rows.groupBy(
+        return ds.df.sparkSession.createDataFrame([], _SPLIT_SCHEMA), []
+    groups = ds.where(_has_key(info, keys)).df.groupBy(
         bucket(ds.column(column).ref, chosen).alias("bucket"),
         F.coalesce(info.label, F.lit(BLANK_KEY)).alias("key"),
     )
-    series = groups.agg(F.round(value.cast("double"), 4).alias("value"))
+    return groups.agg(F.round(value.cast("double"), 4).alias("value")), keys
+
+
+def time_series_split(
+    ds: Dataset,
+    column: str,
+    split_by: str,
+    agg: str = "count",
+    value_column: str | None = None,
+    interval: str | None = None,
+) -> DataFrame:
+    """One value per time bucket and key, for the top keys of ``split_by``."""
+    series, _ = _split(ds, column, split_by, agg, value_column, interval)
     return series.orderBy(F.col("bucket").asc_nulls_last(), "key")
 
 
@@ -132,15 +138,12 @@ def time_series_grid(
     Each bucket holds at most eight keys, so a map per bucket fills the gaps without a
     join against all (bucket, key) combinations.
     """
-    series = time_series_split(ds, column, split_by, agg, value_column, interval)
-    entry = F.struct("key", "value")
-    buckets = series.groupBy("bucket").agg(F.map_from_entries(F.collect_list(entry)).alias("by_key"))
-    keys = series_keys(ds, split_by)
+    series, keys = _split(ds, column, split_by, agg, value_column, interval)
     if not keys:
         return series
-    filled = buckets.select(
-        "bucket", "by_key", F.explode(F.array(*[F.lit(k) for k in keys])).alias("key")
-    )
+    entries = F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("by_key")
+    listed = F.explode(F.array(*[F.lit(k) for k in keys])).alias("key")
+    filled = series.groupBy("bucket").agg(entries).select("bucket", "by_key", listed)
     grid = filled.select("bucket", "key", F.try_element_at("by_key", "key").alias("value"))
     return grid.orderBy(F.col("bucket").asc_nulls_last(), "key")
 

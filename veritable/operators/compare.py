@@ -9,6 +9,7 @@ from veritable.dataset import Dataset
 from veritable.functions.times import bucket
 from veritable.functions.wording import human_number, signed_percent
 from veritable.operators.charts import aggregate, pick_interval
+from veritable.schema import NUMBER
 
 TOP_DRIVERS = 30
 TOP_MOVERS = 6
@@ -62,19 +63,29 @@ def compare_delta(
 ) -> DataFrame:
     """Metric per label in both slices, with the change and the change in percent.
 
-    Both sides are aggregated before they meet, so every label is one row per side and
-    no join key can be hot. NULL labels meet each other.
+    Both slices run into one aggregate per label, so there is no join, and a frequent
+    label is reduced to one row per task before the shuffle.
     """
-    left = _by_label(base, dimension, agg, metric).withColumnRenamed("value", "base_value")
-    right = _by_label(current, dimension, agg, metric).withColumnRenamed("value", "current_value")
-    left = left.withColumnRenamed("label", "base_label")
-    right = right.withColumnRenamed("label", "current_label")
-    both = left.join(right, F.col("base_label").eqNullSafe(F.col("current_label")), "full_outer")
+    value = F.lit(1) if agg == "count" else base.column(metric or "", NUMBER).ref
+    for ds in (base, current):
+        aggregate(ds, agg, metric)  # both must have the metric
+    sides = [
+        ds.df.select(
+            ds.column(dimension).label.alias("label"), value.cast("double").alias("value"),
+            F.lit(side).alias("side"),
+        )
+        for side, ds in enumerate((base, current))
+    ]
+    combine = {"count": F.count, "sum": F.sum, "avg": F.avg}[agg]
+    labels = sides[0].unionByName(sides[1]).groupBy("label").agg(*[
+        combine(F.when(F.col("side") == side, F.col("value"))).cast("double").alias(name)
+        for side, name in enumerate(("base_value", "current_value"))
+    ])
     delta = F.round(F.col("current_value") - F.col("base_value"), 4)
     percent = F.try_divide(100 * F.col("delta"), F.abs("base_value"))
     return (
-        both.select(
-            F.coalesce("base_label", "current_label", F.lit(BLANK_LABEL)).alias("label"),
+        labels.select(
+            F.coalesce("label", F.lit(BLANK_LABEL)).alias("label"),
             _shown(F.col("base_value")).alias("base_value"),
             _shown(F.col("current_value")).alias("current_value"),
         )

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritable.dataset import Dataset
-from veritable.operators.selection import rank_bounds
-from veritable.schema import ROW_ID, TEXT
+from veritable.functions.times import epoch_micros
+from veritable.operators.selection import order_statistics
+from veritable.schema import DATE, NUMBER, ROW_ID, TEXT
 from veritable.session import small_table
 
 MAX_PAGE_SIZE = 1_000
@@ -18,6 +20,11 @@ MAX_LOOKUP = 200
 EVIDENCE_ROWS = 25
 SAMPLE_ROWS = 50_000
 
+# Row ids looked at before the whole table is, and the longest IN list that Spark hands
+# to the Parquet reader value by value.
+PREFIX_IDS = 1_000_000
+IN_LIST = 10
+
 # A page that ends below this row is a top-k; deeper pages seek to their range first.
 SHALLOW_ROWS = 100_000
 
@@ -55,60 +62,88 @@ def page(
     sort_order: str = "asc",
     shallow_rows: int = SHALLOW_ROWS,
 ) -> DataFrame:
-    """One page of the sorted view, in order."""
+    """One page of the sorted view, in order.
+
+    The ids of the page are found first, reading the sort key only; the other columns
+    are then read for these ids.
+    """
     if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
         raise ValueError(f"number must be at least 1 and size between 1 and {MAX_PAGE_SIZE}")
     skip = (number - 1) * size
-    if skip + size > shallow_rows:
-        ds, skip = _seek(ds, skip, size, sort_by, sort_order, shallow_rows)
-    return sorted_rows(ds, sort_by, sort_order).offset(skip).limit(size)
+    narrow = ds if sort_by else _id_prefix(ds, skip + size)
+    if skip + size > shallow_rows and _can_seek(ds, sort_by):
+        narrow, skip = _seek(narrow, skip, sort_by, sort_order, shallow_rows), 0
+    view = narrow.df.orderBy(*ordering(narrow, sort_by, sort_order)).offset(skip).limit(size)
+    ids = [row[0] for row in view.select(ROW_ID).collect()]
+    return _fetch(ds, ids).orderBy("pos").drop("pos")
+
 
+def _id_prefix(ds: Dataset, need: int) -> Dataset:
+    """The first row ids of a slice, if they hold the rows that are needed."""
+    head = ds.where(F.col(ROW_ID) < max(PREFIX_IDS, 100 * need))
+    return head if head.df.limit(need).count() >= need else ds
 
-def _seek(
-    ds: Dataset, skip: int, size: int, sort_by: str | None, sort_order: str, target: int
-) -> tuple[Dataset, int]:
-    """Narrow ``ds`` to a range of the sort keys that holds the page.
 
-    Returns the rows left and how many of them come before the page. Key ranges come
-    from exact row counts, so no row of the page is lost and none is sorted in vain.
+def _can_seek(ds: Dataset, sort_by: str | None) -> bool:
+    """Nested values have no literal to compare with; they are sorted by Spark alone."""
+    if not sort_by or ds.column(sort_by).kind != TEXT:
+        return True
+    return isinstance(ds.column(sort_by).dtype, (T.StringType, T.BooleanType))
+
+
+def _seek(ds: Dataset, skip: int, sort_by: str | None, sort_order: str, limit: int) -> Dataset:
+    """The rows of a sorted view from place ``skip`` on.
+
+    A deep page as a top-k would keep all rows before it in memory. Here the sort key and
+    the row id at the place are found by exact selection, and the page starts there.
     """
-    descending = bool(sort_by) and sort_order.lower() == "desc"
-    keys = []
-    if sort_by and ds.column(sort_by).kind != TEXT:
-        keys.append((ds.column(sort_by).ref, descending))
-    elif sort_by:
-        return ds, skip  # text keys: Spark's own distributed sort
-    keys.append((F.col(ROW_ID), False))
-    for key, reverse in keys:
-        total, known = ds.df.agg(F.count("*"), F.count(key)).first()
-        if skip >= total or total <= target:
-            break
-        if skip >= known:  # the page lies in the NULLs, which come last
-            ds, skip = ds.where(key.isNull()), skip - known
-            continue
-        first, last = skip, min(skip + size, known) - 1
-        if reverse:
-            first, last = known - 1 - last, known - 1 - first
-        low, high = rank_bounds(ds.df, key, first, last, target)
-        inside = (key >= low) & (key <= high)
-        if skip + size > known:
-            inside = inside | key.isNull()
-        before = key > high if reverse else key < low
-        skip -= ds.df.where(before).count()
-        ds = ds.where(inside)
-        if skip + size > target and ds.df.select(F.count_distinct(key)).first()[0] > 1:
-            break  # several values left, of which one is very common: plain sort of the range
-    return ds, skip
+    row_id = F.col(ROW_ID)
+    at_start, later, place = F.lit(True), F.lit(False), skip
+    if sort_by:
+        info = ds.column(sort_by)
+        key = {NUMBER: info.ref, DATE: epoch_micros(info.ref), TEXT: info.label}[info.kind]
+        down = sort_order.lower() == "desc"
+        known = ds.df.agg(F.count(key)).first()[0]
+        if skip >= known:  # the place lies among the NULLs, which come last
+            at_start, place = key.isNull(), skip - known
+        else:
+            rank = known - 1 - skip if down else skip
+            [[value]] = order_statistics(ds.df, [(key, known, [rank])], limit)
+            first = F.lit(value)
+            at_start = key == first
+            before, after = (key > first, key < first) if down else (key < first, key > first)
+            later = after | key.isNull()
+            place = skip - ds.where(before).count_rows()
+    ties = ds.where(at_start)
+    rows = ties.count_rows()
+    if place >= rows:
+        return ds.where(F.lit(False))
+    [[start]] = order_statistics(ties.df, [(row_id, rows, [place])], limit)
+    return ds.where(later | (at_start & (row_id >= F.lit(start))))
+
+
+def with_ids(ids: list[int]) -> Column:
+    """Row id predicate in short IN lists, which the Parquet reader checks per row group."""
+    distinct = sorted(set(ids))
+    parts = [
+        F.col(ROW_ID).isin(distinct[i : i + IN_LIST]) for i in range(0, len(distinct), IN_LIST)
+    ] or [F.lit(False)]
+    while len(parts) > 1:  # pairwise, so that the expression stays flat
+        parts = [reduce(or_, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def _fetch(ds: Dataset, ids: list[int]) -> DataFrame:
+    """Rows of an id list with their place in it."""
+    schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField(ROW_ID, T.LongType())])
+    lookup = small_table(ds.df.sparkSession, list(enumerate(ids)), schema)
+    # the broadcast holds one page or one lookup, at most 1,000 ids
+    return ds.df.where(with_ids(ids)).join(F.broadcast(lookup), ROW_ID)
 
 
 def rows_by_id(ds: Dataset, ids: list[int]) -> DataFrame:
     """Rows in the order asked for; repeats are kept, unknown ids are left out."""
-    wanted = [(pos, int(i)) for pos, i in enumerate(ids[:MAX_LOOKUP])]
-    schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField(ROW_ID, T.LongType())])
-    lookup = small_table(ds.df.sparkSession, wanted, schema)
-    # the IN list reaches the scan; the broadcast holds at most 200 ids
-    found = ds.df.where(F.col(ROW_ID).isin([i for _, i in wanted]))
-    return found.join(F.broadcast(lookup), ROW_ID).orderBy("pos")
+    return _fetch(ds, [int(i) for i in ids[:MAX_LOOKUP]]).orderBy("pos")
 
 
 def evidence(
@@ -121,8 +156,21 @@ def evidence(
     return rows.orderBy(*keys).limit(limit).select(ROW_ID)
 
 
-def evidence_list(ds: Dataset, *args, **kwargs) -> list[int]:
-    return [row[0] for row in evidence(ds, *args, **kwargs).collect()]
+def evidence_list(
+    ds: Dataset, predicate: Column | None = None, order: Column | None = None,
+    limit: int = EVIDENCE_ROWS, rows: int = 0,
+) -> list[int]:
+    """``evidence`` as a list.
+
+    The lowest ids of a large table (``rows`` tells its size) are looked for in a prefix
+    of the ids first; only rare matches need the whole scan.
+    """
+    if order is None and rows > PREFIX_IDS:
+        head = ds.where(F.col(ROW_ID) < PREFIX_IDS)
+        ids = [row[0] for row in evidence(head, predicate, None, limit).collect()]
+        if len(ids) == limit:
+            return ids
+    return [row[0] for row in evidence(ds, predicate, order, limit).collect()]
 
 
 def extremes(ds: Dataset, column: str, count: int, predicate: Column | None = None) -> DataFrame:

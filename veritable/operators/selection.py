@@ -14,12 +14,14 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.schema import ROW_ID
 
 # Rows of a bracket that one task may hold.
 BRACKET_ROWS = 200_000
 SAMPLE_ROWS = 100_000
+TEXT_SAMPLE_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -62,16 +64,28 @@ def _pivots(df: DataFrame, intervals: dict[tuple, tuple[_Interval, list[int]]])
 
     The draw hashes the row id, so a task that is run again picks the same rows.
     """
-    picks = []
+    picks, places = [], []
     for i, (interval, ranks) in enumerate(intervals.values()):
-        rate = min(1.0, SAMPLE_ROWS / interval.rows)
-        margin = 0.001 + 2.0 / min(SAMPLE_ROWS, interval.rows) ** 0.5
-        shares = [interval.share(r) + side for r in ranks for side in (-margin, margin)]
+        is_text = isinstance(df.select(interval.key).schema[0].dataType, T.StringType)
+        size = TEXT_SAMPLE_ROWS if is_text else SAMPLE_ROWS
+        rate = min(1.0, size / interval.rows)
+        margin = 0.001 + 2.0 / min(size, interval.rows) ** 0.5
+        ends = [interval.share(r) + side for r in ranks for side in (-margin, margin)]
+        shares = [min(1.0, max(0.0, end)) for end in ends]
         draw = F.shiftrightunsigned(F.xxhash64(ROW_ID, F.lit(interval.rows + i)), 33)
         sampled = F.when(interval.holds() & (draw < F.lit(rate * 2.0**31)), interval.key)
-        wanted = F.array(*[F.lit(min(1.0, max(0.0, s))) for s in shares])
-        picks.append(F.percentile_approx(sampled, wanted, 1_000).alias(f"p{i}"))
-    return [list(found or []) for found in df.agg(*picks).first()]
+        # there is no approximate percentile of text; its sample is small enough to sort
+        pick = (
+            F.sort_array(F.collect_list(sampled)) if is_text
+            else F.percentile_approx(sampled, F.array(*map(F.lit, shares)), 1_000)
+        )
+        picks.append(pick.alias(f"p{i}"))
+        places.append(shares if is_text else None)
+    found = [list(values or []) for values in df.agg(*picks).first()]
+    return [
+        values if shares is None else [values[int(s * (len(values) - 1))] for s in shares if values]
+        for values, shares in zip(found, places)
+    ]
 
 
 def _narrow(df: DataFrame, spots: list[_Interval], ranks: list[int], values: list, limit: int) -> None:
@@ -140,10 +154,3 @@ def order_statistics(
             values[i] = value
     results = iter(values)
     return [[next(results) for _ in of] for _, _, of in wanted]
-
-
-def rank_bounds(df: DataFrame, key: Column, first: int, last: int, limit: int) -> tuple[Column, Column]:
-    """Literals around the values at ranks ``first`` and ``last``."""
-    rows = df.agg(F.count(key)).first()[0]
-    [[low, high]] = order_statistics(df, [(key, rows, [first, last])], limit)
-    return F.lit(low), F.lit(high)

@@ -73,7 +73,7 @@ class Report:
             row.column: {k: row[k] for k in ("sum", "avg", "min", "max")}
             for row in self.key_numbers.collect()
         }
-        examples = [row[0] for row in self.duplicate_examples.collect()] if quality.duplicate_rows else []
+        examples = [row[0] for row in self.duplicate_examples.collect()]
         return {
             "dataset_id": self.dataset_id,
             "mode": self.mode,
@@ -145,17 +145,21 @@ def build_report(ds: Dataset, filters: str | list[dict] | None = None, mode: str
     found = section_findings(facts)
     body = found.where("category <> 'executive_summary'")
     quality = localize(profile.data_quality(ds, facts.base))
+    duplicates = quality.first().duplicate_rows
+    # without duplicates no search for examples is needed
+    copies = ds if duplicates else ds.where(F.lit(False))
     if facts.total == 0:
         questions = one_question(facts.spark, "Which filter leaves no rows?")
         worded = apply_lens(found, mode)
     else:
-        questions = follow_ups(body, quality.first().duplicate_rows)
+        questions = follow_ups(body, duplicates)
         worded = apply_lens(with_headlines(found), mode)
     return Report(
         dataset_id=ds.name, mode=audience_mode(mode), quality=quality,
         missing=profile.missing_by_column(ds, facts.base),
         key_numbers=profile.key_numbers(ds, facts.base),
-        date_range=profile.date_range(ds, facts.base), duplicate_examples=profile.duplicate_rows(ds),
+        date_range=profile.date_range(ds, facts.base), 
+        duplicate_examples=profile.duplicate_examples(copies, facts.total),
         findings=worded.orderBy("position"), takeaways=key_takeaways(body), questions=questions,
         column_types={c.name: c.kind for c in ds.columns},
     )
