@@ -9,11 +9,13 @@ from checks.insight_views import (
     busiest_sql, fit_sql, halves_sql, labels_sql, outliers_sql, pairs_sql,
 )
 from checks.registry import ACTIVITY, activity, query
+from veritable import scratch_path
 from veritable.operators import profile
 from veritable.plans.lens import MODES, apply_lens
 from veritable.plans.ranking import follow_ups, key_takeaways, ranked_findings, top_findings
-from veritable.plans.report import section_findings, with_headlines
+from veritable.plans.report import build_report, section_findings, with_headlines
 from veritable.plans.sections import Facts
+from veritable.sources.sinks import load_report, save_report
 
 
 def _confidence(n, effect):
@@ -171,10 +173,79 @@ def ranked(spark, folder):
     return ranked_findings(_body(_findings(spark, folder))).select("rank", "id", "trust_score")
 
 
-@query("key_takeaways", f"{_REPORT} SELECT CAST(rank AS INTEGER) AS rank, id AS source_insight FROM tops")
+# the sentence each kind of headline starts with
+_SENTENCES = """CASE id
+  WHEN 'correlation_top' THEN 'Rows with a high value tend to have a higher score: a strong pattern, '
+    || 'which does not show that one causes the other.'
+  WHEN 'time_pattern' THEN (SELECT weekday || ' holds ' || format('{:.0f}%', 100 * share)
+    || ' of the dated rows, well above an even share.' FROM busiest)
+  WHEN 'missing_data' THEN (SELECT CAST(round(100 * kind_missing, 2) AS VARCHAR)
+    || '% of kind is blank, so figures based on it rest on part of the rows only.' FROM t)
+  END"""
+
+
+@query(
+    "key_takeaways",
+    f"{_REPORT} SELECT CAST(rank AS INTEGER) AS rank, id AS source_insight, {_SENTENCES} AS text FROM tops",
+)
 def takeaways(spark, folder):
-    found = key_takeaways(_body(_findings(spark, folder)))
-    return found.where("length(text) > 0").select("rank", "source_insight")
+    found = key_takeaways(_body(_findings(spark, folder))).select("rank", "source_insight", "text")
+    checked = F.col("source_insight").isin("correlation_top", "time_pattern", "missing_data")
+    return found.withColumn("text", F.when(checked, F.col("text")))
+
+
+def _metric(name):
+    return F.get_json_object("supporting_metrics", f"$.{name}")
+
+
+_METRICS = " UNION ALL ".join(
+    f"SELECT '{id}' AS id, '{name}' AS name, CAST({value} AS VARCHAR) AS value FROM {source}"
+    for id, name, value, source in [
+        ("concentration_channel", "dominant_value", "label", "reported WHERE \"column\" = 'channel' AND distinct_values > 1 AND share >= 0.40"),
+        ("concentration_channel", "count", "count", "reported WHERE \"column\" = 'channel' AND distinct_values > 1 AND share >= 0.40"),
+        ("concentration_channel", "runner_up", "runner_up", "reported WHERE \"column\" = 'channel' AND distinct_values > 1 AND share >= 0.40"),
+        ("single_value_status", "only_value", "label", "reported WHERE \"column\" = 'status' AND distinct_values <= 1"),
+        ("trend", "buckets", "buckets", "verdict"),
+        ("trend", "direction", "direction", "verdict"),
+        ("trend", "first_bucket_count", "first_count", "verdict"),
+        ("time_pattern", "busiest_weekday", "weekday", "busiest"),
+        ("time_pattern", "dated_rows", "dated_rows", "busiest"),
+        ("correlation_top", "n", "n", "pairs"),
+        ("anomaly_value", "outlier_count", "outliers", "stats WHERE \"column\" = 'value'"),
+        ("anomaly_value", "values_checked", '"values"', "stats WHERE \"column\" = 'value'"),
+        ("what_changed", "first_half_rows", "first_rows", "top"),
+        ("what_changed", "second_half_rows", "second_rows", "top"),
+    ]
+)
+
+
+@query("finding_metrics", f"{_REPORT} {_METRICS}")
+def finding_metrics(spark, folder):
+    fields = {
+        "concentration_channel": ["dominant_value", "count", "runner_up"], "single_value_status": ["only_value"],
+        "trend": ["buckets", "direction", "first_bucket_count"],
+        "time_pattern": ["busiest_weekday", "dated_rows"], "correlation_top": ["n"],
+        "anomaly_value": ["outlier_count", "values_checked"],
+        "what_changed": ["first_half_rows", "second_half_rows"],
+    }
+    pairs = [
+        F.when(F.col("id") == id, F.struct(F.lit(name).alias("name"), _metric(name).alias("value")))
+        for id, names in fields.items() for name in names
+    ]
+    wanted = F.inline(F.array_compact(F.array(*pairs)))
+    return _findings(spark, folder).select("id", wanted)
+
+
+@query(
+    "report_reload",
+    f"{_REPORT} SELECT {_CARD.replace(', round(notability, 4) AS notability, evidence', '')} FROM found "
+    f"UNION ALL SELECT {_CARD.replace(', round(notability, 4) AS notability, evidence', '')} FROM ({_TOP_CARDS})",
+)
+def report_reload(spark, folder):
+    path = scratch_path(spark, "reports")
+    save_report(build_report(activity(spark, folder)), path)
+    stored = load_report(spark, path, "activity")
+    return stored.select("id", "category", "confidence", "trust_score", "is_limitation")
 
 
 _QUESTIONS = """copies AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (__rowid) FROM activity))

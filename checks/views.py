@@ -12,6 +12,7 @@ from veritable.operators.concentration import concentration_flagged
 from veritable.sources.delimited import scan_delimited
 from veritable.sources.row_ids import read_with_row_ids
 from veritable.sources.sinks import export_view
+from veritable.sources.versions import current, refresh
 
 # --- sources and sinks -----------------------------------------------------------------
 
@@ -62,6 +63,17 @@ def exported(spark, folder):
     return with_iso(view, back)
 
 
+@query("refresh_current", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment, c_custkey AS __rowid FROM customer")
+def refresh_current(spark, folder):
+    """Two versions of a table: the second replaces the first."""
+    root = scratch_path(spark, "refresh")
+    columns = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+    customers = load(spark, folder, "customer").df.orderBy("c_custkey").select(*columns)
+    refresh(spark, root, lambda: customers.withColumn("c_name", F.lit("old")))
+    refresh(spark, root, lambda: customers)
+    return current(spark, root).df.select(*columns, ROW_ID)
+
+
 # --- filters ---------------------------------------------------------------------------
 
 

@@ -99,7 +99,7 @@ def summary(ds: Dataset) -> DataFrame:
         records = [_summary_struct(i, c) for i, c in scalar]
         parts.append(Measures(aggregates, records).table(ds))
     if ds.texts:
-        distinct = label_counts(ds, ds.texts).groupBy("column").agg(F.count("label").alias("n"))
+        distinct = _distinct_texts(ds).groupBy("column").agg(F.count("key").alias("n"))
         places = {c.name: i for i, c in enumerate(ds.columns)}
         position = F.element_at(F.create_map(*[F.lit(x) for kv in places.items() for x in kv]), F.col("column"))
         empty = {"min_number": "double", "max_number": "double", "avg": "double",
@@ -138,6 +138,14 @@ def label_counts(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
     return ds.df.select(F.inline(pairs)).groupBy("column", "label").agg(F.count("*").alias("count"))
 
 
+def _distinct_texts(ds: Dataset) -> DataFrame:
+    """The different values of every text column, long ones by their digest."""
+    pairs = [
+        F.struct(F.lit(c.name).alias("column"), c.distinct_key.cast("string").alias("key")) for c in ds.texts
+    ]
+    return ds.df.select(F.inline(F.array(*pairs))).distinct()
+
+
 def exact_sum(info: ColumnInfo) -> Column:
     """Sums of integers run in decimals: a long would overflow."""
     value = info.ref.cast("decimal(38,0)") if info.is_integer else info.ref
@@ -221,7 +229,7 @@ def missing_flagged(ds: Dataset) -> DataFrame:
 
 
 def _group_keys(ds: Dataset) -> list[Column]:
-    return [c.group_key.alias(f"k{i}") for i, c in enumerate(ds.columns)]
+    return [c.distinct_key.alias(f"k{i}") for i, c in enumerate(ds.columns)]
 
 
 def duplicate_count(ds: Dataset) -> DataFrame:

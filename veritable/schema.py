@@ -13,6 +13,9 @@ ROW_ID = "__rowid"
 
 NUMBER, DATE, TEXT = "number", "date", "text"
 
+# Texts from this length on are compared by digest.
+DIGEST_BYTES = 64
+
 # Name parts that mark a column as an identifier.
 IDENTIFIER_TOKENS = {"id", "uuid", "key", "index"}
 
@@ -49,6 +52,17 @@ class ColumnInfo:
             return self.ref.isNull() | (self.label == "")
         return self.ref.isNull()
 
+    @property
+    def distinct_key(self) -> Column:
+        """What stands for the value where only equality counts.
+
+        Long texts are replaced by their SHA-256 digest, so that comparing rows does not
+        shuffle whole documents. Digests have 64 characters, texts kept as they are fewer.
+        """
+        if not isinstance(self.dtype, T.StringType):
+            return self.group_key
+        return F.when(F.octet_length(self.ref) < DIGEST_BYTES, self.ref).otherwise(F.sha2(self.ref, 256))
+
     @property
     def group_key(self) -> Column:
         """The column in a form that Spark can group by (maps cannot be grouped)."""

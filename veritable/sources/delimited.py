@@ -19,19 +19,23 @@ _CLOCK_TIME = r"^\s*\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*$"
 
 
 def scan_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, row_cap: int | None = None
+    spark: SparkSession, path: str, sep: str | None = None, row_cap: int | None = None,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """A CSV or TSV file or folder with a header row; types come from all rows.
 
     Ragged rows are padded with NULLs, repeated and empty header names get a suffix. A
-    row cap loads the first rows only.
+    row cap loads the first rows only. ``multiline`` tells whether quoted fields hold
+    line breaks; by default the text is searched for them.
     """
     lines = spark.read.text(path)
     head = lines.first()
     if head is None:
         raise ValueError("no columns were found: the file is empty")
     sep = sep or guess_separator(head.value)
-    options = _READ_OPTIONS | {"sep": sep, "multiLine": _has_long_records(lines)}
+    if multiline is None:
+        multiline = _has_long_records(lines)
+    options = _READ_OPTIONS | {"sep": sep, "multiLine": multiline}
     table = _typed(lambda **extra: spark.read.csv(path, **options, **extra), head.value, sep)
     return table.limit(row_cap) if row_cap else table
 
