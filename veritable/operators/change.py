@@ -39,16 +39,22 @@ def _halves(ds: Dataset, date: str, middle: float) -> tuple[Column, Column]:
     return seconds < F.lit(middle), seconds >= F.lit(middle)
 
 
+def half_counters(ds: Dataset, date: str, middle: float) -> list[Column]:
+    before, after = _halves(ds, date, middle)
+    return [F.count_if(before).alias("first_half"), F.count_if(after).alias("second_half")]
+
+
 def half_change(ds: Dataset, date: str, dimension: str, middle: float) -> DataFrame:
     """Rows per label before and after the midpoint, in one conditional aggregate."""
-    before, after = _halves(ds, date, middle)
     labels = ds.df.where(ds.column(date).ref.isNotNull()).groupBy(
         ds.column(dimension).label.alias("label")
     )
-    counts = labels.agg(
-        F.count_if(before).alias("first_half"), F.count_if(after).alias("second_half")
-    )
-    return counts.withColumn("delta", F.col("second_half") - F.col("first_half"))
+    return with_delta(labels.agg(*half_counters(ds, date, middle)))
+
+
+def with_delta(halves: DataFrame) -> DataFrame:
+    moved = F.col("second_half") - F.col("first_half")
+    return halves.select("label", "first_half", "second_half", moved.alias("delta"))
 
 
 def _by_move() -> list[Column]:

@@ -173,13 +173,19 @@ def evidence_list(
     return [row[0] for row in evidence(ds, predicate, order, limit).collect()]
 
 
-def extremes(ds: Dataset, column: str, count: int, predicate: Column | None = None) -> DataFrame:
-    """Row ids with the lowest, then the highest values of a column."""
+def extremes(
+    ds: Dataset, column: str, count: int, predicate: Column | None = None,
+    within: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Row ids with the lowest, then the highest values of a column.
+
+    ``within`` may bound the rows of an end ("low", "high") where it is known that they
+    hold enough, so that the scan can skip the others.
+    """
     key = ds.column(column).ref
     present = key.isNotNull() if predicate is None else predicate & key.isNotNull()
-    ends = [("low", key.asc()), ("high", key.desc())]
-    parts = [
-        evidence(ds, present, order, count).select(F.lit(side).alias("side"), ROW_ID)
-        for side, order in ends
-    ]
+    parts = []
+    for side, order in (("low", key.asc()), ("high", key.desc())):
+        kept = present & within[side] if within else present
+        parts.append(evidence(ds, kept, order, count).select(F.lit(side).alias("side"), ROW_ID))
     return reduce(DataFrame.unionByName, parts)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.dataset import Dataset
@@ -92,24 +94,50 @@ def peak_month(days: DataFrame) -> DataFrame:
     return several.orderBy(F.desc("count"), "month").limit(1).drop("starts")
 
 
-def category_peak_weekday(ds: Dataset, date: str, category: str) -> DataFrame:
-    """The leading label of a column and its own busiest weekday, if clearly ahead.
+def label_weekdays(ds: Dataset, date: str, category: str, *more: Column) -> DataFrame:
+    """Dated rows per label, in total and per weekday, and any further counters.
 
-    One pass: every label is one row with seven weekday counters, so a frequent label
-    does not gather its rows anywhere.
+    One pass: every label is one row with its counters, so a frequent label does not
+    gather its rows anywhere.
     """
     moment = ds.column(date, DATE).ref
-    dated = ds.df.where(moment.isNotNull())
-    names = [d.lower() for d in WEEKDAYS]
-    counters = [F.count_if(F.weekday(moment) == i).alias(n) for i, n in enumerate(names)]
-    labels = dated.groupBy(ds.column(category).label.alias("label")).agg(
-        F.count("*").alias("label_rows"), *counters
-    )
+    counters = [
+        F.count_if(F.weekday(moment) == i).alias(day.lower()) for i, day in enumerate(WEEKDAYS)
+    ]
+    labels = ds.df.where(moment.isNotNull()).groupBy(ds.column(category).label.alias("label"))
+    return labels.agg(F.count("*").alias("label_rows"), *counters, *more)
+
+
+def leading_weekday(labels: DataFrame, category: str) -> DataFrame:
+    """The leading label and its own busiest weekday, if that is clearly ahead."""
     leader = labels.orderBy(F.desc("label_rows"), F.col("label").asc_nulls_last()).limit(1)
-    days = F.array(*[F.struct(F.lit(d).alias("weekday"), F.col(n).alias("count"))
-                     for d, n in zip(WEEKDAYS, names)])
+    days = F.array(*[
+        F.struct(F.lit(day).alias("weekday"), F.col(day.lower()).alias("count")) for day in WEEKDAYS
+    ])
     best = leader.where("label IS NOT NULL").select("label", "label_rows", F.inline(days))
     top = best.orderBy(F.desc("count"), "weekday").limit(1)
     share = F.col("count") / F.col("label_rows")
     skewed = (F.col("label_rows") >= SMALL_SAMPLE) & (share >= WEEKDAY_SKEW * EVEN_DAY)
-    return top.where(skewed).select(F.lit(category).alias("column"), "label", "label_rows", "weekday", "count")
+    shown = [F.lit(category).alias("column"), "label", "label_rows", "weekday", "count"]
+    return top.where(skewed).select(*shown)
+
+
+def category_peak_weekday(ds: Dataset, date: str, category: str) -> DataFrame:
+    """``leading_weekday`` of a text column."""
+    return leading_weekday(label_weekdays(ds, date, category), category)
+
+
+def edge_days(days: DataFrame, count: int) -> tuple[datetime, datetime] | None:
+    """The last of the first days, and the first of the last days, that hold ``count`` rows."""
+    ordered = days.orderBy("day").collect()
+    if not ordered:
+        return None
+    ends = []
+    for walk in (ordered, ordered[::-1]):
+        seen = 0
+        for row in walk:
+            seen += row["count"]
+            if seen >= count:
+                break
+        ends.append(row.day)
+    return ends[0], ends[1]

@@ -112,6 +112,11 @@ def guarded(facts: Facts, title: str, category: str, build: Section) -> list:
         ).collect()
 
 
+def prepared(facts: Facts) -> DataFrame:
+    facts.prepare()
+    return small_table(facts.spark, [], FINDING_SCHEMA)
+
+
 def section_findings(facts: Facts) -> DataFrame:
     """Executive summary and all sections, unranked, in report order."""
     ds = facts.ds
@@ -123,10 +128,14 @@ def section_findings(facts: Facts) -> DataFrame:
             check_next="Remove or loosen a filter.",
         ).collect()
     else:
-        # sections only wait for Spark; side by side their small jobs fill the cluster
-        with ThreadPoolExecutor(max_workers=PARALLEL_SECTIONS) as pool:
-            results = pool.map(lambda section: guarded(facts, *section), SECTIONS)
-        rows = [row for result in results for row in result]
+        try:
+            guarded(facts, "Shared counts", "executive_summary", prepared)
+            # sections only wait for Spark; side by side their small jobs fill the cluster
+            with ThreadPoolExecutor(max_workers=PARALLEL_SECTIONS) as pool:
+                results = pool.map(lambda section: guarded(facts, *section), SECTIONS)
+            rows = [row for result in results for row in result]
+        finally:
+            facts.release()
     numbered = [(ds.name, 100 * (i + 1), *row[2:]) for i, row in enumerate(rows)]
     return small_table(facts.spark, numbered, FINDING_SCHEMA)
 
