@@ -123,3 +123,12 @@ def test_data_quality(messy):
 def test_schema_classes(messy):
     found = [(r.name, r.type, r.is_integer, r.row_count) for r in profile.schema_classes(messy).collect()]
     assert found == [("n", "number", True, 4), ("s", "text", False, 4), ("x", "number", False, 4), ("d", "date", False, 4)]
+
+
+def test_a_unique_column_rules_out_duplicates(make):
+    unique = make([(i, "same") for i in range(50)], "n int, s string")
+    nearly = make([(min(i, 48), "same") for i in range(50)], "n int, s string")
+    for ds, want in ((unique, 0), (nearly, 1)):
+        base = profile.aggregate_once(ds, profile.missing_measures(ds), profile.identifier_measures(ds))
+        assert profile.has_unique_column(ds, base) == (want == 0)
+        assert profile.data_quality(ds).first().duplicate_rows == want

@@ -19,11 +19,11 @@ _QUARTILE_SCHEMA = "position int, column string, q1 double, q3 double, values lo
 
 
 def quartiles(
-    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, rows: int | None = None
+    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, filled: list[int] | None = None
 ) -> DataFrame:
     """Exact first and third quartile (linear interpolation) of each column.
 
-    ``rows`` is the size of the dataset where it is known already; it saves a count.
+    ``filled`` holds the non-null rows of the columns where they are known already.
 
     Up to ``buffer_rows`` values, Spark's exact ``percentile`` holds a column in one
     buffer; larger columns go through ranked selection, which is exact as well.
@@ -31,9 +31,7 @@ def quartiles(
     spark = ds.df.sparkSession
     if not columns:
         return spark.createDataFrame([], _QUARTILE_SCHEMA)
-    if rows is not None and rows <= buffer_rows:
-        return _quartiles_in_buffer(ds, columns)
-    counts = ds.df.agg(*[F.count(c.ref) for c in columns]).first()
+    counts = filled or ds.df.agg(*[F.count(c.ref) for c in columns]).first()
     if max(counts) <= buffer_rows:
         return _quartiles_in_buffer(ds, columns)
     shares = (0.25, 0.75)
@@ -76,12 +74,12 @@ def outside(value: Column, low: Column, high: Column) -> Column:
 
 
 def outlier_stats(
-    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, rows: int | None = None
+    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, filled: list[int] | None = None
 ) -> DataFrame:
     """Values outside the fences of each column with a positive IQR, in one scan."""
     fences = [
         (row, row.q3 - row.q1)
-        for row in quartiles(ds, columns, buffer_rows, rows).collect()
+        for row in quartiles(ds, columns, buffer_rows, filled).collect()
         if row.q1 is not None and row.q3 - row.q1 > 0
     ]
     aggregates, records = {}, []
@@ -116,8 +114,8 @@ def outlier_stats(
 
 
 def outlier_top_columns(
-    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, rows: int | None = None
+    ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, filled: list[int] | None = None
 ) -> DataFrame:
     """The three columns with the largest share of outliers."""
-    stats = outlier_stats(ds, columns, buffer_rows, rows).where("outliers > 0")
+    stats = outlier_stats(ds, columns, buffer_rows, filled).where("outliers > 0")
     return stats.orderBy(F.desc("fraction"), "position").limit(REPORTED_COLUMNS)

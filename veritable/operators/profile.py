@@ -269,7 +269,8 @@ def duplicate_examples(ds: Dataset, rows: int) -> DataFrame:
 def data_quality(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
     """Shape of the table, duplicates, mean blank share and the small-sample warning."""
     if base is None:
-        base = aggregate_once(ds, missing_measures(ds))
+        base = aggregate_once(ds, missing_measures(ds), identifier_measures(ds))
+    copies = F.lit(0).cast("long") if has_unique_column(ds, base) else duplicate_count(ds).scalar()
     shares = [record["missing_fraction"] for record in missing_measures(ds).records]
     mean = sum(shares[1:], shares[0]) / len(shares)
     return base.select(
@@ -278,7 +279,7 @@ def data_quality(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
         F.lit(len(ds.numbers)).alias("numeric_columns"),
         F.lit(len(ds.dates)).alias("date_columns"),
         F.lit(len(ds.texts)).alias("text_columns"),
-        duplicate_count(ds).scalar().alias("duplicate_rows"),
+        copies.alias("duplicate_rows"),
         F.round(mean, 6).alias("mean_missing"),
         (F.col("total") < SMALL_SAMPLE).alias("small_sample"),
     )
@@ -318,59 +319,71 @@ def monotonic_violations(ds: Dataset, column: str, block_rows: int = BLOCK_ROWS)
     )
 
 
-def _probes(ds: Dataset) -> list[ColumnInfo]:
-    """Integer columns that may be identifiers by their values."""
-    return [c for c in ds.numbers if c.is_integer and not named_like_identifier(c.name)]
+def _integers(ds: Dataset) -> list[ColumnInfo]:
+    return [c for c in ds.numbers if c.is_integer]
 
 
 def identifier_measures(ds: Dataset) -> Measures:
     """Rows, and the filled rows and bounds of the integer columns."""
     aggregates = {"total": F.count("*")}
-    for i, c in enumerate(_probes(ds)):
+    for i, c in enumerate(_integers(ds)):
         aggregates |= {f"filled{i}": F.count(c.ref), f"low{i}": F.min(c.ref), f"high{i}": F.max(c.ref)}
     return Measures(aggregates, [])
 
 
+def _distinct_counts(ds: Dataset, seen: Row, needed: dict[int, float]) -> dict[int, int]:
+    """Exact distinct counts of the integer columns that may reach what they need.
+
+    The span of the integers bounds how many values there can be, which settles most
+    columns; a sketch settles most others; only what is left pays for an exact count.
+    """
+    columns = _integers(ds)
+    near = [
+        i for i, enough in needed.items()
+        if seen[f"filled{i}"] and seen[f"high{i}"] - seen[f"low{i}"] + 1 >= enough
+    ]
+    if not near:
+        return {}
+    estimates = ds.df.agg(*[F.approx_count_distinct(columns[i].ref) for i in near]).first()
+    return {
+        i: ds.df.agg(F.count_distinct(columns[i].ref)).first()[0]
+        for i, estimate in zip(near, estimates)
+        if estimate >= CANDIDATE_SHARE * needed[i]
+    }
+
+
 def identifier_columns(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
-    """Numeric columns that name rows rather than measure something, with the reason."""
+    """Numeric columns that name rows rather than measure something, with the reason.
+
+    They are named like one, or are integers that are (almost) all different or that
+    increase with the row id.
+    """
     found = [(c.name, "name") for c in ds.numbers if named_like_identifier(c.name)]
-    probes = _probes(ds)
+    probes = {i: c for i, c in enumerate(_integers(ds)) if not named_like_identifier(c.name)}
     if probes:
-        if base is None:
-            base = aggregate_once(ds, identifier_measures(ds))
-        found += _identifiers_by_shape(ds, probes, base.first())
+        seen = (aggregate_once(ds, identifier_measures(ds)) if base is None else base).first()
+        unique = UNIQUE_SHARE * seen.total
+        counts = _distinct_counts(ds, seen, {i: min(unique, seen[f"filled{i}"]) for i in probes})
+        for i, distinct in counts.items():
+            name, filled = probes[i].name, seen[f"filled{i}"]
+            if distinct >= unique:
+                found.append((name, "unique"))
+            elif filled >= 2 and distinct == filled:
+                if monotonic_violations(ds, name).first().violations == 0:
+                    found.append((name, "increasing"))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("column", "reason")])
     return small_table(ds.df.sparkSession, found, schema)
 
 
-def _identifiers_by_shape(ds: Dataset, probes: list[ColumnInfo], seen: Row) -> list[tuple[str, str]]:
-    """Integer columns that are unique, or that increase with the row id.
+def has_unique_column(ds: Dataset, base: DataFrame) -> bool:
+    """Whether an integer column differs in all rows, so that no two rows can be equal.
 
-    Both need many different values. The span of the integers bounds how many there can
-    be, which settles most columns; a sketch settles most others; only what is left pays
-    for an exact distinct count.
+    Counting one column's values is far cheaper than grouping whole rows.
     """
-    needed = {}
-    for i, c in enumerate(probes):
-        filled = seen[f"filled{i}"]
-        enough = min(UNIQUE_SHARE * seen.total, filled)
-        if filled and seen[f"high{i}"] - seen[f"low{i}"] + 1 >= enough:
-            needed[i, c] = enough
-    if not needed:
-        return []
-    estimates = ds.df.agg(*[F.approx_count_distinct(c.ref) for _, c in needed]).first()
-    found = []
-    for (i, c), estimate in zip(needed, estimates):
-        if estimate < CANDIDATE_SHARE * needed[i, c]:
-            continue
-        filled = seen[f"filled{i}"]
-        distinct = ds.df.agg(F.count_distinct(c.ref)).first()[0]
-        if distinct >= UNIQUE_SHARE * seen.total:
-            found.append((c.name, "unique"))
-        elif filled >= 2 and distinct == filled:
-            if monotonic_violations(ds, c.name).first().violations == 0:
-                found.append((c.name, "increasing"))
-    return found
+    seen = base.first()
+    full = [i for i, _ in enumerate(_integers(ds)) if seen[f"filled{i}"] == seen.total > 0]
+    counts = _distinct_counts(ds, seen, dict.fromkeys(full[:1], seen.total))
+    return seen.total in counts.values()
 
 
 def measure_columns(ds: Dataset, base: DataFrame | None = None) -> list[ColumnInfo]:
