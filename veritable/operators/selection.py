@@ -10,6 +10,8 @@ pivots; the counts decide, so the result is exact.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,29 +61,37 @@ class _Interval:
         return replace(self, low=pivot, below=upto, rows=self.below + self.rows - upto)
 
 
+def _is_text(df: DataFrame, key: Column) -> bool:
+    return isinstance(df.select(key).schema[0].dataType, T.StringType)
+
+
 def _pivots(df: DataFrame, intervals: dict[tuple, tuple[_Interval, list[int]]]) -> list[list[Any]]:
     """Values around each wanted rank, from a sample of every interval, in one scan.
 
     The draw hashes the row id, so a task that is run again picks the same rows.
     """
+    spots = list(intervals.values())
+    sizes = [TEXT_SAMPLE_ROWS if _is_text(df, spot.key) else SAMPLE_ROWS for spot, _ in spots]
+    rates = [min(1.0, size / spot.rows) for size, (spot, _) in zip(sizes, spots)]
+    seed = sum(spot.rows for spot, _ in spots)
+    draw = F.shiftrightunsigned(F.xxhash64(ROW_ID, F.lit(seed)), 33)
+    # rows that no interval draws are dropped before the aggregate sees them
+    rows = df.where(draw < F.lit(max(rates) * 2.0**31))
     picks, places = [], []
-    for i, (interval, ranks) in enumerate(intervals.values()):
-        is_text = isinstance(df.select(interval.key).schema[0].dataType, T.StringType)
-        size = TEXT_SAMPLE_ROWS if is_text else SAMPLE_ROWS
-        rate = min(1.0, size / interval.rows)
-        margin = 0.001 + 2.0 / min(size, interval.rows) ** 0.5
-        ends = [interval.share(r) + side for r in ranks for side in (-margin, margin)]
+    for i, ((spot, ranks), size, rate) in enumerate(zip(spots, sizes, rates)):
+        margin = 0.001 + 2.0 / min(size, spot.rows) ** 0.5
+        ends = [spot.share(r) + side for r in ranks for side in (-margin, margin)]
         shares = [min(1.0, max(0.0, end)) for end in ends]
-        draw = F.shiftrightunsigned(F.xxhash64(ROW_ID, F.lit(interval.rows + i)), 33)
-        sampled = F.when(interval.holds() & (draw < F.lit(rate * 2.0**31)), interval.key)
+        sampled = F.when(spot.holds() & (draw < F.lit(rate * 2.0**31)), spot.key)
         # there is no approximate percentile of text; its sample is small enough to sort
+        is_text = size == TEXT_SAMPLE_ROWS
         pick = (
             F.sort_array(F.collect_list(sampled)) if is_text
             else F.percentile_approx(sampled, F.array(*map(F.lit, shares)), 1_000)
         )
         picks.append(pick.alias(f"p{i}"))
         places.append(shares if is_text else None)
-    found = [list(values or []) for values in df.agg(*picks).first()]
+    found = [list(values or []) for values in rows.agg(*picks).first()]
     return [
         values if shares is None else [values[int(s * (len(values) - 1))] for s in shares if values]
         for values, shares in zip(found, places)
@@ -137,7 +147,8 @@ def order_statistics(
             F.when(s.holds(), F.struct(F.lit(i).alias("place"), s.key.alias("value")))
             for i, s in enumerate(rest.values())
         ]
-        kept = df.select(F.inline(F.array_compact(F.array(*hits))))
+        near = reduce(or_, [s.holds() for s in rest.values()])
+        kept = df.where(near).select(F.inline(F.array_compact(F.array(*hits))))
         counts = kept.groupBy("place", "value").agg(F.count("*").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("place").orderBy("value"))
         goals = [

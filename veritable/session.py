@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 from typing import Any
 
 import pyarrow as pa
@@ -28,15 +29,17 @@ def build_session(app: str = "veritable", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="veritable-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where that setting is missing (local tests) a temporary folder is taken.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="veritable-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
     return f"{root.rstrip('/')}/veritable/{name}-{uuid.uuid4().hex}"
 
 
