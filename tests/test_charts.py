@@ -85,6 +85,17 @@ def test_compare_snapshot(table):
     assert [r.value for r in series] == [3.0, 4.0, 5.0]
 
 
+def test_snapshot_has_what_is_asked_for(table):
+    whole = compare.snapshot(table, "sum", "v", date="ts", dimension="k", interval="day")
+    assert (whole.interval, whole.series.count(), whole.drivers.count()) == ("day", 3, 3)
+    total_only = compare.snapshot(table)
+    assert total_only.total.first().total == 5.0
+    assert total_only.interval is total_only.series is total_only.drivers is None
+    for wrong in ({"agg": "sum"}, {"agg": "median"}, {"date": "k"}, {"dimension": "zzz"}):
+        with pytest.raises(ValueError):
+            compare.snapshot(table, **wrong)
+
+
 def test_compare_delta_of_two_slices(table):
     base = table.slice([{"col": "v", "op": "lte", "value": 2}])
     found = {r.label: tuple(r)[1:] for r in compare.compare_delta(base, table, "k").collect()}

@@ -52,6 +52,9 @@ def test_deep_page_in_a_hot_value(make):
 def test_lookup_keeps_order_and_repeats(table):
     found = rows.rows_by_id(table, [6, 2, 99, 6, 0])
     assert order(found) == [6, 2, 6, 0]
+    assert order(rows.rows_by_id(table, "6, 2,,0")) == [6, 2, 0]
+    with pytest.raises(ValueError):
+        rows.rows_by_id(table, "1,x")
     assert rows.rows_by_id(table, []).count() == 0
     assert rows.rows_by_id(table, list(range(8)) * 30).count() == rows.MAX_LOOKUP
 

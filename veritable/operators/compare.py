@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,29 @@ def compare_series(
     return series.orderBy(F.col("bucket").asc_nulls_last())
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """One slice in figures: total, values over time, values by label."""
+
+    total: DataFrame
+    interval: str | None
+    series: DataFrame | None
+    drivers: DataFrame | None
+
+
+def snapshot(
+    ds: Dataset, agg: str = "count", metric: str | None = None, date: str | None = None,
+    dimension: str | None = None, interval: str | None = None,
+) -> Snapshot:
+    """All figures of a slice; series and drivers only for the columns that are given."""
+    chosen = pick_interval(ds, date, interval) if date else None
+    return Snapshot(
+        compare_total(ds, agg, metric), chosen,
+        compare_series(ds, date, agg, metric, chosen) if date else None,
+        compare_drivers(ds, dimension, agg, metric) if dimension else None,
+    )
+
+
 def _by_label(ds: Dataset, dimension: str, agg: str, metric: str | None) -> DataFrame:
     label = ds.column(dimension).label.alias("label")
     return ds.df.groupBy(label).agg(_metric(ds, agg, metric).alias("value"))

@@ -141,8 +141,13 @@ def _fetch(ds: Dataset, ids: list[int]) -> DataFrame:
     return ds.df.where(with_ids(ids)).join(F.broadcast(lookup), ROW_ID)
 
 
-def rows_by_id(ds: Dataset, ids: list[int]) -> DataFrame:
-    """Rows in the order asked for; repeats are kept, unknown ids are left out."""
+def rows_by_id(ds: Dataset, ids: list[int] | str) -> DataFrame:
+    """Rows in the order asked for; repeats are kept, unknown ids are left out.
+
+    ``ids`` may be text with commas between the ids.
+    """
+    if isinstance(ids, str):
+        ids = [int(part) for part in ids.split(",") if part.strip()]
     return _fetch(ds, [int(i) for i in ids[:MAX_LOOKUP]]).orderBy("pos")
 
 

@@ -55,6 +55,12 @@ class Report:
     questions: DataFrame
     column_types: dict[str, str]
 
+    @staticmethod
+    def _sample_message(rows: int) -> str:
+        if rows < SMALL_SAMPLE:
+            return f"There are {rows} rows, fewer than {SMALL_SAMPLE}: take every finding as a hint."
+        return f"{rows} rows are enough for these checks."
+
     def as_dict(self) -> dict[str, Any]:
         quality = self.quality.first()
         span = self.date_range.first()
@@ -86,7 +92,7 @@ class Report:
                 "duplicate_example_rows": examples,
                 "small_sample_warning": {
                     "triggered": quality.small_sample, "row_count": quality.rows,
-                    "threshold": SMALL_SAMPLE,
+                    "threshold": SMALL_SAMPLE, "message": self._sample_message(quality.rows),
                 },
             },
             "insights": insights,
