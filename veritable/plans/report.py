@@ -26,13 +26,15 @@ log = logging.getLogger(__name__)
 
 Section = Callable[[Facts], DataFrame]
 
-PARALLEL_SECTIONS = 4
+PARALLEL_SECTIONS = 8
 
 # In report order: title, category, builder.
 SECTIONS: list[tuple[str, str, Section]] = [
     ("Executive summary", "executive_summary", sections.executive),
     ("Missing data", "missing_data", sections.missing_data),
-    ("Hidden patterns", "hidden_patterns", sections.hidden_patterns),
+    ("Concentration", "hidden_patterns", sections.dominant_labels),
+    ("Trend", "hidden_patterns", sections.trend),
+    ("Time pattern", "hidden_patterns", sections.time_pattern),
     ("Correlations", "correlations", sections.correlations),
     ("Anomalies", "anomalies", sections.anomalies),
     ("What changed most", "what_changed_most", sections.what_changed),
@@ -111,7 +113,7 @@ def guarded(facts: Facts, title: str, category: str, build: Section) -> list:
     except Exception as exc:  # any failure of one section must leave the others standing
         log.warning("section %s failed: %r", title, exc)
         return limitation(
-            one_row(facts.spark, failed=True), id=f"{category}_unavailable",
+            one_row(facts.spark, failed=True), id=f"{title.lower().replace(' ', '_')}_unavailable",
             title=f"{title}: not available", category=category, topic="limitation",
             plain=f"This check could not be computed ({type(exc).__name__}), so it makes no claim.",
             evidence_columns=names(facts.ds.names), check_next="Try again, or try a smaller slice.",
