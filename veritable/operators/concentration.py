@@ -7,26 +7,51 @@ from pyspark.sql import functions as F
 
 from veritable.dataset import Dataset
 from veritable.operators.profile import label_counts
+from veritable.schema import ColumnInfo
 
 CONCENTRATION_FLAG = 0.40
 REPORTED_COLUMNS = 2
 
+# Tables above this size first rule out columns by hash buckets.
+PRUNE_ROWS = 1_000_000
+BUCKETS = 1_024
+
 _SCHEMA = (
     "column string, label string, count long, total long, share double, distinct_values long, "
     "runner_up string, runner_up_count long, runner_up_share double"
 )
 
 
-def concentration(ds: Dataset) -> DataFrame:
+def candidate_columns(ds: Dataset) -> list[ColumnInfo]:
+    """Text columns that may have a label with at least 40 % of the rows.
+
+    Such a label brings its share to the hash bucket it falls into, so a column whose
+    fullest bucket stays below cannot have one. This costs a scan and a tiny shuffle, and
+    spares counting every label of columns like names or free text.
+    """
+    if not ds.texts:
+        return []
+    slot = [
+        F.struct(F.lit(c.name).alias("column"), F.pmod(F.xxhash64(c.label), F.lit(BUCKETS)).alias("bucket"))
+        for c in ds.texts
+    ]
+    buckets = ds.df.select(F.inline(F.array(*slot))).groupBy("column", "bucket").agg(F.count("*").alias("n"))
+    fullest = buckets.groupBy("column").agg((F.max("n") / F.sum("n")).alias("share"))
+    names = {row.column for row in fullest.where(F.col("share") >= CONCENTRATION_FLAG).collect()}
+    return [c for c in ds.texts if c.name in names]
+
+
+def concentration(ds: Dataset, columns: list[ColumnInfo] | None = None) -> DataFrame:
     """Per text column: the modal label, its share of all rows, and the runner-up.
 
     Columns whose modal label is NULL are left out. One scan counts the labels of all
     columns; the top three per column are ranked map-side first (WindowGroupLimit), so
     no task sees all labels of a column.
     """
-    if not ds.texts:
+    columns = ds.texts if columns is None else columns
+    if not columns:
         return ds.df.sparkSession.createDataFrame([], _SCHEMA)
-    counts = label_counts(ds, ds.texts)
+    counts = label_counts(ds, columns)
     order = [F.desc("count"), F.col("label").asc_nulls_last()]
     place = F.row_number().over(Window.partitionBy("column").orderBy(*order))
     top = counts.withColumn("place", place).where("place <= 3")
@@ -50,9 +75,9 @@ def concentration(ds: Dataset) -> DataFrame:
     )
 
 
-def _reported(ds: Dataset) -> DataFrame:
+def _reported(ds: Dataset, columns: list[ColumnInfo] | None = None) -> DataFrame:
     """The two most concentrated columns; later names win ties."""
-    return concentration(ds).orderBy(F.desc("share"), F.desc("column")).limit(REPORTED_COLUMNS)
+    return concentration(ds, columns).orderBy(F.desc("share"), F.desc("column")).limit(REPORTED_COLUMNS)
 
 
 def concentration_flagged(ds: Dataset) -> DataFrame:
@@ -67,7 +92,12 @@ def single_value_columns(ds: Dataset) -> DataFrame:
     return constant.select("column", F.col("label").alias("only_value"), "count", "distinct_values")
 
 
-def reported(ds: Dataset) -> DataFrame:
-    """Flagged and single-value columns in report order."""
+def reported(ds: Dataset, rows: int = 0) -> DataFrame:
+    """Flagged and single-value columns in report order.
+
+    In a large table (``rows`` tells its size) columns are ruled out first. A column with
+    one value only has at least half of the rows in it, so none of these is lost.
+    """
+    columns = candidate_columns(ds) if rows > PRUNE_ROWS else None
     kept = (F.col("distinct_values") <= 1) | (F.col("share") >= CONCENTRATION_FLAG)
-    return _reported(ds).where(kept).orderBy(F.desc("share"), F.desc("column"))
+    return _reported(ds, columns).where(kept).orderBy(F.desc("share"), F.desc("column"))
