@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veritable.llm import exact_topk, quality_rules
+from veritable.llm import byte_bpe, exact_topk, packing, quality_rules
 from veritable.llm.registry import query, table
 
 QUALITY_SQL = r"""
@@ -51,3 +52,14 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op3_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = exact_topk.whole_vectors(table(spark, folder, "embeddings"))
     return exact_topk.top_k(vectors, vectors.filter(vectors["id"] % 100 == 0))
+
+
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op8_cost_packing")
+def op8_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
