@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veritable.llm import byte_bpe, exact_topk, packing, quality_rules
+from veritable.llm import byte_bpe, exact_topk, license_scan, packing, quality_rules
 from veritable.llm.registry import query, table
 
 QUALITY_SQL = r"""
@@ -63,3 +63,8 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_cost_packing")
 def op8_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
