@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veritable.llm import byte_bpe, exact_topk, license_scan, packing, quality_rules
+from veritable.llm import byte_bpe, exact_topk, jaccard_join, license_scan, packing, quality_rules, suffix_dedup
 from veritable.llm.registry import query, table
 
 QUALITY_SQL = r"""
@@ -68,3 +68,13 @@ def op8_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_license_scan")
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(table(spark, folder, "documents"))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, folder, "documents"))
