@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veritable.llm import byte_bpe, exact_topk, jaccard_join, license_scan, packing, quality_rules, suffix_dedup
+from veritable.llm import byte_bpe, exact_topk, jaccard_join, language_mixture, license_scan, packing, quality_rules, suffix_dedup
 from veritable.llm.registry import query, table
 
 QUALITY_SQL = r"""
@@ -78,3 +78,8 @@ def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, folder, "documents"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_mixture.predict(table(spark, folder, "documents"))
