@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritable.llm import byte_bpe, exact_topk, jaccard_join, language_mixture, license_scan, packing, quality_rules, suffix_dedup
+from veritable.llm import (
+    byte_bpe, exact_topk, html_extraction, jaccard_join, language_mixture, license_scan, merkle_fixity, packing, quality_rules, suffix_dedup,
+)
 from veritable.llm.registry import query, table
+from veritable.llm.shared import stored
 
 QUALITY_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -83,3 +87,44 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_mixture.predict(table(spark, folder, "documents"))
+
+
+def _damaged(records: DataFrame) -> DataFrame:
+    """A replica with planted faults: by the digest of the address, records lost, cut short, or changed."""
+    mark = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 2)
+    text = F.col("record").cast("string")
+    return records.filter(mark != "00").withColumn("record", (
+        F.when(mark == "01", F.expr("left(cast(record AS string), length(cast(record AS string)) - 9)"))
+        .when(mark == "02", F.concat(F.expr("left(cast(record AS string), length(cast(record AS string)) - 5)"), F.lit("?\r\n\r\n")))
+        .otherwise(text)).cast("binary")).withColumn("length", F.octet_length("record").cast("long"))
+
+
+FIXITY_SQL = r"""
+WITH r AS (
+  SELECT page_id, coalesce(url, '') AS u, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+         || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record, url FROM pages),
+m AS (SELECT *, left(md5(u), 2) AS mark FROM r),
+d AS (SELECT page_id, url, record, mark,
+             CASE mark WHEN '01' THEN left(record, length(record) - 9)
+                       WHEN '02' THEN left(record, length(record) - 5) || '?' || chr(13) || chr(10) || chr(13) || chr(10)
+                       WHEN '00' THEN NULL ELSE record END AS found FROM m)
+SELECT page_id, url, CASE WHEN found IS NULL THEN 'missing' ELSE 'changed' END AS status,
+       CAST(strlen(record) AS BIGINT) AS length, CAST(strlen(found) AS BIGINT) AS found_length,
+       sha256(record) AS digest, sha256(found) AS found_digest
+FROM d WHERE found IS NULL OR found <> record
+"""
+
+
+@query("op9_merkle_fixity", FIXITY_SQL)
+def op9_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as archives, against a replica with planted faults: every record that differs."""
+    records = stored(merkle_fixity.archive(table(spark, folder, "pages"), ["page_id", "url"]), "fixity-records")
+    found = merkle_fixity.audit(records, _damaged(records), ["page_id", "url"])
+    return found.select("page_id", "url", "status", "length", "found_length", "digest", "found_digest")
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(table(spark, folder, "pages"))
