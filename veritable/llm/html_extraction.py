@@ -31,12 +31,12 @@ from veritable.llm.html_blocks import BLOCK, Block, blocks
 from veritable.llm.shared import slices
 
 SAMPLE_PAGES = 200
-TRAIN_PAGES = 1500
-PATH_FEATURES = 768
+TRAIN_PAGES = 1400
+PATH_FEATURES = 2048
 WORD_FEATURES = 128
 FIGURES = 8
 HIDDEN = 24
-EPOCHS = 14
+EPOCHS = 12
 BATCH_PAGES = 32
 _CELLS = 40_000
 
@@ -76,12 +76,23 @@ def features(page: Sequence[Block]) -> tuple[list[tuple[int, ...]], np.ndarray]:
     return [_path_slots(b.path) for b in page], np.concatenate([bag.astype(np.float32), figures], axis=1)
 
 
+class Batch:
+    """Pages padded to the longest: which cells are blocks, their distinct paths, and their other features."""
+
+    def __init__(self, pages: list[tuple]) -> None:
+        sizes = np.array([len(paths) for paths, _ in pages])
+        self.mask = np.arange(sizes.max()) < sizes[:, None]
+        self.known: dict[tuple, int] = {}
+        self.which = np.array([self.known.setdefault(path, len(self.known)) for paths, _ in pages for path in paths])
+        self.dense = np.concatenate([dense for _, dense in pages])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Labeller:
-    """Two LSTMs over a page's blocks, one in each direction, and a logistic output."""
+    """Two LSTMs over a page's blocks, one in each direction, and a logistic output on their states and the block itself."""
 
     def __init__(self, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
@@ -94,6 +105,7 @@ class Labeller:
             bias[HIDDEN : 2 * HIDDEN] = 1
             self.weights[f"b{side}"] = bias
         self.weights["o"] = (rng.normal(size=2 * HIDDEN) * 0.1).astype(np.float32)
+        self.weights["s"] = np.zeros(inputs, np.float32)
         self.weights["d"] = np.zeros(1, np.float32)
 
     def _run(self, side: str, given: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
@@ -113,32 +125,41 @@ class Labeller:
             out[:, t] = h
         return out, tape
 
-    def _given(self, side: str, pages: list[tuple], mask: np.ndarray) -> np.ndarray:
+    def _given(self, side: str, batch: Batch) -> np.ndarray:
         """Input of each block: its path's weights, summed once for each distinct path, and its words' and figures'."""
         weights = self.weights[f"x{side}"]
-        known: dict[tuple, int] = {}
-        which = np.array([known.setdefault(path, len(known)) for paths, _ in pages for path in paths])
-        summed = np.stack([weights[list(path)].sum(axis=0) for path in known])
-        out = np.zeros((*mask.shape, 4 * HIDDEN), np.float32)
-        out[mask] = summed[which] + np.concatenate([dense for _, dense in pages]) @ weights[PATH_FEATURES:] + self.weights[f"b{side}"]
+        summed = np.stack([weights[list(path)].sum(axis=0) for path in batch.known])
+        out = np.zeros((*batch.mask.shape, 4 * HIDDEN), np.float32)
+        out[batch.mask] = summed[batch.which] + batch.dense @ weights[PATH_FEATURES:] + self.weights[f"b{side}"]
         return out
 
     def scores(self, pages: list[tuple]) -> np.ndarray:
         """How sure each block of each page is main text; zero-padded beyond a page's end."""
-        sizes = np.array([len(paths) for paths, _ in pages])
-        mask = np.arange(sizes.max()) < sizes[:, None]
-        states = np.concatenate([self._run(side, self._given(side, pages, mask), mask)[0] for side in "fb"], axis=2)
-        return _sigmoid(states @ self.weights["o"] + self.weights["d"])
-
-    def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        forward, tape_f = self._run("f", x @ self.weights["xf"] + self.weights["bf"], mask)
-        backward, tape_b = self._run("b", x @ self.weights["xb"] + self.weights["bb"], mask)
+        batch = Batch(pages)
+        states = np.concatenate([self._run(side, self._given(side, batch), batch.mask)[0] for side in "fb"], axis=2)
+        return self._sure(batch, states)
+
+    def _sure(self, batch: Batch, states: np.ndarray) -> np.ndarray:
+        own = np.zeros(batch.mask.shape, np.float32)
+        direct = self.weights["s"]
+        of_path = np.array([direct[list(path)].sum() for path in batch.known], np.float32)
+        own[batch.mask] = of_path[batch.which] + batch.dense @ direct[PATH_FEATURES:]
+        return _sigmoid(states @ self.weights["o"] + own + self.weights["d"])
+
+    def gradient(self, batch: Batch, y: np.ndarray) -> dict[str, np.ndarray]:
+        mask = batch.mask
+        forward, tape_f = self._run("f", self._given("f", batch), mask)
+        backward, tape_b = self._run("b", self._given("b", batch), mask)
         states = np.concatenate([forward, backward], axis=2)
-        error = (_sigmoid(states @ self.weights["o"] + self.weights["d"]) - y) * mask / mask.sum()
-        grads = {"o": np.tensordot(error, states, ((0, 1), (0, 1))), "d": error.sum(keepdims=True).reshape(1)}
+        error = (self._sure(batch, states) - y) * mask / mask.sum()
+        direct = np.zeros_like(self.weights["s"])
+        for path, grad in zip(batch.known, np.bincount(batch.which, weights=error[mask], minlength=len(batch.known))):
+            direct[list(path)] += grad
+        direct[PATH_FEATURES:] = error[mask] @ batch.dense
+        grads = {"s": direct, "o": np.tensordot(error, states, ((0, 1), (0, 1))), "d": error.sum(keepdims=True).reshape(1)}
         back = error[:, :, None] * self.weights["o"]
         for side, tape, outer in (("f", tape_f, back[:, :, :HIDDEN]), ("b", tape_b, back[:, :, HIDDEN:])):
-            into = np.zeros((x.shape[0], x.shape[1], 4 * HIDDEN), np.float32)
+            into = np.zeros((*mask.shape, 4 * HIDDEN), np.float32)
             dh, dc = np.zeros_like(tape[0][1]), np.zeros_like(tape[0][1])
             recurrent = np.zeros_like(self.weights[f"h{side}"])
             for t, h, c, i, f, o, g, reach, m in reversed(tape):
@@ -150,8 +171,14 @@ class Labeller:
                 recurrent += h.T @ dz
                 dh = np.where(m, 0, dh) + dz @ self.weights[f"h{side}"].T
                 dc = np.where(m, own_c * f, dc)
-            flat = into.reshape(-1, 4 * HIDDEN)
-            grads[f"x{side}"] = x.reshape(-1, x.shape[2]).T @ flat
+            flat = into[mask]
+            of_path = np.zeros((len(batch.known), 4 * HIDDEN), np.float32)
+            np.add.at(of_path, batch.which, flat)
+            inputs = np.zeros_like(self.weights[f"x{side}"])
+            for path, grad in zip(batch.known, of_path):
+                inputs[list(path)] += grad
+            inputs[PATH_FEATURES:] = batch.dense.T @ flat
+            grads[f"x{side}"] = inputs
             grads[f"h{side}"], grads[f"b{side}"] = recurrent, flat.sum(axis=0)
         return grads
 
@@ -164,14 +191,14 @@ class Labeller:
         pages = sorted(pages, key=lambda p: len(p[1]))
         groups = [pages[k : k + BATCH_PAGES] for k in range(0, len(pages), BATCH_PAGES)]
         for epoch in range(epochs):
-            rate = 0.01 * (1 - 0.8 * epoch / epochs)
+            rate = 0.015 * (1 - 0.8 * epoch / epochs)
             for k in rng.permutation(len(groups)):
-                x, mask = padded([p[0] for p in groups[k]])
-                y = np.zeros(mask.shape, np.float32)
+                batch = Batch([p[0] for p in groups[k]])
+                y = np.zeros(batch.mask.shape, np.float32)
                 for row, (_, labels) in enumerate(groups[k]):
                     y[row, : len(labels)] = labels
                 step += 1
-                for name, grad in self.gradient(x, mask, y).items():
+                for name, grad in self.gradient(batch, y).items():
                     first[name] = 0.9 * first[name] + 0.1 * grad
                     second[name] = 0.99 * second[name] + 0.01 * grad**2
                     self.weights[name] = (self.weights[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
@@ -192,18 +219,6 @@ class Labeller:
         return out
 
 
-def padded(pages: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Full input vectors of a batch of pages, and which of them are blocks."""
-    steps = max(len(paths) for paths, _ in pages)
-    x = np.zeros((len(pages), steps, PATH_FEATURES + WORD_FEATURES + FIGURES), np.float32)
-    mask = np.zeros((len(pages), steps), bool)
-    for k, (paths, dense) in enumerate(pages):
-        x[k, : len(paths), PATH_FEATURES:], mask[k, : len(paths)] = dense, True
-        for t, path in enumerate(paths):
-            x[k, t, list(path)] = 1
-    return x, mask
-
-
 # Names that sites give to parts of a page, for the composed layouts.
 PARTS = {
     "menu": ("nav menu navbar breadcrumb breadcrumbs navigation topnav main-menu nav-links tabs mega-menu site-nav", "nav nav ul div div"),
@@ -266,7 +281,7 @@ class Composer:
         if part == "comments":
             items += [f"<{w}{self.attributes('comment reply user-comment comment-body', 0.6)}>{pick.choice(('<p>', '<b>', ''))}{self.words(2, 60)}</{w}>" for w in [pick.choice(("div", "li", "p", "article"))] for _ in range(pick.randint(1, 5))]
         if part in ("sidebar", "notice", "advert", "footer", "header") and (not items or pick.random() < 0.5):
-            wrap = pick.choice(("p", "", "", "span", "h3", "div"))
+            wrap = "" if tag == "p" else pick.choice(("p", "", "", "span", "h3", "div"))
             lines = [text(2, 40) for _ in range(pick.randint(1, 3))]
             items += [f"<{wrap}>{line}</{wrap}>" if wrap else line for line in lines]
         return f"<{tag}{self.attributes(names, 0.55 if telling else 1.0)}>{''.join(items)}</{tag}>"
