@@ -66,6 +66,15 @@ class _Words:
         return mix((self.total[b] - self.total[a]) * self.back[a] + (b - a).astype(np.uint64))
 
 
+def _unseen(batch: pa.RecordBatch, seen: set) -> np.ndarray:
+    """Which rows are the first of their id and text in this task."""
+    new = np.ones(batch.num_rows, bool)
+    for k, key in enumerate(zip(batch.column("i").to_pylist(), batch.column("tid").to_pylist())):
+        new[k] = key not in seen
+        seen.add(key)
+    return new
+
+
 def _suffixes(min_words: int, anchor: int):
     """Sampled suffixes of each text: anchor, passage, and the first and last window."""
     reach = min_words - anchor + 1
@@ -83,11 +92,7 @@ def _suffixes(min_words: int, anchor: int):
             windows = np.arange(n - min_words + 1)
             chosen = windows + np.lib.stride_tricks.sliding_window_view(anchors, reach).argmin(axis=1)
             row = np.searchsorted(words.first, windows, "right") - 1
-            new = np.ones(batch.num_rows, bool)
-            for k, key in enumerate(zip(ids.to_pylist(), texts.to_pylist())):
-                name = hash(key)
-                new[k] = name not in seen
-                seen.add(name)
+            new = _unseen(batch, seen)
             valid = (windows + min_words <= words.first[row + 1]) & new[row]
             windows, chosen, row = windows[valid], chosen[valid], row[valid]
             if not len(windows):
@@ -154,7 +159,12 @@ def _windows(min_words: int):
     """The windows of the listed suffixes, each as a suffix of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in slices(batches, "t"):
+            new = _unseen(batch, seen)
+            if not new.any():
+                continue
+            batch = batch.filter(pa.array(new))
             words = _Words(batch.column("t"))
             lists = batch.column("runs").to_pylist()
             rows, starts = [], []
@@ -187,7 +197,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     runs = mixed.groupBy(F.col("i").alias("j"), F.col("tid").alias("digest")).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     with_text = rows.join(runs, (F.col("tid") == F.col("digest")) & F.col("i").eqNullSafe(F.col("j"))).select("i", "tid", "t", "runs")
     windows = with_text.mapInArrow(_windows(min_words), kind)
-    again_too, _ = _compared(stored(windows.distinct(), "suffix-windows"), "suffix-window-neighbours")
+    again_too, _ = _compared(stored(windows, "suffix-windows"), "suffix-window-neighbours")
     covered = again.unionByName(again_too).select("i", "tid", "low", (F.col("high") + min_words).alias("end"))
     spans = F.array_sort(F.collect_set(F.struct("low", "end")))
     return covered.groupBy("i", "tid").agg(spans.alias("spans")).mapInPandas(_merged, f"i {rows.schema['i'].dataType.simpleString()}, tid binary, spans array<struct<low:long,end:long>>")
