@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import GAPPY_EVENTS, gappy_events, iso_bucket, iso_sql, load, query
+from checks.registry import GAPPY_EVENTS, derive, gappy_events, iso_bucket, iso_sql, load, query
 from veritable.operators import charts, compare
 
 
@@ -126,6 +126,24 @@ def numeric_histogram_filtered(spark, folder):
     return charts.numeric_histogram(ds, "value").drop("label")
 
 
+@query(
+    "histogram_nan",
+    """WITH s AS (SELECT value AS v FROM events WHERE event_type <> 'error'),
+m AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 30 AS width FROM s),
+c AS (SELECT least(29, CAST(floor((v - lo) / width) AS INTEGER)) AS bin, count(*) AS n FROM s, m GROUP BY 1)
+SELECT CAST(r.bin AS INTEGER) AS bin, round(lo + r.bin * width, 6) AS bin_start,
+  round(lo + r.bin * width + width, 6) AS bin_end, coalesce(c.n, 0) AS count,
+  (SELECT count(*) FROM events WHERE event_type = 'error') AS nan_rows
+FROM range(30) r(bin) CROSS JOIN m LEFT JOIN c ON c.bin = r.bin""",
+)
+def histogram_nan(spark, folder):
+    """NaN stays out of the bins and is counted apart."""
+    value = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value"))
+    ds = derive(load(spark, folder, "events"), value=value)
+    lost = charts.nan_count(ds, "value").first().nan_rows
+    return charts.numeric_histogram(ds, "value").drop("label").withColumn("nan_rows", F.lit(lost))
+
+
 # --- compare ---------------------------------------------------------------------------
 
 _BASE = "o_orderdate <= TIMESTAMP '1997-12-31'"

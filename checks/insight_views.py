@@ -295,6 +295,30 @@ def quartiles_selected(spark, folder):
     return _round4(outliers.quartiles(ds, columns, buffer_rows=200), "q1", "q3")
 
 
+NAN_EVENTS = """sized AS (SELECT event_id, event_type,
+  CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value, event_type = 'error' AS lost FROM events)"""
+
+
+def nan_events(spark, folder):
+    """Events whose value is NaN for errors."""
+    return derive(load(spark, folder, "events"), value=F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value")))
+
+
+@query(
+    "quartiles_nan",
+    f"WITH {NAN_EVENTS}, {_quartiles_sql('sized', ['value'])}, b AS (SELECT unnest([200, 1000000]) AS buffer_rows) "
+    f"SELECT buffer_rows, {_QUARTILES} FROM quart, b",
+)
+def quartiles_nan(spark, folder):
+    """NaN is no value, on both ways of finding quartiles."""
+    ds = nan_events(spark, folder)
+    parts = [
+        _round4(outliers.quartiles(ds, [ds.column("value")], buffer_rows=n), "q1", "q3").withColumn("buffer_rows", F.lit(n))
+        for n in (200, 1_000_000)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def outliers_sql(table, columns):
     stats = " UNION ALL ".join(
         f"""SELECT position, "column", q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence,
@@ -400,6 +424,37 @@ def leader_gap(spark, folder):
     return change.leader_gap(_half_change(activity(spark, folder), "ts", "channel"))
 
 
+_SIDES = """sides AS (SELECT event_id AS __rowid, ts,
+  CASE WHEN ts >= TIMESTAMP '2024-01-18' THEN 'late' ELSE 'early ' || event_type END AS side FROM events)"""
+
+
+@query("leader_gap_planted", f"WITH {_SIDES}, {halves_sql('sides', 'ts', 'side')}, {_LEADER}")
+def leader_gap_planted(spark, folder):
+    """The label that only the later half has leads, and moved most."""
+    ds = derive(load(spark, folder, "events"), side=F.when(
+        F.col("ts") >= F.lit("2024-01-18").cast("timestamp_ntz"), "late").otherwise(F.concat(F.lit("early "), "event_type")))
+    return change.leader_gap(_half_change(ds, "ts", "side"))
+
+
+_LONG = """texts AS (SELECT doc_id AS __rowid, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST(doc_id % 50 AS INTEGER) AS seen,
+  CASE WHEN length(text) <= 64 THEN text ELSE left(text, 64) || chr(0) || sha256(text) END AS body FROM documents)"""
+
+
+@query(
+    "half_change_texts",
+    f"WITH {_LONG}, {halves_sql('texts', 'seen', 'body')} SELECT replace(label, chr(0), ' ') AS label, first_half, second_half, delta FROM moved",
+)
+def half_change_texts(spark, folder):
+    """Whole documents as labels: they are counted by head and digest."""
+    ds = derive(load(spark, folder, "documents"), seen=_seen())
+    halves = _half_change(ds, "seen", "text")
+    return halves.withColumn("label", F.replace("label", F.lit("\0"), F.lit(" ")))
+
+
+def _seen():
+    return F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 50).cast("int")).cast("timestamp_ntz")
+
+
 @query(
     "half_volume",
     f"""WITH {_mid_sql('events', 'ts')}, v AS (SELECT count(*) FILTER (WHERE epoch(ts) < mid_epoch) AS first_rows,

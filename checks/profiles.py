@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import GAPPY_EVENTS, gappy_events, iso_sql, load, query
+from checks.registry import GAPPY_EVENTS, derive, gappy_events, iso_sql, load, query
 from veritable import ROW_ID, Dataset
 from veritable.functions.scores import confidence, trust
 from veritable.functions.wording import (
@@ -185,6 +185,33 @@ def identifier_columns(spark, folder):
     return profile.identifier_columns(load(spark, folder, "orders"))
 
 
+@query(
+    "identifier_reasons",
+    """WITH steps AS (SELECT CASE WHEN value <= 100 THEN event_id * 3 END AS s FROM events),
+d AS (SELECT count(*) AS n, count(s) AS filled, count(DISTINCT s) AS k FROM steps)
+SELECT 'batch_key' AS "column", 'name' AS reason UNION ALL SELECT 'user_id', 'name' UNION ALL SELECT 'event_id', 'name'
+UNION ALL SELECT 'steps', CASE WHEN k >= 0.95 * n THEN 'unique' ELSE 'increasing' END FROM d WHERE k = filled AND filled >= 2""",
+)
+def identifier_reasons(spark, folder):
+    """Columns named like an identifier, and one that grows with the row id."""
+    ds = derive(
+        load(spark, folder, "events"), steps=F.when(F.col("value") <= 100, F.col("event_id") * 3),
+        batch_key=F.floor(F.col("value")), level=F.floor(F.col("value") * 2),
+    )
+    return profile.identifier_columns(ds)
+
+
+@query(
+    "duplicate_lines",
+    """SELECT count(*) - count(DISTINCT (l_orderkey % 10, l_partkey % 7, l_quantity, l_returnflag)) AS duplicate_rows FROM lineitem""",
+)
+def duplicate_lines(spark, folder):
+    """Duplicates among derived columns of the order lines, by one digest a row."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        F.monotonically_increasing_id().alias(ROW_ID), (F.col("l_orderkey") % 10).alias("a"), (F.col("l_partkey") % 7).alias("b"), "l_quantity", "l_returnflag")
+    return profile.duplicate_count(Dataset.of(lines))
+
+
 # --- scores and wording ----------------------------------------------------------------
 
 

@@ -56,7 +56,7 @@ def _anomaly(order, column):
         order, f"'anomaly_{column}'", "anomalies", '"values"', f"least(1.0, {fraction} / 0.05)", "0.0",
         f"(1.0 - {fraction})", f"least(1.0, {fraction} / 0.05) * 0.9",
         _cited(beyond, f"abs({column} - {far}) DESC, __rowid"),
-        f"'Are the ' || format('{{:,}}', outliers) || ' extreme values of {column} errors?'",
+        f"'Do the ' || format('{{:,}}', outliers) || ' far values of {column} come from one place or day?'",
         f"stats WHERE \"column\" = '{column}' AND outliers > 0",
     )
 
@@ -77,7 +77,7 @@ _FINDINGS = " UNION ALL ".join([
         2, "'missing_data'", "missing_data", "n", "CASE WHEN flagged THEN least(1.0, kind_missing / 0.20) ELSE 0.5 END",
         "0.0", "1.0", "CASE WHEN flagged THEN least(1.0, kind_missing) * 0.6 ELSE 0.0 END",
         f"CASE WHEN flagged THEN {_cited('kind IS NULL')} ELSE '' END",
-        "CASE WHEN flagged THEN 'Why is so much of kind blank?' END", "t",
+        "CASE WHEN flagged THEN 'Which rows lack kind, and do they share a source or a period?' END", "t",
     ),
     """SELECT 3 AS ord, 'single_value_' || "column" AS id, 'hidden_patterns' AS category, 0.0 AS confidence,
       15 AS trust_score, TRUE AS is_limitation, 0.0 AS notability, '' AS evidence, NULL AS question
@@ -85,12 +85,12 @@ _FINDINGS = " UNION ALL ".join([
     _finding(
         4, "'concentration_' || \"column\"", "hidden_patterns", "total", "share", "0.0", "share", "share",
         _cited("channel = (SELECT label FROM reported WHERE \"column\" = 'channel')"),
-        "'What makes ''' || label || ''' so common in ' || \"column\" || '?'",
+        "'Would the figures read the same without the rows where ' || \"column\" || ' is ''' || label || '''?'",
         "reported WHERE distinct_values > 1 AND share >= 0.40",
     ),
     _finding(
         5, "'trend'", "hidden_patterns", "n", "r_squared", "0.0", "r_squared", "r_squared", _TREND_CITED,
-        "CASE WHEN direction <> 'flat' THEN 'Is the ' || direction || ' row count by ts a season?' END",
+        "CASE WHEN direction <> 'flat' THEN 'What else was ' || direction || ' while the daily rows by ts were?' END",
         "verdict, t",
     ),
     _finding(
@@ -99,7 +99,7 @@ _FINDINGS = " UNION ALL ".join([
     ),
     _finding(
         7, "'correlation_top'", "correlations", "n", "abs(r)", "0.0", "abs(r)", "abs(r)", _PAIR_CITED,
-        "'Does value drive score, or does something else move both?'", "pairs",
+        "'Does the link between value and score hold inside each category as well?'", "pairs",
     ),
     _anomaly(8, "value"),
     _anomaly(9, "score"),
@@ -107,7 +107,7 @@ _FINDINGS = " UNION ALL ".join([
         10, "'what_changed'", "what_changed_most", "(first_rows + second_rows)", "effect", "kind_missing",
         "least(1.0, effect + 0.2)", "effect",
         _cited("kind IS NOT DISTINCT FROM (SELECT label FROM top)"),
-        "'What happened to the top mover in kind between the halves?'", "top, t",
+        "'Did the other values of kind lose what the top mover won?'", "top, t",
     ),
 ])
 
@@ -252,7 +252,7 @@ _QUESTIONS = """copies AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTI
   AS extra FROM activity),
 asked AS (SELECT question AS text, min(place) AS place FROM found
   WHERE NOT is_limitation AND question IS NOT NULL GROUP BY 1
-  UNION ALL SELECT 'Are the ' || extra || ' repeated rows copies that should be dropped?', 1000000
+  UNION ALL SELECT 'Do the ' || extra || ' repeated rows stand for separate events, or was something loaded twice?', 1000000
   FROM copies WHERE extra > 0)"""
 
 

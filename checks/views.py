@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from checks.registry import (
-    ACTIVITY, EVENT_COLUMNS, GAPPY_EVENTS, ORDER_COLUMNS, activity, gappy_events, iso_sql, load,
+    ACTIVITY, EVENT_COLUMNS, GAPPY_EVENTS, ORDER_COLUMNS, activity, derive, gappy_events, iso_sql, load,
     query, with_iso,
 )
 from veritable import ROW_ID, scratch_path
+from veritable.functions.times import iso_text
 from veritable.operators import outliers, rows
 from veritable.operators.concentration import concentration_flagged
 from veritable.sources.delimited import scan_delimited
@@ -32,10 +33,39 @@ def text_scan(spark, folder):
     return scan_delimited(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
-@query("sample_rows", f"SELECT {EVENT_COLUMNS} FROM events WHERE event_id < 50000")
+@query("csv_zoned", f"SELECT event_id, {iso_sql('ts')} AS ts FROM events")
+def csv_zoned(spark, folder):
+    """Moments written with an offset come back in UTC."""
+    path = scratch_path(spark, "csv_zoned")
+    events = load(spark, folder, "events").df
+    ahead = F.date_format((F.col("ts") + F.expr("interval 5 hours 30 minutes")).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    events.select("event_id", F.concat(ahead, F.lit("+05:30")).alias("ts")).write.csv(path, header=True)
+    back = scan_delimited(spark, path)
+    return back.select(F.col("event_id").cast("long"), iso_text(F.col("ts")).alias("ts"))
+
+
+@query(
+    "csv_ragged",
+    """SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS column2,
+  CASE WHEN c_custkey % 9 = 0 THEN 'a,b ' || c_custkey END AS column3 FROM customer""",
+)
+def csv_ragged(spark, folder):
+    """Cells beyond the header are kept, quoted separators are not taken for cells."""
+    path = scratch_path(spark, "csv_ragged")
+    more = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(","), "c_mktsegment")).otherwise("")
+    most = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit(',"a,b '), "c_custkey", F.lit('"'))).otherwise("")
+    line = F.concat("c_custkey", F.lit(","), "c_acctbal", more, most)
+    # the first line of each file is its header
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    lines = load(spark, folder, "customer").df.select(F.concat(F.when(first, "c_custkey,c_acctbal\n").otherwise(""), line).alias("value"))
+    lines.write.text(path)
+    return scan_delimited(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("long"))
+
+
+@query("sample_rows", f"SELECT {EVENT_COLUMNS} FROM events WHERE event_id < 700")
 def capped_sample(spark, folder):
     events = load(spark, folder, "events")
-    return with_iso(events, rows.sample_rows(events).df)
+    return with_iso(events, rows.sample_rows(events, 700).df)
 
 
 @query("row_ids", "SELECT event_id AS __rowid, event_id, event_type, value FROM events")
@@ -191,6 +221,19 @@ def page_deep(spark, folder):
     return with_iso(ds, rows.page(ds, 29, 50, "o_totalprice", "asc", shallow_rows=300))
 
 
+@query(
+    "page_nan",
+    "SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 'NaN' ELSE CAST(CAST(round(value, 2) * 100 AS BIGINT) AS VARCHAR) END AS cents "
+    "FROM events ORDER BY event_type = 'error' DESC, CASE WHEN event_type = 'error' THEN 0 ELSE value END DESC, event_id LIMIT 50 OFFSET 700",
+)
+def page_nan(spark, folder):
+    """A deep page of a descending sort: NaN comes first, as the highest value."""
+    nan = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value"))
+    ds = derive(load(spark, folder, "events"), value=nan)
+    cents = F.when(F.isnan("value"), "NaN").otherwise((F.round("value", 2) * 100).cast("long").cast("string"))
+    return rows.page(ds, 15, 50, "value", "desc", shallow_rows=100).select("event_id", "event_type", cents.alias("cents"))
+
+
 @query(
     "rows_by_id",
     f"WITH ids AS (SELECT * FROM (VALUES (0, 7), (1, 3), (2, 999999999), (3, 7), (4, 120)) v(pos, id)) "

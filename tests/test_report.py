@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from veritable.operators import rows
 from veritable.plans import report as report_module
@@ -13,7 +14,6 @@ from veritable.plans.ranking import follow_ups, top_findings
 from veritable.plans.report import build_report
 from veritable.sources.delimited import scan_text
 from veritable.sources.row_ids import write_with_row_ids
-from veritable.sources.synthetic import story_table
 from veritable import Dataset, scratch_path
 
 FIELDS = {
@@ -142,7 +142,7 @@ def test_flat_week_has_no_pattern(reports):
 
 def test_several_outliers(reports):
     found = card(reports("multi_outlier")[1], "anomaly_v")
-    assert found["supporting_metrics"]["outlier_count"] == 3 and found["title"] == "3 outlier rows in v"
+    assert found["supporting_metrics"]["outlier_count"] == 3 and found["title"] == "3 values beyond the fences of v"
 
 
 def test_large_lead_reads_as_a_multiple(reports):
@@ -253,17 +253,45 @@ def test_follow_ups_are_unique_and_at_most_six(spark, make):
     assert any("7 repeated rows" in q for q in questions)
 
 
-def test_story_sample(spark):
-    table = write_with_row_ids(story_table(spark, 180, seed=7, start=dt.date(2024, 1, 1)), scratch_path(spark, "story"))
-    report = build_report(Dataset.of(table, name="story")).as_dict()
-    assert card(report, "trend")["supporting_metrics"]["direction"] == "increasing"
-    assert card(report, "time_pattern")["supporting_metrics"]["busiest_weekday"] == "Wednesday"
-    assert card(report, "concentration_product_line")["supporting_metrics"]["dominant_value"] == "Alpha"
-    assert card(report, "anomaly_revenue")["supporting_metrics"]["outlier_count"] == 1
-    assert card(report, "anomaly_units_sold") is None
+def planted(spark):
+    """Orders of a bakery: more each week, most on Fridays, mostly rye; one price is far off."""
+    days = spark.range(84).select(F.col("id").alias("n"), F.date_add(F.lit(dt.date(2023, 3, 6)), F.col("id").cast("int")).alias("baked"))
+    many = F.floor(4 + F.col("n") / 7) * F.when(F.weekday("baked") == 4, 3).otherwise(1)
+    loaves = days.withColumn("k", F.explode(F.sequence(F.lit(1), many.cast("int"))))
+    price = F.when((F.col("n") == 50) & (F.col("k") == 1), 9_999.0).otherwise(3 + F.pmod(F.xxhash64("n", "k"), F.lit(200)) / 100)
+    sort = F.when(F.pmod(F.xxhash64("k", "n", F.lit(1)), F.lit(10)) < 7, "rye").otherwise("spelt")
+    weight = 500 + F.pmod(F.xxhash64("n", "k", F.lit(2)), F.lit(300))
+    return loaves.select("baked", sort.alias("sort"), price.alias("price"), weight.alias("weight"))
+
+
+def test_planted_patterns_are_found(spark):
+    table = write_with_row_ids(planted(spark), scratch_path(spark, "planted"))
+    report = build_report(Dataset.of(table, name="bakery")).as_dict()
+    assert card(report, "trend")["supporting_metrics"]["first_bucket_count"] == 4
+    assert card(report, "time_pattern")["supporting_metrics"]["busiest_weekday"] == "Friday"
+    assert card(report, "concentration_sort")["supporting_metrics"]["dominant_value"] == "rye"
+    assert card(report, "anomaly_price")["supporting_metrics"]["outlier_count"] == 1
+    assert card(report, "anomaly_weight") is None
     assert card(report, "correlation_top")["supporting_metrics"]["strength"] == "negligible"
 
 
+@pytest.mark.parametrize("where, name, part", [
+    (report_module.profile, "data_quality", "data_quality"), (report_module.profile, "duplicate_examples", "duplicate_examples"),
+    (report_module.profile, "key_numbers", "key_numbers"), (report_module.profile, "date_range", "date_range"),
+    (report_module, "follow_ups", "questions"), (report_module, "with_headlines", "headlines"),
+    (report_module, "key_takeaways", "takeaways"), (report_module, "section_findings", "findings"),
+])
+def test_a_failing_part_leaves_the_report(make, monkeypatch, where, name, part):
+    def broken(*args, **kwargs):
+        raise RuntimeError("planted")
+
+    monkeypatch.setattr(where, name, broken)
+    report = build_report(make(*FIXTURES["sales"], "sales")).as_dict()
+    note = next(c for c in report["insights"] if c["id"] == f"{part}_unavailable")
+    assert note["is_limitation"] and "RuntimeError" in note["explanation"]
+    assert report["summary"]["column_types"] and "data_quality" in report
+
+
 def test_report_of_pasted_text(spark):
     table = scan_text(spark, "name,name,empty,val\n" + "".join(f"a{i},b,,{i}\n" for i in range(25)))
     stored = write_with_row_ids(table, scratch_path(spark, "pasted"))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ SHAPES = {
     "spike": np.concatenate([RNG.normal(10, 1, 3_999), [5e5]]),
     "heavy tail": np.exp(RNG.normal(0, 6, 4_000)),
     "constant": np.full(4_000, 3.0),
+    "nan quarter": np.where(RNG.random(4_000) < 0.246, np.nan, RNG.normal(0, 1, 4_000)),
+    "all nan": np.full(4_000, np.nan),
+    "infinities": np.concatenate([np.full(700, -np.inf), RNG.normal(0, 1, 2_600), np.full(700, np.inf)]),
 }
 
 
@@ -23,7 +28,24 @@ def test_ranks_match_a_sort(make, shape):
     ds = make([(float(v),) for v in values], "v double")
     ranks = [0, 1, 999, 1_000, 2_000, 3_998, 3_999]
     [found] = order_statistics(ds.df, [(F.col("v"), len(values), ranks)], limit=60)
-    assert found == [float(v) for v in np.sort(values)[ranks]]
+    assert np.array_equal(found, np.sort(values)[ranks], equal_nan=True)
+
+
+def test_long_texts_with_a_common_head(make):
+    words = [("head " * 60) + f"{i * 37 % 1000:04d}" for i in range(1_200)]
+    ds = make([(w,) for w in words], "v string")
+    [found] = order_statistics(ds.df, [(F.col("v"), len(words), [0, 600, 1_199])], limit=40)
+    assert found == [sorted(words)[r] for r in (0, 600, 1_199)]
+
+
+@pytest.mark.parametrize("buffer_rows", [20, 200_000])
+def test_nan_has_no_part_in_quartiles_and_fences(make, buffer_rows):
+    values = [*range(100), 5_000] + [math.nan] * 30
+    ds = make([(float(v),) for v in values], "v double")
+    row = outliers.quartiles(ds, ds.columns, buffer_rows=buffer_rows).first()
+    assert (row.q1, row.q3, row["values"]) == (25.0, 75.0, 101)
+    stats = outliers.outlier_stats(ds, ds.columns, buffer_rows=buffer_rows).first()
+    assert (stats.outliers, stats.min_outlier, stats.max_outlier) == (1, 5_000.0, 5_000.0)
 
 
 def test_text_ranks(make):

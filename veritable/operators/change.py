@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritable.dataset import Dataset
 from veritable.functions.times import epoch_seconds, iso_text
+from veritable.operators.labels import short_label
 from veritable.schema import DATE
 
 MIN_HALF_ROWS = 5
@@ -45,9 +46,12 @@ def half_counters(ds: Dataset, date: str, middle: float) -> list[Column]:
 
 
 def half_change(ds: Dataset, date: str, dimension: str, middle: float) -> DataFrame:
-    """Rows per label before and after the midpoint, in one conditional aggregate."""
+    """Rows per label before and after the midpoint, in one conditional aggregate.
+
+    Long labels are shortened (see ``labels``), also in the results below that are made of this.
+    """
     labels = ds.df.where(ds.column(date).ref.isNotNull()).groupBy(
-        ds.column(dimension).label.alias("label")
+        short_label(ds.column(dimension)).alias("label")
     )
     return with_delta(labels.agg(*half_counters(ds, date, middle)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veritable.dataset import Dataset
 from veritable.functions.times import bucket, choose_interval, epoch_micros, interval_expr
 from veritable.functions.wording import chart_number
+from veritable.operators.labels import short_label, spelled
 from veritable.schema import DATE, NUMBER, ColumnInfo
 
 TOP_CATEGORIES = 50
@@ -19,8 +20,10 @@ CHART_AGGREGATES = ("count", "avg", "sum")
 
 def category_counts(ds: Dataset, column: str, top: int = TOP_CATEGORIES) -> DataFrame:
     """The most frequent labels, the NULL label included."""
-    counts = ds.df.groupBy(ds.column(column).label.alias("label")).agg(F.count("*").alias("count"))
-    return counts.orderBy(F.desc("count"), F.col("label").asc_nulls_last()).limit(top)
+    info = ds.column(column)
+    counts = ds.df.groupBy(short_label(info).alias("label")).agg(F.count("*").alias("count"))
+    shown = spelled(ds, info, counts.orderBy(F.desc("count"), F.col("label").asc_nulls_last()).limit(top), "label")
+    return shown.orderBy(F.desc("count"), F.col("label").asc_nulls_last())
 
 
 def aggregate(ds: Dataset, agg: str, value_column: str | None) -> Column:
@@ -82,9 +85,10 @@ def time_series(
 
 def series_keys(ds: Dataset, split_by: str, top: int = TOP_SERIES) -> list[str]:
     """The most frequent keys of the split column; NULL counts as ``(blank)``."""
-    key = F.coalesce(ds.column(split_by).label, F.lit(BLANK_KEY)).alias("key")
-    counts = ds.df.groupBy(key).agg(F.count("*").alias("n"))
-    return [row.key for row in counts.orderBy(F.desc("n"), "key").limit(top).collect()]
+    info = ds.column(split_by)
+    key = F.coalesce(short_label(info), F.lit(BLANK_KEY)).alias("key")
+    counts = ds.df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(top)
+    return [row.key for row in spelled(ds, info, counts, "key").collect()]
 
 
 def _has_key(info: ColumnInfo, keys: list[str]) -> Column:
@@ -94,7 +98,7 @@ def _has_key(info: ColumnInfo, keys: list[str]) -> Column:
 
 
 def _split(
-    ds: Dataset, column: str, split_by: str, agg: str, value_column: str | None, interval: str | None
+    ds: Dataset, column: str, split_by: str, agg: str, value_column: str | None, interval: str | None, top: int
 ) -> tuple[DataFrame, list[str]]:
     """Unsorted values per bucket and key, and the keys."""
     if split_by == column:
@@ -102,7 +106,7 @@ def _split(
     info = ds.column(split_by)
     value = aggregate(ds, agg, value_column)
     chosen = pick_interval(ds, column, interval)
-    keys = series_keys(ds, split_by) if chosen else []
+    keys = series_keys(ds, split_by, top) if chosen else []
     if not keys:
         return ds.df.sparkSession.createDataFrame([], _SPLIT_SCHEMA), []
     groups = ds.where(_has_key(info, keys)).df.groupBy(
@@ -119,9 +123,10 @@ def time_series_split(
     agg: str = "count",
     value_column: str | None = None,
     interval: str | None = None,
+    top: int = TOP_SERIES,
 ) -> DataFrame:
     """One value per time bucket and key, for the top keys of ``split_by``."""
-    series, _ = _split(ds, column, split_by, agg, value_column, interval)
+    series, _ = _split(ds, column, split_by, agg, value_column, interval, top)
     return series.orderBy(F.col("bucket").asc_nulls_last(), "key")
 
 
@@ -132,13 +137,14 @@ def time_series_grid(
     agg: str = "count",
     value_column: str | None = None,
     interval: str | None = None,
+    top: int = TOP_SERIES,
 ) -> DataFrame:
     """``time_series_split`` with every key in every bucket, NULL where there are no rows.
 
-    Each bucket holds at most eight keys, so a map per bucket fills the gaps without a
+    Each bucket holds at most ``top`` keys, so a map per bucket fills the gaps without a
     join against all (bucket, key) combinations.
     """
-    series, keys = _split(ds, column, split_by, agg, value_column, interval)
+    series, keys = _split(ds, column, split_by, agg, value_column, interval, top)
     if not keys:
         return series
     entries = F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("by_key")
@@ -148,14 +154,20 @@ def time_series_grid(
     return grid.orderBy(F.col("bucket").asc_nulls_last(), "key")
 
 
+def nan_count(ds: Dataset, column: str) -> DataFrame:
+    """How many values of a numeric column are NaN, which charts and fences leave out."""
+    value = ds.column(column, NUMBER).ref.cast("double")
+    return ds.df.agg(F.count_if(F.isnan(value)).alias("nan_rows")).select(F.lit(column).alias("column"), "nan_rows")
+
+
 _HISTOGRAM_SCHEMA = "bin int, label string, bin_start double, bin_end double, count long"
 
 
 def numeric_histogram(ds: Dataset, column: str, bins: int = BINS) -> DataFrame:
-    """Equal-width bins between min and max, empty bins included."""
+    """Equal-width bins between min and max, empty bins included; NaN is left out (see ``nan_count``)."""
     info = ds.column(column, NUMBER)
     spark = ds.df.sparkSession
-    value = info.ref.cast("double")
+    value = info.measured
     bounds = ds.df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
     low, high, n = bounds.first()
     if n == 0:
@@ -169,7 +181,7 @@ def numeric_histogram(ds: Dataset, column: str, bins: int = BINS) -> DataFrame:
     width = (high - low) / bins
     place = F.floor((value - F.lit(low)) / F.lit(width)).cast("int")
     counts = (
-        ds.df.where(info.ref.isNotNull())
+        ds.df.where(value.isNotNull())
         .groupBy(F.least(F.lit(bins - 1), place).alias("bin"))
         .agg(F.count("*").alias("count"))
     )

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.dataset import Dataset
+from veritable.operators.labels import spelled
 from veritable.operators.profile import label_counts
 from veritable.schema import ColumnInfo
+from veritable.session import localize
 
 CONCENTRATION_FLAG = 0.40
 REPORTED_COLUMNS = 2
 
-# Tables above this size first rule out columns by hash buckets.
-PRUNE_ROWS = 1_000_000
 BUCKETS = 1_024
 
 _SCHEMA = (
@@ -27,7 +27,9 @@ def candidate_columns(ds: Dataset) -> list[ColumnInfo]:
 
     Such a label brings its share to the hash bucket it falls into, so a column whose
     fullest bucket stays below cannot have one. This costs a scan and a tiny shuffle, and
-    spares counting every label of columns like names or free text.
+    spares counting every label of columns like names or free text. A column with one value
+    only has all its filled rows in one bucket; so many of the others are NULL that one of the
+    two buckets reaches 40 %.
     """
     if not ds.texts:
         return []
@@ -62,7 +64,7 @@ def concentration(ds: Dataset, columns: list[ColumnInfo] | None = None) -> DataF
     totals = counts.groupBy("column").agg(
         F.sum("count").alias("total"), F.count("label").alias("distinct_values")
     )
-    return (
+    found = (
         leaders.join(totals, "column")
         .where("first.label IS NOT NULL")
         .select(
@@ -73,11 +75,15 @@ def concentration(ds: Dataset, columns: list[ColumnInfo] | None = None) -> DataF
             (F.col("second.count") / F.col("total")).alias("runner_up_share"),
         )
     )
+    shown = localize(found)  # one row per column
+    for c in columns:
+        shown = spelled(ds, c, shown, "label", "runner_up", where=("column", c.name))
+    return shown
 
 
-def _reported(ds: Dataset, columns: list[ColumnInfo] | None = None) -> DataFrame:
-    """The two most concentrated columns; later names win ties."""
-    return concentration(ds, columns).orderBy(F.desc("share"), F.desc("column")).limit(REPORTED_COLUMNS)
+def _reported(ds: Dataset) -> DataFrame:
+    """The two most concentrated columns of those that can be reported; later names win ties."""
+    return concentration(ds, candidate_columns(ds)).orderBy(F.desc("share"), F.desc("column")).limit(REPORTED_COLUMNS)
 
 
 def concentration_flagged(ds: Dataset) -> DataFrame:
@@ -92,12 +98,7 @@ def single_value_columns(ds: Dataset) -> DataFrame:
     return constant.select("column", F.col("label").alias("only_value"), "count", "distinct_values")
 
 
-def reported(ds: Dataset, rows: int = 0) -> DataFrame:
-    """Flagged and single-value columns in report order.
-
-    In a large table (``rows`` tells its size) columns are ruled out first. A column with
-    one value only has at least half of the rows in it, so none of these is lost.
-    """
-    columns = candidate_columns(ds) if rows > PRUNE_ROWS else None
+def reported(ds: Dataset) -> DataFrame:
+    """Flagged and single-value columns in report order."""
     kept = (F.col("distinct_values") <= 1) | (F.col("share") >= CONCENTRATION_FLAG)
-    return _reported(ds, columns).where(kept).orderBy(F.desc("share"), F.desc("column"))
+    return _reported(ds).where(kept).orderBy(F.desc("share"), F.desc("column"))

@@ -21,9 +21,9 @@ _QUARTILE_SCHEMA = "position int, column string, q1 double, q3 double, values lo
 def quartiles(
     ds: Dataset, columns: list[ColumnInfo], buffer_rows: int = BRACKET_ROWS, filled: list[int] | None = None
 ) -> DataFrame:
-    """Exact first and third quartile (linear interpolation) of each column.
+    """Exact first and third quartile (linear interpolation) of each column, NaN left out.
 
-    ``filled`` holds the non-null rows of the columns where they are known already.
+    ``filled`` holds the number of values (neither NULL nor NaN) of the columns where it is known.
 
     Up to ``buffer_rows`` values, Spark's exact ``percentile`` holds a column in one
     buffer; larger columns go through ranked selection, which is exact as well.
@@ -31,7 +31,7 @@ def quartiles(
     spark = ds.df.sparkSession
     if not columns:
         return spark.createDataFrame([], _QUARTILE_SCHEMA)
-    counts = filled or ds.df.agg(*[F.count(c.ref) for c in columns]).first()
+    counts = filled or ds.df.agg(*[F.count(c.measured) for c in columns]).first()
     if max(counts) <= buffer_rows:
         return _quartiles_in_buffer(ds, columns)
     shares = (0.25, 0.75)
@@ -40,7 +40,7 @@ def quartiles(
     for i, c in filled:
         places = [int(share * (counts[i] - 1)) for share in shares]
         ranks = [r for place in places for r in (place, min(place + 1, counts[i] - 1))]
-        wanted.append((c.ref.cast("double"), counts[i], ranks))
+        wanted.append((c.measured, counts[i], ranks))
     found = {}
     for (i, _), values in zip(filled, order_statistics(ds.df, wanted, buffer_rows)):
         for j, share in enumerate(shares):
@@ -57,8 +57,8 @@ def quartiles(
 def _quartiles_in_buffer(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
     aggregates, records = {}, []
     for i, c in enumerate(columns):
-        ends = F.percentile(c.ref.cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-        aggregates |= {f"q{i}": ends, f"n{i}": F.count(c.ref)}
+        ends = F.percentile(c.measured, F.array(F.lit(0.25), F.lit(0.75)))
+        aggregates |= {f"q{i}": ends, f"n{i}": F.count(c.measured)}
         records.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(c.name).alias("column"),
@@ -85,7 +85,7 @@ def outlier_stats(
     aggregates, records = {}, []
     for row, iqr in fences:
         i = row.position
-        value = columns[i].ref.cast("double")
+        value = columns[i].measured
         low, high = row.q1 - FENCE * iqr, row.q3 + FENCE * iqr
         beyond = outside(value, F.lit(low), F.lit(high))
         aggregates |= {

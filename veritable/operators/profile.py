@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from veritable.dataset import Dataset
 from veritable.functions.times import epoch_micros, iso_text
+from veritable.operators.labels import short_label
 from veritable.schema import DATE, NUMBER, ROW_ID, ColumnInfo, named_like_identifier
 from veritable.session import localize, small_table
 
@@ -100,17 +101,19 @@ def summary(ds: Dataset) -> DataFrame:
         parts.append(Measures(aggregates, records).table(ds))
     if ds.texts:
         distinct = _distinct_texts(ds).groupBy("column").agg(F.count("key").alias("n"))
-        places = {c.name: i for i, c in enumerate(ds.columns)}
-        position = F.element_at(F.create_map(*[F.lit(x) for kv in places.items() for x in kv]), F.col("column"))
+        # one row per text column, also where no row has a value
+        schema = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("column", T.StringType())])
+        listed = small_table(ds.df.sparkSession, [(i, c.name) for i, c in enumerate(ds.columns) if c in ds.texts], schema)
+        distinct = listed.join(distinct, "column", "left")
         empty = {"min_number": "double", "max_number": "double", "avg": "double",
                  "min_date": "string", "max_date": "string"}
         parts.append(
             distinct.select(
-                position.alias("position"),
+                "position",
                 F.col("column").alias("name"),
                 F.lit("text").alias("type"),
                 *[F.lit(None).cast(t).alias(n) for n, t in empty.items()],
-                F.col("n").alias("distinct_values"),
+                F.coalesce("n", F.lit(0)).alias("distinct_values"),
             )
         )
     return reduce(DataFrame.unionByName, parts)
@@ -133,8 +136,8 @@ def _summary_struct(i: int, c: ColumnInfo) -> Column:
 
 
 def label_counts(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
-    """Rows per (column, label), NULL labels included; counted before the shuffle."""
-    pairs = F.array(*[F.struct(F.lit(c.name).alias("column"), c.label.alias("label")) for c in columns])
+    """Rows per (column, label), NULL labels included; long labels are shortened (see ``labels``)."""
+    pairs = F.array(*[F.struct(F.lit(c.name).alias("column"), short_label(c).alias("label")) for c in columns])
     return ds.df.select(F.inline(pairs)).groupBy("column", "label").agg(F.count("*").alias("count"))
 
 
@@ -205,6 +208,8 @@ def missing_measures(ds: Dataset) -> Measures:
     aggregates, records = {"total": F.count("*")}, []
     for i, c in enumerate(ds.columns):
         aggregates[f"blank{i}"] = F.count_if(c.blank)
+        if c.is_float:
+            aggregates[f"nan{i}"] = F.count_if(F.isnan(c.ref))
         share = F.when(F.col("total") > 0, F.col(f"blank{i}") / F.col("total")).otherwise(0.0)
         records.append(
             F.struct(
@@ -228,15 +233,28 @@ def missing_flagged(ds: Dataset) -> DataFrame:
     return flagged.orderBy(F.desc("missing_fraction"), "position")
 
 
-def _group_keys(ds: Dataset) -> list[Column]:
-    return [c.distinct_key.alias(f"k{i}") for i, c in enumerate(ds.columns)]
+def row_digest(ds: Dataset) -> Column:
+    """A 256-bit digest of the whole row, equal for equal rows only.
+
+    Each value is written with its length before it, NULL as a length of its own, so that no
+    two rows read alike. -0.0 counts as 0.0 and NaN as NaN, as in grouping.
+    """
+    parts = []
+    for c in ds.columns:
+        if c.is_float:
+            text = (c.ref + F.lit(0.0).cast(c.dtype)).cast("string")
+        elif isinstance(c.dtype, (T.StructType, T.ArrayType)):
+            text = F.sha2(F.to_json(F.struct(c.ref)), 256)
+        else:
+            text = c.distinct_key.cast("string")
+        parts.append(F.when(c.ref.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text)))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def duplicate_count(ds: Dataset) -> DataFrame:
     """Rows beyond the first of each set of equal rows; copies are counted map-side."""
-    copies = ds.df.select(*_group_keys(ds)).groupBy(*[f"k{i}" for i in range(len(ds.columns))])
-    extra = copies.agg((F.count("*") - 1).alias("extra"))
-    return extra.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
+    copies = ds.df.groupBy(row_digest(ds).alias("row")).agg((F.count("*") - 1).alias("extra"))
+    return copies.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
 
 
 def duplicate_rows(ds: Dataset) -> DataFrame:
@@ -244,11 +262,10 @@ def duplicate_rows(ds: Dataset) -> DataFrame:
 
     A row can only be among the first 25 repeats if it is among the first 26 of its own
     group. The rank filter is applied before the shuffle as well (WindowGroupLimit), so
-    a group of copies of any size sends 26 rows per task.
+    a group of copies of any size sends 26 digests and ids per task.
     """
-    keys = [f"k{i}" for i in range(len(ds.columns))]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(ROW_ID))
-    ranked = ds.df.select(*_group_keys(ds), ROW_ID).withColumn("copy", rank)
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(ROW_ID))
+    ranked = ds.df.select(row_digest(ds).alias("row"), ROW_ID).withColumn("copy", rank)
     repeats = ranked.where(F.col("copy") <= DUPLICATE_EXAMPLES + 1).where(F.col("copy") > 1)
     return repeats.select(ROW_ID).orderBy(ROW_ID).limit(DUPLICATE_EXAMPLES)
 

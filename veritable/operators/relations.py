@@ -64,6 +64,7 @@ def _scan_pairs(ds: Dataset, pairs) -> DataFrame:
 
 def relation_words(size: Column) -> tuple[Column, Column]:
     """How related two columns are, and how strong the pattern is."""
+    # The words that metrics use for the bands.
     bands = [(UNRELATED, "unrelated", "negligible"), (WEAK, "weakly related", "weak"),
              (STRONG, "moderately related", "moderate")]
     relation, strength = F.lit("strongly related"), F.lit("strong")

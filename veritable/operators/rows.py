@@ -78,10 +78,10 @@ def page(
     return _fetch(ds, ids).orderBy("pos").drop("pos")
 
 
-def _id_prefix(ds: Dataset, need: int) -> Dataset:
+def _id_prefix(ds: Dataset, need: int, prefix_ids: int = PREFIX_IDS) -> Dataset:
     """The first row ids of a slice, if they hold the rows that are needed."""
-    head = ds.where(F.col(ROW_ID) < max(PREFIX_IDS, 100 * need))
-    return head if head.df.limit(need).count() >= need else ds
+    head = ds.where(F.col(ROW_ID) < max(prefix_ids, 2 * need))
+    return head if head.count_rows() >= need else ds
 
 
 def _can_seek(ds: Dataset, sort_by: str | None) -> bool:
@@ -141,14 +141,16 @@ def _fetch(ds: Dataset, ids: list[int]) -> DataFrame:
     return ds.df.where(with_ids(ids)).join(F.broadcast(lookup), ROW_ID)
 
 
-def rows_by_id(ds: Dataset, ids: list[int] | str) -> DataFrame:
+def rows_by_id(ds: Dataset, ids: list[int] | str, most: int = MAX_LOOKUP) -> DataFrame:
     """Rows in the order asked for; repeats are kept, unknown ids are left out.
 
-    ``ids`` may be text with commas between the ids.
+    ``ids`` may be text with commas between the ids. A lookup of more than ``most`` ids is refused.
     """
     if isinstance(ids, str):
         ids = [int(part) for part in ids.split(",") if part.strip()]
-    return _fetch(ds, [int(i) for i in ids[:MAX_LOOKUP]]).orderBy("pos")
+    if len(ids) > most:
+        raise ValueError(f"{len(ids)} row ids are asked for; a lookup takes {most} at most")
+    return _fetch(ds, [int(i) for i in ids]).orderBy("pos")
 
 
 def evidence(

@@ -5,10 +5,15 @@ not fit in a task. Instead the wanted rank is bracketed: two pivots are taken fr
 small random sample, the rows below and up to each pivot are counted exactly, and the
 bracket shrinks to the open interval that holds the rank. Sampling only chooses the
 pivots; the counts decide, so the result is exact.
+
+NaN is the highest value, as in a sort. It is counted apart and never drawn as a pivot, since
+it has no place among the numbers that Python compares. Every round draws anew; after MAX_ROUNDS
+the values that are left in a bracket are counted one by one, whatever their number.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
@@ -24,6 +29,9 @@ from veritable.schema import ROW_ID
 BRACKET_ROWS = 200_000
 SAMPLE_ROWS = 100_000
 TEXT_SAMPLE_ROWS = 500
+# Text pivots are prefixes, twice as long in each round; the sample is bounded in bytes too.
+TEXT_PIVOT_CHARS = 64
+MAX_ROUNDS = 24
 
 
 @dataclass(frozen=True)
@@ -65,16 +73,18 @@ def _is_text(df: DataFrame, key: Column) -> bool:
     return isinstance(df.select(key).schema[0].dataType, T.StringType)
 
 
-def _pivots(df: DataFrame, intervals: dict[tuple, tuple[_Interval, list[int]]]) -> list[list[Any]]:
+def _pivots(
+    df: DataFrame, intervals: dict[tuple, tuple[_Interval, list[int]]], turn: int
+) -> list[list[Any]]:
     """Values around each wanted rank, from a sample of every interval, in one scan.
 
-    The draw hashes the row id, so a task that is run again picks the same rows.
+    The draw hashes the row id and the round, so a task that is run again picks the same rows
+    and a round without progress is not repeated.
     """
     spots = list(intervals.values())
     sizes = [TEXT_SAMPLE_ROWS if _is_text(df, spot.key) else SAMPLE_ROWS for spot, _ in spots]
     rates = [min(1.0, size / spot.rows) for size, (spot, _) in zip(sizes, spots)]
-    seed = sum(spot.rows for spot, _ in spots)
-    draw = F.shiftrightunsigned(F.xxhash64(ROW_ID, F.lit(seed)), 33)
+    draw = F.shiftrightunsigned(F.xxhash64(ROW_ID, F.lit(turn)), 33)
     # rows that no interval draws are dropped before the aggregate sees them
     rows = df.where(draw < F.lit(max(rates) * 2.0**31))
     picks, places = [], []
@@ -82,9 +92,11 @@ def _pivots(df: DataFrame, intervals: dict[tuple, tuple[_Interval, list[int]]])
         margin = 0.001 + 2.0 / min(size, spot.rows) ** 0.5
         ends = [spot.share(r) + side for r in ranks for side in (-margin, margin)]
         shares = [min(1.0, max(0.0, end)) for end in ends]
-        sampled = F.when(spot.holds() & (draw < F.lit(rate * 2.0**31)), spot.key)
-        # there is no approximate percentile of text; its sample is small enough to sort
         is_text = size == TEXT_SAMPLE_ROWS
+        # any text can be a pivot, so a prefix will do
+        drawn = F.substring(spot.key, 1, TEXT_PIVOT_CHARS << turn) if is_text else spot.key
+        sampled = F.when(spot.holds() & (draw < F.lit(rate * 2.0**31)), drawn)
+        # there is no approximate percentile of text; its sample is small enough to sort
         pick = (
             F.sort_array(F.collect_list(sampled)) if is_text
             else F.percentile_approx(sampled, F.array(*map(F.lit, shares)), 1_000)
@@ -99,8 +111,8 @@ def _pivots(df: DataFrame, intervals: dict[tuple, tuple[_Interval, list[int]]])
 
 
 def _narrow(df: DataFrame, spots: list[_Interval], ranks: list[int], values: list, limit: int) -> None:
-    """Shrink the interval of every rank until it holds at most ``limit`` rows."""
-    while True:
+    """Shrink the interval of every rank until it holds at most ``limit`` rows, or rounds run out."""
+    for turn in range(MAX_ROUNDS):
         todo = [i for i, s in enumerate(spots) if values[i] is None and s.rows > limit]
         if not todo:
             return
@@ -108,7 +120,7 @@ def _narrow(df: DataFrame, spots: list[_Interval], ranks: list[int], values: lis
         shared: dict[tuple, tuple[_Interval, list[int]]] = {}
         for i in todo:
             shared.setdefault(spots[i].ends, (spots[i], []))[1].append(ranks[i])
-        found = dict(zip(shared, _pivots(df, shared)))
+        found = dict(zip(shared, _pivots(df, shared, turn)))
         pivots = {(shared[e][0].slot, v): shared[e][0].key for e, vs in found.items() for v in vs}
         if not pivots:
             continue
@@ -132,13 +144,31 @@ def _narrow(df: DataFrame, spots: list[_Interval], ranks: list[int], values: lis
                 spots[i] = side
 
 
+def _without_nan(df: DataFrame, wanted: list[tuple[Column, int, list[int]]]) -> tuple[list[Column], list[int]]:
+    """The keys with NULL in place of NaN, and how many values that leaves."""
+    keys = [key for key, _, _ in wanted]
+    kinds = [f.dataType for f in df.select(*keys).schema]
+    floats = [i for i, kind in enumerate(kinds) if isinstance(kind, (T.DoubleType, T.FloatType))]
+    numbers = [rows for _, rows, _ in wanted]
+    if floats:
+        found = df.agg(*[F.count_if(F.isnan(keys[i])).alias(f"n{i}") for i in floats]).first()
+        for i, nans in zip(floats, found):
+            keys[i] = F.when(~F.isnan(keys[i]), keys[i])
+            numbers[i] -= nans
+    return keys, numbers
+
+
 def order_statistics(
     df: DataFrame, wanted: list[tuple[Column, int, list[int]]], limit: int = BRACKET_ROWS
 ) -> list[list[Any]]:
-    """The values at 0-based ranks; ``wanted`` holds (key, non-null rows, ranks)."""
-    spots = [_Interval(i, key, rows) for i, (key, rows, of) in enumerate(wanted) for _ in of]
+    """The values at 0-based ranks; ``wanted`` holds (key, non-null rows, ranks).
+
+    ``limit`` is the number of rows from which on a bracket is counted value by value.
+    """
+    keys, numbers = _without_nan(df, wanted)
+    spots = [_Interval(i, keys[i], numbers[i]) for i, (_, _, of) in enumerate(wanted) for _ in of]
     ranks = [rank for _, _, of in wanted for rank in of]
-    values: list[Any] = [None] * len(ranks)
+    values: list[Any] = [math.nan if rank >= spot.rows else None for spot, rank in zip(spots, ranks)]
     _narrow(df, spots, ranks, values, limit)
     rest = {s.ends: s for s, v in zip(spots, values) if v is None}
     if rest:

@@ -11,6 +11,7 @@ from veritable.dataset import Dataset
 from veritable.functions.scores import unit
 from veritable.functions.times import WEEKDAYS, bucket, month_name, weekday_name
 from veritable.schema import DATE
+from veritable.operators.labels import short_label, spelled
 from veritable.operators.profile import SMALL_SAMPLE
 
 TREND_MIN_BUCKETS = 3
@@ -54,6 +55,7 @@ def trend_fit(days: DataFrame) -> DataFrame:
 def trend_verdict(days: DataFrame) -> DataFrame:
     """Direction of the line, and how steady it is."""
     clear = (F.col("r_squared") >= TREND_MIN_R2) & (F.round("slope", 2) != 0)
+    # The words that metrics use for direction and steadiness.
     return trend_fit(days).where(F.col("buckets") >= TREND_MIN_BUCKETS).select(
         "*",
         F.when(~clear, "flat").when(F.col("slope") > 0, "increasing").otherwise("decreasing")
@@ -98,17 +100,17 @@ def label_weekdays(ds: Dataset, date: str, category: str, *more: Column) -> Data
     """Dated rows per label, in total and per weekday, and any further counters.
 
     One pass: every label is one row with its counters, so a frequent label does not
-    gather its rows anywhere.
+    gather its rows anywhere. Long labels are shortened (see ``labels``).
     """
     moment = ds.column(date, DATE).ref
     counters = [
         F.count_if(F.weekday(moment) == i).alias(day.lower()) for i, day in enumerate(WEEKDAYS)
     ]
-    labels = ds.df.where(moment.isNotNull()).groupBy(ds.column(category).label.alias("label"))
+    labels = ds.df.where(moment.isNotNull()).groupBy(short_label(ds.column(category)).alias("label"))
     return labels.agg(F.count("*").alias("label_rows"), *counters, *more)
 
 
-def leading_weekday(labels: DataFrame, category: str) -> DataFrame:
+def leading_weekday(ds: Dataset, labels: DataFrame, category: str) -> DataFrame:
     """The leading label and its own busiest weekday, if that is clearly ahead."""
     leader = labels.orderBy(F.desc("label_rows"), F.col("label").asc_nulls_last()).limit(1)
     days = F.array(*[
@@ -119,12 +121,12 @@ def leading_weekday(labels: DataFrame, category: str) -> DataFrame:
     share = F.col("count") / F.col("label_rows")
     skewed = (F.col("label_rows") >= SMALL_SAMPLE) & (share >= WEEKDAY_SKEW * EVEN_DAY)
     shown = [F.lit(category).alias("column"), "label", "label_rows", "weekday", "count"]
-    return top.where(skewed).select(*shown)
+    return spelled(ds, ds.column(category), top.where(skewed).select(*shown), "label")
 
 
 def category_peak_weekday(ds: Dataset, date: str, category: str) -> DataFrame:
     """``leading_weekday`` of a text column."""
-    return leading_weekday(label_weekdays(ds, date, category), category)
+    return leading_weekday(ds, label_weekdays(ds, date, category), category)
 
 
 def edge_days(days: DataFrame, count: int) -> tuple[datetime, datetime] | None:

@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.dataset import Dataset
 from veritable.operators import profile
@@ -20,6 +21,7 @@ from veritable.plans.findings import FINDING_SCHEMA, limitation, names, one_row
 from veritable.plans.lens import apply_lens, audience_mode
 from veritable.plans.ranking import follow_ups, key_takeaways, one_question, top_findings
 from veritable.plans.sections import Facts
+from veritable.schema import ROW_ID
 from veritable.session import localize, small_table
 
 log = logging.getLogger(__name__)
@@ -58,13 +60,16 @@ class Report:
     column_types: dict[str, str]
 
     @staticmethod
-    def _sample_message(rows: int) -> str:
+    def _sample_message(rows: int | None) -> str:
+        if rows is None:
+            return "The rows could not be counted."
         if rows < SMALL_SAMPLE:
             return f"There are {rows} rows, fewer than {SMALL_SAMPLE}: take every finding as a hint."
         return f"{rows} rows are enough for these checks."
 
     def as_dict(self) -> dict[str, Any]:
         quality = self.quality.first()
+        rows = quality.rows if quality else None
         span = self.date_range.first()
         insights = []
         for row in self.findings.orderBy("position").collect():
@@ -86,15 +91,15 @@ class Report:
             "dataset_id": self.dataset_id,
             "mode": self.mode,
             "summary": {
-                "rows": quality.rows, "columns": quality.columns, "column_types": self.column_types,
+                "rows": rows, "columns": len(self.column_types), "column_types": self.column_types,
                 "date_range": span.asDict() if span else None, "key_numbers": numbers,
             },
             "data_quality": {
-                "missing_by_column": blanks, "duplicate_rows": quality.duplicate_rows,
+                "missing_by_column": blanks, "duplicate_rows": quality.duplicate_rows if quality else None,
                 "duplicate_example_rows": examples,
                 "small_sample_warning": {
-                    "triggered": quality.small_sample, "row_count": quality.rows,
-                    "threshold": SMALL_SAMPLE, "message": self._sample_message(quality.rows),
+                    "triggered": bool(quality and quality.small_sample), "row_count": rows,
+                    "threshold": SMALL_SAMPLE, "message": self._sample_message(rows),
                 },
             },
             "insights": insights,
@@ -112,12 +117,18 @@ def guarded(facts: Facts, title: str, category: str, build: Section) -> list:
         return build(facts).collect()
     except Exception as exc:  # any failure of one section must leave the others standing
         log.warning("section %s failed: %r", title, exc)
-        return limitation(
-            one_row(facts.spark, failed=True), id=f"{title.lower().replace(' ', '_')}_unavailable",
-            title=f"{title}: not available", category=category, topic="limitation",
-            plain=f"This check could not be computed ({type(exc).__name__}), so it makes no claim.",
-            evidence_columns=names(facts.ds.names), check_next="Try again, or try a smaller slice.",
-        ).collect()
+        return unavailable(facts, title, category, exc)
+
+
+def unavailable(facts: Facts, title: str, category: str, exc: Exception) -> list:
+    """The limitation that stands where a part of the report failed."""
+    return limitation(
+        one_row(facts.spark, failed=True), id=f"{title.lower().replace(' ', '_')}_unavailable",
+        title=f"{title}: left out", category=category, topic="limitation",
+        plain=f"Computing this part ended with {type(exc).__name__}. Nothing is said about it here; "
+              "all other parts are unaffected.",
+        evidence_columns=names(facts.ds.names), check_next="Run the report on a narrower slice, or read the log for the cause.",
+    ).collect()
 
 
 def prepared(facts: Facts) -> DataFrame:
@@ -136,14 +147,11 @@ def section_findings(facts: Facts) -> DataFrame:
             check_next="Remove or loosen a filter.",
         ).collect()
     else:
-        try:
-            guarded(facts, "Shared counts", "executive_summary", prepared)
-            # sections only wait for Spark; side by side their small jobs fill the cluster
-            with ThreadPoolExecutor(max_workers=PARALLEL_SECTIONS) as pool:
-                results = pool.map(lambda section: guarded(facts, *section), SECTIONS)
-            rows = [row for result in results for row in result]
-        finally:
-            facts.release()
+        rows = guarded(facts, "Shared counts", "executive_summary", prepared)
+        # sections only wait for Spark; side by side their small jobs fill the cluster
+        with ThreadPoolExecutor(max_workers=PARALLEL_SECTIONS) as pool:
+            results = pool.map(lambda section: guarded(facts, *section), SECTIONS)
+        rows += [row for result in results for row in result]
     numbered = [(ds.name, 100 * (i + 1), *row[2:]) for i, row in enumerate(rows)]
     return small_table(facts.spark, numbered, FINDING_SCHEMA)
 
@@ -155,28 +163,69 @@ def with_headlines(findings: DataFrame) -> DataFrame:
     return findings.unionByName(tops)
 
 
+@dataclass
+class _Parts:
+    """Parts of a report, each computed on its own; one that fails is left empty and said so."""
+
+    facts: Facts
+    failed: list
+
+    def take(self, title: str, build: Callable[[], DataFrame], empty: str | T.StructType) -> DataFrame:
+        try:
+            return localize(build())
+        except Exception as exc:  # any failure of one part must leave the others standing
+            log.warning("part %s failed: %r", title, exc)
+            self.failed += unavailable(self.facts, title, "executive_summary", exc)
+            return self.facts.spark.createDataFrame([], empty)
+
+
+_QUALITY = (
+    "rows long, columns int, numeric_columns int, date_columns int, text_columns int, duplicate_rows long, "
+    "mean_missing double, small_sample boolean"
+)
+_MISSING = "position int, column string, type string, missing long, missing_fraction double, missing_pct double"
+_NUMBERS = "position int, column string, sum double, avg double, min double, max double"
+_RANGE = "column string, min string, max string, span_days long"
+_TAKEAWAYS = "dataset_id string, rank int, source_insight string, text string"
+_QUESTIONS = "position int, text string"
+
+
 def build_report(ds: Dataset, filters: str | list[dict] | None = None, mode: str | None = None) -> Report:
-    """The report over a dataset, optionally filtered and worded for an audience."""
+    """The report over a dataset, optionally filtered and worded for an audience.
+
+    Whatever cannot be computed is missing from the report and named in a limitation; the rest
+    of the report stands.
+    """
     ds = ds.slice(filters)
     facts = Facts(ds)
-    found = section_findings(facts)
+    parts = _Parts(facts, [])
+    take = parts.take
+    found = take("Findings", lambda: section_findings(facts), FINDING_SCHEMA)
     body = found.where("category <> 'executive_summary'")
-    quality = localize(profile.data_quality(ds, facts.base))
-    duplicates = quality.first().duplicate_rows
-    # without duplicates no search for examples is needed
-    copies = ds if duplicates else ds.where(F.lit(False))
-    if facts.total == 0:
-        questions = one_question(facts.spark, "Which filter leaves no rows?")
-        worded = apply_lens(found, mode)
+    quality = take("Data quality", lambda: profile.data_quality(ds, facts.base), _QUALITY)
+    known = quality.first()
+    duplicates = known.duplicate_rows if known else 0
+    examples = take(
+        # without duplicates no search for examples is needed
+        "Duplicate examples", lambda: profile.duplicate_examples(ds if duplicates else ds.where(F.lit(False)), known.rows if known else 0),
+        f"{ROW_ID} long",
+    )
+    if known and known.rows == 0:
+        questions = one_question(facts.spark, "Which of the filters, taken alone, still keeps rows?")
+        headed = found
     else:
-        questions = follow_ups(body, duplicates)
-        worded = apply_lens(with_headlines(found), mode)
+        questions = take("Questions", lambda: follow_ups(body, duplicates), _QUESTIONS)
+        headed = take("Headlines", lambda: with_headlines(found), FINDING_SCHEMA) if not found.isEmpty() else found
+        headed = found if headed.isEmpty() else headed
+    missing = take("Missing values", lambda: profile.missing_by_column(ds, facts.base), _MISSING)
+    numbers = take("Key numbers", lambda: profile.key_numbers(ds, facts.base), _NUMBERS)
+    span = take("Date range", lambda: profile.date_range(ds, facts.base), _RANGE)
+    takeaways = take("Takeaways", lambda: key_takeaways(body), _TAKEAWAYS)
+    if parts.failed:
+        noted = [(ds.name, 90_000 + i, *row[2:]) for i, row in enumerate(parts.failed)]
+        headed = headed.unionByName(small_table(facts.spark, noted, FINDING_SCHEMA))
     return Report(
-        dataset_id=ds.name, mode=audience_mode(mode), quality=quality,
-        missing=profile.missing_by_column(ds, facts.base),
-        key_numbers=profile.key_numbers(ds, facts.base),
-        date_range=profile.date_range(ds, facts.base), 
-        duplicate_examples=profile.duplicate_examples(copies, facts.total),
-        findings=worded.orderBy("position"), takeaways=key_takeaways(body), questions=questions,
-        column_types={c.name: c.kind for c in ds.columns},
+        dataset_id=ds.name, mode=audience_mode(mode), quality=quality, missing=missing, key_numbers=numbers,
+        date_range=span, duplicate_examples=examples, findings=apply_lens(headed, mode).orderBy("position"),
+        takeaways=takeaways, questions=questions, column_types={c.name: c.kind for c in ds.columns},
     )

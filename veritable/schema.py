@@ -40,6 +40,16 @@ class ColumnInfo:
     def ref(self) -> Column:
         return ref(self.name)
 
+    @property
+    def is_float(self) -> bool:
+        return isinstance(self.dtype, (T.DoubleType, T.FloatType))
+
+    @property
+    def measured(self) -> Column:
+        """The column as a double that can be measured with: NaN, which has no size, is NULL."""
+        value = self.ref.cast("double")
+        return F.when(~F.isnan(value), value) if self.is_float else value
+
     @property
     def label(self) -> Column:
         """The column as text, the form in which values are grouped and shown."""
@@ -90,7 +100,5 @@ def describe(schema: T.StructType) -> tuple[ColumnInfo, ...]:
 
 
 def named_like_identifier(name: str) -> bool:
-    lowered = name.lower()
-    if lowered == "id" or lowered.endswith("_id"):
-        return True
-    return not IDENTIFIER_TOKENS.isdisjoint(re.split(r"[^a-z0-9]+", lowered))
+    """Whether one of the words of a column name says identifier."""
+    return any(word in IDENTIFIER_TOKENS for word in re.findall(r"[a-z0-9]+", name.lower()))

@@ -34,13 +34,21 @@ def _local_scratch() -> str:
     return tempfile.mkdtemp(prefix="veritable-")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_scratch()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (local tests) a temporary folder is taken.
+    A session that runs in this process alone may lack the setting; it gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch()
-    return f"{root.rstrip('/')}/veritable/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark).rstrip('/')}/veritable/{name}-{uuid.uuid4().hex}"
 
 
 def small_table(spark: SparkSession, rows: Sequence[Sequence[Any]], schema: T.StructType) -> DataFrame:

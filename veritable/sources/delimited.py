@@ -15,6 +15,9 @@ from veritable.schema import ref
 SEPARATORS = [",", "\t", ";", "|"]
 
 _READ_OPTIONS = {"header": True, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
+_RAGGED = "__line"
+_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+_OFFSET = r"\d{1,2}:\d{2}.*(Z|UTC|GMT|[+-]\d{2}(:?\d{2})?)\s*$"
 _CLOCK_TIME = r"^\s*\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*$"
 
 
@@ -24,8 +27,8 @@ def scan_delimited(
 ) -> DataFrame:
     """A CSV or TSV file or folder with a header row; types come from all rows.
 
-    Ragged rows are padded with NULLs, repeated and empty header names get a suffix. A
-    row cap loads the first rows only. ``multiline`` tells whether quoted fields hold
+    Short rows are padded with NULLs, longer ones get further columns; repeated and empty
+    header names get a suffix. A row cap loads the first rows only. ``multiline`` tells whether quoted fields hold
     line breaks; by default the text is searched for them.
     """
     lines = spark.read.text(path)
@@ -89,21 +92,52 @@ def header_names(header: str, sep: str, width: int) -> list[str]:
 
 
 def _typed(read, header: str, sep: str) -> DataFrame:
-    """Infer types over all rows; clock times stay text, moments have no time zone."""
+    """Infer types over all rows. Clock times stay text; moments have no time zone, and those
+    written with an offset are given in UTC. Cells beyond the header become text columns.
+    """
     inferred = read(inferSchema=True)
-    names = header_names(header, sep, len(inferred.columns))
-    plain = [f"_c{i}" for i in range(len(names))]
+    width = len(inferred.columns)
+    plain = [f"_c{i}" for i in range(width)]
     moments = [i for i, f in enumerate(inferred.schema) if isinstance(f.dataType, T.TimestampType)]
     types = [f.dataType for f in inferred.schema]
-    if moments:
+    raw = read(
+        schema=_schema([*plain, _RAGGED], [T.StringType()] * (width + 1)), columnNameOfCorruptRecord=_RAGGED,
+    )
+    cells = F.size(F.split(F.col(_RAGGED), re.escape(sep)))
+    # the reader only knows lines of odd length where every column is read
+    looks = {"cells": F.max(F.when(F.col(_RAGGED).isNotNull(), cells))} | {f"filled{c}": F.count(c) for c in plain}
+    for i in moments:
         # a bare clock time would be read as a moment of today
-        raw = read(schema=_schema(plain, [T.StringType()] * len(plain)))
-        clock = raw.agg(*[
-            F.coalesce(F.bool_or(F.col(plain[i]).rlike(_CLOCK_TIME)), F.lit(False)) for i in moments
-        ]).first()
-        for i, is_clock in zip(moments, clock):
-            types[i] = T.StringType() if is_clock else T.TimestampNTZType()
-    return read(schema=_schema(plain, types)).toDF(*names)
+        looks[f"clock{i}"] = F.bool_or(F.col(plain[i]).rlike(_CLOCK_TIME))
+        looks[f"zoned{i}"] = F.bool_or(F.col(plain[i]).rlike(_OFFSET))
+    seen = raw.agg(*[look.alias(name) for name, look in looks.items()]).first()
+    for i in moments:
+        clock, zoned = seen[f"clock{i}"], seen[f"zoned{i}"]
+        types[i] = T.StringType() if clock else T.TimestampType() if zoned else T.TimestampNTZType()
+    extra = _cells_beyond(raw, width, seen.cells, sep)
+    names = header_names(header, sep, width + extra)
+    table = read(schema=_schema([f"_c{i}" for i in range(width + extra)], types + [T.StringType()] * extra))
+    in_utc = [
+        F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(f"_c{i}", F.current_timezone()), _MICROS)).alias(f"_c{i}")
+        if i < width and isinstance(types[i], T.TimestampType) else F.col(f"_c{i}")
+        for i in range(width + extra)
+    ]
+    return table.select(*in_utc).toDF(*names)
+
+
+def _cells_beyond(raw: DataFrame, width: int, cells: int | None, sep: str) -> int:
+    """How many cells the longest row has beyond the header.
+
+    Lines of another length than the header are parsed again, as wide as their separators allow.
+    """
+    if not cells or cells <= width:
+        return 0
+    wide = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(cells)])
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    parsed = F.from_csv(F.col(_RAGGED), F.lit(wide.simpleString()[7:-1].replace(":", " ")), options)
+    filled = F.greatest(*[F.when(parsed[f"_c{i}"].isNotNull(), i + 1) for i in range(width - 1, cells)], F.lit(width))
+    every = [F.count(c) for c in raw.columns]
+    return raw.where(F.col(_RAGGED).isNotNull()).agg(F.max(filled), *every).first()[0] - width
 
 
 def _schema(names: list[str], types: list[T.DataType]) -> T.StructType:

@@ -12,8 +12,6 @@ from veritable.operators.rows import sorted_rows
 from veritable.plans.report import Report
 from veritable.schema import DATE, ColumnInfo
 
-MAX_REPORT_BYTES = 4 * 1024 * 1024
-
 # NULL and the empty string are both written as nothing; quotes are doubled.
 CSV_OPTIONS = {
     "header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "",
@@ -42,9 +40,6 @@ def export_view(
 
 def save_report(report: Report, path: str) -> None:
     """Store the findings of a report, one folder per dataset."""
-    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    if report.findings.agg(size).first()[0] > MAX_REPORT_BYTES:
-        raise ValueError("the report is too large to store")
     report.findings.coalesce(1).write.mode("append").partitionBy("dataset_id").parquet(path)
 
 

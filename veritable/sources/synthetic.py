@@ -1,4 +1,4 @@
-"""Sample tables: a uniform one for scale and one with planted patterns."""
+"""A uniform sample table of any size."""
 
 from __future__ import annotations
 
@@ -9,12 +9,8 @@ from pyspark.sql import functions as F
 
 from veritable.schema import ROW_ID
 
-# Labels of the sample columns.
-CATEGORIES = ["Network", "Security", "Application", "Database", "Other"]
-REGIONS = ["North", "South", "East", "West", "Central"]
-PRODUCT_LINES = ["Alpha", "Bravo", "Charlie", "Delta"]
-WEDNESDAY_FACTOR = 2.5
-SPIKE_REVENUE = 500_000.0
+CATEGORIES = ["copper", "flint", "amber", "slate"]
+REGIONS = ["coast", "hills", "plain"]
 DEFAULT_ROWS = 10_000_000
 
 
@@ -40,37 +36,3 @@ def uniform_table(
         _pick(REGIONS, seed + 3).alias("region"),
         F.col("id").alias(ROW_ID),
     )
-
-
-def story_table(
-    spark: SparkSession, days: int = 180, seed: int = 42, start: dt.date | None = None
-) -> DataFrame:
-    """Daily sales whose volume grows, peaks on Wednesdays, and is led by one product.
-
-    Revenue rises by about 18 a day; one row in the second quarter is a planted spike.
-    """
-    first = F.lit(start or dt.date.today() - dt.timedelta(days=days))
-    day = F.date_add(first, F.col("d").cast("int"))
-    volume = F.greatest(F.lit(1.0), F.rint(6 + 0.20 * F.col("d") + 1.2 * F.randn(seed)))
-    midweek = F.greatest(F.lit(1.0), F.rint(F.col("volume") * WEDNESDAY_FACTOR))
-    calendar = (
-        spark.range(days).withColumnRenamed("id", "d")
-        .select("d", day.alias("date"), volume.alias("volume"))
-        .withColumn("n", F.when(F.weekday("date") == 2, midweek).otherwise(F.col("volume")).cast("int"))
-    )
-    sales = calendar.select("d", "date", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("sale"))
-    units = F.rint(F.lit(22) + F.rand(seed + 1) * 16 + 0.04 * F.col("d")).cast("long")
-    income = 900 + 18.0 * F.col("d") + 30.0 * (F.col("units_sold") - 30) + 200 * F.randn(seed + 2)
-    leading = F.rand(seed + 3) < 0.65
-    # a day in the second quarter of the rows; its first sale gets the spike
-    spike = (F.col("d") == int(days * 0.6)) & (F.col("sale") == 1)
-    return (
-        sales.withColumn("units_sold", units)
-        .withColumn("revenue", F.greatest(F.lit(50.0), F.round(income, 2)))
-        .select(
-            "date", "units_sold",
-            F.when(spike, SPIKE_REVENUE).otherwise(F.col("revenue")).alias("revenue"),
-            F.when(leading, PRODUCT_LINES[0]).otherwise(_pick(PRODUCT_LINES[1:], seed + 4)).alias("product_line"),
-            _pick(REGIONS, seed + 5).alias("region"),
-        )
-    )
