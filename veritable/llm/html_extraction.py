@@ -361,8 +361,15 @@ def trained(texts: Sequence[str], pages: int = TRAIN_PAGES, epochs: int = EPOCHS
 
 
 def sample_texts(pages: DataFrame, html: str = "html", sample_pages: int = SAMPLE_PAGES) -> list[str]:
-    """Texts of blocks of at most `sample_pages` pages, at most 2,000 characters of each."""
-    rows = pages.select(F.col(html).alias("h")).filter("h is not null").orderBy(F.xxhash64("h")).limit(sample_pages)
+    """Texts of blocks of at most `sample_pages` pages, at most 2,000 characters of each.
+
+    Pages whose hash lies in a share of all hashes that should hold a few times as many are
+    ranked, so that tasks send few pages however many tasks there are.
+    """
+    share = min(1.0, 4 * sample_pages / max(pages.count(), 1))
+    place = F.shiftrightunsigned(F.xxhash64("h"), 33)
+    rows = pages.select(F.col(html).alias("h")).filter("h is not null").filter(place <= F.lit(int(share * 2.0**31)))
+    rows = rows.orderBy(place, "h").limit(sample_pages)
     return [b.text[:2000] for row in rows.collect() for b in blocks(row["h"])]
 
 
