@@ -65,7 +65,9 @@ def archive(pages: DataFrame, order: Sequence[str], url: str = "url", payload: s
 
     rows = pages.select(record_bytes(F.col(url), F.col(payload)).alias("record"), *names)
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartitionByRange(parts, *names, "record").sortWithinPartitions(*names, "record")
+    # ties go by a hash of the record: sort keys are sampled on the driver, so they must be short
+    keys = [*names, F.xxhash64("record")]
+    spread = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return spread.mapInArrow(run, f"archive string, offset long, length long, {kinds}")
 
