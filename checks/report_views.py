@@ -215,22 +215,48 @@ _METRICS = " UNION ALL ".join(
         ("anomaly_value", "values_checked", '"values"', "stats WHERE \"column\" = 'value'"),
         ("what_changed", "first_half_rows", "first_rows", "top"),
         ("what_changed", "second_half_rows", "second_rows", "top"),
+        ("what_changed", "dimension", "'kind'", "top"),
+        ("what_changed", "top_movers[0].label", "label", "top"),
+    ]
+)
+# Numbers that are compared to two decimals.
+_DECIMALS = " UNION ALL ".join(
+    f"SELECT '{id}' AS id, '{name}' AS name, CAST(CAST(round(100 * ({value})) AS BIGINT) AS VARCHAR) AS value FROM {source}"
+    for id, name, value, source in [
+        ("missing_data", "worst_missing_pct", "100 * kind_missing", "t"),
+        ("concentration_channel", "share_pct", "100 * share", "reported WHERE \"column\" = 'channel' AND distinct_values > 1 AND share >= 0.40"),
+        ("trend", "slope_per_day", "slope", "verdict"), ("trend", "r_squared", "r_squared", "verdict"),
+        ("time_pattern", "busiest_weekday_pct", "100 * share", "busiest"),
+        ("correlation_top", "pearson_r", "r", "pairs"), ("correlation_top", "r_squared", "r * r", "pairs"),
+        ("anomaly_value", "q1", "q1", "stats WHERE \"column\" = 'value'"), ("anomaly_value", "q3", "q3", "stats WHERE \"column\" = 'value'"),
+        ("anomaly_value", "upper_fence", "upper_fence", "stats WHERE \"column\" = 'value'"),
+        ("anomaly_value", "max_outlier", "max_outlier", "stats WHERE \"column\" = 'value'"),
+        ("anomaly_value", "outlier_pct", "100 * outliers / \"values\"", "stats WHERE \"column\" = 'value'"),
     ]
 )
 
 
-@query("finding_metrics", f"{_REPORT} {_METRICS}")
+@query("finding_metrics", f"{_REPORT} {_METRICS} UNION ALL {_DECIMALS}")
 def finding_metrics(spark, folder):
     fields = {
         "concentration_channel": ["dominant_value", "count", "runner_up"], "single_value_status": ["only_value"],
         "trend": ["buckets", "direction", "first_bucket_count"],
         "time_pattern": ["busiest_weekday", "dated_rows"], "correlation_top": ["n"],
         "anomaly_value": ["outlier_count", "values_checked"],
-        "what_changed": ["first_half_rows", "second_half_rows"],
+        "what_changed": ["first_half_rows", "second_half_rows", "dimension", "top_movers[0].label"],
     }
+    decimals = {
+        "missing_data": ["worst_missing_pct"], "concentration_channel": ["share_pct"], "trend": ["slope_per_day", "r_squared"],
+        "time_pattern": ["busiest_weekday_pct"], "correlation_top": ["pearson_r", "r_squared"],
+        "anomaly_value": ["q1", "q3", "upper_fence", "max_outlier", "outlier_pct"],
+    }
+
+    def hundredths(name):
+        return F.round(_metric(name).cast("double") * 100).cast("long").cast("string")
+
     pairs = [
-        F.when(F.col("id") == id, F.struct(F.lit(name).alias("name"), _metric(name).alias("value")))
-        for id, names in fields.items() for name in names
+        F.when(F.col("id") == id, F.struct(F.lit(name).alias("name"), read(name).alias("value")))
+        for listed, read in ((fields, _metric), (decimals, hundredths)) for id, names in listed.items() for name in names
     ]
     wanted = F.inline(F.array_compact(F.array(*pairs)))
     return _findings(spark, folder).select("id", wanted)

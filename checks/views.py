@@ -206,9 +206,8 @@ def sort_desc(spark, folder):
 )
 def page_query(spark, folder):
     ds = gappy_events(spark, folder).slice([{"col": "user_id", "op": "gte", "value": 10}])
-    page = rows.page(ds, number=3, size=100, sort_by="value", sort_order="desc")
-    total = F.lit(ds.count_rows()).alias("total_count")
-    return with_iso(ds, page).select("*", F.col("event_id").alias(ROW_ID), total)
+    page = rows.page(ds, number=3, size=100, sort_by="value", sort_order="desc", total=True)
+    return with_iso(ds, page, "total_count").withColumn(ROW_ID, F.col("event_id"))
 
 
 @query(

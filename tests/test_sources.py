@@ -88,7 +88,7 @@ def test_row_ids_over_many_files(spark, tmp_path):
 
 
 def test_row_ids_without_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(row_ids, "BROADCAST_FILES", 1)
+    monkeypatch.setattr(row_ids, "BROADCAST_FILES", 0)
     df = spark.range(0, 100, 1, 3).withColumnRenamed("id", "n")
     stored = row_ids.write_with_row_ids(df, str(tmp_path / "t"))
     assert {r.n: r[ROW_ID] for r in stored.collect()} == {i: i for i in range(100)}
@@ -166,3 +166,30 @@ def test_cells_beyond_the_header_are_kept(spark, tmp_path):
 def test_quoted_separators_add_no_column(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,"x,y,z"\n2\n')
     assert scan_delimited(spark, str(tmp_path)).columns == ["a", "b"]
+
+
+def test_files_are_numbered_by_part(spark, tmp_path):
+    for name, low in (("part-99999-x.parquet", 0), ("part-100000-x.parquet", 3), ("part-00002-x.parquet", 9), ("other.parquet", 20)):
+        one = str(tmp_path / "one" / name)
+        spark.range(low, low + 3).coalesce(1).write.parquet(one)
+        (tmp_path / "t").mkdir(exist_ok=True)
+        next((tmp_path / "one" / name).glob("part-*.parquet")).rename(tmp_path / "t" / name)
+    found = row_ids.read_with_row_ids(spark, str(tmp_path / "t")).orderBy(ROW_ID).collect()
+    assert [r.id for r in found] == [9, 10, 11, 0, 1, 2, 3, 4, 5, 20, 21, 22]
+
+
+def test_a_version_is_written_once(spark, tmp_path):
+    stored = row_ids.write_with_row_ids(spark.range(100).repartition(4), str(tmp_path / "v"))
+    assert sorted(p.name for p in (tmp_path / "v").iterdir()) == ["offsets", "raw"]
+    assert sorted(r[0] for r in stored.select(ROW_ID).collect()) == list(range(100))
+
+
+def test_an_older_load_does_not_hide_a_newer_one(spark, tmp_path):
+    root = str(tmp_path / "race")
+
+    def slow():
+        versions.refresh(spark, root, lambda: spark.range(2))
+        return spark.range(1)
+
+    versions.refresh(spark, root, slow)
+    assert versions.current(spark, root).count_rows() == 2

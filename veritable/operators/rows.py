@@ -61,8 +61,9 @@ def page(
     sort_by: str | None = None,
     sort_order: str = "asc",
     shallow_rows: int = SHALLOW_ROWS,
+    total: bool = False,
 ) -> DataFrame:
-    """One page of the sorted view, in order.
+    """One page of the sorted view, in order; with ``total``, the rows of the view in a column ``total_count``.
 
     The ids of the page are found first, reading the sort key only; the other columns
     are then read for these ids.
@@ -75,7 +76,8 @@ def page(
         narrow, skip = _seek(narrow, skip, sort_by, sort_order, shallow_rows), 0
     view = narrow.df.orderBy(*ordering(narrow, sort_by, sort_order)).offset(skip).limit(size)
     ids = [row[0] for row in view.select(ROW_ID).collect()]
-    return _fetch(ds, ids).orderBy("pos").drop("pos")
+    shown = _fetch(ds, ids).orderBy("pos").drop("pos")
+    return shown.withColumn("total_count", F.lit(ds.count_rows())) if total else shown
 
 
 def _id_prefix(ds: Dataset, need: int, prefix_ids: int = PREFIX_IDS) -> Dataset:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from veritable.dataset import Dataset
 from veritable.sources.delimited import validate
-from veritable.sources.row_ids import write_with_row_ids
+from veritable.sources.row_ids import read_stored, write_with_row_ids
 
-_LOG_SCHEMA = "version long, path string, row_count long, refreshed_at timestamp"
+_LOG_SCHEMA = "version long, path string, row_count long, started_at timestamp, refreshed_at timestamp"
 
 
 def _log(spark: SparkSession, root: str) -> DataFrame:
@@ -24,11 +24,15 @@ def _log(spark: SparkSession, root: str) -> DataFrame:
 
 
 def current(spark: SparkSession, root: str, name: str = "dataset") -> Dataset:
-    """The latest complete version."""
-    latest = _log(spark, root).orderBy(F.desc("version"), F.desc("refreshed_at")).first()
+    """The complete version whose load began last.
+
+    Two writers may take one number; the order of their starts decides, so that an older load
+    never hides a newer one.
+    """
+    latest = _log(spark, root).orderBy(F.desc("started_at"), F.desc("refreshed_at"), "path").first()
     if latest is None:
         raise ValueError(f"{root} holds no data yet")
-    return Dataset.of(spark.read.parquet(f"{latest.path}/rows"), name=name)
+    return Dataset.of(read_stored(spark, latest.path), name=name)
 
 
 def refresh(
@@ -37,8 +41,10 @@ def refresh(
     """Load, check and store a new version, then make it current.
 
     Readers find versions through the log, which is appended to last. When loading or
-    checking fails, the log and with it the current version stay as they are.
+    checking fails, the log and with it the current version stay as they are. Folders of replaced
+    versions are left for the owner to remove: a reader may still be on them.
     """
+    started = spark.range(1).select(F.current_timestamp()).first()[0]
     table = validate(load())
     path = f"{root}/data/{uuid.uuid4().hex}"
     stored = write_with_row_ids(table, path)
@@ -46,7 +52,7 @@ def refresh(
     last = _log(spark, root).agg(F.max("version")).first()[0]
     entry = spark.range(1).select(
         F.lit((last or 0) + 1).cast("long").alias("version"), F.lit(path).alias("path"),
-        F.lit(rows).cast("long").alias("row_count"), F.current_timestamp().alias("refreshed_at"),
+        F.lit(rows).cast("long").alias("row_count"), F.lit(started).alias("started_at"), F.current_timestamp().alias("refreshed_at"),
     )
     entry.write.mode("append").parquet(f"{root}/versions")
     return Dataset.of(stored, name=name)
