@@ -79,16 +79,16 @@ class Rule:
     rejects: Callable[[dict[str, Column]], Column]
 
 
-#: Each measure from the text, as a long.
-MEASURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": lambda t: F.size(word_array(t)).cast("long"),
-    "word_chars": lambda t: F.length(F.translate(t, SPACE_CHARS, "")).cast("long"),
-    "n_symbols": lambda t: count_chars(t, SYMBOLS),
-    "n_dup_lines": lambda t: bind(word_lines(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-    "n_repeat_words": lambda t: repeat_words(word_array(t)),
-    "n_lines": lambda t: F.size(word_lines(t)).cast("long"),
-    "n_capitals": lambda t: count_chars(t, CAPITALS),
-    "n_shouts": lambda t: count_chars(t, "!"),
+#: Each measure from the text and its words, as a long.
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w).cast("long"),
+    "word_chars": lambda t, w: F.length(F.array_join(w, "")).cast("long"),
+    "n_symbols": lambda t, w: count_chars(t, SYMBOLS),
+    "n_dup_lines": lambda t, w: bind(word_lines(t), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+    "n_repeat_words": lambda t, w: repeat_words(w),
+    "n_lines": lambda t, w: F.size(word_lines(t)).cast("long"),
+    "n_capitals": lambda t, w: count_chars(t, CAPITALS),
+    "n_shouts": lambda t, w: count_chars(t, "!"),
 }
 
 RULES = (
@@ -103,8 +103,8 @@ RULES = (
 BASE_RULES = ("too_short", "repeats_itself")
 
 
-def rejection(rule: Rule, text: Column) -> Column:
-    return rule.rejects({name: MEASURES[name](text) for name in rule.reads})
+def rejection(rule: Rule, text: Column, words: Column) -> Column:
+    return rule.rejects({name: MEASURES[name](text, words) for name in rule.reads})
 
 
 def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -130,7 +130,7 @@ def ordered(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text",
         _, idle = timed(F.length("t") < 0)
         found = {}
         for rule in rules:
-            hits, spent = timed(rejection(rule, F.col("t")))
+            hits, spent = timed(rejection(rule, F.col("t"), word_array(F.col("t"))))
             cost = max(spent - idle, 1e-4)
             found[rule.name] = (hits / cost, -cost)
     finally:
@@ -149,7 +149,9 @@ def verdict(rules: Sequence[Rule], rejects: Callable[[Rule], Column]) -> Column:
 def filter_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows whose text no rule rejects, with all their columns."""
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.filter(verdict(ordered(docs, rules, text, sample_rows), lambda rule: rejection(rule, value)))
+    order = ordered(docs, rules, text, sample_rows)
+    # a filter would take its inputs in place of their names, and split the text for every rule
+    return docs.filter(bind(word_array(value), lambda words: verdict(order, lambda rule: rejection(rule, value, words))))
 
 
 def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -157,9 +159,8 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rule
     order = ordered(docs, rules, text, sample_rows)
     value = F.coalesce(F.col(text), F.lit(""))
     words = docs.select(F.col(id_column), value.alias("t"), word_array(value).alias("w"), word_lines(value).alias("l"))
-    of = {name: MEASURES[name](F.col("t")) for name in MEASURES}
+    of = {name: MEASURES[name](F.col("t"), F.col("w")) for name in MEASURES}
     of |= {
-        "n_words": F.size("w").cast("long"), "n_repeat_words": repeat_words(F.col("w")),
         "n_lines": F.size("l").cast("long"), "n_dup_lines": (F.size("l") - F.size(F.array_distinct("l"))).cast("long"),
     }
     measured = words.select(id_column, *[column.alias(name) for name, column in of.items()])
