@@ -39,7 +39,7 @@ THRESHOLD = 0.8
 TREES = 20
 DEPTH = 6
 RECALL = 0.9999
-BLOCK_TEXTS = 1024
+BLOCK_TEXTS = 256
 _COLUMNS = 4096
 
 
