@@ -198,6 +198,7 @@ def _metric(name):
     return F.get_json_object("supporting_metrics", f"$.{name}")
 
 
+_REAL = f"CASE WHEN {_trust('\"values\"', '0.0', '(1.0 - outliers / \"values\")')} >= 80 THEN 'true' END"
 _METRICS = " UNION ALL ".join(
     f"SELECT '{id}' AS id, '{name}' AS name, CAST({value} AS VARCHAR) AS value FROM {source}"
     for id, name, value, source in [
@@ -213,6 +214,8 @@ _METRICS = " UNION ALL ".join(
         ("correlation_top", "n", "n", "pairs"),
         ("anomaly_value", "outlier_count", "outliers", "stats WHERE \"column\" = 'value'"),
         ("anomaly_value", "values_checked", '"values"', "stats WHERE \"column\" = 'value'"),
+        ("anomaly_value", "rare_but_real", _REAL, "stats WHERE \"column\" = 'value'"),
+        ("anomaly_score", "rare_but_real", _REAL, "stats WHERE \"column\" = 'score'"),
         ("what_changed", "first_half_rows", "first_rows", "top"),
         ("what_changed", "second_half_rows", "second_rows", "top"),
         ("what_changed", "dimension", "'kind'", "top"),
@@ -242,7 +245,7 @@ def finding_metrics(spark, folder):
         "concentration_channel": ["dominant_value", "count", "runner_up"], "single_value_status": ["only_value"],
         "trend": ["buckets", "direction", "first_bucket_count"],
         "time_pattern": ["busiest_weekday", "dated_rows"], "correlation_top": ["n"],
-        "anomaly_value": ["outlier_count", "values_checked"],
+        "anomaly_value": ["outlier_count", "values_checked", "rare_but_real"], "anomaly_score": ["rare_but_real"],
         "what_changed": ["first_half_rows", "second_half_rows", "dimension", "top_movers[0].label"],
     }
     decimals = {

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from veritable.operators import change, concentration, outliers, relations, timeline
+from veritable.operators import change, charts, concentration, outliers, relations, timeline
+from veritable.operators.labels import spelled
 
 
 def days_of(make, counts, start=dt.date(2026, 1, 5)):
@@ -205,3 +206,22 @@ def test_half_volume(make):
     middle = change.time_midpoint(ds, "d").first().mid_epoch
     row = change.half_volume(ds, "d", middle).first()
     assert (row.first_rows, row.second_rows, row.delta, row.effect) == (3, 4, 1, pytest.approx(1 / 3))
+
+
+# --- long labels -----------------------------------------------------------------------
+
+
+def test_long_labels_are_grouped_short_and_shown_whole(make):
+    long, other = "a long label " * 20, "a long label " * 19 + "with another end"
+    rows = [(long, dt.datetime(2024, 1, 1 + i % 20)) for i in range(30)] + [(other, dt.datetime(2024, 1, 20))] * 20 + [("short", dt.datetime(2024, 1, 2))] * 10
+    ds = make(rows, "body string, at timestamp_ntz")
+    top = concentration.concentration(ds).first()
+    assert (top.label, top["count"], top.runner_up, top.distinct_values) == (long, 30, other, 3)
+    assert [(r.label, r["count"]) for r in charts.category_counts(ds, "body").collect()] == [(long, 30), (other, 20), ("short", 10)]
+    middle = change.time_midpoint(ds, "at").first().mid_epoch
+    halves = change.half_change(ds, "at", "body", middle)
+    assert {len(r.label) for r in halves.collect()} == {5, 64 + 1 + 64}
+    info = ds.column("body")
+    assert spelled(ds, info, change.top_mover(halves), "label").first().label == other
+    exchanged = [line for line in halves._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert exchanged and not any("body" in line for line in exchanged)
