@@ -68,6 +68,9 @@ def test_pages_against_their_article(spark, pages, labeller):
     ("<p>a<b>b</b>c &amp; d<br>e\n f</p>", ["abc & d e f"]), ("<p>one<p>two", ["one", "two"]), ("<ul><li>a<li>b</ul>c", ["a", "b", "c"]),
     ("<script>var a='<p>no</p>';</script><style>p{}</style>yes", ["yes"]), ("<title>t</title><head><meta></head><body>x", ["x"]),
     ("a <!-- <p>no</p> --> b", ["a b"]), ("<p title='a>b'>x</p>", ["x"]), ("1 < 2 &lt; 3", ["1 < 2 < 3"]), ("<div", ["<div"]), ("", []), (None, []),
+    ("<html><head><title>t</title><meta><body><p>x", ["x"]), ("<head><style>a</style><p>x</p>", ["x"]), ("a<!-->b<!-- no -->c<!-- no --!>d", ["abcd"]),
+    ("<P CLASS=a>x</P><DIV>y", ["x", "y"]), ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]),
+    ("<select><option>no</select>yes", ["yes"]), ("<ul><li>a<ul><li>b</ul><li>c</ul>d", ["a", "b", "c", "d"]),
     ("<svg><text>no</text></svg>yes", ["yes"]), ("</p></div>x</b>", ["x"]), ("<textarea><p>no</textarea>yes", ["yes"]), ("<script>open", []),
 ])
 def test_blocks(page, texts):

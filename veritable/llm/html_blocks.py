@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass, field
 
 # Fixed values of HTML: elements without content, elements whose text is not shown as text,
-# elements that start and end a block, and elements that close an open one of their kind.
+# elements that start and end a block, elements of the head, and elements that close an open one of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head template noscript svg math object select datalist canvas audio video".split())
@@ -20,6 +20,7 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+IN_HEAD = frozenset("base basefont bgsound html head link meta noscript script style template title".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
@@ -27,7 +28,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 ENDS_P = BLOCK - {"html", "body", "button", "label", "legend", "caption", "option", "tbody", "thead", "tfoot", "tr", "td", "th"}
 
 _MARKUP = re.compile(
-    r"<!--(?:.*?-->|>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"<!--(?:-?>|.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)>", re.S)
 _NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role|itemprop|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -79,6 +80,11 @@ class _Reader:
         del self.stack[at:]
 
     def open(self, tag: str, rest: str) -> None:
+        if tag not in IN_HEAD:  # what cannot stand in the head ends it
+            for k, o in enumerate(self.stack[:3]):
+                if o.tag == "head":
+                    self.pop_to(k)
+                    break
         if tag in BLOCK:
             self.flush()
         elif tag in ("br", "wbr", "img", "input"):
@@ -93,12 +99,13 @@ class _Reader:
                 if self.stack[k].tag in BLOCK:
                     break
         if tag in CLOSES:
+            at = len(self.stack)
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k].tag in CLOSES[tag]:
-                    self.pop_to(k)
-                    break
-                if self.stack[k].tag in SCOPES[tag]:
+                    at = k
+                elif self.stack[k].tag in SCOPES[tag]:
                     break
+            self.pop_to(at)
         names, marked = [], False
         if rest:
             for kind, *values in _NAMES.findall(rest):
@@ -119,7 +126,7 @@ class _Reader:
             if self.stack[k].tag == tag:
                 self.pop_to(k)
                 return
-            if tag not in BLOCK and self.stack[k].tag in BLOCK and tag != "a":
+            if tag not in BLOCK | HIDDEN and self.stack[k].tag in BLOCK and tag != "a":
                 return
 
 
