@@ -42,7 +42,7 @@ def quartiles(
         ranks = [r for place in places for r in (place, min(place + 1, counts[i] - 1))]
         wanted.append((c.measured, counts[i], ranks))
     found = {}
-    for (i, _), values in zip(filled, order_statistics(ds.df, wanted, buffer_rows)):
+    for (i, _), values in zip(filled, order_statistics(ds.df, wanted, buffer_rows, nans=[0] * len(wanted))):
         for j, share in enumerate(shares):
             below, above = values[2 * j : 2 * j + 2]
             part = share * (counts[i] - 1) % 1

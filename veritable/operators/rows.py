@@ -100,24 +100,27 @@ def _seek(ds: Dataset, skip: int, sort_by: str | None, sort_order: str, limit: i
     the row id at the place are found by exact selection, and the page starts there.
     """
     row_id = F.col(ROW_ID)
-    at_start, later, place = F.lit(True), F.lit(False), skip
+    at_start, later, place, rows = F.lit(True), F.lit(False), skip, None
     if sort_by:
         info = ds.column(sort_by)
         key = {NUMBER: info.ref, DATE: epoch_micros(info.ref), TEXT: info.label}[info.kind]
         down = sort_order.lower() == "desc"
-        known = ds.df.agg(F.count(key)).first()[0]
+        nan = F.count_if(F.isnan(key)) if info.is_float else F.lit(0)
+        known, nans = ds.df.agg(F.count(key), nan).first()
         if skip >= known:  # the place lies among the NULLs, which come last
             at_start, place = key.isNull(), skip - known
         else:
             rank = known - 1 - skip if down else skip
-            [[value]] = order_statistics(ds.df, [(key, known, [rank])], limit)
+            [[value]] = order_statistics(ds.df, [(key, known, [rank])], limit, [nans])
             first = F.lit(value)
             at_start = key == first
             before, after = (key > first, key < first) if down else (key < first, key > first)
             later = after | key.isNull()
-            place = skip - ds.where(before).count_rows()
+            earlier, rows = ds.df.agg(F.count_if(before), F.count_if(at_start)).first()
+            place = skip - earlier
     ties = ds.where(at_start)
-    rows = ties.count_rows()
+    if rows is None:
+        rows = ties.count_rows()
     if place >= rows:
         return ds.where(F.lit(False))
     [[start]] = order_statistics(ties.df, [(row_id, rows, [place])], limit)

@@ -144,28 +144,31 @@ def _narrow(df: DataFrame, spots: list[_Interval], ranks: list[int], values: lis
                 spots[i] = side
 
 
-def _without_nan(df: DataFrame, wanted: list[tuple[Column, int, list[int]]]) -> tuple[list[Column], list[int]]:
+def _without_nan(
+    df: DataFrame, wanted: list[tuple[Column, int, list[int]]], nans: list[int] | None
+) -> tuple[list[Column], list[int]]:
     """The keys with NULL in place of NaN, and how many values that leaves."""
     keys = [key for key, _, _ in wanted]
     kinds = [f.dataType for f in df.select(*keys).schema]
     floats = [i for i, kind in enumerate(kinds) if isinstance(kind, (T.DoubleType, T.FloatType))]
-    numbers = [rows for _, rows, _ in wanted]
-    if floats:
+    if floats and nans is None:
         found = df.agg(*[F.count_if(F.isnan(keys[i])).alias(f"n{i}") for i in floats]).first()
-        for i, nans in zip(floats, found):
-            keys[i] = F.when(~F.isnan(keys[i]), keys[i])
-            numbers[i] -= nans
-    return keys, numbers
+        nans = [found[floats.index(i)] if i in floats else 0 for i in range(len(keys))]
+    nans = nans or [0] * len(keys)
+    numbers = [rows - n for (_, rows, _), n in zip(wanted, nans)]
+    return [F.when(~F.isnan(key), key) if n else key for key, n in zip(keys, nans)], numbers
 
 
 def order_statistics(
-    df: DataFrame, wanted: list[tuple[Column, int, list[int]]], limit: int = BRACKET_ROWS
+    df: DataFrame, wanted: list[tuple[Column, int, list[int]]], limit: int = BRACKET_ROWS,
+    nans: list[int] | None = None,
 ) -> list[list[Any]]:
     """The values at 0-based ranks; ``wanted`` holds (key, non-null rows, ranks).
 
-    ``limit`` is the number of rows from which on a bracket is counted value by value.
+    ``limit`` is the number of rows from which on a bracket is counted value by value; ``nans``
+    the NaN among each key's rows, which are counted where they are not given.
     """
-    keys, numbers = _without_nan(df, wanted)
+    keys, numbers = _without_nan(df, wanted, nans)
     spots = [_Interval(i, keys[i], numbers[i]) for i, (_, _, of) in enumerate(wanted) for _ in of]
     ranks = [rank for _, _, of in wanted for rank in of]
     values: list[Any] = [math.nan if rank >= spot.rows else None for spot, rank in zip(spots, ranks)]
