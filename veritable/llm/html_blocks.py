@@ -25,6 +25,7 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+ENDS_FAR = BLOCK | HIDDEN
 ENDS_P = BLOCK - {"html", "body", "button", "label", "legend", "caption", "option", "tbody", "thead", "tfoot", "tr", "td", "th"}
 
 _MARKUP = re.compile(
@@ -80,7 +81,7 @@ class _Reader:
         del self.stack[at:]
 
     def open(self, tag: str, rest: str) -> None:
-        if tag not in IN_HEAD:  # what cannot stand in the head ends it
+        if self.hidden and tag not in IN_HEAD:  # what cannot stand in the head ends it
             for k, o in enumerate(self.stack[:3]):
                 if o.tag == "head":
                     self.pop_to(k)
@@ -126,7 +127,7 @@ class _Reader:
             if self.stack[k].tag == tag:
                 self.pop_to(k)
                 return
-            if tag not in BLOCK | HIDDEN and self.stack[k].tag in BLOCK and tag != "a":
+            if tag not in ENDS_FAR and self.stack[k].tag in BLOCK and tag != "a":
                 return
 
 
