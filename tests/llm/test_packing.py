@@ -64,3 +64,14 @@ def test_costs_are_balanced():
         cost[at] += size + P.ATTENTION * size * size
     values = np.array(list(cost.values()))
     assert values.std() / values.mean() < 0.2 and len(cost) == -(-sum(lengths) // P.SEQUENCE)
+
+
+def test_added_tokens_in_a_text(spark, tokenizer):
+    end = "<|endoftext|>"
+    cases = [
+        f"end {end} next", f"end   {end}   next", f"a{end}b", f"{end}", f"{end} {end}  {end}{end}", f"  {end}\n {end} \n x", f"x \u00a0 {end} \u00a0 y",
+        f" {end} word {end} " * 300, "cut <|endof", "text|> here", f"< {end}> <|endoftext |>", " ", f"tail {end} ",
+    ]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").coalesce(1)
+    assert tokenizer.encode(cases[0], add_special_tokens=False).ids == [437, 220, 50256, 1306]
+    check(tokenizer, docs)

@@ -7,7 +7,8 @@ of the lowest estimated cost (linear plus quadratic in each piece's length) that
 rest that fits nowhere whole is cut at the sequence with the most room. Only a shard's last few
 sequences can have padding, less than one sequence in all.
 
-Defined cases: a null text counts as empty and is the end id alone. Repeated rows, also with
+Defined cases: a null text counts as empty and is the end id alone. A text that spells an added
+token out has that token's id there, as the tokenizer gives it. Repeated rows, also with
 the same id, are packed each on its own. An empty table gives no rows. Other columns are
 ignored. Ties in length go by the row's place in the input, ties in cost to the lower sequence.
 """
@@ -43,9 +44,11 @@ def _encoder(path: str) -> PartIds:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = tokenizer.get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or t.single_word for t in added):
+        raise ValueError("an added token that takes in blanks, or asks for a word of its own, cannot be cut from the text")
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return PartIds(lambda parts: [x.ids for x in batch(parts, add_special_tokens=False)])
+    return PartIds(lambda parts: [x.ids for x in batch(parts, add_special_tokens=False)], [t.content for t in added])
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, id_column: str, text: str, length: int = SEQUENCE) -> DataFrame:

@@ -3,10 +3,14 @@
 A text is cut before each blank that a non-blank character follows. A tokenizer whose pattern
 lets a piece begin with one blank and never run across such a place gives the same ids for the
 parts as for the whole. Equal parts are encoded once for each worker process.
+
+A tokenizer's added tokens are parts of their own. The blanks before one end the part before it,
+as they end the segment that the tokenizer cuts there.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,12 +28,24 @@ _MAY_BE_SPACE = np.zeros(256, bool)
 _MAY_BE_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def part_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def added_pattern(tokens: list[str]) -> re.Pattern[bytes] | None:
+    """What finds added tokens in bytes, the longest one at a place; None without any."""
+    longest_first = sorted((t.encode() for t in tokens), key=lambda t: (-len(t), t))
+    return re.compile(b"|".join(re.escape(t) for t in longest_first)) if tokens else None
+
+
+def part_starts(raw: np.ndarray, offsets: np.ndarray, added: re.Pattern[bytes] | None = None) -> np.ndarray:
     """Byte starts of the parts of all rows."""
     starts = np.zeros(len(raw), bool)
     starts[:-1] = (raw[:-1] == 0x20) & ~_MAY_BE_SPACE[raw[1:]]
     last = offsets[1:][(offsets[1:] > 0) & (offsets[1:] <= len(raw))] - 1
     starts[last] = False
+    if added:
+        data, row_ends = raw.tobytes(), offsets.tolist()
+        spans = np.array([m.span() for a, b in zip(row_ends, row_ends[1:]) for m in added.finditer(data, a, b)], np.int64).reshape(-1, 2)
+        starts[spans[:, 0][spans[:, 0] > 0] - 1] = False
+        cuts = spans.ravel()
+        starts[cuts[cuts < len(raw)]] = True
     starts[offsets[:-1][offsets[:-1] < len(raw)]] = True
     return np.flatnonzero(starts)
 
@@ -37,8 +53,9 @@ def part_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PartIds:
     """Ids of parts, remembered by the hash of their bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list]) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], added: list[str] | None = None) -> None:
         self.encode = encode
+        self.added = added_pattern(added or [])
         self._clear()
 
     def _clear(self) -> None:
@@ -85,7 +102,7 @@ class PartIds:
 
 def token_runs(raw: np.ndarray, offsets: np.ndarray, parts: PartIds) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(row, ids, whether they are its last) in order; a long row comes in several runs."""
-    starts = part_starts(raw, offsets)
+    starts = part_starts(raw, offsets, parts.added)
     row_parts = np.searchsorted(starts, offsets)
     ends = np.append(starts[1:], len(raw))
     row = 0
