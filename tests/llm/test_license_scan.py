@@ -51,3 +51,52 @@ def test_odd_rows(odd_docs):
 ])
 def test_phrases_and_templates(spark, text):
     check(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+
+
+def longest_in_order(words, sentence, at):
+    """Plain table of the longest common run whose words stand at most SHIFT places from theirs."""
+    best = {}
+    for j, x in enumerate(sentence):
+        for i in range(at + j - L.SHIFT, at + j + L.SHIFT + 1):
+            same = 0 <= i < len(words) and words[i] == x
+            best[j, i] = max(best.get((j - 1, i - 1), 0) + same, best.get((j - 1, i), 0), best.get((j, i - 1), 0))
+    return max(best.values())
+
+
+def brute_shifted(text):
+    words, found = WORD.findall((text or "").translate(LOWER)), {}
+    for template in L.TEMPLATES:
+        sentence, key = template.words, template.key.split()
+        for at in range(-len(sentence) - L.SHIFT, len(words) + L.SHIFT):
+            from_ = [at + template.key_at + d for d in range(-L.SHIFT, L.SHIFT + 1)]
+            share = longest_in_order(words, sentence, at) / len(sentence)
+            if share >= L.ACCEPTED and any(f >= 0 and words[f : f + len(key)] == key for f in from_):
+                found[template.label] = max(found.get(template.label, 0), share)
+    return found
+
+
+NOTICES = [
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided"),
+    ("apache-2.0", "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required"),
+    ("apache-2.0", "Licensed to you under the Apache License, Version 2.0 (the License)"),
+    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or"),
+    ("lgpl", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this very software"),
+    ("mit", "This program is licensed under MIT License."),
+    ("bsd", "Redistribution and use of this software in source and binary forms, with or without any modification, are permitted"),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https"),
+    ("", "licensed under the GNU Affero General Public License version 3"), ("", "licensed under CC BY-NC-SA 4.0"),
+    ("", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("", "with or without fee is hereby granted permission to use copy modify"), ("", "mit license under the released"),
+]
+
+
+def test_notices_with_inserted_and_missing_words(spark):
+    docs = spark.createDataFrame([(n, "some words before " * (n % 3) + text) for n, (_, text) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.base_labels, r.score) for r in L.scan(docs).collect()}
+    for r in docs.collect():
+        found = brute_shifted(r.text)
+        labels, base_labels, score = got[r.doc_id]
+        assert set(labels.split(",")) - {""} == set(found) | (set(base_labels.split(",")) - {""})
+        assert score == (1.0 if base_labels else max(found.values(), default=0.0))
+        assert ",".join(found) == NOTICES[r.doc_id][0]

@@ -1,17 +1,21 @@
 """License scan by a positional index of rare words, in built-in expressions only.
 
-A template is a licence sentence as words, a label, and a mandatory key phrase. The corpus gives
-the number of texts that hold each template word; a template is indexed by its rarest words, as
-many as may be missing at the accepted share plus one, so a text that matches it holds at least
-one of them. Each place of an indexed word in a text, minus the word's place in the template,
-proposes a start; a proposed start counts if enough template words stand at their places and the
-key phrase stands whole at its own. All of this happens inside the row: nothing is shuffled but
-the word counts, which are as many as the templates have words.
+A template is a sentence of a licence or of its usual notice as words, a label, and a mandatory
+key phrase. The corpus gives the number of texts that hold each template word; a template is
+indexed by its rarest words, as many as may be missing at the accepted share plus one, so a text
+that matches it holds at least one of them. Each place of an indexed word in a text, minus the
+word's place in the template, proposes that start and those at most SHIFT words away. At a start
+the postings of all template words are intersected: what counts is the longest run of template
+words that stand in order, each at most SHIFT words from its place, so words may be inserted,
+missing or replaced. A start counts if enough words are in that run and the key phrase stands
+whole at most SHIFT words from its place. The starts that count do not depend on which words are
+indexed. All of this happens inside the row: nothing is shuffled but the word counts, which are
+as many as the templates have words.
 
 Base phrases are found separately, wherever their words stand consecutively.
 
 Defined cases: a null text counts as empty, has no words and no labels. Repeated rows give
-repeated rows; an empty table gives none. Other columns are ignored. Proposals that tie give
+repeated rows; an empty table gives none. Other columns are ignored. Starts that tie give
 the label once; labels are sorted.
 """
 
@@ -52,19 +56,33 @@ class Template:
 # Sentences of public licences and usual notices, lower-cased, without punctuation.
 TEMPLATES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    Template("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products derived from this software"),
     Template("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
+    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", "by nc 4"),
+    Template("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", "attribution noncommercial 4 0 international"),
     Template("cc0-1.0", "cc0 1 0 universal public domain dedication", "public domain dedication"),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
+    Template("cc0-1.0", "has waived all copyright and related or neighboring rights to this work", "all copyright and related or neighboring rights"),
+    Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    Template("gpl-3.0", "licensed under the general public license version 3", "the general public license version 3"),
+    Template("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general public license as published by the free software foundation either version 3"),
+    Template("gpl-3.0", "under the terms of the gnu general public license version 3 as published by the free software foundation", "gnu general public license version 3"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     Template("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
     Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
+    Template("mit", "licensed under the mit license", "mit license"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge to any person obtaining"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall be included in all copies or substantial portions"),
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    Template("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl was not distributed"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy modify publish"),
 )
 ACCEPTED = 0.75
+SHIFT = 3
 
 
 def plain_words(text: Column) -> Column:
@@ -105,7 +123,7 @@ def _structs(rows: list[tuple], fields: str) -> Column:
     return F.array(*[F.struct(*[F.lit(value).alias(name) for name, value in zip(names, row)]) for row in rows])
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templates: Sequence[Template] = TEMPLATES, base: Sequence[tuple[str, str]] = BASE, accepted: float = ACCEPTED) -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templates: Sequence[Template] = TEMPLATES, base: Sequence[tuple[str, str]] = BASE, accepted: float = ACCEPTED, shift: int = SHIFT) -> DataFrame:
     """One row per document: words, base places, labels, and a score.
 
     The score is 1 where a base phrase stands, else the best share of template words of an
@@ -119,25 +137,42 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templat
     shape = _structs([(t.label, len(t.words), t.key, t.key_at, len(t.key.split())) for t in templates], "label size key key_at key_size")
     sentences = F.array(*[F.lit(t.words) for t in templates])
 
+    def in_order(w: Column, at: Column, sentence: Column) -> Column:
+        """Template words in the longest run in order: one row of the table a template word, one cell a distance from its place."""
+        def row(state: Column, x: Column) -> Column:
+            def cell(done: Column, d: Column) -> Column:
+                same = F.coalesce(F.get(w, state["at"] + d - shift) == x, F.lit(False)).cast("int")
+                after = F.coalesce(F.get(state["best"], d + 1), F.lit(0))
+                return F.array_append(done, F.greatest(F.get(state["best"], d) + same, after, F.coalesce(F.array_max(done), F.lit(0))))
+
+            cells = F.aggregate(F.sequence(F.lit(0), F.lit(2 * shift)), F.array().cast("array<int>"), cell)
+            return F.struct((state["at"] + 1).alias("at"), cells.alias("best"))
+
+        none = F.array_repeat(F.lit(0), 2 * shift + 1)
+        return F.aggregate(sentence, F.struct(at.alias("at"), none.alias("best")), row, lambda state: F.array_max(state["best"]))
+
     def starts_found(w: Column) -> Column:
         """(template, label, share) of each proposed start that counts."""
         places = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_contains(F.lit(indexed), s["x"]))
         posted = _structs(postings, "w t j")
-        proposed = F.array_distinct(F.flatten(F.transform(places, lambda s: F.transform(
+        near = F.sequence(F.lit(-shift), F.lit(shift))
+        proposed = F.array_distinct(F.flatten(F.flatten(F.transform(places, lambda s: F.transform(
             F.filter(posted, lambda p: p["w"] == s["x"]),
-            lambda p: F.struct(p["t"].alias("t"), (s["i"] - p["j"]).alias("at"))))))
+            lambda p: F.transform(near, lambda d: F.struct(p["t"].alias("t"), (s["i"] - p["j"] + d).alias("at"))))))))
+
+        def keyed(c: Column) -> Column:
+            one = F.get(shape, c["t"])
+            whole = lambda from_: (from_ >= 0) & (F.array_join(F.slice(w, F.greatest(from_, F.lit(0)) + 1, one["key_size"]), " ") == one["key"])
+            return F.exists(near, lambda d: whole(c["at"] + one["key_at"] + d))
 
         def judged(c: Column) -> Column:
             one = F.get(shape, c["t"])
-            same = F.size(F.filter(F.transform(F.get(sentences, c["t"]), lambda x, j: F.get(w, c["at"] + j) == x), lambda hit: F.coalesce(hit, F.lit(False))))
-            key_from = c["at"] + one["key_at"]
-            whole = F.when(key_from >= 0, F.array_join(F.slice(w, F.greatest(key_from, F.lit(0)) + 1, one["key_size"]), " ") == one["key"]).otherwise(F.lit(False))
-            return F.struct(one["label"].alias("label"), F.when(whole, same / one["size"]).otherwise(F.lit(0.0)).alias("share"))
+            return F.struct(one["label"].alias("label"), (in_order(w, c["at"], F.get(sentences, c["t"])) / one["size"]).alias("share"))
 
-        return bind(proposed, lambda found: F.filter(F.transform(found, judged), lambda c: c["share"] >= accepted))
+        return bind(F.filter(proposed, keyed), lambda found: F.filter(F.transform(found, judged), lambda c: c["share"] >= accepted))
 
     line = F.concat(F.lit("^ "), F.col("p"), F.lit(" "))
-    wanted = F.col("line").rlike(" (" + "|".join(indexed) + ") ") if indexed else F.lit(False)
+    wanted = F.col("line").rlike(" (" + "|".join(sorted({t.key for t in templates})) + ") ") if templates else F.lit(False)
     nothing = F.array().cast("array<struct<label:string,share:double>>")
     steps = plain.select(
         id_column, F.when(F.col("p") == "", F.lit(0)).otherwise(blanks(F.col("p")) + 1).cast("long").alias("n_words"), line.alias("line"), "p",
