@@ -48,3 +48,17 @@ def test_odd_rows(odd_docs):
     kept = M.filter_identified(odd_docs)
     assert kept.columns == odd_docs.columns and kept.filter("doc_id in (2, 3, 5)").isEmpty()
     assert M.predict(odd_docs.limit(0)).collect() == []
+
+
+def test_selected_languages_decide_together(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    texts = {r.lang: r.text for r in docs.filter("length(text) between 3000 and 6000").orderBy("doc_id").collect()}
+    three = " ".join(texts[lang][:1000] for lang in sorted(texts)[:3])
+    odd = [(-1, three, None), (-2, "これは学習していない言語の文章です。" * 40, None), (-3, texts["en"][:1500] + " これは学習していない言語の文章です。" * 20, None)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    model = M.train(docs)
+    full, selected = M.mixtures(model, [three])
+    assert full.max() < 0.4 and np.count_nonzero(selected) == 3
+    kept = {r.doc_id for r in M.filter_identified(rows).collect()}
+    assert -1 in kept and -2 not in kept and -3 in kept
+    assert kept >= {r.doc_id for r in docs.filter("length(text) > 200").collect()}

@@ -6,6 +6,10 @@ of each language in its trigrams. Languages with little share leave the set; the
 leaves for as long as the likelihood, less a penalty for each language kept, does not fall. The
 prediction is the language of the largest share in the set that is left.
 
+A document is identified if the set that is left explains it: each trigram belongs to the set's
+mixture or to a background in which all buckets are equally likely, and the part that belongs to
+the mixture counts, whatever the number of languages in it.
+
 Defined cases: a text that is null or has no letter is `und` with score 0, and so is every text
 if nothing could be learned. Repeated rows are predicted each. An empty table gives no rows.
 Ties go to the language that sorts first. Training ignores rows without a label or a text.
@@ -30,7 +34,7 @@ SMOOTHING = 0.2
 ROUNDS = 8
 LEAST_SHARE = 0.05
 PENALTY = 4.0
-MIN_SCORE = 0.4
+MIN_EXPLAINED = 0.4
 UNKNOWN = "und"
 _DOCS = 64
 
@@ -129,11 +133,16 @@ def _shares(chance: np.ndarray, count: np.ndarray, starts: np.ndarray, sizes: np
 
 def mixtures(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Per text the shares of all languages, and of those its selected set holds; zero without letters."""
+    return _mixtures(model, texts)[:2]
+
+
+def _mixtures(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `mixtures`, and the part of each text's trigrams that its selected set explains."""
     full = np.zeros((len(texts), len(model.languages)))
-    selected = full.copy()
+    selected, explained = full.copy(), np.zeros(len(texts))
     row, bucket, count = trigram_counts(texts)
     if not len(row) or not model.languages:
-        return full, selected
+        return full, selected, explained
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     sizes = np.diff(np.r_[starts, len(row)])
     docs = row[starts]
@@ -159,11 +168,13 @@ def mixtures(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
             least = np.where(allowed[work], got, np.inf).argmin(axis=1)
             allowed[work, least] = False
     selected[docs] = best
-    return full, selected
+    mixed = (chance * np.repeat(best, sizes, axis=0).astype(np.float32)).sum(axis=1, dtype=np.float64)
+    explained[docs] = np.add.reduceat(count * mixed / (mixed + 1 / len(model.chance)), starts) / np.add.reduceat(count, starts)
+    return full, selected, explained
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str = "lang_pred", score: str = "score", mixture: str = "mixture") -> DataFrame:
-    """The rows with the predicted language, the share it has among all languages, and the selected set."""
+def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str = "lang_pred", score: str = "score", mixture: str = "mixture", explained: str = "explained") -> DataFrame:
+    """The rows with the predicted language, the share it has among all languages, the selected set, and the part it explains."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     place = names.index(text)
@@ -171,16 +182,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prediction: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in slices(batches, text):
-            full, selected = mixtures(model, batch.column(place).to_pylist())
+            full, selected, part = _mixtures(model, batch.column(place).to_pylist())
             top = selected.argmax(axis=1) if model.languages else np.zeros(batch.num_rows, int)
             known = selected.any(axis=1)
             said = [model.languages[k] if ok else UNKNOWN for k, ok in zip(top, known)]
             sure = [float(full[n, k]) if ok else 0.0 for n, (k, ok) in enumerate(zip(top, known))]
             sets = [",".join(f"{model.languages[k]}:{row[k]:.3f}" for k in np.argsort(-row, kind="stable") if row[k] > 0) for row in selected]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(said, pa.string()), pa.array(sure, pa.float64()), pa.array(sets, pa.string())], names=[*names, prediction, score, mixture])
+                [*batch.columns, pa.array(said, pa.string()), pa.array(sure, pa.float64()), pa.array(sets, pa.string()), pa.array(part)],
+                names=[*names, prediction, score, mixture, explained])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{prediction} string, {score} double, {mixture} string"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{prediction} string, {score} double, {mixture} string, {explained} double"])
     return docs.mapInArrow(run, schema)
 
 
@@ -197,8 +209,8 @@ def predict(docs: DataFrame, id_column: str = "doc_id", text: str = "text", labe
     return out.select(F.col("doc").alias(id_column), "held_out", "lang_pred", "score", "mixture")
 
 
-def filter_identified(docs: DataFrame, text: str = "text", label: str = "lang", id_column: str = "doc_id", min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language was identified with a share of at least `min_score`."""
+def filter_identified(docs: DataFrame, text: str = "text", label: str = "lang", id_column: str = "doc_id", min_explained: float = MIN_EXPLAINED) -> DataFrame:
+    """The documents of which the selected languages, one or several, explain at least `min_explained`."""
     model = train(docs.filter(F.col(f"`{id_column}`").isNotNull() & ~held_out(id_column)), label, text)
-    out = identify(docs, model, text, "__lang", "__share", "__set")
-    return out.filter((F.col("__lang") != UNKNOWN) & (F.col("__share") >= min_score)).drop("__lang", "__share", "__set")
+    out = identify(docs, model, text, "__lang", "__share", "__set", "__explained")
+    return out.filter((F.col("__lang") != UNKNOWN) & (F.col("__explained") >= min_explained)).drop("__lang", "__share", "__set", "__explained")
