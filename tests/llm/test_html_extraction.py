@@ -85,3 +85,23 @@ def test_odd_rows(spark, labeller):
     assert len(out) == 5 and [r.text for r in out if r.page_id == 1] == ["", ""]
     assert next(r for r in out if r.page_id == 2).text == " ".join(["some words in a long page"] * 3000)
     assert X.extract(pages.limit(0), labeller=labeller).collect() == []
+
+
+@pytest.mark.parametrize("page, texts", [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["so x=2 holds"]), ("<p>a<math/>b</p><p>c</p>", ["ab", "c"]),
+    ("<noscript><p>whole body</p></noscript>", ["whole body"]), ("<p>a<noscript>b</noscript>c</p>", ["a", "b", "c"]),
+    ("a<xmp><b>x</b> &amp; y</xmp>b", ["a", "<b>x</b> &amp; y", "b"]), ("<xmp>open <p>", ["open <p>"]), ("<object data=x><p>instead</p></object>z", ["instead", "z"]),
+    ("<head><noscript><style>a</style>no</noscript></head><body>x", ["x"]), ("<iframe src=x></iframe>a<video><p>no player</p></video>b", ["a", "no player", "b"]),
+])
+def test_text_of_all_other_elements_is_in_a_block(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+def test_formulas_listings_and_bodies_of_an_article_are_kept(spark, labeller):
+    words = "a long sentence of the article that goes on for a while, with some words more."
+    body = f"<h1>the heading</h1><p>{words} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {words}</p><xmp>{words} a &lt; b</xmp><p>{words}</p>"
+    menu = "<nav class=menu><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>"
+    pages = [(1, "u", f"<html><body>{menu}<article>{body}</article></body></html>"), (2, "u", f"<html><body>{menu}<noscript><article>{body}</article></noscript></body></html>")]
+    want = f"the heading {words} x=2 {words} {words} a &lt; b {words}"
+    rows = X.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), labeller=labeller).collect()
+    assert [r.text for r in rows] == [want, want]

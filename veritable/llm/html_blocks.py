@@ -2,7 +2,8 @@
 
 A small tolerant reader: it knows raw-text elements, void tags, tags that close others by
 opening, and ends that match nothing. Character references are decoded and white space inside a
-block becomes one blank.
+block becomes one blank. Left out are scripts, styles, the head, templates, the inside of form
+controls, and SVG drawings; all other text is in a block.
 """
 
 from __future__ import annotations
@@ -11,21 +12,23 @@ import html
 import re
 from dataclasses import dataclass, field
 
-# Fixed values of HTML: elements without content, elements whose text is not shown as text,
-# elements that start and end a block, elements of the head, and elements that close an open one of their kind.
+# Fixed values of HTML: elements without content, raw-text elements that are left out, elements whose text is left out,
+# elements that start and end a block, elements whose text is a block of its own though they can stand in a sentence,
+# elements of the head, and elements that close an open one of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head template noscript svg math object select datalist canvas audio video".split())
+RAW = frozenset("script style textarea title".split())
+HIDDEN = frozenset("head template svg select datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul xmp".split()
 )
+ALONE = frozenset("noscript object canvas audio video iframe noembed noframes".split())
 IN_HEAD = frozenset("base basefont bgsound html head link meta noscript script style template title".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-ENDS_FAR = BLOCK | HIDDEN
+ENDS_FAR = BLOCK | HIDDEN | ALONE | {"math"}
 ENDS_P = BLOCK - {"html", "body", "button", "label", "legend", "caption", "option", "tbody", "thead", "tfoot", "tr", "td", "th"}
 
 _MARKUP = re.compile(
@@ -67,10 +70,10 @@ class _Reader:
             self.blocks.append(Block(text, tuple((o.tag, o.names) for o in self.stack), self.linked, any(o.marked for o in self.stack)))
         self.pieces, self.linked = [], 0
 
-    def add(self, raw: str) -> None:
+    def add(self, raw: str, decode: bool = True) -> None:
         if self.hidden or not raw:
             return
-        text = html.unescape(raw) if "&" in raw else raw
+        text = html.unescape(raw) if decode and "&" in raw else raw
         self.pieces.append(text)
         if any(o.tag == "a" for o in self.stack):
             self.linked += len(text.strip())
@@ -86,7 +89,7 @@ class _Reader:
                 if o.tag == "head":
                     self.pop_to(k)
                     break
-        if tag in BLOCK:
+        if tag in BLOCK or tag in ALONE:
             self.flush()
         elif tag in ("br", "wbr", "img", "input"):
             self.add(" " if tag != "wbr" else "")
@@ -118,10 +121,10 @@ class _Reader:
         if not rest.endswith("/") or tag not in ("svg", "math"):
             self.stack.append(_Open(tag, tuple(names), marked))
         else:
-            self.hidden -= 1
+            self.hidden -= tag in HIDDEN
 
     def close(self, tag: str) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK or tag in ALONE:
             self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].tag == tag:
@@ -154,5 +157,10 @@ def blocks(page: str | None) -> list[Block]:
             at = stop + 1 if stop >= 0 else len(page)
             if tag == "textarea":
                 reader.add(" ")
+        elif tag == "xmp":  # shown as it stands, markup and references included
+            reader.open(tag, rest)
+            end = re.compile(r"</xmp(?=[\s/>])", re.I).search(page, at)
+            reader.add(page[at : end.start() if end else len(page)], decode=False)
+            at = end.start() if end else len(page)
         else:
             reader.open(tag, rest)
