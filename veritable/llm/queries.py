@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritable.llm import (
-    byte_bpe, exact_topk, html_extraction, jaccard_join, language_mixture, license_scan, merkle_fixity, packing, quality_rules, suffix_dedup,
+    byte_bpe, decontamination, exact_topk, html_extraction, jaccard_join, language_mixture, license_scan, merkle_fixity, packing, quality_rules, suffix_dedup,
 )
 from veritable.llm.registry import query, table
 from veritable.llm.shared import stored
@@ -47,6 +47,30 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 
+LEAKS_SQL = r"""
+WITH b AS MATERIALIZED (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT item, w, least(len(w), 10) AS m FROM b WHERE len(w) > 0),
+v AS MATERIALIZED (
+  SELECT DISTINCT item, m, array_to_string(w[s:s + m - 1], ' ') AS win
+  FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM i)),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (SELECT r, m, s, array_to_string(w[s:s + m - 1], ' ') AS win
+      FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM v))),
+h AS MATERIALIZED (SELECT r, s, m, item FROM p JOIN v USING (m, win)),
+n AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(s, s + m)) AS j FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
+
+
 @query("op1_quality_rules", QUALITY_SQL)
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.measure(table(spark, folder, "documents"))
@@ -128,3 +152,9 @@ def op9_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extract(table(spark, folder, "pages"))
+
+
+@query("op11_decontamination", LEAKS_SQL)
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("spans")
