@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veritable.llm import (
     byte_bpe, decontamination, exact_topk, html_extraction, jaccard_join, language_mixture, license_scan, merkle_fixity, packing, quality_rules, suffix_dedup,
+    whitening,
 )
 from veritable.llm.registry import query, table
 from veritable.llm.shared import stored
@@ -158,3 +159,8 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("spans")
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
