@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritable.llm import (
-    byte_bpe, decontamination, exact_topk, html_extraction, jaccard_join, language_mixture, license_scan, merkle_fixity, packing, quality_rules, suffix_dedup,
+    byte_bpe, conversation_repair, decontamination, exact_topk, html_extraction, jaccard_join, language_mixture, license_scan, merkle_fixity, packing, quality_rules, suffix_dedup,
     whitening,
 )
 from veritable.llm.registry import query, table
@@ -164,3 +164,26 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_whitening")
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def _worn(conversations: DataFrame) -> DataFrame:
+    """The conversations with planted faults, by a checksum of conversation and turn."""
+    def filled(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    mark = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    text = F.when(F.col("mark") == 1, "").when(F.col("mark") == 2, F.translate(filled("text"), ".!?", "")).otherwise(filled("text"))
+    role = F.when(F.col("mark") == 4, "user").otherwise(filled("role"))
+    times = F.when(F.col("mark") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    marked = conversations.select("conv_id", "turn", "role", "text", mark.alias("mark")).filter("mark <> 0")
+    return marked.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    repaired = conversation_repair.repair(_worn(conversations)).withColumnRenamed("conv_id", "of").withColumn("left", F.lit(True))
+    known = conversations.select("conv_id").distinct().join(repaired, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    empty = {n: F.lit(0).cast("long") for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    empty |= {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return known.select("conv_id", *[F.when(F.col("left"), F.col(n)).otherwise(value).alias(n) for n, value in empty.items()])
