@@ -61,8 +61,9 @@ d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
-p AS (SELECT r, m, s, array_to_string(w[s:s + m - 1], ' ') AS win
-      FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM v))),
+x AS (SELECT r, s, list(x) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS w
+      FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS s FROM d)),
+p AS (SELECT r, m, s, array_to_string(w[1:m], ' ') AS win FROM x, (SELECT DISTINCT m FROM v) WHERE len(w) >= m),
 h AS MATERIALIZED (SELECT r, s, m, item FROM p JOIN v USING (m, win)),
 n AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(s, s + m)) AS j FROM h) GROUP BY r),
 t AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
