@@ -8,6 +8,7 @@ from checks.profiles import lineitem
 from checks.registry import (
     ACTIVITY, GAPPY_EVENTS, activity, derive, gappy_events, iso_sql, load, query,
 )
+from veritable import ROW_ID, Dataset
 from veritable.functions.times import iso_text
 from veritable.operators import change, concentration, outliers, relations, timeline
 
@@ -234,6 +235,31 @@ def pairwise_corr(spark, folder):
     return found.select("a", "b", (F.round("r", 4) + 0.0).alias("r"), "n")
 
 
+_WIDE = 20
+
+
+def _wide_sql():
+    """Twenty columns of lineitem: rounded, shifted and gappy mixtures of four measures, one of them constant."""
+    cells = []
+    for i in range(_WIDE):
+        a, b = _LINE_MEASURES[i % 4], _LINE_MEASURES[(i // 4 + 1) % 4]
+        value = f"CAST({a} AS DOUBLE) * {i + 1} - CAST({b} AS DOUBLE) * {i % 3} + {i * 1000}" if i else "7.5"
+        cells.append(f"CASE WHEN l_orderkey % {i + 5} <> 0 THEN {value} END AS w{i}")
+    return f"wide AS (SELECT {', '.join(cells)} FROM lineitem)", cells
+
+
+@query(
+    "pairwise_corr_wide",
+    f"WITH {_wide_sql()[0]}, {pairs_sql('wide', [f'w{i}' for i in range(_WIDE)])} SELECT a, b, round(r, 4) + 0.0 AS r, n FROM pairs",
+)
+def pairwise_corr_wide(spark, folder):
+    """190 pairs with gaps of their own, from one scan."""
+    ds = lineitem(spark, folder)
+    wide = Dataset.of(ds.df.selectExpr(ROW_ID, *_wide_sql()[1]), name="wide")
+    found = relations.pairwise_corr(wide, list(wide.columns))
+    return found.select("a", "b", (F.round("r", 4) + 0.0).alias("r"), "n")
+
+
 _CORR_COLUMNS = ["value", "score", "doubled", "flat"]
 _CORR_TABLE = (
     f"{ACTIVITY}, related AS (SELECT value, CASE WHEN value <= 100 THEN score END AS score, "

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ MIN_PAIR_ROWS = 10
 UNRELATED, WEAK, STRONG = 0.20, 0.40, 0.70
 OTHER_PAIRS = 3
 
-# Pairs computed in one aggregate. With more, the generated code outgrows what the JVM
-# compiles, and the aggregate falls back to slow interpretation.
+# Pairs that one compiled aggregate takes. With more, the generated code outgrows what the JVM
+# compiles, and wider tables go through moment matrices, also in one scan.
 PAIRS_PER_SCAN = 8
 
 _SCHEMA = "position int, a string, b string, r double, n long"
@@ -26,16 +28,112 @@ _SCHEMA = "position int, a string, b string, r double, n long"
 def pairwise_corr(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
     """r and row count of every pair, over rows that have both values.
 
-    Pairs with fewer than ten such rows, or with a constant column, are left out.
+    Pairs with fewer than ten such rows, with a constant column, or with a value that is no
+    finite number, are left out. The table is read once, however many columns there are.
     """
     pairs = list(enumerate(combinations(columns, 2)))
     if not pairs:
         return ds.df.sparkSession.createDataFrame([], _SCHEMA)
-    scans = [
-        _scan_pairs(ds, pairs[i : i + PAIRS_PER_SCAN]) for i in range(0, len(pairs), PAIRS_PER_SCAN)
-    ]
-    return reduce(DataFrame.unionByName, scans).where(
-        (F.col("n") >= MIN_PAIR_ROWS) & F.col("r").isNotNull() & ~F.isnan("r")
+    found = _scan_pairs(ds, pairs) if len(pairs) <= PAIRS_PER_SCAN else _moment_pairs(ds, columns)
+    return found.where((F.col("n") >= MIN_PAIR_ROWS) & F.col("r").isNotNull() & ~F.isnan("r"))
+
+
+# What is known of each pair of columns over the rows that have both finite values: how many, how many
+# have one that is not finite, both means, both sums of squared deviations, and that of their products.
+# Sizes are the greatest of the whole columns: what rounding leaves of a difference grows with them.
+_MOMENTS = ("n", "odd", "mean", "other_mean", "spread", "other_spread", "shared", "size", "other_size")
+_EPS = float(np.finfo(float).eps)
+
+
+def _batch_moments(values: np.ndarray, present: np.ndarray) -> dict[str, np.ndarray]:
+    """Moments of all pairs of columns as matrices; given rows by columns, and which are not null."""
+    finite = present & np.isfinite(values)
+    odd, mask, there = (present & ~finite).astype(float), finite.astype(float), present.astype(float)
+    low = np.where(finite, values, np.inf).min(axis=0)
+    high = np.where(finite, values, -np.inf).max(axis=0)
+    # divided before they are summed, so that great values do not overflow; a constant is its own mean
+    mean = (np.where(finite, values, 0.0) / np.maximum(mask.sum(axis=0), 1)).sum(axis=0)
+    centre = np.where(low >= high, np.where(low == high, low, 0.0), mean)
+    moved = np.where(finite, values - centre, 0.0)
+    n = mask.T @ mask
+    rows = np.maximum(n, 1)
+    sums, squares = moved.T @ mask, (moved * moved).T @ mask
+    spread = squares - sums * sums / rows
+    # what is left of rounding only belongs to a column that is constant among the rows of this pair
+    spread[spread <= 32 * _EPS * squares] = 0.0
+    means = centre[:, None] + sums / rows
+    size = np.broadcast_to(np.where(low <= high, np.maximum(np.abs(low), np.abs(high)), 0.0)[:, None], n.shape)
+    return {
+        "n": n, "odd": odd.T @ there + there.T @ odd - odd.T @ odd, "mean": means, "other_mean": means.T,
+        "spread": spread, "other_spread": spread.T, "shared": moved.T @ moved - sums * sums.T / rows,
+        "size": size, "other_size": size.T,
+    }
+
+
+def _joined_moments(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Moments of the rows of both; deviations are taken to their common mean."""
+    n = a["n"] + b["n"]
+    rows = np.maximum(n, 1)
+    weight = a["n"] * b["n"] / rows
+    out = {"n": n, "odd": a["odd"] + b["odd"]} | {m: np.maximum(a[m], b[m]) for m in ("size", "other_size")}
+    steps = []
+    for mean, spread in (("mean", "spread"), ("other_mean", "other_spread")):
+        step = np.where(weight > 0, b[mean] - a[mean], 0.0)
+        out[mean] = np.where(a["n"] > 0, a[mean] + step * b["n"] / rows, b[mean])
+        out[spread] = a[spread] + b[spread] + step * step * weight
+        steps.append(step)
+    out["shared"] = a["shared"] + b["shared"] + steps[0] * steps[1] * weight
+    return out
+
+
+def _task_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The moments of all rows of a task, a row for each column."""
+    from pyspark import TaskContext
+
+    total = None
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            if batch.num_rows:
+                values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+                present = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+                found = _batch_moments(values, present)
+                total = found if total is None else _joined_moments(total, found)
+    if total is not None:
+        width = len(total["n"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, TaskContext.get().partitionId(), np.int32)),
+            *[pa.array(list(total[m]), pa.list_(pa.float64())) for m in _MOMENTS],
+        ], names=["x", "task", *_MOMENTS])
+
+
+def _column_pairs(table: pa.Table) -> pa.Table:
+    """r and n of one column with each later one, from its moments in all tasks."""
+    table = table.sort_by("task")
+    x = table.column("x")[0].as_py()
+    rows = {m: np.stack([np.asarray(r.values) for r in table.column(m)]) for m in _MOMENTS}
+    total = {m: rows[m][0] for m in _MOMENTS}
+    with np.errstate(all="ignore"):
+        for k in range(1, table.num_rows):
+            total = _joined_moments(total, {m: rows[m][k] for m in _MOMENTS})
+        # a spread below what doubles of that size can tell apart
+        least = 4 * _EPS * np.sqrt(total["n"])
+        flat = (np.sqrt(total["spread"]) <= least * total["size"]) | (np.sqrt(total["other_spread"]) <= least * total["other_size"])
+        r = np.where(flat | (total["odd"] > 0), np.nan, total["shared"] / (np.sqrt(total["spread"]) * np.sqrt(total["other_spread"])))
+    later = np.arange(x + 1, len(r), dtype=np.int32)
+    return pa.table({"x": pa.array(np.full(len(later), x, np.int32)), "y": pa.array(later), "r": pa.array(r[later], from_pandas=True), "n": pa.array(total["n"][later].astype(np.int64))})
+
+
+def _moment_pairs(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
+    """All pairs from one scan and one exchange, which carries a row of moments a task and column."""
+    kind = ", ".join(f"{m} array<double>" for m in _MOMENTS)
+    values = ds.df.select(*[c.ref.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    tasks = values.mapInArrow(_task_moments, f"x int, task int, {kind}")
+    found = tasks.groupBy("x").applyInArrow(_column_pairs, "x int, y int, r double, n long")
+    names, width = F.array(*[F.lit(c.name) for c in columns]), len(columns)
+    # pairs are numbered as combinations are listed
+    position = F.expr(f"x * {width} - (x * (x + 1)) div 2 + y - x - 1").cast("int")
+    return found.select(
+        position.alias("position"), F.get(names, F.col("x")).alias("a"), F.get(names, F.col("y")).alias("b"), _clamped(F.col("r")).alias("r"), "n",
     )
 
 
