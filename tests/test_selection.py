@@ -73,3 +73,49 @@ def test_known_quartiles(make):
     ds = make([(1,), (2,), (3,), (4,)], "v int")
     row = outliers.quartiles(ds, ds.numbers).first()
     assert (row.q1, row.q3) == (1.75, 3.25)
+
+
+def test_no_more_than_five_rounds_and_no_sample(make, monkeypatch):
+    """Long columns of all kinds, down to parts of one value: rounds are bounded by the digits."""
+    from decimal import Decimal
+
+    from veritable.operators import selection
+
+    rounds = []
+    once = selection._round
+    monkeypatch.setattr(selection, "_round", lambda *a: rounds.append(1) or once(*a))
+    longs = [int(v) for v in RNG.integers(-(2**63), 2**63 - 1, 700)] + [2**63 - 1, -(2**63), 0, 0, 1, -1]
+    doubles = [float(v) for v in np.concatenate([RNG.normal(0, 1, 500) * 10.0 ** RNG.integers(-300, 300, 500), [5e-324, -5e-324, 0.0, -0.0, 1e308, -1e308, math.inf, -math.inf]])]
+    doubles += [1.0 + i * 2.0**-52 for i in range(198)]
+    decimals = [Decimal(int(v)).scaleb(-9) for v in RNG.integers(-(10**17), 10**17, len(longs))]
+    small = [int(v) for v in RNG.integers(-5, 5, len(longs))]
+    rows = list(zip(longs, doubles, decimals, small))
+    assert len(rows) == len(longs) == len(doubles)
+    ds = make(rows, "a long, b double, c decimal(38,9), d int")
+    ranks = [0, 1, 350, 500, len(rows) - 2, len(rows) - 1]
+    for name, column in zip("abcd", zip(*rows)):
+        rounds.clear()
+        [found] = order_statistics(ds.df, [(F.col(name), len(rows), ranks)], limit=0)
+        assert found == [sorted(column)[r] for r in ranks], name
+        assert len(rounds) <= (4 if name in "ad" else 6)
+
+
+def test_keys_of_one_type_share_the_scan_of_a_round(make, spark):
+    ds = make([(float(v), float(-v), float(v % 7)) for v in range(3_000)], "a double, b double, c double")
+    group = "shared-scan"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = order_statistics(ds.df, [(F.col(c), 3_000, [10, 2_000]) for c in "abc"], limit=100, nans=[0, 0, 0])
+    finally:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext._jsc.clearJobGroup()
+    assert found == [[10.0, 2_000.0], [-2_989.0, -999.0], [0.0, 4.0]]
+    assert jobs <= 12
+
+
+def test_text_parts_of_one_value_and_empty_texts(make):
+    words = [""] * 300 + ["a"] * 300 + ["ab"] * 300 + ["\U0001f389" * 80] * 100 + ["\uffff"] * 50 + ["a" * 64] * 50 + ["a" * 65] * 50
+    ds = make([(w,) for w in words], "v string")
+    ranks = list(range(0, len(words), 37))
+    [found] = order_statistics(ds.df, [(F.col("v"), len(words), ranks)], limit=0)
+    assert found == [sorted(words, key=lambda w: w.encode())[r] for r in ranks]

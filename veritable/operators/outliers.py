@@ -25,15 +25,13 @@ def quartiles(
 
     ``filled`` holds the number of values (neither NULL nor NaN) of the columns where it is known.
 
-    Up to ``buffer_rows`` values, Spark's exact ``percentile`` holds a column in one
-    buffer; larger columns go through ranked selection, which is exact as well.
+    Columns go through radix selection, whatever their size; ``buffer_rows`` is the number of
+    values from which on it narrows them before it counts them one by one.
     """
     spark = ds.df.sparkSession
     if not columns:
         return spark.createDataFrame([], _QUARTILE_SCHEMA)
     counts = filled or ds.df.agg(*[F.count(c.measured) for c in columns]).first()
-    if max(counts) <= buffer_rows:
-        return _quartiles_in_buffer(ds, columns)
     shares = (0.25, 0.75)
     filled = [(i, c) for i, c in enumerate(columns) if counts[i]]
     wanted = []
@@ -54,21 +52,6 @@ def quartiles(
     return spark.createDataFrame(records, _QUARTILE_SCHEMA)
 
 
-def _quartiles_in_buffer(ds: Dataset, columns: list[ColumnInfo]) -> DataFrame:
-    aggregates, records = {}, []
-    for i, c in enumerate(columns):
-        ends = F.percentile(c.measured, F.array(F.lit(0.25), F.lit(0.75)))
-        aggregates |= {f"q{i}": ends, f"n{i}": F.count(c.measured)}
-        records.append(
-            F.struct(
-                F.lit(i).alias("position"), F.lit(c.name).alias("column"),
-                F.get(F.col(f"q{i}"), 0).alias("q1"), F.get(F.col(f"q{i}"), 1).alias("q3"),
-                F.col(f"n{i}").alias("values"),
-            )
-        )
-    return Measures(aggregates, records).table(ds)
-
-
 def outside(value: Column, low: Column, high: Column) -> Column:
     return (value < low) | (value > high)
 

@@ -1,20 +1,27 @@
-"""Exact order statistics over columns of any size.
-
-A sorted copy of a large column, or one aggregation buffer with all its values, would
-not fit in a task. Instead the wanted rank is bracketed: two pivots are taken from a
-small random sample, the rows below and up to each pivot are counted exactly, and the
-bracket shrinks to the open interval that holds the rank. Sampling only chooses the
-pivots; the counts decide, so the result is exact.
-
-NaN is the highest value, as in a sort. It is counted apart and never drawn as a pivot, since
-it has no place among the numbers that Python compares. Every round draws anew; after MAX_ROUNDS
-the values that are left in a bracket are counted one by one, whatever their number.
+"""Exact order statistics over columns of any size, by radix selection.
+
+A sorted copy of a large column, or one aggregation buffer with all its values, would not fit
+in a task. Instead every round gives each value a digit that never falls as values grow, counts
+the rows of each digit, and goes on inside the digit that holds the wanted rank. What is
+shuffled is a count for each digit, at most 65,536 (some 70,000 in the first round of doubles).
+
+- Whole numbers and moments: the upper 16 bits first; from then on the place between the least
+  and the greatest value of the digit before, in 65,536 equal parts. Four rounds at most.
+- Doubles and decimals: sign and sixteenths of an octave first, which far outliers cannot
+  stretch; then equal parts between the least and the greatest value, five rounds at most.
+- Texts: the next two characters. What all texts of a digit have in common is skipped, up to 64
+  characters a round, and no more of a text than that is shuffled.
+
+A round ends where a digit holds a single value, and digits of few rows are counted value by value
+at the end. Nothing is sampled, so rounds and result are the same in every run. NaN is the
+highest value, as in a sort; it is counted apart.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+import os
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
 from typing import Any
@@ -23,140 +30,141 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritable.schema import ROW_ID
-
-# Rows of a bracket that one task may hold.
+# Rows of a digit that are counted value by value instead of in another round.
 BRACKET_ROWS = 200_000
-SAMPLE_ROWS = 100_000
-TEXT_SAMPLE_ROWS = 500
-# Text pivots are prefixes, twice as long in each round; the sample is bounded in bytes too.
-TEXT_PIVOT_CHARS = 64
-MAX_ROUNDS = 24
+DIGITS = 1 << 16
+OCTAVE_PARTS = 16
+# Beyond the exponent of any double, so that the sign decides first.
+_SIGN = 40_000
+TEXT_CHARS, TEXT_WINDOW = 2, 64
 
 
 @dataclass(frozen=True)
-class _Interval:
-    """The values of one key strictly between two pivots, and the rows below them."""
+class _Digit:
+    """The rows of one key that a round left: their least and greatest value, or what their texts begin with."""
 
-    slot: int
     key: Column
+    kind: T.DataType
     rows: int
     below: int = 0
     low: Any = None
     high: Any = None
+    head: str = ""
 
     @property
-    def ends(self) -> tuple:
-        return self.slot, self.low, self.high
+    def is_text(self) -> bool:
+        return isinstance(self.kind, T.StringType)
 
     def holds(self) -> Column:
-        kept = self.key.isNotNull()
-        if self.low is not None:
-            kept = kept & (self.key > F.lit(self.low))
-        if self.high is not None:
-            kept = kept & (self.key < F.lit(self.high))
-        return kept
-
-    def share(self, rank: int) -> float:
-        return (rank - self.below + 0.5) / self.rows
-
-    def cut(self, rank: int, pivot: Any, under: int, upto: int) -> _Interval | None:
-        """The side of a pivot that holds a rank; None if the pivot is the value itself."""
-        if under <= rank < upto:
-            return None
-        if rank < under:
-            return replace(self, high=pivot, rows=under - self.below)
-        return replace(self, low=pivot, below=upto, rows=self.below + self.rows - upto)
+        if self.is_text:
+            return F.startswith(self.key, F.lit(self.head)) if self.head else self.key.isNotNull()
+        if self.low is None:
+            return self.key.isNotNull()
+        return (self.key >= F.lit(self.low).cast(self.kind)) & (self.key <= F.lit(self.high).cast(self.kind))
+
+    def digit(self) -> Column:
+        """The digit of a value of this part; it never falls as values grow."""
+        if self.is_text:
+            return F.substring(self.key, len(self.head) + 1, TEXT_CHARS)
+        if isinstance(self.kind, T.LongType):
+            if self.low is None:
+                return F.shiftright(self.key, 48)
+            step = (self.high - self.low) // DIGITS + 1
+            return F.floor((self.key - F.lit(self.low)) / F.lit(step))
+        value = self.key.cast("double")
+        if self.low is None:
+            size = F.floor(F.log2(F.abs(value)) * OCTAVE_PARTS) + _SIGN
+            size = F.when(F.abs(value) == float("inf"), F.lit(2 * _SIGN)).otherwise(size)
+            return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("long")
+        part = (self.key - F.lit(self.low).cast(self.kind)).cast("double") / F.lit(float(self.high - self.low))
+        return F.floor(F.least(part, F.lit(1.0)) * (DIGITS - 1))
+
+    def shown(self) -> Column:
+        return F.substring(self.key, len(self.head) + 1, TEXT_WINDOW) if self.is_text else self.key
+
+    def inside(self, below: int, rows: int, low: Any, high: Any) -> tuple[_Digit, Any]:
+        """The part that one digit makes, and its value if it has a single one."""
+        part = replace(self, below=self.below + below, rows=rows)
+        if not self.is_text:
+            return replace(part, low=low, high=high), low if low == high else None
+        common = os.path.commonprefix([low, high])
+        ended = low == high and len(low) < TEXT_WINDOW
+        return replace(part, head=self.head + common), self.head + low if ended else None
+
+
+@dataclass
+class _Ranks:
+    """Wanted ranks that lie in the same part."""
+
+    part: _Digit
+    wanted: list[tuple[int, int]] = field(default_factory=list)
+
+    def goals(self, place: int) -> list[Column]:
+        return [
+            F.struct(F.lit(place).alias("place"), F.lit(i).alias("i"), F.lit(rank - self.part.below).cast("long").alias("goal"))
+            for i, rank in self.wanted
+        ]
 
 
-def _is_text(df: DataFrame, key: Column) -> bool:
-    return isinstance(df.select(key).schema[0].dataType, T.StringType)
+def _at_goals(counts: DataFrame, by: str, groups: list[_Ranks]) -> DataFrame:
+    """Of counts per place, the rows in whose run a goal lies, with the rows before them as `under`."""
+    upto = F.sum("n").over(Window.partitionBy("place").orderBy(by))
+    goals = [goal for place, group in enumerate(groups) for goal in group.goals(place)]
+    hit = F.filter(F.array(*goals), lambda g: (g["place"] == F.col("place")) & (F.col("upto") > g["goal"]) & (F.col("upto") - F.col("n") <= g["goal"]))
+    return counts.withColumn("upto", upto).withColumn("g", F.explode(hit)).withColumn("under", F.col("upto") - F.col("n"))
 
 
-def _pivots(
-    df: DataFrame, intervals: dict[tuple, tuple[_Interval, list[int]]], turn: int
-) -> list[list[Any]]:
-    """Values around each wanted rank, from a sample of every interval, in one scan.
-
-    The draw hashes the row id and the round, so a task that is run again picks the same rows
-    and a round without progress is not repeated.
-    """
-    spots = list(intervals.values())
-    sizes = [TEXT_SAMPLE_ROWS if _is_text(df, spot.key) else SAMPLE_ROWS for spot, _ in spots]
-    rates = [min(1.0, size / spot.rows) for size, (spot, _) in zip(sizes, spots)]
-    draw = F.shiftrightunsigned(F.xxhash64(ROW_ID, F.lit(turn)), 33)
-    # rows that no interval draws are dropped before the aggregate sees them
-    rows = df.where(draw < F.lit(max(rates) * 2.0**31))
-    picks, places = [], []
-    for i, ((spot, ranks), size, rate) in enumerate(zip(spots, sizes, rates)):
-        margin = 0.001 + 2.0 / min(size, spot.rows) ** 0.5
-        ends = [spot.share(r) + side for r in ranks for side in (-margin, margin)]
-        shares = [min(1.0, max(0.0, end)) for end in ends]
-        is_text = size == TEXT_SAMPLE_ROWS
-        # any text can be a pivot, so a prefix will do
-        drawn = F.substring(spot.key, 1, TEXT_PIVOT_CHARS << turn) if is_text else spot.key
-        sampled = F.when(spot.holds() & (draw < F.lit(rate * 2.0**31)), drawn)
-        # there is no approximate percentile of text; its sample is small enough to sort
-        pick = (
-            F.sort_array(F.collect_list(sampled)) if is_text
-            else F.percentile_approx(sampled, F.array(*map(F.lit, shares)), 1_000)
-        )
-        picks.append(pick.alias(f"p{i}"))
-        places.append(shares if is_text else None)
-    found = [list(values or []) for values in rows.agg(*picks).first()]
-    return [
-        values if shares is None else [values[int(s * (len(values) - 1))] for s in shares if values]
-        for values, shares in zip(found, places)
+def _placed(df: DataFrame, groups: list[_Ranks], **columns) -> DataFrame:
+    """A row for each row of the table and each group that holds it."""
+    hits = [
+        F.when(g.part.holds(), F.struct(F.lit(place).alias("place"), *[make(g.part).alias(name) for name, make in columns.items()]))
+        for place, g in enumerate(groups)
     ]
+    near = reduce(or_, [g.part.holds() for g in groups])
+    return df.where(near).select(F.inline(F.array_compact(F.array(*hits))))
+
+
+def _round(df: DataFrame, groups: list[_Ranks], values: list) -> list[_Ranks]:
+    """Count the digits of all groups in one scan; the parts that hold the ranks still open."""
+    digits = _placed(df, groups, digit=_Digit.digit, value=_Digit.shown).groupBy("place", "digit")
+    counts = digits.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    found: dict[tuple, _Ranks] = {}
+    for row in _at_goals(counts, "digit", groups).collect():
+        old, i = groups[row.place], row.g.i
+        part, value = old.part.inside(row.under, row.n, row.low, row.high)
+        if value is not None:
+            values[i] = value
+        else:
+            rank = next(rank for at, rank in old.wanted if at == i)
+            found.setdefault((row.place, row.digit), _Ranks(part)).wanted.append((i, rank))
+    return list(found.values())
 
 
-def _narrow(df: DataFrame, spots: list[_Interval], ranks: list[int], values: list, limit: int) -> None:
-    """Shrink the interval of every rank until it holds at most ``limit`` rows, or rounds run out."""
-    for turn in range(MAX_ROUNDS):
-        todo = [i for i, s in enumerate(spots) if values[i] is None and s.rows > limit]
-        if not todo:
-            return
-        # ranks that lie in the same interval share its sample
-        shared: dict[tuple, tuple[_Interval, list[int]]] = {}
-        for i in todo:
-            shared.setdefault(spots[i].ends, (spots[i], []))[1].append(ranks[i])
-        found = dict(zip(shared, _pivots(df, shared, turn)))
-        pivots = {(shared[e][0].slot, v): shared[e][0].key for e, vs in found.items() for v in vs}
-        if not pivots:
-            continue
-        checks = []
-        for (_, value), key in pivots.items():
-            checks += [F.count_if(key < F.lit(value)), F.count_if(key <= F.lit(value))]
-        row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)]).first()
-        counted = {pivot: (row[2 * j], row[2 * j + 1]) for j, pivot in enumerate(pivots)}
-        for i in todo:
-            spot = spots[i]
-            for pivot in found[spot.ends]:
-                inside = (spots[i].low is None or pivot > spots[i].low) and (
-                    spots[i].high is None or pivot < spots[i].high
-                )
-                if not inside:
-                    continue
-                side = spots[i].cut(ranks[i], pivot, *counted[spot.slot, pivot])
-                if side is None:
-                    values[i] = pivot
-                    break
-                spots[i] = side
+def _by_value(df: DataFrame, groups: list[_Ranks], values: list) -> None:
+    """Count parts of few rows value by value, all in one scan."""
+    counts = _placed(df, groups, value=lambda part: part.key).groupBy("place", "value").agg(F.count("*").alias("n"))
+    for row in _at_goals(counts, "value", groups).collect():
+        values[row.g.i] = row.value
 
 
 def _without_nan(
     df: DataFrame, wanted: list[tuple[Column, int, list[int]]], nans: list[int] | None
-) -> tuple[list[Column], list[int]]:
-    """The keys with NULL in place of NaN, and how many values that leaves."""
+) -> tuple[list[Column], list[int], list[T.DataType]]:
+    """The keys with NULL in place of NaN, how many values that leaves, and what they are selected as."""
     keys = [key for key, _, _ in wanted]
-    kinds = [f.dataType for f in df.select(*keys).schema]
+    kinds = [f.dataType for f in df.select(*[key.alias(f"k{i}") for i, key in enumerate(keys)]).schema]
     floats = [i for i, kind in enumerate(kinds) if isinstance(kind, (T.DoubleType, T.FloatType))]
     if floats and nans is None:
         found = df.agg(*[F.count_if(F.isnan(keys[i])).alias(f"n{i}") for i in floats]).first()
         nans = [found[floats.index(i)] if i in floats else 0 for i in range(len(keys))]
     nans = nans or [0] * len(keys)
     numbers = [rows - n for (_, rows, _), n in zip(wanted, nans)]
-    return [F.when(~F.isnan(key), key) if n else key for key, n in zip(keys, nans)], numbers
+    own = []
+    for key, n, kind in zip(keys, nans, kinds):
+        whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType))
+        kept = F.when(~F.isnan(key), key) if n else key
+        own.append((kept.cast("long"), T.LongType()) if whole else (kept.cast("double"), T.DoubleType()) if isinstance(kind, T.FloatType) else (kept, kind))
+    return [key for key, _ in own], numbers, [kind for _, kind in own]
 
 
 def order_statistics(
@@ -165,36 +173,25 @@ def order_statistics(
 ) -> list[list[Any]]:
     """The values at 0-based ranks; ``wanted`` holds (key, non-null rows, ranks).
 
-    ``limit`` is the number of rows from which on a bracket is counted value by value; ``nans``
-    the NaN among each key's rows, which are counted where they are not given.
+    ``limit`` is the number of rows up to which a part is counted value by value; ``nans``
+    the NaN among each key's rows, which are counted where they are not given. All keys share
+    the scan of a round; keys of different types take a scan for each type.
     """
-    keys, numbers = _without_nan(df, wanted, nans)
-    spots = [_Interval(i, keys[i], numbers[i]) for i, (_, _, of) in enumerate(wanted) for _ in of]
-    ranks = [rank for _, _, of in wanted for rank in of]
-    values: list[Any] = [math.nan if rank >= spot.rows else None for spot, rank in zip(spots, ranks)]
-    _narrow(df, spots, ranks, values, limit)
-    rest = {s.ends: s for s, v in zip(spots, values) if v is None}
-    if rest:
-        # few rows are left per interval: count their values, then walk the counts
-        hits = [
-            F.when(s.holds(), F.struct(F.lit(i).alias("place"), s.key.alias("value")))
-            for i, s in enumerate(rest.values())
-        ]
-        near = reduce(or_, [s.holds() for s in rest.values()])
-        kept = df.where(near).select(F.inline(F.array_compact(F.array(*hits))))
-        counts = kept.groupBy("place", "value").agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("place").orderBy("value"))
-        goals = [
-            F.struct(F.lit(place).alias("place"), F.lit(i).alias("i"), F.lit(ranks[i] - s.below).alias("goal"))
-            for place, s in enumerate(rest.values())
-            for i in range(len(ranks)) if values[i] is None and spots[i].ends == s.ends
-        ]
-        walked = counts.withColumn("upto", upto).withColumn("g", F.explode(F.filter(
-            F.array(*goals),
-            lambda g: (g["place"] == F.col("place")) & (F.col("upto") > g["goal"])
-            & (F.col("upto") - F.col("n") <= g["goal"]),
-        )))
-        for i, value in walked.select("g.i", "value").collect():
-            values[i] = value
+    keys, numbers, kinds = _without_nan(df, wanted, nans)
+    ranks = [(slot, rank) for slot, (_, _, of) in enumerate(wanted) for rank in of]
+    values: list[Any] = [math.nan if rank >= numbers[slot] else None for slot, rank in ranks]
+    for kind in dict.fromkeys(kinds):
+        groups = []
+        for slot, key in enumerate(keys):
+            open_ = [(i, rank) for i, (at, rank) in enumerate(ranks) if at == slot and values[i] is None]
+            if kinds[slot] == kind and open_:
+                groups.append(_Ranks(_Digit(key, kind, numbers[slot]), open_))
+        small: list[_Ranks] = []
+        while groups:
+            small += [g for g in groups if g.part.rows <= limit]
+            groups = [g for g in groups if g.part.rows > limit]
+            groups = _round(df, groups, values) if groups else []
+        if small:
+            _by_value(df, small, values)
     results = iter(values)
     return [[next(results) for _ in of] for _, _, of in wanted]
