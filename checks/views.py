@@ -10,6 +10,7 @@ from veritable import ROW_ID, scratch_path
 from veritable.functions.times import iso_text
 from veritable.operators import outliers, rows
 from veritable.operators.concentration import concentration_flagged
+from veritable.operators.rank_index import RankIndex
 from veritable.sources.delimited import scan_delimited
 from veritable.sources.row_ids import read_with_row_ids
 from veritable.sources.sinks import export_view
@@ -220,6 +221,20 @@ def page_deep(spark, folder):
     return with_iso(ds, rows.page(ds, 29, 50, "o_totalprice", "asc", shallow_rows=300))
 
 
+@query(
+    "page_indexed",
+    f"""WITH g AS (SELECT event_id, ts, user_id, event_type, CASE WHEN value <= 100 THEN round(value) END AS value, props FROM events)
+SELECT * FROM (SELECT 'deep' AS view, {EVENT_COLUMNS} FROM g ORDER BY value DESC NULLS LAST, event_id LIMIT 40 OFFSET 280)
+UNION ALL SELECT * FROM (SELECT 'last' AS view, {EVENT_COLUMNS} FROM g ORDER BY value DESC NULLS LAST, event_id LIMIT 40 OFFSET 960)""",
+)
+def page_indexed(spark, folder):
+    """Two pages from one rank index: many equal keys, NULLs last."""
+    ds = derive(load(spark, folder, "events"), value=F.round(F.when(F.col("value") <= 100, F.col("value"))))
+    index = RankIndex.build(ds, "value", "desc", range_rows=200)
+    pages = [with_iso(ds, index.page(n, 40), F.lit(view).alias("view")) for n, view in ((8, "deep"), (25, "last"))]
+    return pages[0].unionByName(pages[1])
+
+
 @query(
     "page_nan",
     "SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 'NaN' ELSE CAST(CAST(round(value, 2) * 100 AS BIGINT) AS VARCHAR) END AS cents "

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from veritable import ROW_ID
 from veritable.operators import rows
+from veritable.operators.rank_index import RankIndex
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +85,31 @@ def test_evidence_of_large_tables_looks_at_a_prefix_first(table, monkeypatch):
 
 def test_sample_takes_the_first_rows(table):
     assert order(rows.sample_rows(table, 3).df) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_rank_index_gives_the_pages_of_a_sort(make, order):
+    values = [None if i % 7 == 0 else float("nan") if i % 31 == 0 else float(i * 37 % 11) for i in range(700)]
+    ds = make([(v, f"t{i}") for i, v in enumerate(values)], "v double, t string")
+    index = RankIndex.build(ds, "v", order, range_rows=60)
+    starts = index.ranges.orderBy("part").collect()
+    assert sum(r.rows for r in starts) == 700 and len(starts) > 5
+    every = [r[ROW_ID] for r in rows.sorted_rows(ds, "v", order).collect()]
+    for number in (1, 2, 9, 17, 18, 19):
+        got = [r[ROW_ID] for r in index.page(number, 40).collect()]
+        assert got == every[(number - 1) * 40 : number * 40], number
+    with pytest.raises(ValueError):
+        index.page(0)
+
+
+def test_rank_index_is_cheap_to_use_again(make, spark):
+    ds = make([(f"w{i * 7919 % 3000:04d}",) for i in range(3_000)], "w string")
+    index = RankIndex.build(ds, "w", range_rows=200)
+    for number in (40, 55):
+        spark.sparkContext.setJobGroup(f"page{number}", "page")
+        page = [r.w for r in index.page(number, 50).collect()]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"page{number}"))
+        spark.sparkContext._jsc.clearJobGroup()
+        assert page == [f"w{i:04d}" for i in range((number - 1) * 50, number * 50)]
+        assert jobs <= 5
+    assert RankIndex.build(ds.where(F.lit(False)), "w").page(1).count() == 0

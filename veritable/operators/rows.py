@@ -54,6 +54,13 @@ def slice_count(ds: Dataset) -> DataFrame:
     return ds.df.agg(F.count("*").alias("row_count"))
 
 
+def checked_page(number: int, size: int) -> int:
+    """The rows before a page."""
+    if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
+        raise ValueError(f"number must be at least 1 and size between 1 and {MAX_PAGE_SIZE}")
+    return (number - 1) * size
+
+
 def page(
     ds: Dataset,
     number: int = 1,
@@ -68,15 +75,13 @@ def page(
     The ids of the page are found first, reading the sort key only; the other columns
     are then read for these ids.
     """
-    if number < 1 or not 1 <= size <= MAX_PAGE_SIZE:
-        raise ValueError(f"number must be at least 1 and size between 1 and {MAX_PAGE_SIZE}")
-    skip = (number - 1) * size
+    skip = checked_page(number, size)
     narrow = ds if sort_by else _id_prefix(ds, skip + size)
     if skip + size > shallow_rows and _can_seek(ds, sort_by):
         narrow, skip = _seek(narrow, skip, sort_by, sort_order, shallow_rows), 0
     view = narrow.df.orderBy(*ordering(narrow, sort_by, sort_order)).offset(skip).limit(size)
     ids = [row[0] for row in view.select(ROW_ID).collect()]
-    shown = _fetch(ds, ids).orderBy("pos").drop("pos")
+    shown = in_order(ds, ids).drop("pos")
     return shown.withColumn("total_count", F.lit(ds.count_rows())) if total else shown
 
 
@@ -146,6 +151,11 @@ def _fetch(ds: Dataset, ids: list[int]) -> DataFrame:
     return ds.df.where(with_ids(ids)).join(F.broadcast(lookup), ROW_ID)
 
 
+def in_order(ds: Dataset, ids: list[int]) -> DataFrame:
+    """Rows of an id list in its order. Their number is known, so no sort of unknown size is planned."""
+    return _fetch(ds, ids).orderBy("pos").limit(max(len(ids), 1))
+
+
 def rows_by_id(ds: Dataset, ids: list[int] | str, most: int = MAX_LOOKUP) -> DataFrame:
     """Rows in the order asked for; repeats are kept, unknown ids are left out.
 
@@ -155,7 +165,7 @@ def rows_by_id(ds: Dataset, ids: list[int] | str, most: int = MAX_LOOKUP) -> Dat
         ids = [int(part) for part in ids.split(",") if part.strip()]
     if len(ids) > most:
         raise ValueError(f"{len(ids)} row ids are asked for; a lookup takes {most} at most")
-    return _fetch(ds, [int(i) for i in ids]).orderBy("pos")
+    return in_order(ds, [int(i) for i in ids])
 
 
 def evidence(
