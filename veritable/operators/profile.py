@@ -283,11 +283,11 @@ def duplicate_examples(ds: Dataset, rows: int) -> DataFrame:
     return duplicate_rows(ds)
 
 
-def data_quality(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
+def data_quality(ds: Dataset, base: DataFrame | None = None, counts: dict[int, int] | None = None) -> DataFrame:
     """Shape of the table, duplicates, mean blank share and the small-sample warning."""
     if base is None:
         base = aggregate_once(ds, missing_measures(ds), identifier_measures(ds))
-    copies = F.lit(0).cast("long") if has_unique_column(ds, base) else duplicate_count(ds).scalar()
+    copies = F.lit(0).cast("long") if has_unique_column(ds, base, counts) else duplicate_count(ds).scalar()
     shares = [record["missing_fraction"] for record in missing_measures(ds).records]
     mean = sum(shares[1:], shares[0]) / len(shares)
     return base.select(
@@ -348,11 +348,23 @@ def identifier_measures(ds: Dataset) -> Measures:
     return Measures(aggregates, [])
 
 
-def _distinct_counts(ds: Dataset, seen: Row, needed: dict[int, float]) -> dict[int, int]:
-    """Exact distinct counts of the integer columns that may reach what they need.
+# A bitmap of 32,768 integers is worth its 4 KB where at least this many of them occur on average.
+_BITMAP_FILL = 512
+_BITMAP_BITS = 32_768
+
+
+def _dense(seen: Row, i: int) -> bool:
+    span = seen[f"high{i}"] - seen[f"low{i}"] + 1
+    return span <= _BITMAP_BITS or span * _BITMAP_FILL <= seen[f"filled{i}"] * _BITMAP_BITS
+
+
+def distinct_counts(ds: Dataset, seen: Row, needed: dict[int, float]) -> dict[int, int]:
+    """Exact distinct counts of the integer columns that may reach what they need, in one job.
 
     The span of the integers bounds how many values there can be, which settles most
-    columns; a sketch settles most others; only what is left pays for an exact count.
+    columns; a sketch settles most others. Of what is left, integers that lie close together are
+    counted in bitmaps of 32,768 each, which tasks fill before anything is shuffled; only sparse
+    ones are shuffled value by value.
     """
     columns = _integers(ds)
     near = [
@@ -362,27 +374,51 @@ def _distinct_counts(ds: Dataset, seen: Row, needed: dict[int, float]) -> dict[i
     if not near:
         return {}
     estimates = ds.df.agg(*[F.approx_count_distinct(columns[i].ref) for i in near]).first()
-    return {
-        i: ds.df.agg(F.count_distinct(columns[i].ref)).first()[0]
-        for i, estimate in zip(near, estimates)
-        if estimate >= CANDIDATE_SHARE * needed[i]
-    }
+    left = [i for i, estimate in zip(near, estimates) if estimate >= CANDIDATE_SHARE * needed[i]]
+    if not left:
+        return {}
 
+    def each(chosen: list[int], value) -> DataFrame:
+        cells = [F.when(columns[i].ref.isNotNull(), F.struct(F.lit(i).alias("i"), value(i).alias("v"))) for i in chosen]
+        return ds.df.select(F.inline(F.array_compact(F.array(*cells))))
 
-def identifier_columns(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
+    dense, sparse = [i for i in left if _dense(seen, i)], [i for i in left if not _dense(seen, i)]
+    parts = []
+    if dense:
+        rows = each(dense, lambda i: columns[i].ref.cast("long") - F.lit(seen[f"low{i}"]) + 1)
+        maps = rows.groupBy("i", F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+        parts.append(maps.groupBy("i").agg(F.sum(F.bitmap_count("bits")).alias("n")))
+    if sparse:
+        values = each(sparse, lambda i: columns[i].ref.cast("long")).groupBy("i", "v").agg(F.lit(1).alias("one"))
+        parts.append(values.groupBy("i").agg(F.count("*").alias("n")))
+    return {row.i: row.n for row in reduce(DataFrame.unionByName, parts).collect()}
+
+
+def identifier_counts(ds: Dataset, seen: Row) -> dict[int, int]:
+    """Distinct counts for both uses: whether a column names rows, and whether one differs in all rows."""
+    unique = UNIQUE_SHARE * seen.total
+    integers = list(enumerate(_integers(ds)))
+    needed = {i: min(unique, seen[f"filled{i}"]) for i, c in integers if not named_like_identifier(c.name)}
+    full = [i for i, _ in integers if seen[f"filled{i}"] == seen.total > 0]
+    # a column that has to differ in all rows only is not counted if the sketch is far from that
+    needed |= {i: seen.total for i in full[:1] if i not in needed}
+    return distinct_counts(ds, seen, needed)
+
+
+def identifier_columns(ds: Dataset, base: DataFrame | None = None, counts: dict[int, int] | None = None) -> DataFrame:
     """Numeric columns that name rows rather than measure something, with the reason.
 
     They are named like one, or are integers that are (almost) all different or that
-    increase with the row id.
+    increase with the row id. ``counts`` holds distinct counts where they are known.
     """
     found = [(c.name, "name") for c in ds.numbers if named_like_identifier(c.name)]
     probes = {i: c for i, c in enumerate(_integers(ds)) if not named_like_identifier(c.name)}
     if probes:
         seen = (aggregate_once(ds, identifier_measures(ds)) if base is None else base).first()
         unique = UNIQUE_SHARE * seen.total
-        counts = _distinct_counts(ds, seen, {i: min(unique, seen[f"filled{i}"]) for i in probes})
-        for i, distinct in counts.items():
-            name, filled = probes[i].name, seen[f"filled{i}"]
+        counts = identifier_counts(ds, seen) if counts is None else counts
+        for i in probes:
+            name, filled, distinct = probes[i].name, seen[f"filled{i}"], counts.get(i, -1)
             if distinct >= unique:
                 found.append((name, "unique"))
             elif filled >= 2 and distinct == filled:
@@ -392,18 +428,18 @@ def identifier_columns(ds: Dataset, base: DataFrame | None = None) -> DataFrame:
     return small_table(ds.df.sparkSession, found, schema)
 
 
-def has_unique_column(ds: Dataset, base: DataFrame) -> bool:
+def has_unique_column(ds: Dataset, base: DataFrame, counts: dict[int, int] | None = None) -> bool:
     """Whether an integer column differs in all rows, so that no two rows can be equal.
 
     Counting one column's values is far cheaper than grouping whole rows.
     """
     seen = base.first()
+    counts = identifier_counts(ds, seen) if counts is None else counts
     full = [i for i, _ in enumerate(_integers(ds)) if seen[f"filled{i}"] == seen.total > 0]
-    counts = _distinct_counts(ds, seen, dict.fromkeys(full[:1], seen.total))
-    return seen.total in counts.values()
+    return any(counts.get(i) == seen.total for i in full)
 
 
-def measure_columns(ds: Dataset, base: DataFrame | None = None) -> list[ColumnInfo]:
+def measure_columns(ds: Dataset, base: DataFrame | None = None, counts: dict[int, int] | None = None) -> list[ColumnInfo]:
     """Numeric columns without the identifiers."""
-    names = {row.column for row in identifier_columns(ds, base).collect()}
+    names = {row.column for row in identifier_columns(ds, base, counts).collect()}
     return [c for c in ds.numbers if c.name not in names]

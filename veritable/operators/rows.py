@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,6 +195,38 @@ def evidence_list(
     return [row[0] for row in evidence(ds, predicate, order, limit).collect()]
 
 
+def evidence_lists(
+    ds: Dataset, wanted: list[tuple[Column | None, int]], rows: int, block_ids: int = PREFIX_IDS
+) -> list[list[int]]:
+    """The first row ids that satisfy each of many predicates, ``(predicate, how many)``, for all of them at once.
+
+    One scan counts the matches of every predicate in blocks of row ids, which tells for each
+    predicate the block that its last wanted row lies in; another ranks the matches up to there.
+    A table of one block (``rows`` tells its size) needs the second scan only.
+    """
+    if not wanted:
+        return []
+    holds = [F.lit(True) if predicate is None else predicate for predicate, _ in wanted]
+    bounds: list[int | None] = [None] * len(wanted)
+    if rows > block_ids:
+        block = F.floor(F.col(ROW_ID) / F.lit(block_ids))
+        counts = ds.df.groupBy(block.alias("block")).agg(*[F.count_if(p).alias(f"n{i}") for i, p in enumerate(holds)])
+        so_far = Window.orderBy("block")  # one row per block
+        reached = counts.select("block", *[(F.sum(f"n{i}").over(so_far) >= count).alias(f"r{i}") for i, (_, count) in enumerate(wanted)])
+        last = reached.agg(*[F.min(F.when(F.col(f"r{i}"), F.col("block"))).alias(f"b{i}") for i in range(len(wanted))]).first()
+        bounds = [None if b is None else (b + 1) * block_ids for b in last]
+    kept = [p if b is None else p & (F.col(ROW_ID) < b) for p, b in zip(holds, bounds)]
+    hits = [F.when(p, F.lit(i)) for i, p in enumerate(kept)]
+    found = ds.df.where(reduce(or_, kept)).select(F.explode(F.array_compact(F.array(*hits))).alias("i"), ROW_ID)
+    place = F.row_number().over(Window.partitionBy("i").orderBy(ROW_ID))
+    limit = F.element_at(F.array(*[F.lit(count) for _, count in wanted]), F.col("i") + 1)
+    ranked = found.withColumn("place", place).where(F.col("place") <= max(count for _, count in wanted)).where(F.col("place") <= limit)
+    lists: list[list[int]] = [[] for _ in wanted]
+    for row in sorted(ranked.collect(), key=lambda r: r.place):
+        lists[row.i].append(row[ROW_ID])
+    return lists
+
+
 def extremes(
     ds: Dataset, column: str, count: int, predicate: Column | None = None,
     within: dict[str, Column] | None = None,

@@ -152,10 +152,23 @@ def section_findings(facts: Facts) -> DataFrame:
         with ThreadPoolExecutor(max_workers=PARALLEL_SECTIONS) as pool:
             results = pool.map(lambda section: guarded(facts, *section), SECTIONS)
         rows += [row for result in results for row in result]
+        rows = with_evidence(facts, rows)
     numbered = [(ds.name, 100 * (i + 1), *row[2:]) for i, row in enumerate(rows)]
     return small_table(facts.spark, numbered, FINDING_SCHEMA)
 
 
+def with_evidence(facts: Facts, found: list) -> list:
+    """Findings with the row ids that their marks stand for; without any if they cannot be read."""
+    place = FINDING_SCHEMA.names.index("evidence_rows")
+    try:
+        resolve = facts.resolved()
+    except Exception as exc:  # the findings stand without their rows
+        log.warning("evidence rows failed: %r", exc)
+        found = found + unavailable(facts, "Evidence rows", "executive_summary", exc)
+        resolve = lambda ids: [] if ids and ids[0] < 0 else ids
+    return [(*row[:place], resolve(row[place]), *row[place + 1 :]) for row in found]
+
+
 def with_headlines(findings: DataFrame) -> DataFrame:
     """Put the headline cards between the executive summary and the sections."""
     body = findings.where("category <> 'executive_summary'")
@@ -202,7 +215,7 @@ def build_report(ds: Dataset, filters: str | list[dict] | None = None, mode: str
     take = parts.take
     found = take("Findings", lambda: section_findings(facts), FINDING_SCHEMA)
     body = found.where("category <> 'executive_summary'")
-    quality = take("Data quality", lambda: profile.data_quality(ds, facts.base), _QUALITY)
+    quality = take("Data quality", lambda: profile.data_quality(ds, facts.base, facts.distinct), _QUALITY)
     known = quality.first()
     duplicates = known.duplicate_rows if known else 0
     examples = take(
