@@ -193,3 +193,40 @@ def test_an_older_load_does_not_hide_a_newer_one(spark, tmp_path):
 
     versions.refresh(spark, root, slow)
     assert versions.current(spark, root).count_rows() == 2
+
+
+def test_multiline_records_across_splits(spark, tmp_path):
+    """Files cut into splits of a few bytes give the records of the csv module, in file order."""
+    import csv
+    import random
+
+    draw = random.Random(4)
+    piece = lambda: "".join(draw.choice(["a", "b", " ", "\n", '"', ",", "é", "漢", "\r\n", "long " * 40]) for _ in range(draw.randint(0, 9)))
+    rows = [(str(i), f"x{piece()}y", piece() + "z") for i in range(400)] + [("400", "x" + "line\n" * 3_000 + "y", "z")]
+    rows += [(str(i), "plain", "z") for i in range(401, 420)]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        with open(folder / f"f{k}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n")
+            writer.writerow(["id", "body", "more"])
+            writer.writerows(rows[k::3])
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 20
+        df = scan_delimited(spark, str(folder))
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert df.columns == ["id", "body", "more"]
+    assert sorted(got) == sorted((int(a), b, c) for a, b, c in rows)
+
+
+def test_ragged_line_with_many_quoted_separators(spark, tmp_path):
+    wide = ",".join(str(i) for i in range(9))
+    df = scan_delimited(spark, write(tmp_path / "a.csv", f'a,b\n1,2\n3,"{"," * 20_000}",x,"q""u,""",{wide}\n'))
+    assert len(df.columns) == 13
+    assert sorted(len(r.b) for r in df.select("b").collect()) == [1, 20_000]

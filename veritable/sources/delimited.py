@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritable.schema import ref
+from veritable.sources.records import split_records
 
 # The separators that are tried.
 SEPARATORS = [",", "\t", ";", "|"]
@@ -29,7 +30,8 @@ def scan_delimited(
 
     Short rows are padded with NULLs, longer ones get further columns; repeated and empty
     header names get a suffix. A row cap loads the first rows only. ``multiline`` tells whether quoted fields hold
-    line breaks; by default the text is searched for them.
+    line breaks; by default the text is searched for them. Such text is cut into records by all tasks and
+    stored once; what follows reads the records.
     """
     lines = spark.read.text(path)
     head = lines.first()
@@ -38,8 +40,14 @@ def scan_delimited(
     sep = sep or guess_separator(head.value)
     if multiline is None:
         multiline = _has_long_records(lines)
-    options = _READ_OPTIONS | {"sep": sep, "multiLine": multiline}
-    table = _typed(lambda **extra: spark.read.csv(path, **options, **extra), head.value, sep)
+    options, source = _READ_OPTIONS | {"sep": sep}, path
+    if multiline:
+        records = split_records(spark, path, head.value)
+        if records:
+            source, options["lineSep"] = records
+        else:
+            options["multiLine"] = True
+    table = _typed(lambda **extra: spark.read.csv(source, **options, **extra), head.value, sep)
     return table.limit(row_cap) if row_cap else table
 
 
@@ -128,16 +136,17 @@ def _typed(read, header: str, sep: str) -> DataFrame:
 def _cells_beyond(raw: DataFrame, width: int, cells: int | None, sep: str) -> int:
     """How many cells the longest row has beyond the header.
 
-    Lines of another length than the header are parsed again, as wide as their separators allow.
+    Lines of another length than the header are looked at again: quoted cells and what else
+    they hold are taken out, and the separators that are left are counted. A quoted cell begins after a
+    separator or at the start of the line, and two quotes in it stand for one.
     """
     if not cells or cells <= width:
         return 0
-    wide = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(cells)])
-    options = {"sep": sep, "quote": '"', "escape": '"'}
-    parsed = F.from_csv(F.col(_RAGGED), F.lit(wide.simpleString()[7:-1].replace(":", " ")), options)
-    filled = F.greatest(*[F.when(parsed[f"_c{i}"].isNotNull(), i + 1) for i in range(width - 1, cells)], F.lit(width))
+    mark = re.escape(sep)
+    plain = F.regexp_replace(F.col(_RAGGED), f'(?s)(^|{mark})"(?:[^"]|"")*+"', "$1x")
+    filled = F.size(F.split(plain, mark))
     every = [F.count(c) for c in raw.columns]
-    return raw.where(F.col(_RAGGED).isNotNull()).agg(F.max(filled), *every).first()[0] - width
+    return max(raw.where(F.col(_RAGGED).isNotNull()).agg(F.max(filled), *every).first()[0] - width, 0)
 
 
 def _schema(names: list[str], types: list[T.DataType]) -> T.StructType:
