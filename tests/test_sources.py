@@ -230,3 +230,35 @@ def test_ragged_line_with_many_quoted_separators(spark, tmp_path):
     df = scan_delimited(spark, write(tmp_path / "a.csv", f'a,b\n1,2\n3,"{"," * 20_000}",x,"q""u,""",{wide}\n'))
     assert len(df.columns) == 13
     assert sorted(len(r.b) for r in df.select("b").collect()) == [1, 20_000]
+
+
+def test_interleaved_writers_take_numbers_of_their_own(spark, tmp_path):
+    """One load begins while another is under way, more run side by side: every version has its own number."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "data")
+
+    def outer():
+        versions.refresh(spark, root, lambda: spark.range(5).withColumnRenamed("id", "n"))
+        return spark.range(3).withColumnRenamed("id", "n")
+
+    versions.refresh(spark, root, outer)
+    assert versions.current(spark, root).count_rows() == 5
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: versions.refresh(spark, root, lambda: spark.range(k + 1).withColumnRenamed("id", "n")), range(4)))
+        numbers = list(pool.map(lambda _: versions.take_number(spark, root), range(8)))
+    log = sorted(r.version for r in versions._log(spark, root).collect())
+    assert len(set(log)) == len(log) == 6 and len(set(numbers)) == 8 and not set(numbers) & set(log)
+
+
+def test_replaced_versions_expire(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    root = str(tmp_path / "data")
+    for k in (1, 2, 3):
+        versions.refresh(spark, root, lambda: spark.range(k).withColumnRenamed("id", "n"))
+    assert versions.expire(spark, root, dt.timedelta(hours=1)) == []
+    assert versions.expire(spark, root, dt.timedelta(0)) == [1, 2]
+    assert versions.expire(spark, root, dt.timedelta(0)) == [] and len(os.listdir(f"{root}/data")) == 1
+    assert versions.current(spark, root).count_rows() == 3
