@@ -73,3 +73,18 @@ def test_odd_rows(spark):
 def test_query_agrees_with_sql(spark):
     folder = TABLES.replace("0.001", "0.01")
     assert difference(op9_merkle_fixity(spark, folder), connect(folder), FIXITY_SQL) is None
+
+
+def test_records_at_one_offset_meet_their_own_counterpart(spark):
+    """Equal offsets, in both replicas or as copies: only what differs is found, whatever the columns are called."""
+    def table(rows):
+        return spark.createDataFrame(
+            [("a", offset, len(text), bytearray(text.encode()), k, k) for k, (offset, text) in enumerate(rows)],
+            "archive string, offset long, length long, record binary, copy int, found int")
+
+    kept = table([(0, "one"), (0, "one"), (0, "two"), (9, "three"), (70_000, "x" * 3_000_000)])
+    assert W.audit(kept, kept, ["copy", "found"]).count() == 0
+    damaged = table([(0, "one"), (0, "one"), (0, "two"), (9, "thrEe"), (70_000, "x" * 3_000_000)])
+    assert [(r.offset, r.status) for r in W.audit(kept, damaged, ["copy", "found"]).collect()] == [(9, "changed")]
+    lost = table([(0, "one"), (0, "two"), (9, "three"), (9, "more"), (70_000, "x" * 3_000_000)])
+    assert sorted((r.offset, r.status) for r in W.audit(kept, lost).collect()) == [(0, "missing"), (9, "extra")]

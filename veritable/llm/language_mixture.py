@@ -45,11 +45,11 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def trigram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trigram_counts(texts: list[str | None], space: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, count) of the letter trigrams of each text, in order of text.
 
     Letters are lower-cased, all else between them counts as one blank; a trigram is any three
-    neighbours with a letter in the middle.
+    neighbours with a letter in the middle. Buckets are a power of two, `space`.
     """
     lowered = [t.lower() if t else "" for t in texts]
     sizes = np.array([len(t) for t in lowered], np.int64)
@@ -66,17 +66,17 @@ def trigram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
     ends = np.r_[border[1:], True] if len(codes) else border
     after = np.where(ends, np.uint64(0), after)
     h = before[letter] * np.uint64(0x9E3779B97F4A7C15) + codes[letter] * np.uint64(0xC2B2AE3D27D4EB4F) + after[letter] * np.uint64(0x165667B19E3779F9)
-    bucket = ((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(49)).astype(np.int64)
+    bucket = ((h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - space.bit_length())).astype(np.int64)
     owner = owner[letter]
     rows, buckets, counts = [], [], []
     for low in range(0, len(texts), _DOCS):
         a, b = np.searchsorted(owner, [low, low + _DOCS])
         if a == b:
             continue
-        table = np.bincount((owner[a:b] - low) * BUCKETS + bucket[a:b], minlength=0)
+        table = np.bincount((owner[a:b] - low) * space + bucket[a:b], minlength=0)
         at = np.flatnonzero(table)
-        rows.append(at // BUCKETS + low)
-        buckets.append(at % BUCKETS)
+        rows.append(at // space + low)
+        buckets.append(at % space)
         counts.append(table[at])
     if not rows:
         empty = np.zeros(0, np.int64)
@@ -93,13 +93,18 @@ class Model:
 
 
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", buckets: int = BUCKETS) -> Model:
-    """Count every labelled text; the driver gets one number for each language and bucket at most."""
+    """Count every labelled text; the driver gets one number for each language and bucket at most.
+
+    `buckets` is a power of two.
+    """
+    if buckets < 2 or buckets & (buckets - 1):
+        raise ValueError("the number of buckets must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
         for batch in slices(batches, "t"):
             labels = np.array(batch.column("l").to_pylist(), object)
-            row, bucket, count = trigram_counts(batch.column("t").to_pylist())
+            row, bucket, count = trigram_counts(batch.column("t").to_pylist(), buckets)
             for name in set(labels):
                 mine = labels[row] == name
                 tables.setdefault(name, np.zeros(buckets, np.int64))
@@ -140,7 +145,7 @@ def _mixtures(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
     """As `mixtures`, and the part of each text's trigrams that its selected set explains."""
     full = np.zeros((len(texts), len(model.languages)))
     selected, explained = full.copy(), np.zeros(len(texts))
-    row, bucket, count = trigram_counts(texts)
+    row, bucket, count = trigram_counts(texts, len(model.chance))
     if not len(row) or not model.languages:
         return full, selected, explained
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])

@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.llm.shared import stored
@@ -151,11 +151,20 @@ def audit(kept: DataFrame, replica: DataFrame, carry: Sequence[str] = ()) -> Dat
         above = bad.withColumnRenamed("node", "up")
         under = [x[level].withColumn("up", parent).join(above, ["archive", "up"], "left_semi").drop("up") for x in (left, right)]
         bad = stored(_differing(*under), f"fixity-bad-{level}")
-    mine = a.join(bad, ["archive", "node"], "left_semi").drop("node")
-    theirs = b.join(bad, ["archive", "node"], "left_semi").select("archive", "offset", F.col("length").alias("found_length"), F.col("digest").alias("found_digest"))
-    met = mine.join(theirs, ["archive", "offset"], "full")
-    return met.filter(~F.col("digest").eqNullSafe(F.col("found_digest"))).withColumn(
-        "status", F.when(F.col("found_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("changed"))
+    # equal records at one offset cancel out, as often as both sides have them; what is left there is
+    # numbered by length and digest, and a record meets the one of its number
+    each, left_over = ["archive", "offset", "length", "__sum"], ["archive", "offset", "__place"]
+    place = F.row_number().over(Window.partitionBy("archive", "offset").orderBy("length", "__sum", "__copy"))
+    mine, theirs = [
+        x.join(bad, ["archive", "node"], "left_semi").drop("node").withColumn("__sum", F.coalesce("digest", F.lit(""))).withColumn(
+            "__copy", F.row_number().over(Window.partitionBy(*each).orderBy(*[c for c in carry if c in x.columns], "length"))) for x in (a, b)
+    ]
+    mine, theirs = [
+        x.join(y.select(*each, "__copy"), [*each, "__copy"], "left_anti").withColumn("__place", place).drop("__sum", "__copy") for x, y in ((mine, theirs), (theirs, mine))
+    ]
+    found = theirs.select(*left_over, F.col("length").alias("found_length"), F.col("digest").alias("found_digest"), F.lit(True).alias("__found"))
+    met = mine.withColumn("__kept", F.lit(True)).join(found, left_over, "full")
+    return met.withColumn("status", F.when(F.col("__found").isNull(), "missing").when(F.col("__kept").isNull(), "extra").otherwise("changed")).drop("__place", "__kept", "__found")
 
 
 def _above(level: DataFrame) -> DataFrame:

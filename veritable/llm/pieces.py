@@ -2,7 +2,9 @@
 
 A text is cut before each blank that a non-blank character follows. A tokenizer whose pattern
 lets a piece begin with one blank and never run across such a place gives the same ids for the
-parts as for the whole. Equal parts are encoded once for each worker process.
+parts as for the whole. Equal parts are encoded once for each worker process: a part is looked up
+by a hash of its bytes, and every hit is compared with the bytes that were encoded. The cache is
+bounded in bytes.
 
 A tokenizer's added tokens are parts of their own. The blanks before one end the part before it,
 as they end the segment that the tokenizer cuts there.
@@ -10,18 +12,24 @@ as they end the segment that the tokenizer cuts there.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from veritable.llm.shared import gathered, span_hashes
+from veritable.llm.shared import gathered, mix
 
-#: Parts a worker keeps; past that it starts over, which costs time and changes nothing.
-CACHE_PARTS = 1 << 21
+#: Bytes of parts and ids a worker keeps; past that it starts over, which costs time and changes nothing.
+CACHE_BYTES = 96 << 20
 #: Parts that are turned into ids at once.
 GROUP_PARTS = 1 << 18
 
+# Two primes below 2^31 with a base each. Sums of 2^20 bytes times a power fit 63 bits.
+_PRIMES = (2_147_483_647, 2_147_483_629)
+_BASES = (1_103_515_245, 1_566_083_941)
+_SPAN = 1 << 20
+
 # Bytes that may begin a white-space character (ASCII and control ones, and lead bytes of U+0085,
 # U+00A0, U+1680, U+2000 and up, U+3000): no cut before a blank that one of them follows.
 _MAY_BE_SPACE = np.zeros(256, bool)
@@ -50,8 +58,56 @@ def part_starts(raw: np.ndarray, offsets: np.ndarray, added: re.Pattern[bytes] |
     return np.flatnonzero(starts)
 
 
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _tables() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime the powers of its base, and of the base's inverse."""
+    if not _powers:
+        for prime, base in zip(_PRIMES, _BASES):
+            made = []
+            for factor in (base, pow(base, -1, prime)):
+                table = np.ones(1, np.int64)
+                while len(table) < _SPAN:
+                    table = np.concatenate([table, table * pow(factor, len(table), prime) % prime])
+                made.append(table[:_SPAN])
+            _powers.append((made[0], made[1]))
+    return _powers
+
+
+def part_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each part, a polynomial modulo two primes; parts are in order and do not overlap."""
+    out = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        low = starts[done]
+        stop = max(int(np.searchsorted(ends, low + _SPAN, "right")), done + 1)
+        high = ends[stop - 1]
+        if high - low > _SPAN:
+            out[done] = np.frombuffer(hashlib.blake2b(raw[low:high].tobytes(), digest_size=8).digest(), np.uint64)[0]
+        else:
+            value = raw[low:high].astype(np.int64) + 1
+            a, b = starts[done:stop] - low, ends[done:stop] - low
+            both = []
+            for prime, (power, inverse) in zip(_PRIMES, _tables()):
+                total = np.zeros(high - low + 1, np.int64)
+                np.cumsum(value * power[: high - low], out=total[1:])
+                both.append(((total[b] - total[a]) % prime * inverse[a] % prime).astype(np.uint64))
+            out[done:stop] = mix((both[0] << np.uint64(32)) ^ both[1] ^ ((b - a).astype(np.uint64) << np.uint64(44)))
+        done = stop
+    return out
+
+
+def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The array with more values after the used ones, at least doubled where it is too short."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held, np.zeros(max(len(held), used + len(more) - len(held)), held.dtype)])
+    held[used : used + len(more)] = more
+    return held
+
+
 class PartIds:
-    """Ids of parts, remembered by the hash of their bytes."""
+    """Ids of parts, remembered by the hash of their bytes and checked by the bytes."""
 
     def __init__(self, encode: Callable[[list[str]], list], added: list[str] | None = None) -> None:
         self.encode = encode
@@ -59,45 +115,76 @@ class PartIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.used = 0
-
-    def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.keys) + len(hashes) > CACHE_PARTS:
-            self._clear()
-        data = raw.tobytes()
-        new = self.encode([data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
+        # sorted hashes with the place of their part, in runs of falling size that are merged as they grow
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts = self.used = self.used_bytes = 0
+        self.at, self.count, self.byte_at, self.byte_count = (np.zeros(1 << 12, np.int64) for _ in range(4))
+        self.ids, self.bytes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)
+
+    @property
+    def held_bytes(self) -> int:
+        return 4 * self.used + self.used_bytes + 48 * self.parts
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the parts of these hashes are kept; -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, places in self.runs:
+            near = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            out = np.where(keys[near] == hashes, places[near], out)
+        return out
+
+    def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        new = self._encoded(raw, starts, ends)
         counts = np.fromiter(map(len, new), np.int64, len(new))
-        total = int(counts.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
-        self.ids[self.used : self.used + total] = np.concatenate([np.asarray(x, np.int32) for x in new]) if total else 0
-        at = self.used + np.cumsum(counts) - counts
-        self.used += total
-        place = np.searchsorted(self.keys, hashes)
-        self.keys = np.insert(self.keys, place, hashes)
-        self.at = np.insert(self.at, place, at)
-        self.count = np.insert(self.count, place, counts)
+        flat = np.concatenate([np.asarray(x, np.int32) for x in new])
+        sizes = ends - starts
+        self.ids = _grown(self.ids, self.used, flat)
+        self.bytes = _grown(self.bytes, self.used_bytes, raw[gathered(starts, sizes)])
+        places = self.parts + np.arange(len(new))
+        for name, values in (
+            ("at", self.used + np.cumsum(counts) - counts), ("count", counts), ("byte_at", self.used_bytes + np.cumsum(sizes) - sizes), ("byte_count", sizes),
+        ):
+            setattr(self, name, _grown(getattr(self, name), self.parts, values))
+        self.used, self.used_bytes, self.parts = self.used + len(flat), self.used_bytes + int(sizes.sum()), self.parts + len(new)
+        keys = hashes
+        held = places
+        while self.runs and len(self.runs[-1][0]) < 2 * len(keys):
+            more, at = self.runs.pop()
+            keys, held = np.concatenate([more, keys]), np.concatenate([at, held])
+            order = np.argsort(keys)
+            keys, held = keys[order], held[order]
+        self.runs.append((keys, held))
+        return places
+
+    def _encoded(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list:
+        return self.encode([raw[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())])
+
+    def _same(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each part has the bytes of the one that is kept in its place."""
+        same = ends - starts == self.byte_count[place]
+        a, sizes = starts[same], (ends - starts)[same]
+        if len(a):
+            equal = raw[gathered(a, sizes)] == self.bytes[gathered(self.byte_at[place[same]], sizes)]
+            same[same] = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+        return same
 
     def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the parts one after the other, and how many each part has."""
-        unique, first, inverse = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == unique[inside]
-        if not known.all():
-            if len(self.keys) + int((~known).sum()) > CACHE_PARTS:
-                known[:] = False
-            fresh = first[~known]
-            self._learn(raw, unique[~known], starts[fresh], ends[fresh])
-            place = np.searchsorted(self.keys, unique)
+        unique, first, inverse = np.unique(part_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        if self.held_bytes > CACHE_BYTES:
+            self._clear()
+        place = self._places(unique)
+        new = place < 0
+        if new.any():
+            place[new] = self._learn(raw, unique[new], starts[first[new]], ends[first[new]])
         place = place[inverse]
         counts = self.count[place]
-        return self.ids[gathered(self.at[place], counts)], counts
+        other = np.flatnonzero(~self._same(raw, starts, ends, place))
+        if not len(other):
+            return self.ids[gathered(self.at[place], counts)], counts
+        own = dict(zip(other.tolist(), self._encoded(raw, starts[other], ends[other])))
+        each = [np.asarray(own[k], np.int32) if k in own else self.ids[self.at[p] : self.at[p] + self.count[p]] for k, p in enumerate(place.tolist())]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
 
 def token_runs(raw: np.ndarray, offsets: np.ndarray, parts: PartIds) -> Iterator[tuple[int, np.ndarray, bool]]:
