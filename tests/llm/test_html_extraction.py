@@ -71,7 +71,7 @@ def test_pages_against_their_article(spark, pages, labeller):
     ("<html><head><title>t</title><meta><body><p>x", ["x"]), ("<head><style>a</style><p>x</p>", ["x"]), ("a<!-->b<!-- no -->c<!-- no --!>d", ["abcd"]),
     ("<P CLASS=a>x</P><DIV>y", ["x", "y"]), ("<table><tr><td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]),
     ("<select><option>no</select>yes", ["yes"]), ("<ul><li>a<ul><li>b</ul><li>c</ul>d", ["a", "b", "c", "d"]),
-    ("<svg><text>no</text></svg>yes", ["yes"]), ("</p></div>x</b>", ["x"]), ("<textarea><p>no</textarea>yes", ["yes"]), ("<script>open", []),
+    ("a<svg><text>shown</text><path d=\"M 1\"/></svg>b", ["a", "shown", "b"]), ("a<svg class=i><path/></svg> b", ["a b"]), ("</p></div>x</b>", ["x"]), ("<textarea><p>no</textarea>yes", ["yes"]), ("<script>open", []),
 ])
 def test_blocks(page, texts):
     assert [b.text for b in blocks(page)] == texts
@@ -105,3 +105,50 @@ def test_formulas_listings_and_bodies_of_an_article_are_kept(spark, labeller):
     want = f"the heading {words} x=2 {words} {words} a &lt; b {words}"
     rows = X.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), labeller=labeller).collect()
     assert [r.text for r in rows] == [want, want]
+
+
+@pytest.mark.parametrize("page, count", [
+    ("<a " * 330_000, 1), ("<![CDATA[" * 110_000, 1), ("<![CDATA[" * 110_000 + ">", 0), ("<b>" * 150_000 + "</i>" * 150_000 + "x", 1),
+    ("<i><div>" + "<b>" * 120_000 + "</i>" * 120_000 + "x", 1), ("<div>x" * 170_000, 170_000), ("<div class='a b'><b>x" * 50_000, 50_000),
+    ("<a \"'>" * 160_000, None), ("<!-- " * 200_000, 0), ("<p>x<li>y" * 100_000, 200_000), ("<table><tr><td>z" * 60_000, 60_000), ("<script>" * 120_000, 0),
+])
+def test_time_and_memory_grow_with_the_page_only(page, count):
+    import time
+    import tracemalloc
+
+    start = time.process_time()
+    found = blocks(page)
+    if found:
+        X.features(found)
+    assert time.process_time() - start < 5
+    assert count is None or len(found) == count
+    tracemalloc.start()
+    kept = blocks(page[: len(page) // 4])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 * len(page) + 1_000_000 and kept is not None
+
+
+def test_slots_of_a_path_are_those_of_all_its_tags():
+    """Shared sets of outer tags give what the whole path gives."""
+    import zlib
+
+    page = "<html><body class='Main page'><div id=a><p class='lead x'>one</p><ul><li>two<b>three</b></li></ul></div>four<section><div><div id=a>five"
+    for block in blocks(page):
+        path, node = [], block.path
+        while node.depth:
+            path.insert(0, (node.tag, node.names))
+            node = node.outer
+        tokens = {f"t:{t}" for t, _ in path} | {f"n:{w}" for _, ws in path for w in ws}
+        for k, (t, ws) in enumerate([x for x in path if x[0] in X.BLOCK][-3:][::-1]):
+            tokens |= {f"{k}:{t}", *(f"{k}:{w}" for w in ws)}
+        tokens.add("/".join(t for t, _ in path[-2:]))
+        assert X._path_slots(block.path) == tuple(sorted({zlib.crc32(t.encode()) % X.PATH_FEATURES for t in tokens}))
+
+
+def test_the_sample_is_of_distinct_pages(spark):
+    rows = [(f"<p>page {i}</p>",) for i in range(50)]
+    once = spark.createDataFrame(rows, "html string")
+    hot = spark.createDataFrame(rows + [rows[7]] * 900 + [(None,)] * 900, "html string").repartition(7)
+    assert sorted(X.sample_texts(once, sample_pages=20)) == sorted(X.sample_texts(hot, sample_pages=20)) and len(X.sample_texts(hot, sample_pages=20)) == 20
+    assert X.sample_texts(once.limit(0)) == []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.html_blocks import BLOCK, Block, blocks
+from veritable.llm.html_blocks import BLOCK, Block, Path, blocks
 from veritable.llm.shared import slices
 
 SAMPLE_PAGES = 200
@@ -47,13 +47,37 @@ def _word_slot(word: str) -> int:
 
 
 @lru_cache(maxsize=1 << 14)
-def _path_slots(path: tuple) -> tuple[int, ...]:
-    """Slots of a tag path: each tag and name word, the innermost ones with their distance too."""
-    tokens = {f"t:{tag}" for tag, _ in path} | {f"n:{word}" for _, names in path for word in names}
-    for k, (tag, names) in enumerate(reversed([(t, n) for t, n in path if t in BLOCK][-3:])):
-        tokens |= {f"{k}:{tag}"} | {f"{k}:{word}" for word in names}
-    tokens.add("/".join(tag for tag, _ in path[-2:]))
-    return tuple(sorted({zlib.crc32(t.encode()) % PATH_FEATURES for t in tokens}))
+def _own_slots(tag: str, names: tuple[str, ...]) -> frozenset[int]:
+    return frozenset(zlib.crc32(t.encode()) % PATH_FEATURES for t in [f"t:{tag}", *(f"n:{word}" for word in names)])
+
+
+@lru_cache(maxsize=1 << 14)
+def _near_slots(near: tuple, last: tuple[str, ...]) -> frozenset[int]:
+    tokens = {f"{k}:{word}" for k, (tag, names) in enumerate(near) for word in (tag, *names)} | {"/".join(last)}
+    return frozenset(zlib.crc32(t.encode()) % PATH_FEATURES for t in tokens)
+
+
+def _path_slots(path: Path) -> tuple[int, ...]:
+    """Slots of a tag path: each tag and name word, the innermost ones with their distance too.
+
+    Sets of outer tags are kept with the path and shared where an inner tag adds nothing to them.
+    """
+    todo, node = [], path
+    while node.depth and node.slots is None:
+        todo.append(node)
+        node = node.outer
+    every = (node.slots or (frozenset(),))[0]
+    for node in reversed(todo):
+        own = _own_slots(node.tag, node.names)
+        every = every if own <= every else every | own
+        node.slots = (every, None)
+    if not path.depth or path.slots[1] is None:
+        last = () if not path.depth else (path.tag,) if path.depth == 1 else (path.outer.tag, path.tag)
+        slots = tuple(sorted(every | _near_slots(path.near, last)))
+        if not path.depth:
+            return slots
+        path.slots = (every, slots)
+    return path.slots[1]
 
 
 def features(page: Sequence[Block]) -> tuple[list[tuple[int, ...]], np.ndarray]:
@@ -70,7 +94,7 @@ def features(page: Sequence[Block]) -> tuple[list[tuple[int, ...]], np.ndarray]:
         signs = text.count(".") + text.count(",") + text.count("!") + text.count("?") + text.count(";") + text.count(":")
         figures[k] = (
             np.log1p(size) / 8, np.log1p(len(words)) / 6, min(block.linked / size, 1.0), min(size / len(words) / 12, 2.0),
-            signs / (len(words) + 1), k / max(len(page) - 1, 1), len(block.path) / 12, 1.0,
+            signs / (len(words) + 1), k / max(len(page) - 1, 1), block.path.depth / 12, 1.0,
         )
     bag = np.bincount(at, weights=np.concatenate(weight), minlength=len(page) * WORD_FEATURES).reshape(len(page), WORD_FEATURES)
     return [_path_slots(b.path) for b in page], np.concatenate([bag.astype(np.float32), figures], axis=1)
@@ -361,16 +385,15 @@ def trained(texts: Sequence[str], pages: int = TRAIN_PAGES, epochs: int = EPOCHS
 
 
 def sample_texts(pages: DataFrame, html: str = "html", sample_pages: int = SAMPLE_PAGES) -> list[str]:
-    """Texts of blocks of at most `sample_pages` pages, at most 2,000 characters of each.
+    """Texts of blocks of at most `sample_pages` distinct pages, at most 2,000 characters of each.
 
-    Pages whose hash lies in a share of all hashes that should hold a few times as many are
-    ranked, so that tasks send few pages however many tasks there are.
+    The pages with the least hashes are taken, each once, however many copies or nulls there are;
+    tasks exchange and send hashes, and only the chosen pages come to the driver.
     """
-    share = min(1.0, 4 * sample_pages / max(pages.count(), 1))
-    place = F.shiftrightunsigned(F.xxhash64("h"), 33)
-    rows = pages.select(F.col(html).alias("h")).filter("h is not null").filter(place <= F.lit(int(share * 2.0**31)))
-    rows = rows.orderBy(place, "h").limit(sample_pages)
-    return [b.text[:2000] for row in rows.collect() for b in blocks(row["h"])]
+    rows = pages.select(F.col(html).alias("h")).filter("h is not null").withColumn("place", F.xxhash64("h"))
+    chosen = [row["place"] for row in rows.select("place").distinct().orderBy("place").limit(sample_pages).collect()]
+    found = rows.filter(F.col("place").isin(chosen)).groupBy("place").agg(F.min("h").alias("h")).orderBy("place").limit(max(len(chosen), 1)) if chosen else rows.limit(0)
+    return [b.text[:2000] for row in found.collect() for b in blocks(row["h"])]
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html", labeller: Labeller | None = None) -> DataFrame:
