@@ -100,3 +100,17 @@ def test_notices_with_inserted_and_missing_words(spark):
         assert set(labels.split(",")) - {""} == set(found) | (set(base_labels.split(",")) - {""})
         assert score == (1.0 if base_labels else max(found.values(), default=0.0))
         assert ",".join(found) == NOTICES[r.doc_id][0]
+
+
+def test_long_licensed_text_takes_time_in_proportion(spark):
+    """A hundred thousand words of licence sentences."""
+    import time
+
+    text = " ".join(t.sentence for t in L.TEMPLATES)
+    small, large = text, " ".join([text] * (100_000 // len(text.split()) + 1))
+    table = lambda t: spark.createDataFrame([(1, t)], "doc_id long, text string")
+    want = L.scan(table(small)).first()
+    start = time.time()
+    got = L.scan(table(large)).first()
+    assert got.labels == want.labels and got.n_words == len(large.split())
+    assert time.time() - start < 30

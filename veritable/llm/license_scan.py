@@ -83,6 +83,8 @@ TEMPLATES = (
 )
 ACCEPTED = 0.75
 SHIFT = 3
+#: A template and a start as one number: starts of a text, and how far before it one may lie.
+_STARTS, _BEFORE = 1 << 32, 1 << 16
 
 
 def plain_words(text: Column) -> Column:
@@ -158,7 +160,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templat
         near = F.sequence(F.lit(-shift), F.lit(shift))
         proposed = F.array_distinct(F.flatten(F.flatten(F.transform(places, lambda s: F.transform(
             F.filter(posted, lambda p: p["w"] == s["x"]),
-            lambda p: F.transform(near, lambda d: F.struct(p["t"].alias("t"), (s["i"] - p["j"] + d).alias("at"))))))))
+            lambda p: F.transform(near, lambda d: p["t"].cast("long") * _STARTS + (s["i"] - p["j"] + d + _BEFORE)))))))
 
         def keyed(c: Column) -> Column:
             one = F.get(shape, c["t"])
@@ -169,7 +171,10 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templat
             one = F.get(shape, c["t"])
             return F.struct(one["label"].alias("label"), (in_order(w, c["at"], F.get(sentences, c["t"])) / one["size"]).alias("share"))
 
-        return bind(F.filter(proposed, keyed), lambda found: F.filter(F.transform(found, judged), lambda c: c["share"] >= accepted))
+        # distinct as numbers, which Spark hashes; structs it would compare with each other
+        starts = F.transform(proposed, lambda c: F.struct(
+            F.floor(c / _STARTS).cast("int").alias("t"), (F.pmod(c, F.lit(_STARTS)) - _BEFORE).cast("int").alias("at")))
+        return bind(F.filter(starts, keyed), lambda found: F.filter(F.transform(found, judged), lambda c: c["share"] >= accepted))
 
     line = F.concat(F.lit("^ "), F.col("p"), F.lit(" "))
     wanted = F.col("line").rlike(" (" + "|".join(sorted({t.key for t in templates})) + ") ") if templates else F.lit(False)
