@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from veritable import ROW_ID
 from veritable.operators import profile
@@ -132,3 +133,33 @@ def test_a_unique_column_rules_out_duplicates(make):
         base = profile.aggregate_once(ds, profile.missing_measures(ds), profile.identifier_measures(ds))
         assert profile.has_unique_column(ds, base) == (want == 0)
         assert profile.data_quality(ds).first().duplicate_rows == want
+
+
+@pytest.mark.parametrize("most", [0, 2, 100_000])
+def test_the_sieve_of_hashes_changes_no_count(make, monkeypatch, most):
+    """Hot copies, zeros of both signs, NaN, nulls and nested values; also with hashes that meet by chance."""
+    nan = float("nan")
+    rows = [(1.5, "a", [1, 2])] * 40 + [(0.0, "z", None), (-0.0, "z", None), (nan, None, []), (nan, None, []), (None, "", [None]), (None, None, [None])]
+    rows += [(float(i), f"t{i}", [i]) for i in range(60)] + [(7.0, "t7", [7]), (8.0, "t8", None), (None, "a", None), (None, "a", None)]
+    ds = make(rows, "v double, t string, l array<int>")
+    for few in (False, True):
+        if few:
+            monkeypatch.setattr(profile, "_row_hash", lambda ds: F.coalesce(F.length(F.col("t")), F.lit(0)).cast("long"))
+        assert profile.duplicate_count(ds, most).first().duplicate_rows == 39 + 1 + 1 + 1 + 1
+        assert [r[0] for r in profile.duplicate_rows(ds, most).collect()] == [*range(1, 26)]
+    late = ds.where(F.col("v").isNull() | (F.col("v") != 1.5))
+    assert [r[0] for r in profile.duplicate_rows(late, most).collect()] == [41, 43, 106, 109]
+
+
+def test_a_table_without_equal_rows_shuffles_hashes_only(spark, make):
+    ds = make([(float(i), f"t{i}") for i in range(200)], "v double, t string")
+    assert profile.repeated_candidates(ds).df.count() == 0
+    assert profile.duplicate_count(ds).first().duplicate_rows == 0
+
+
+def test_distinct_counts_of_dense_and_sparse_columns_in_one_job(spark, make):
+    rows = [(i, i * 10**12, i // 2, None if i % 2 else i, -i, 10**15 + i) for i in range(400)]
+    ds = make(rows, "a long, b long, c int, d long, e int, f long")
+    seen = profile.aggregate_once(ds, profile.identifier_measures(ds)).first()
+    got = profile.distinct_counts(ds, seen, {i: 1 for i in range(6)})
+    assert got == {0: 400, 1: 400, 2: 200, 3: 200, 4: 400, 5: 400}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from typing import NamedTuple
 
@@ -22,6 +23,9 @@ UNIQUE_SHARE = 0.95
 DUPLICATE_EXAMPLES = 25
 EXAMPLE_IDS = 1_000_000
 
+# Hashes of repeated rows that are sent to all tasks.
+SIEVE_HASHES = 100_000
+
 # Rows of one monotonicity block; each block is one window partition.
 BLOCK_ROWS = 1_000_000
 
@@ -251,13 +255,46 @@ def row_digest(ds: Dataset) -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
-def duplicate_count(ds: Dataset) -> DataFrame:
+def _row_hash(ds: Dataset) -> Column:
+    """A 64-bit hash of the row, the same for equal rows; made from the values themselves, not from texts of them."""
+    parts = []
+    for c in ds.columns:
+        if c.is_float:
+            parts.append(c.ref + F.lit(0.0).cast(c.dtype))
+        elif isinstance(c.dtype, (T.StructType, T.ArrayType)):
+            parts.append(F.to_json(F.struct(c.ref)))
+        else:
+            parts.append(c.distinct_key)
+        parts.append(c.ref.isNull())
+    return F.xxhash64(*parts)
+
+
+def repeated_candidates(ds: Dataset, most: int = SIEVE_HASHES) -> Dataset:
+    """The rows that may have an equal: those whose hash occurs more than once.
+
+    Only hashes are shuffled for it. Up to ``most`` such hashes are fetched and sent to all tasks
+    (800 KB); with more of them most rows may have an equal, and the whole table is returned.
+    """
+    name = "__row_hash"
+    hashed = ds.df.withColumn(name, _row_hash(ds))
+    crowded = hashed.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name).limit(most + 1)
+    found = [(row[0],) for row in crowded.collect()]
+    if not found:
+        return ds.where(F.lit(False))
+    if len(found) > most:
+        return ds
+    table = small_table(ds.df.sparkSession, found, T.StructType([T.StructField(name, T.LongType())]))
+    return replace(ds, df=hashed.join(F.broadcast(table), name, "left_semi").drop(name))
+
+
+def duplicate_count(ds: Dataset, most: int = SIEVE_HASHES) -> DataFrame:
     """Rows beyond the first of each set of equal rows; copies are counted map-side."""
-    copies = ds.df.groupBy(row_digest(ds).alias("row")).agg((F.count("*") - 1).alias("extra"))
+    rows = repeated_candidates(ds, most)
+    copies = rows.df.groupBy(row_digest(ds).alias("row")).agg((F.count("*") - 1).alias("extra"))
     return copies.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
 
 
-def duplicate_rows(ds: Dataset) -> DataFrame:
+def duplicate_rows(ds: Dataset, most: int = SIEVE_HASHES) -> DataFrame:
     """The first row ids that repeat an earlier row.
 
     A row can only be among the first 25 repeats if it is among the first 26 of its own
@@ -265,7 +302,7 @@ def duplicate_rows(ds: Dataset) -> DataFrame:
     a group of copies of any size sends 26 digests and ids per task.
     """
     rank = F.row_number().over(Window.partitionBy("row").orderBy(ROW_ID))
-    ranked = ds.df.select(row_digest(ds).alias("row"), ROW_ID).withColumn("copy", rank)
+    ranked = repeated_candidates(ds, most).df.select(row_digest(ds).alias("row"), ROW_ID).withColumn("copy", rank)
     repeats = ranked.where(F.col("copy") <= DUPLICATE_EXAMPLES + 1).where(F.col("copy") > 1)
     return repeats.select(ROW_ID).orderBy(ROW_ID).limit(DUPLICATE_EXAMPLES)
 
