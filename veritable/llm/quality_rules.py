@@ -101,6 +101,8 @@ RULES = (
     Rule("word_length", ("word_chars", "n_words"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 25 * m["n_words"])),
 )
 BASE_RULES = ("too_short", "repeats_itself")
+#: Measures that `measure` gives of every row.
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def rejection(rule: Rule, text: Column, words: Column) -> Column:
@@ -155,7 +157,10 @@ def filter_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
 
 
 def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per document: its measures, whether a base rule rejects it, and whether it is kept."""
+    """One row per document: the measures that every row has, whether a base rule rejects it, and whether it is kept.
+
+    The other measures are computed inside the cascade, for texts that no earlier rule rejected.
+    """
     order = ordered(docs, rules, text, sample_rows)
     value = F.coalesce(F.col(text), F.lit(""))
     words = docs.select(F.col(id_column), value.alias("t"), word_array(value).alias("w"), word_lines(value).alias("l"))
@@ -163,11 +168,11 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rule
     of |= {
         "n_lines": F.size("l").cast("long"), "n_dup_lines": (F.size("l") - F.size(F.array_distinct("l"))).cast("long"),
     }
-    measured = words.select(id_column, *[column.alias(name) for name, column in of.items()])
-    named = {name: F.col(name) for name in MEASURES}
+    measured = words.select(F.col(id_column).alias("__id"), "t", "l", *[of[name].alias(name) for name in SHOWN])
+    named = {name: F.col(name) if name in SHOWN else column for name, column in of.items()}
     base = [rule for rule in order if rule.name in BASE_RULES]
     return measured.select(
-        id_column, *MEASURES,
+        F.col("__id").alias(id_column), *SHOWN,
         (~verdict(base, lambda rule: rule.rejects(named))).alias("base_failed"),
         verdict(order, lambda rule: rule.rejects(named)).alias("kept"),
     )

@@ -30,7 +30,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_shouts
       FROM w LEFT JOIN p USING (r)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT *, NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 40 * n_lines
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 40 * n_lines
                OR 100 * n_capitals > 40 * word_chars OR 100 * n_shouts > 30 * n_words
                OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
 FROM v
