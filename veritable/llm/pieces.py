@@ -15,20 +15,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 
 from veritable.llm.shared import gathered, mix
 
 #: Bytes of parts and ids a worker keeps; past that it starts over, which costs time and changes nothing.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 160 << 20
 #: Parts that are turned into ids at once.
 GROUP_PARTS = 1 << 18
 
-# Two primes below 2^31 with a base each. Sums of 2^20 bytes times a power fit 63 bits.
-_PRIMES = (2_147_483_647, 2_147_483_629)
-_BASES = (1_103_515_245, 1_566_083_941)
-_SPAN = 1 << 20
+#: Parts up to this length are hashed and compared eight bytes at a time, all parts at once; longer ones one by one.
+_SHORT = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 # Bytes that may begin a white-space character (ASCII and control ones, and lead bytes of U+0085,
 # U+00A0, U+1680, U+2000 and up, U+3000): no cut before a blank that one of them follows.
@@ -58,43 +58,26 @@ def part_starts(raw: np.ndarray, offsets: np.ndarray, added: re.Pattern[bytes] |
     return np.flatnonzero(starts)
 
 
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
+def _eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there on as a number; the data has eight bytes to spare."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
 
-def _tables() -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each prime the powers of its base, and of the base's inverse."""
-    if not _powers:
-        for prime, base in zip(_PRIMES, _BASES):
-            made = []
-            for factor in (base, pow(base, -1, prime)):
-                table = np.ones(1, np.int64)
-                while len(table) < _SPAN:
-                    table = np.concatenate([table, table * pow(factor, len(table), prime) % prime])
-                made.append(table[:_SPAN])
-            _powers.append((made[0], made[1]))
-    return _powers
+def _spared(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(8, np.uint8)])
 
 
 def part_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each part, a polynomial modulo two primes; parts are in order and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    done = 0
-    while done < len(starts):
-        low = starts[done]
-        stop = max(int(np.searchsorted(ends, low + _SPAN, "right")), done + 1)
-        high = ends[stop - 1]
-        if high - low > _SPAN:
-            out[done] = np.frombuffer(hashlib.blake2b(raw[low:high].tobytes(), digest_size=8).digest(), np.uint64)[0]
-        else:
-            value = raw[low:high].astype(np.int64) + 1
-            a, b = starts[done:stop] - low, ends[done:stop] - low
-            both = []
-            for prime, (power, inverse) in zip(_PRIMES, _tables()):
-                total = np.zeros(high - low + 1, np.int64)
-                np.cumsum(value * power[: high - low], out=total[1:])
-                both.append(((total[b] - total[a]) % prime * inverse[a] % prime).astype(np.uint64))
-            out[done:stop] = mix((both[0] << np.uint64(32)) ^ both[1] ^ ((b - a).astype(np.uint64) << np.uint64(44)))
-        done = stop
+    """A hash of the bytes of each part. Parts that meet by chance or by design only cost time, as hits are compared."""
+    eights, sizes = _eights(_spared(raw)), ends - starts
+    out = mix(sizes.astype(np.uint64))
+    at, done = np.flatnonzero(sizes <= _SHORT), 0
+    while len(at):
+        left = sizes[at] - done
+        out[at] = mix(out[at] * np.uint64(0x9E3779B97F4A7C15) + (eights[starts[at] + done] & _MASKS[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    for k in np.flatnonzero(sizes > _SHORT).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
     return out
 
 
@@ -119,7 +102,7 @@ class PartIds:
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         self.parts = self.used = self.used_bytes = 0
         self.at, self.count, self.byte_at, self.byte_count = (np.zeros(1 << 12, np.int64) for _ in range(4))
-        self.ids, self.bytes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)
+        self.ids, self.bytes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)  # eight bytes stay unused
 
     @property
     def held_bytes(self) -> int:
@@ -136,10 +119,10 @@ class PartIds:
     def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         new = self._encoded(raw, starts, ends)
         counts = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.concatenate([np.asarray(x, np.int32) for x in new])
+        flat = np.fromiter(chain.from_iterable(new), np.int32, int(counts.sum()))
         sizes = ends - starts
         self.ids = _grown(self.ids, self.used, flat)
-        self.bytes = _grown(self.bytes, self.used_bytes, raw[gathered(starts, sizes)])
+        self.bytes = _grown(self.bytes, self.used_bytes, _spared(raw[gathered(starts, sizes)]))
         places = self.parts + np.arange(len(new))
         for name, values in (
             ("at", self.used + np.cumsum(counts) - counts), ("count", counts), ("byte_at", self.used_bytes + np.cumsum(sizes) - sizes), ("byte_count", sizes),
@@ -157,19 +140,27 @@ class PartIds:
         return places
 
     def _encoded(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list:
-        return self.encode([raw[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())])
+        data = raw.tobytes()
+        return self.encode([data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())])
 
     def _same(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Whether each part has the bytes of the one that is kept in its place."""
-        same = ends - starts == self.byte_count[place]
-        a, sizes = starts[same], (ends - starts)[same]
-        if len(a):
-            equal = raw[gathered(a, sizes)] == self.bytes[gathered(self.byte_at[place[same]], sizes)]
-            same[same] = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+        sizes, kept = ends - starts, self.byte_at[place]
+        same = sizes == self.byte_count[place]
+        here, there = _eights(_spared(raw)), _eights(self.bytes)
+        at, done = np.flatnonzero(same & (sizes <= _SHORT)), 0
+        while len(at):
+            left = sizes[at] - done
+            equal = (here[starts[at] + done] ^ there[kept[at] + done]) & _MASKS[np.minimum(left, 8)] == 0
+            same[at[~equal]] = False
+            at, done = at[equal & (left > 8)], done + 8
+        for k in np.flatnonzero(same & (sizes > _SHORT)).tolist():
+            same[k] = np.array_equal(raw[starts[k] : ends[k]], self.bytes[kept[k] : kept[k] + sizes[k]])
         return same
 
     def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the parts one after the other, and how many each part has."""
+        raw, starts, ends = raw[starts[0] : ends[-1]], starts - starts[0], ends - starts[0]
         unique, first, inverse = np.unique(part_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         if self.held_bytes > CACHE_BYTES:
             self._clear()
