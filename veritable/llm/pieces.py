@@ -22,7 +22,7 @@ import numpy as np
 from veritable.llm.shared import gathered, mix
 
 #: Bytes of parts and ids a worker keeps; past that it starts over, which costs time and changes nothing.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 128 << 20
 #: Parts that are turned into ids at once.
 GROUP_PARTS = 1 << 18
 
