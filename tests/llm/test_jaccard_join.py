@@ -96,3 +96,16 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)]
     found = {(r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {(k, 0) for k in range(41)} | {(100 + k, 100) for k in range(30)}
+
+
+def test_blocks_are_bounded_in_bytes(spark, edited, monkeypatch):
+    docs = spark.createDataFrame(edited, "doc_id long, text string")
+    monkeypatch.setattr(J, "BLOCK_BYTES", 900)
+    assert sorted(tuple(r) for r in J.join(docs).collect()) == brute(edited)
+
+
+def test_long_words_that_cancel_out_in_polynomial_hashes(spark):
+    marks = [bin(k).count("1") % 2 for k in range(2048)]
+    rows = [(n, "same four words here " + "".join("ab"[m ^ n] for m in marks)) for n in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in J.join(docs).collect()) == brute(rows)

@@ -65,3 +65,20 @@ def test_odd_rows(odd_docs):
     assert S.repeats(odd_docs).count() == odd_docs.count()
     assert S.remove_repeats(odd_docs).columns == odd_docs.columns
     assert S.repeats(odd_docs.limit(0)).collect() == [] and S.remove_repeats(odd_docs.limit(0)).collect() == []
+
+
+def thue_morse(n, a, b):
+    return [b if bin(k).count("1") % 2 else a for k in range(n)]
+
+
+def test_words_and_runs_that_cancel_out_in_polynomial_hashes(spark):
+    """Thue-Morse words and runs of words: equal by any polynomial modulo a power of two, yet different."""
+    n = 1024
+    words = ["".join(thue_morse(n, "a", "b")), "".join(thue_morse(n, "b", "a"))]
+    filler = [f"f{k}" for k in range(49)]
+    rows = [(k, " ".join([*filler[:30], w, *filler[30:]])) for k, w in enumerate(words)]
+    rows += [(5 + k, " ".join(thue_morse(n, x, y))) for k, (x, y) in enumerate([("p", "q"), ("q", "p")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for size in (50, 1024):
+        got = sorted((r.doc_id, r.n_words, tuple(k for s in r.spans for k in range(s.low, s.end))) for r in S.repeats(docs, min_words=size).collect())
+        assert got == brute(rows, size)

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ TREES = 20
 DEPTH = 6
 RECALL = 0.9999
 BLOCK_TEXTS = 256
+#: Bytes of text in a block on average; a longer text is one of its own.
+BLOCK_BYTES = 8 << 20
 _COLUMNS = 4096
 
 
@@ -89,10 +92,11 @@ def signatures(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([
                 batch.column("i"), batch.column("tid"), pa.array(names, pa.binary()),
                 pa.array([p.tobytes() if n else None for p, n in zip(paths, names)], pa.binary()),
-            ], names=["i", "tid", "node", "paths"])
+                pc.fill_null(pc.binary_length(batch.column("t")), 0).cast(pa.int64()),
+            ], names=["i", "tid", "node", "paths", "bytes"])
 
     kind = docs.schema["i"].dataType.simpleString()
-    return docs.select("i", "tid", "t").mapInArrow(run, f"i {kind}, tid binary, node binary, paths binary")
+    return docs.select("i", "tid", "t").mapInArrow(run, f"i {kind}, tid binary, node binary, paths binary, bytes long")
 
 
 def chance(similarity: float, depth: int, trees: int) -> float:
@@ -200,8 +204,8 @@ def _joined(docs: DataFrame, id_column: str, text: str, threshold: float, words:
     classes = stored(
         signed.filter("node is not null").groupBy("node").agg(
             F.count("*").alias("copies"), F.min("i").alias("class_id"),
-            F.min(F.struct(F.col("i").isNull(), "i", "tid")).alias("one"), F.any_value("paths").alias("paths"),
-        ).select("node", "copies", "class_id", F.col("one.i").alias("i"), F.col("one.tid").alias("tid"), "paths"), "jaccard-classes")
+            F.min(F.struct(F.col("i").isNull(), "i", "tid", "bytes")).alias("one"), F.any_value("paths").alias("paths"),
+        ).select("node", "copies", "class_id", "one.i", "one.tid", "one.bytes", "paths"), "jaccard-classes")
     depth = full
     while depth > 1 and chance(threshold, depth, trees) < recall:
         depth -= 1
@@ -236,8 +240,9 @@ def _compared(rows: DataFrame, classes: DataFrame, threshold: float, words: int,
     buckets = key.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
     edges = key.join(buckets, "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     roots = stored(components(edges, "jaccard-candidates"), "jaccard-roots")
-    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / block_texts).cast("int").alias("blocks"))
-    chosen = classes.select("node", "copies", "i", "tid").join(roots, "node").join(blocks, "root")
+    held = classes.select("node", "copies", "i", "tid", "bytes").join(roots, "node")
+    blocks = held.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block_texts, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    chosen = held.drop("bytes").join(blocks, "root")
     texts = rows.withColumnRenamed("i", "j").withColumnRenamed("tid", "text_id")
     held = chosen.join(texts, (F.col("tid") == F.col("text_id")) & F.col("i").eqNullSafe(F.col("j"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(

@@ -12,24 +12,19 @@ as they end the segment that the tokenizer cuts there.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 
-from veritable.llm.shared import gathered, mix
+from veritable.llm.shared import EIGHT_MASKS, SHORT_SPAN, eights, gathered, spared, span_hashes as part_hashes
 
 #: Bytes of parts and ids a worker keeps; past that it starts over, which costs time and changes nothing.
 CACHE_BYTES = 128 << 20
 #: Parts that are turned into ids at once.
 GROUP_PARTS = 1 << 18
 
-#: Parts up to this length are hashed and compared eight bytes at a time, all parts at once; longer ones one by one.
-_SHORT = 64
-_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-
 # Bytes that may begin a white-space character (ASCII and control ones, and lead bytes of U+0085,
 # U+00A0, U+1680, U+2000 and up, U+3000): no cut before a blank that one of them follows.
 _MAY_BE_SPACE = np.zeros(256, bool)
@@ -58,29 +53,6 @@ def part_starts(raw: np.ndarray, offsets: np.ndarray, added: re.Pattern[bytes] |
     return np.flatnonzero(starts)
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
-    """At each place the eight bytes from there on as a number; the data has eight bytes to spare."""
-    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-
-
-def _spared(data: np.ndarray) -> np.ndarray:
-    return np.concatenate([data, np.zeros(8, np.uint8)])
-
-
-def part_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each part. Parts that meet by chance or by design only cost time, as hits are compared."""
-    eights, sizes = _eights(_spared(raw)), ends - starts
-    out = mix(sizes.astype(np.uint64))
-    at, done = np.flatnonzero(sizes <= _SHORT), 0
-    while len(at):
-        left = sizes[at] - done
-        out[at] = mix(out[at] * np.uint64(0x9E3779B97F4A7C15) + (eights[starts[at] + done] & _MASKS[np.minimum(left, 8)]))
-        at, done = at[left > 8], done + 8
-    for k in np.flatnonzero(sizes > _SHORT).tolist():
-        out[k] = np.frombuffer(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
-    return out
-
-
 def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     """The array with more values after the used ones, at least doubled where it is too short."""
     if used + len(more) > len(held):
@@ -122,7 +94,7 @@ class PartIds:
         flat = np.fromiter(chain.from_iterable(new), np.int32, int(counts.sum()))
         sizes = ends - starts
         self.ids = _grown(self.ids, self.used, flat)
-        self.bytes = _grown(self.bytes, self.used_bytes, _spared(raw[gathered(starts, sizes)]))
+        self.bytes = _grown(self.bytes, self.used_bytes, spared(raw[gathered(starts, sizes)]))
         places = self.parts + np.arange(len(new))
         for name, values in (
             ("at", self.used + np.cumsum(counts) - counts), ("count", counts), ("byte_at", self.used_bytes + np.cumsum(sizes) - sizes), ("byte_count", sizes),
@@ -147,14 +119,14 @@ class PartIds:
         """Whether each part has the bytes of the one that is kept in its place."""
         sizes, kept = ends - starts, self.byte_at[place]
         same = sizes == self.byte_count[place]
-        here, there = _eights(_spared(raw)), _eights(self.bytes)
-        at, done = np.flatnonzero(same & (sizes <= _SHORT)), 0
+        here, there = eights(spared(raw)), eights(self.bytes)
+        at, done = np.flatnonzero(same & (sizes <= SHORT_SPAN)), 0
         while len(at):
             left = sizes[at] - done
-            equal = (here[starts[at] + done] ^ there[kept[at] + done]) & _MASKS[np.minimum(left, 8)] == 0
+            equal = (here[starts[at] + done] ^ there[kept[at] + done]) & EIGHT_MASKS[np.minimum(left, 8)] == 0
             same[at[~equal]] = False
             at, done = at[equal & (left > 8)], done + 8
-        for k in np.flatnonzero(same & (sizes > _SHORT)).tolist():
+        for k in np.flatnonzero(same & (sizes > SHORT_SPAN)).tolist():
             same[k] = np.array_equal(raw[starts[k] : ends[k]], self.bytes[kept[k] : kept[k] + sizes[k]])
         return same
 

@@ -1,7 +1,7 @@
 """What several operators need: tables in the shared folder, and words of Arrow batches as numpy arrays.
 
 Words and pieces of text are never made into Python strings one by one. A batch's UTF-8 bytes
-are one array; words are spans of it, and a 64-bit hash of each span comes from prefix sums.
+are one array; words are spans of it, which are hashed eight bytes at a time.
 """
 
 from __future__ import annotations
@@ -24,10 +24,9 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACES)] = False
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_LONG_SPAN = 1 << 20
+#: Spans up to this length are hashed eight bytes at a time, all spans at once; longer ones one by one.
+SHORT_SPAN = 64
+EIGHT_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -93,36 +92,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there on as a number; the data has eight bytes to spare."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(n, base)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers
+def spared(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(8, np.uint8)])
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    done = 0
-    while done < len(starts):
-        low = starts[done]
-        stop = max(int(np.searchsorted(ends, low + _LONG_SPAN, "right")), done + 1)
-        high = ends[stop - 1]
-        if high - low > _LONG_SPAN:
-            digest = hashlib.blake2b(raw[low:high].tobytes(), digest_size=8).digest()
-            out[done] = np.frombuffer(digest, np.uint64)[0]
-        else:
-            power, inverse = _power(_LONG_SPAN)
-            total = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTE[raw[low:high]] * power[: high - low], out=total[1:])
-            a, b = starts[done:stop] - low, ends[done:stop] - low
-            out[done:stop] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
-        done = stop
+    """A 64-bit hash of the bytes of each span.
+
+    Each step mixes all bits before the next eight bytes come in, so no pattern of bytes cancels out.
+    """
+    numbers, sizes = eights(spared(raw)), ends - starts
+    out = mix(sizes.astype(np.uint64))
+    at, done = np.flatnonzero(sizes <= SHORT_SPAN), 0
+    while len(at):
+        left = sizes[at] - done
+        out[at] = mix(out[at] * np.uint64(0x9E3779B97F4A7C15) + (numbers[starts[at] + done] & EIGHT_MASKS[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    for k in np.flatnonzero(sizes > SHORT_SPAN).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
     return out
 
 

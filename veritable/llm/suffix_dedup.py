@@ -18,7 +18,8 @@ word goes if it lies in a window of `min_words` words that also starts at an ear
 Groups that a batch of sorted rows cuts are put together again by their key afterwards; that
 concerns two groups a batch.
 
-Words are white-space separated and compared by 64-bit hashes of their bytes. Defined cases: a
+Words are white-space separated. Runs of words are compared by 128 bits: two independent hashes,
+doubled from words to runs of 2, 4, 8, ... words with all bits mixed at each step. Defined cases: a
 null or empty text has no words and keeps what it has; texts shorter than a window are never
 changed. Rows that repeat with the same id and text count as one document and get one result
 each, the same. Occurrences that overlap each other in one text count. An empty table gives no
@@ -40,30 +41,36 @@ from veritable.llm.shared import mix, slices, span_hashes, stored, text_bytes, w
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 8
-_STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_STEPS = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]], np.uint64)
 
 
 class _Words:
-    """Word hashes of a slice, and hashes of runs of words."""
+    """Word hashes of a slice, and hashes of runs of words by doubling: runs of 2, 4, 8, ... words."""
 
     def __init__(self, column: pa.Array) -> None:
         raw, offsets = text_bytes(column)
         starts, ends, self.first = word_spans(raw, offsets)
         self.hashes = span_hashes(raw, starts, ends)
-        self.total = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(self.hashes * _powers(_STEP, len(self.hashes)), out=self.total[1:])
-        self.back = _powers(_BACK, len(self.hashes) + 1)
-
-    def runs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hashes of the words a to b - 1."""
-        return mix((self.total[b] - self.total[a]) * self.back[a] + (b - a).astype(np.uint64))
+        self.doubled = [[mix(self.hashes * step[1])] for step in _STEPS]
+
+    def _of(self, half: int, level: int) -> np.ndarray:
+        """Hashes of all runs of 2 ** level words."""
+        levels = self.doubled[half]
+        while len(levels) <= level:
+            last, gap = levels[-1], 1 << (len(levels) - 1)
+            levels.append(mix(last[: len(last) - gap] * _STEPS[half, 0] + last[gap:]) if len(last) > gap else last[:0])
+        return levels[level]
+
+    def runs(self, a: np.ndarray, b: np.ndarray, half: int = 0) -> np.ndarray:
+        """One of two independent hashes of the words a to b - 1: of the two powers of two that cover them."""
+        sizes = b - a
+        level = np.frexp(sizes.astype(np.float64))[1] - 1
+        out = np.empty(len(a), np.uint64)
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            one = self._of(half, k)
+            out[at] = mix(one[a[at]] * _STEPS[half, 1] + mix(one[b[at] - (1 << k)] + sizes[at].astype(np.uint64)))
+        return out
 
 
 def _unseen(batch: pa.RecordBatch, seen: set) -> np.ndarray:
@@ -100,7 +107,7 @@ def _suffixes(min_words: int, anchor: int):
             change = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])])
             low, high = windows[change], windows[np.r_[change[1:], len(windows)] - 1]
             place, row = chosen[change], row[change]
-            passage = mix(words.runs(low, high + min_words) + (place - low).astype(np.uint64))
+            passage = mix(words.runs(low, high + min_words, 1) + (place - low).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([
                 pa.array(anchors[place].view(np.int64)), pa.array(passage.view(np.int64)), ids.take(pa.array(row)), texts.take(pa.array(row)),
                 pa.array((low - words.first[row]).astype(np.int64)), pa.array((high - words.first[row]).astype(np.int64)),
@@ -175,9 +182,9 @@ def _windows(min_words: int):
                     starts.append(part)
             row, start = np.concatenate(rows), np.concatenate(starts)
             at = words.first[row] + start
-            found = words.runs(at, at + min_words)
+            found, rest = words.runs(at, at + min_words), words.runs(at, at + min_words, 1)
             yield pa.RecordBatch.from_arrays([
-                pa.array(found.view(np.int64)), pa.array(np.zeros(len(row), np.int64)), batch.column("i").take(pa.array(row)),
+                pa.array(found.view(np.int64)), pa.array(rest.view(np.int64)), batch.column("i").take(pa.array(row)),
                 batch.column("tid").take(pa.array(row)), pa.array(start), pa.array(start),
             ], names=["anchor", "passage", "i", "tid", "low", "high"])
 
