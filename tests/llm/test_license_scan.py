@@ -85,7 +85,11 @@ NOTICES = [
     ("mit", "This program is licensed under MIT License."),
     ("bsd", "Redistribution and use of this software in source and binary forms, with or without any modification, are permitted"),
     ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https"),
-    ("", "licensed under the GNU Affero General Public License version 3"), ("", "licensed under CC BY-NC-SA 4.0"),
+    ("agpl-3.0", "licensed under the GNU Affero General Public License version 3"), ("", "licensed under CC BY-NC-SA 4.0"),
+    ("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or"),
+    ("epl-2.0", "made available under the terms of the Eclipse Public License 2.0 which is available at https"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis"),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties"),
     ("", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
     ("", "with or without fee is hereby granted permission to use copy modify"), ("", "mit license under the released"),
 ]

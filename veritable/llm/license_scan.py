@@ -1,16 +1,23 @@
 """License scan by a positional index of rare words, in built-in expressions only.
 
 A template is a sentence of a licence or of its usual notice as words, a label, and a mandatory
-key phrase. The corpus gives the number of texts that hold each template word; a template is
-indexed by its rarest words, as many as may be missing at the accepted share plus one, so a text
-that matches it holds at least one of them. Each place of an indexed word in a text, minus the
-word's place in the template, proposes that start and those at most SHIFT words away. At a start
-the postings of all template words are intersected: what counts is the longest run of template
-words that stand in order, each at most SHIFT words from its place, so words may be inserted,
-missing or replaced. A start counts if enough words are in that run and the key phrase stands
-whole at most SHIFT words from its place. The starts that count do not depend on which words are
-indexed. All of this happens inside the row: nothing is shuffled but the word counts, which are
-as many as the templates have words.
+key phrase. The corpus gives the number of texts that hold each template word, and by it the IDF.
+
+1. Lookup: a file is asked for the templates' rarest words of the corpus, as many of each template
+   as may be missing at the accepted share plus one; a file without any holds no template.
+2. Postings: of each template of which the file holds words enough, the words of highest IDF that
+   the file holds are looked up, again as many as may be missing plus one, so a match holds one.
+   Each place of such a word, minus the word's place in the template, proposes that start and those
+   at most SHIFT words away.
+3. Intersection: at a start the postings of all template words are intersected: what counts is the
+   longest run of template words that stand in order, each at most SHIFT words from its place, so
+   words may be inserted, missing or replaced.
+4. Verification: a start counts if enough words are in that run and the key phrase stands whole at
+   most SHIFT words from its place.
+
+The starts that count do not depend on which words are looked up, only the work does. All of this
+happens inside the row: nothing is shuffled but the word counts, which are as many as the
+templates have words.
 
 Base phrases are found separately, wherever their words stand consecutively.
 
@@ -55,7 +62,10 @@ class Template:
 
 # Sentences of public licences and usual notices, lower-cased, without punctuation.
 TEMPLATES = (
+    Template("agpl-3.0", "licensed under the gnu affero general public license version 3 or later", "gnu affero general public license version 3"),
+    Template("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", "gnu affero general public license as published by the free software foundation either version 3"),
     Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "unless required by applicable law or agreed to in writing"),
     Template("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
     Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products derived from this software"),
@@ -63,12 +73,18 @@ TEMPLATES = (
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", "by nc 4"),
     Template("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", "attribution noncommercial 4 0 international"),
+    Template("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike 4 0 international"),
     Template("cc0-1.0", "cc0 1 0 universal public domain dedication", "public domain dedication"),
     Template("cc0-1.0", "has waived all copyright and related or neighboring rights to this work", "all copyright and related or neighboring rights"),
+    Template("epl-2.0", "made available under the terms of the eclipse public license 2 0 which is available at", "eclipse public license 2 0"),
+    Template("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    Template("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gnu general public license as published by the free software foundation either version 2"),
+    Template("gpl-2.0", "under the terms of the gnu general public license version 2 as published by the free software foundation", "gnu general public license version 2"),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     Template("gpl-3.0", "licensed under the general public license version 3", "the general public license version 3"),
     Template("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general public license as published by the free software foundation either version 3"),
     Template("gpl-3.0", "under the terms of the gnu general public license version 3 as published by the free software foundation", "gnu general public license version 3"),
+    Template("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties", "provided by the copyright holders and contributors as is"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
     Template("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
     Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
@@ -106,14 +122,22 @@ def word_counts(plain: DataFrame, templates: Sequence[Template]) -> tuple[int, d
     return counts.pop("", 0), counts
 
 
-def rarest(template: Template, counts: dict[str, int], texts: int, accepted: float) -> list[str]:
-    """The template's words of highest IDF, one more than may be missing."""
-    words = template.words
-    spare = len(words) - math.ceil(accepted * len(words))
-    idf = {w: math.log((texts + 1) / (counts.get(w, 0) + 1)) for w in words}
+def by_rarity(template: Template, counts: dict[str, int], texts: int) -> list[str]:
+    """The template's distinct words, the highest IDF first."""
+    idf = {w: math.log((texts + 1) / (counts.get(w, 0) + 1)) for w in template.words}
+    return sorted(idf, key=lambda w: (-idf[w], w))
+
+
+def spare(template: Template, accepted: float) -> int:
+    """How many of the template's words a match may lack."""
+    return len(template.words) - math.ceil(accepted * len(template.words))
+
+
+def rarest(template: Template, ranked: list[str], accepted: float) -> list[str]:
+    """The first of the ranked words, one place more than may be missing."""
     chosen: list[str] = []
-    for word in sorted(set(words), key=lambda w: (-idf[w], w)):
-        if sum(words.count(w) for w in chosen) > spare:
+    for word in ranked:
+        if sum(template.words.count(w) for w in chosen) > spare(template, accepted):
             break
         chosen.append(word)
     return chosen
@@ -133,11 +157,15 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templat
     """
     plain = docs.select(F.col(id_column), plain_words(F.coalesce(F.col(text), F.lit(""))).alias("p"))
     texts, counts = word_counts(plain, templates)
-    index = [(w, n) for n, t in enumerate(templates) for w in rarest(t, counts, texts, accepted)]
-    postings = [(w, n, j) for w, n in index for j, x in enumerate(templates[n].words) if x == w]
-    indexed = sorted({w for w, _ in index})
+    ranked = [by_rarity(t, counts, texts) for t in templates]
+    indexed = sorted({w for t, words in zip(templates, ranked) for w in rarest(t, words, accepted)})
+    held_words = sorted({w for t in templates for w in t.words})
+    # a posting: word, template, place; the words of a template by falling IDF
+    postings = F.array(*[_structs([(w, n, j) for w in words for j, x in enumerate(t.words) if x == w], "w t j") for n, (t, words) in enumerate(zip(templates, ranked))])
+    spares = F.array(*[F.lit(spare(t, accepted)) for t in templates])
     shape = _structs([(t.label, len(t.words), t.key, t.key_at, len(t.key.split())) for t in templates], "label size key key_at key_size")
     sentences = F.array(*[F.lit(t.words) for t in templates])
+    nothing = F.array().cast("array<struct<label:string,share:double>>")
 
     def in_order(w: Column, at: Column, sentence: Column) -> Column:
         """Template words in the longest run in order: one row of the table a template word, one cell a distance from its place."""
@@ -155,12 +183,23 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templat
 
     def starts_found(w: Column) -> Column:
         """(template, label, share) of each proposed start that counts."""
-        places = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_contains(F.lit(indexed), s["x"]))
-        posted = _structs(postings, "w t j")
         near = F.sequence(F.lit(-shift), F.lit(shift))
-        proposed = F.array_distinct(F.flatten(F.flatten(F.transform(places, lambda s: F.transform(
-            F.filter(posted, lambda p: p["w"] == s["x"]),
-            lambda p: F.transform(near, lambda d: p["t"].cast("long") * _STARTS + (s["i"] - p["j"] + d + _BEFORE)))))))
+
+        def looked_up(held: Column) -> Column:
+            """Postings of the file's rarest words of each template that it holds enough of."""
+            def of(all_: Column, n: Column) -> Column:
+                few = F.filter(all_, lambda p: F.array_contains(held, p["w"]))
+                return F.when(F.size(few) >= F.size(all_) - F.get(spares, n), F.slice(few, 1, F.get(spares, n) + 1)).otherwise(F.slice(few, 1, 0))
+
+            return F.flatten(F.transform(postings, of))
+
+        def proposed(posted: Column) -> Column:
+            """Template and start of each place of a looked-up word, as numbers, which are made distinct by hashing; structs would be compared with each other."""
+            placed = F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+            places = bind(F.array_distinct(F.transform(posted, lambda p: p["w"])), lambda wanted: F.filter(placed, lambda s: F.array_contains(wanted, s["x"])))
+            return F.array_distinct(F.flatten(F.flatten(F.transform(places, lambda s: F.transform(
+                F.filter(posted, lambda p: p["w"] == s["x"]),
+                lambda p: F.transform(near, lambda d: p["t"].cast("long") * _STARTS + (s["i"] - p["j"] + d + _BEFORE)))))))
 
         def keyed(c: Column) -> Column:
             one = F.get(shape, c["t"])
@@ -171,20 +210,23 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templat
             one = F.get(shape, c["t"])
             return F.struct(one["label"].alias("label"), (in_order(w, c["at"], F.get(sentences, c["t"])) / one["size"]).alias("share"))
 
-        # distinct as numbers, which Spark hashes; structs it would compare with each other
-        starts = F.transform(proposed, lambda c: F.struct(
-            F.floor(c / _STARTS).cast("int").alias("t"), (F.pmod(c, F.lit(_STARTS)) - _BEFORE).cast("int").alias("at")))
-        return bind(F.filter(starts, keyed), lambda found: F.filter(F.transform(found, judged), lambda c: c["share"] >= accepted))
+        def counted(posted: Column) -> Column:
+            starts = F.transform(proposed(posted), lambda c: F.struct(
+                F.floor(c / _STARTS).cast("int").alias("t"), (F.pmod(c, F.lit(_STARTS)) - _BEFORE).cast("int").alias("at")))
+            return bind(F.filter(starts, keyed), lambda found: F.filter(F.transform(found, judged), lambda c: c["share"] >= accepted))
+
+        def of_file(held: Column) -> Column:
+            return F.when(F.arrays_overlap(held, F.lit(indexed)), bind(looked_up(held), counted)).otherwise(nothing)
+
+        return bind(F.array_intersect(w, F.lit(held_words)), of_file)
 
     line = F.concat(F.lit("^ "), F.col("p"), F.lit(" "))
-    wanted = F.col("line").rlike(" (" + "|".join(sorted({t.key for t in templates})) + ") ") if templates else F.lit(False)
-    nothing = F.array().cast("array<struct<label:string,share:double>>")
     steps = plain.select(
         id_column, F.when(F.col("p") == "", F.lit(0)).otherwise(blanks(F.col("p")) + 1).cast("long").alias("n_words"), line.alias("line"), "p",
     ).select(
         id_column, "n_words",
         *[F.when(F.contains(F.col("line"), F.lit(f" {phrase} ")), F.split("line", f"(?= {phrase} )")).alias(f"b{k}") for k, (phrase, _) in enumerate(base)],
-        F.when(wanted, bind(F.split("p", " "), starts_found)).otherwise(nothing).alias("found"),
+        (bind(F.split("p", " "), starts_found) if templates else nothing).alias("found"),
     )
     parts = [F.col(f"b{k}") for k in range(len(base))]
     first = [blanks(F.get(b, F.lit(0))).cast("long") for b in parts]
