@@ -109,3 +109,62 @@ def test_long_words_that_cancel_out_in_polynomial_hashes(spark):
     rows = [(n, "same four words here " + "".join("ab"[m ^ n] for m in marks)) for n in (0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert sorted(tuple(r) for r in J.join(docs).collect()) == brute(rows)
+
+
+def signed(spark, rows):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "i long, t string").withColumn("tid", F.unhex(F.md5("t")))
+    found = J.signatures(docs, J.TREES, J.DEPTH, 5).filter("node is not null")
+    return found, {bytes(r.node): r.i for r in found.select("node", "i").collect()}
+
+
+def replaced(words, count, step):
+    """The words with `count` of them replaced, far apart: 5 * count shingles differ."""
+    out = list(words)
+    for k in range(count):
+        out[5 + step * k] = f"r{k}"
+    return " ".join(out)
+
+
+def test_prefixes_are_shortened_for_the_classes_that_need_it(spark):
+    """Near copies settle at full depth and do not meet again; pairs near the threshold are met by shorter prefixes."""
+    rows = []
+    for n in range(60):
+        words = [f"g{n}x{k}" for k in range(300)]
+        rows += [(4 * n, " ".join(words)), (4 * n + 1, replaced(words, 1, 6))]
+        words = [f"h{n}x{k}" for k in range(300)]
+        rows += [(4 * n + 2, " ".join(words)), (4 * n + 3, replaced(words, 6, 12))]
+    found, ids = signed(spark, rows)
+    edges = J.candidates(found.select("node", "paths", "sketch"), 0.8, J.TREES, J.DEPTH, J.RECALL).collect()
+    depths = {}
+    for e in edges:
+        a, b = sorted((ids[bytes(e.a)], ids[bytes(e.b)]))
+        assert a // 2 == b // 2
+        depths.setdefault((a, b), set()).add(e.depth)
+    assert set(depths) == {(k, k + 1) for k in range(0, 240, 2)}
+    assert all(depths[4 * n, 4 * n + 1] == {6} for n in range(60))
+    assert any(min(depths[4 * n + 2, 4 * n + 3]) < 6 for n in range(60))
+    assert J.settled_within(6, 20, 6, J.RECALL) < J.settled_within(5, 20, 6, J.RECALL)
+
+
+def test_a_shared_passage_links_no_candidates(spark):
+    passage = [f"p{k}" for k in range(50)]
+    rows = [(n, " ".join([*(f"a{n}x{k}" for k in range(75)), *passage, *(f"b{n}x{k}" for k in range(75))])) for n in range(600)]
+    found, _ = signed(spark, rows)
+    assert J.candidates(found.select("node", "paths", "sketch"), 0.8, J.TREES, J.DEPTH, J.RECALL).count() <= 6
+
+
+def test_a_large_group_met_across_batches(spark):
+    """Chains of copies that drift: each is near the one before, leaders are compared across batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        words = [f"w{k}" for k in range(200)]
+        rows = []
+        for n in range(90):
+            words[(7 * n) % 200] = f"e{n}"
+            rows.append((n, " ".join(words)))
+        got = sorted(tuple(r) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string"), block_texts=16).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows)

@@ -1,16 +1,23 @@
 """N-gram Jaccard join: all pairs of texts whose word shingles overlap by a given share.
 
 1. Texts with the same set of shingles are one class; only one text of a class goes on.
-2. A MinHash signature is cut into trees of a few hashes. A tree's hashes, written as bytes, are
-   a path in a prefix trie: classes that share a prefix of a given depth share a bucket, and one
-   bucket is one key of a sort. Depth starts at the full path and is shortened until the
-   chance that a pair at the threshold shares a bucket in some tree reaches the target.
-3. Buckets link each class to the bucket's least class; connected classes are compared exactly,
-   all of them with each other, in blocks of a bounded number of texts, so that a pair is
-   looked at once and large groups spread over many tasks. Blocks give counts of links and
+2. A MinHash signature is cut into trees of a few hashes; a tree's hashes, written as bytes, are a
+   path in a prefix trie. The paths of all classes are sorted, tree by tree, and neighbours
+   tell how long a prefix each path shares with any other. Paths that share too little go.
+3. Prefixes start at full length. Classes of one prefix are met: the first of them leads, those
+   near to it in signature are linked to it, and of those that are not very near the next one
+   leads. A class is settled when its company is so near that prefixes of this length find the
+   like with the chance `recall`; for the others prefixes are shortened by one more hash, down
+   to the length at which any pair at the threshold is found with that chance.
+4. Connected classes are compared exactly, in blocks of a bounded number of texts, so that a pair
+   is looked at once and large groups spread over many tasks. Blocks give counts of links and
    spanning edges, never the pairs.
-4. From the similarities found, the share of links that the trees can have missed is estimated;
-   while it is above the target's, prefixes are shortened by one more hash and compared again.
+
+Distances of signatures (hashes in which two differ) obey the triangle inequality. So, if a pair
+differs in at most `slack` hashes and one of the two is within NEAR of a leader, the other is
+within NEAR + slack of it and is linked too: no pair is lost for being met through a leader.
+`slack` is five standard deviations above what a pair at the threshold differs in. Texts that
+only share a passage meet now and then, but are not linked, as their signatures are far apart.
 
 Shingles are runs of `shingle_words` white-space separated words; a shorter text is one shingle.
 Jaccard is exact on sets of 64-bit shingle hashes.
@@ -40,7 +47,11 @@ THRESHOLD = 0.8
 TREES = 20
 DEPTH = 6
 RECALL = 0.9999
+#: Differing hashes up to which a class is left to the leader it has met.
+NEAR = 8
 BLOCK_TEXTS = 256
+#: Leaders of one prefix that are compared as a block.
+BLOCK_LEADERS = 1024
 #: Bytes of text in a block on average; a longer text is one of its own.
 BLOCK_BYTES = 8 << 20
 _COLUMNS = 4096
@@ -72,7 +83,7 @@ def _node(shingles: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame:
-    """Per row of (i, tid, t): its class name and its trees' paths, 4 bytes a hash."""
+    """Per row of (i, tid, t): its class name, its trees' paths (4 bytes a hash), and a sketch of them (1 byte a hash)."""
     rng = np.random.default_rng(11)
     a = rng.integers(1, 1 << 62, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 1 << 62, trees * depth, dtype=np.uint64)
@@ -92,11 +103,12 @@ def signatures(docs: DataFrame, trees: int, depth: int, words: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([
                 batch.column("i"), batch.column("tid"), pa.array(names, pa.binary()),
                 pa.array([p.tobytes() if n else None for p, n in zip(paths, names)], pa.binary()),
+                pa.array([p.tobytes() if n else None for p, n in zip(paths.astype(np.uint8), names)], pa.binary()),
                 pc.fill_null(pc.binary_length(batch.column("t")), 0).cast(pa.int64()),
-            ], names=["i", "tid", "node", "paths", "bytes"])
+            ], names=["i", "tid", "node", "paths", "sketch", "bytes"])
 
     kind = docs.schema["i"].dataType.simpleString()
-    return docs.select("i", "tid", "t").mapInArrow(run, f"i {kind}, tid binary, node binary, paths binary, bytes long")
+    return docs.select("i", "tid", "t").mapInArrow(run, f"i {kind}, tid binary, node binary, paths binary, sketch binary, bytes long")
 
 
 def chance(similarity: float, depth: int, trees: int) -> float:
@@ -104,6 +116,175 @@ def chance(similarity: float, depth: int, trees: int) -> float:
     return 1 - (1 - similarity**depth) ** trees
 
 
+def slack(threshold: float, hashes: int) -> int:
+    """Hashes in which a pair at the threshold may differ: five standard deviations above the mean."""
+    return int((1 - threshold) * hashes + 5 * (threshold * (1 - threshold) * hashes) ** 0.5)
+
+
+def settled_within(depth: int, trees: int, full: int, recall: float) -> int:
+    """The most differing hashes of a signature at which a pair is still found at this depth with the chance `recall`; -1 if none."""
+    n = trees * full
+    return max((k for k in range(n + 1) if chance(1 - k / n, depth, trees) >= recall), default=-1)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column whose values are all of this width, one row each."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, np.int64)[column.offset]
+    return np.frombuffer(data, np.uint8)[first : first + len(column) * width].reshape(-1, width)
+
+
+def _company(full: int, floor: int):
+    """Of sorted paths those that share `floor` hashes or more with a neighbour, with the most they share.
+
+    A path at the border of a batch counts as if it shared all with what lies beyond.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree = batch.column("tree").to_numpy()
+            path = _matrix(batch.column("path"), 4 * full).reshape(-1, full, 4)
+            same = (path[1:] == path[:-1]).all(axis=2) & (tree[1:] == tree[:-1])[:, None]
+            common = np.r_[full, np.cumprod(same, axis=1).sum(axis=1), full]
+            most = np.maximum(common[1:], common[:-1])
+            part = batch.append_column("company", pa.array(most.astype(np.int32)))
+            yield part.filter(pa.array(most >= floor))
+
+    return run
+
+
+def tries(classes: DataFrame, trees: int, full: int, floor: int) -> DataFrame:
+    """(node, tree, path, company): the sorted paths of all trees that share a prefix of `floor` hashes or more."""
+    step, parts = 4 * full, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = classes.select("node", F.posexplode(F.array(*[F.substring("paths", k * step + 1, step) for k in range(trees)])).alias("tree", "path"))
+    order = ["tree", "path", "node"]
+    return paths.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
+        _company(full, floor), "node binary, tree int, path binary, company int")
+
+
+def _led(sketches: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members of one prefix: (leaders, then of each link its member, leader and distance)."""
+    pool, leaders, links = np.arange(len(sketches)), [], []
+    while len(pool):
+        head, pool = pool[0], pool[1:]
+        far = (sketches[pool] != sketches[head]).sum(axis=1)
+        near = far <= reach
+        leaders.append(head)
+        links.append((pool[near], np.full(int(near.sum()), head), far[near]))
+        pool = pool[far > NEAR]
+    return np.array(leaders), *(np.concatenate(x) for x in zip(*links))
+
+
+def _meet(hashes: int, reach: int):
+    """Links between classes of one prefix, of rows in the order of the prefixes. Leaders of a prefix
+    that the border of a batch may cut come with their sketches, to be compared across batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            tree, prefix = batch.column("tree").to_numpy(), batch.column("prefix")
+            new = np.r_[True, (tree[1:] != tree[:-1]) | pc.not_equal(prefix.slice(1), prefix.slice(0, n - 1)).to_numpy(zero_copy_only=False)]
+            starts = np.flatnonzero(new)
+            ends = np.r_[starts[1:], n]
+            sketches = _matrix(batch.column("sketch"), hashes)
+            member, leader, far, cut = [], [], [], []
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                heads, m, l, d = _led(sketches[a:b], reach)
+                member.append(m + a)
+                leader.append(l + a)
+                far.append(d)
+                if a == 0 or b == n:
+                    cut.append(heads + a)
+            member, leader, far, cut = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (member, leader, far, cut))
+            node = batch.column("node")
+            nothing = pa.nulls(len(member), pa.binary())
+            columns = [
+                pa.concat_arrays([node.take(pa.array(member)), node.take(pa.array(cut))]),
+                pa.concat_arrays([node.take(pa.array(leader)), node.take(pa.array(cut))]),
+                pa.array(np.r_[far, np.zeros(len(cut), np.int64)].astype(np.int32)),
+                pa.array(np.r_[np.zeros(len(member), np.int32), tree[cut]].astype(np.int32)),
+                pa.concat_arrays([nothing, prefix.take(pa.array(cut)).cast(pa.binary())]),
+                pa.concat_arrays([nothing, batch.column("sketch").take(pa.array(cut)).cast(pa.binary())]),
+            ]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.binary()) if k < 2 else c for k, c in enumerate(columns)],
+                                             names=["a", "b", "far", "tree", "prefix", "sketch"])
+
+    return run
+
+
+def _meet_leaders(hashes: int, reach: int):
+    """Links between leaders of one prefix, block pair by block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            sketches = np.frombuffer(b"".join(r["sketch"] for r in held), np.uint8).reshape(-1, hashes)
+            far = np.zeros((len(held), len(held)), np.int32)
+            for k in range(hashes):
+                far += sketches[:, k][:, None] != sketches[:, k][None, :]
+            least = _least_linked(far <= reach)
+            at = np.flatnonzero(least != np.arange(len(held)))
+            return pa.RecordBatch.from_arrays([
+                pa.array([held[k]["a"] for k in at], pa.binary()), pa.array([held[k]["a"] for k in least[at]], pa.binary()),
+                pa.array(far[at, least[at]].astype(np.int32)),
+            ], names=["a", "b", "far"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                here = (row["tree"], row["prefix"], row["low"], row["high"])
+                if here != key:
+                    if held:
+                        yield done()
+                    key, held = here, []
+                held.append(row)
+        if held:
+            yield done()
+
+    return run
+
+
+def candidates(classes: DataFrame, threshold: float, trees: int, full: int, recall: float) -> DataFrame:
+    """(a, b, far, depth): links whose connected classes hold every pair to be compared.
+
+    `far` is the number of hashes in which the two differ, `depth` the length of the prefix by which they met.
+    """
+    spark, hashes = classes.sparkSession, trees * full
+    parts, reach = int(spark.conf.get("spark.sql.shuffle.partitions")), slack(threshold, hashes)
+    floor = next((d for d in range(full, 1, -1) if chance(threshold, d, trees) >= recall), 1)
+    trie = stored(tries(classes, trees, full, floor), "jaccard-trie")
+    sketches, active, found = classes.select("node", "sketch"), None, None
+    for depth in range(full, floor - 1, -1):
+        here = trie.filter(F.col("company") >= depth).select("node", "tree", F.substring("path", 1, 4 * depth).alias("prefix"))
+        if active is not None:
+            alive = here.join(active, "node", "left_semi").select("tree", "prefix").distinct()
+            here = here.join(alive, ["tree", "prefix"], "left_semi")
+        order = ["tree", "prefix", "node"]
+        rows = here.join(sketches, "node").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        met = stored(rows.mapInArrow(_meet(hashes, NEAR + reach), "a binary, b binary, far int, tree int, prefix binary, sketch binary"), "jaccard-met")
+        leaders = met.filter("sketch is not null").drop("b", "far")
+        blocks = leaders.groupBy("tree", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("tree", "prefix", F.ceil(F.col("n") / BLOCK_LEADERS).cast("int").alias("blocks"))
+        dealt = leaders.join(blocks, ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "tree", "prefix", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "a", "sketch")
+        keys = ["tree", "prefix", "low", "high"]
+        across = paired.repartition(*keys).sortWithinPartitions(*keys, "a").mapInArrow(_meet_leaders(hashes, 2 * NEAR + reach), "a binary, b binary, far int")
+        links = stored(met.filter("sketch is null").select("a", "b", "far").unionByName(across).groupBy("a", "b").agg(F.min("far").alias("far"))
+                       .withColumn("depth", F.lit(depth)), "jaccard-edges")
+        found = links if found is None else found.unionByName(links)
+        if depth > floor:
+            close = found.filter(F.col("far") <= reach)
+            worst = close.select(F.col("a").alias("node"), "far").unionByName(close.select(F.col("b").alias("node"), "far")).groupBy("node").agg(F.max("far").alias("far"))
+            settled = worst.filter(F.col("far") <= settled_within(depth, trees, full, recall))
+            active = stored(trie.select("node").distinct().join(settled, "node", "left_anti"), "jaccard-active")
+    return found
+
+
 def _links(left: np.ndarray, right: np.ndarray, both: np.ndarray, threshold: float) -> np.ndarray:
     either = left[:, None] + right[None, :] - both
     return both >= threshold * either - 1e-9
@@ -141,7 +322,7 @@ def _least_linked(linked: np.ndarray) -> np.ndarray:
         label = found
 
 
-def _compare(threshold: float, depth: int, trees: int, words: int):
+def _compare(threshold: float, words: int):
     """Exact comparison of each block pair; the rows of one follow each other."""
 
     def block(rows: list[dict]) -> tuple[list, ...]:
@@ -153,12 +334,10 @@ def _compare(threshold: float, depth: int, trees: int, words: int):
         if rows[0]["low"] != rows[0]["high"]:
             side = np.array([r["block"] for r in rows])
             linked &= side[:, None] != side[None, :]
-        similarity = np.where(linked, both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1), 1.0)
-        weights = np.where(linked, 1 / (1 - (1 - similarity**depth) ** trees), 0.0).sum(axis=1)
         copies = np.array([r["copies"] for r in rows])
         least = _least_linked(linked)
         names = [r["node"] for r in rows]
-        return names, linked.sum(axis=1).tolist(), (linked @ copies).tolist(), weights.tolist(), [names[k] for k in least]
+        return names, linked.sum(axis=1).tolist(), (linked @ copies).tolist(), [names[k] for k in least]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -167,8 +346,8 @@ def _compare(threshold: float, depth: int, trees: int, words: int):
             columns = block(held)
             return pa.RecordBatch.from_arrays([
                 pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.binary()),
-            ], names=["node", "links", "linked_rows", "weight", "least"])
+                pa.array(columns[3], pa.binary()),
+            ], names=["node", "links", "linked_rows", "least"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -204,17 +383,10 @@ def _joined(docs: DataFrame, id_column: str, text: str, threshold: float, words:
     classes = stored(
         signed.filter("node is not null").groupBy("node").agg(
             F.count("*").alias("copies"), F.min("i").alias("class_id"),
-            F.min(F.struct(F.col("i").isNull(), "i", "tid", "bytes")).alias("one"), F.any_value("paths").alias("paths"),
-        ).select("node", "copies", "class_id", "one.i", "one.tid", "one.bytes", "paths"), "jaccard-classes")
-    depth = full
-    while depth > 1 and chance(threshold, depth, trees) < recall:
-        depth -= 1
-    while True:
-        found = stored(_compared(rows, classes, threshold, words, trees, depth, full, block_texts), "jaccard-links")
-        links, weight = found.agg(F.sum("links"), F.sum("weight")).first()
-        if depth == 1 or not links or links / weight >= recall:
-            break
-        depth -= 1
+            F.min(F.struct(F.col("i").isNull(), "i", "tid", "bytes")).alias("one"), F.any_value("paths").alias("paths"), F.any_value("sketch").alias("sketch"),
+        ).select("node", "copies", "class_id", "one.i", "one.tid", "one.bytes", "paths", "sketch"), "jaccard-classes")
+    edges = candidates(classes, threshold, trees, full, recall)
+    found = stored(_compared(rows, classes, edges, threshold, words, block_texts), "jaccard-links")
     per_node = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
     roots = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")), "jaccard-groups")
     named = classes.select("node", "copies", "class_id").join(per_node, "node", "left").join(roots, "node", "left")
@@ -232,14 +404,9 @@ def _joined(docs: DataFrame, id_column: str, text: str, threshold: float, words:
     return out.drop("tid", "root", "node").withColumnRenamed("i", id_column), out
 
 
-def _compared(rows: DataFrame, classes: DataFrame, threshold: float, words: int, trees: int, depth: int, full: int, block_texts: int) -> DataFrame:
-    """Links and spanning edges of all classes that share a prefix of this depth in some tree."""
-    step = 4 * full
-    paths = classes.select("node", F.posexplode(F.array(*[F.substring("paths", k * step + 1, depth * 4) for k in range(trees)])).alias("tree", "prefix"))
-    key = paths.select("node", F.xxhash64("tree", "prefix").alias("key"))
-    buckets = key.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    edges = key.join(buckets, "key").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    roots = stored(components(edges, "jaccard-candidates"), "jaccard-roots")
+def _compared(rows: DataFrame, classes: DataFrame, edges: DataFrame, threshold: float, words: int, block_texts: int) -> DataFrame:
+    """Links and spanning edges among classes that these edges connect."""
+    roots = stored(components(edges.select("a", "b"), "jaccard-candidates"), "jaccard-roots")
     held = classes.select("node", "copies", "i", "tid", "bytes").join(roots, "node")
     blocks = held.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block_texts, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     chosen = held.drop("bytes").join(blocks, "root")
@@ -248,7 +415,7 @@ def _compared(rows: DataFrame, classes: DataFrame, threshold: float, words: int,
     met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "t")
     spread = met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "node")
-    return spread.mapInArrow(_compare(threshold, depth, trees, words), "node binary, links long, linked_rows long, weight double, least binary")
+    return spread.mapInArrow(_compare(threshold, words), "node binary, links long, linked_rows long, least binary")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
