@@ -141,7 +141,8 @@ def test_prefixes_are_shortened_for_the_classes_that_need_it(spark):
     for e in edges:
         a, b = sorted((ids[bytes(e.a)], ids[bytes(e.b)]))
         assert a // 2 == b // 2
-        depths.setdefault((a, b), set()).add(e.depth)
+        if a < b:
+            depths.setdefault((a, b), set()).add(e.depth)
     assert set(depths) == {(k, k + 1) for k in range(0, 240, 2)}
     assert all(depths[4 * n, 4 * n + 1] == {6} for n in range(60))
     assert any(min(depths[4 * n + 2, 4 * n + 3]) < 6 for n in range(60))

@@ -51,7 +51,7 @@ RECALL = 0.9999
 NEAR = 8
 BLOCK_TEXTS = 256
 #: Leaders of one prefix that are compared as a block.
-BLOCK_LEADERS = 1024
+BLOCK_LEADERS = 512
 #: Bytes of text in a block on average; a longer text is one of its own.
 BLOCK_BYTES = 8 << 20
 _COLUMNS = 4096
@@ -165,22 +165,33 @@ def tries(classes: DataFrame, trees: int, full: int, floor: int) -> DataFrame:
         _company(full, floor), "node binary, tree int, path binary, company int")
 
 
-def _led(sketches: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Members of one prefix: (leaders, then of each link its member, leader and distance)."""
-    pool, leaders, links = np.arange(len(sketches)), [], []
+def _led(sketches: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of one prefix: the leaders, and for each member the first one it is connected to and the
+    greatest distance at which it is linked (-1: to nobody)."""
+    count = len(sketches)
+    pool, leaders, first, worst = np.arange(count), [], np.arange(count), np.full(count, -1)
     while len(pool):
         head, pool = pool[0], pool[1:]
+        leaders.append(head)
         far = (sketches[pool] != sketches[head]).sum(axis=1)
         near = far <= reach
-        leaders.append(head)
-        links.append((pool[near], np.full(int(near.sum()), head), far[near]))
+        if near.any():
+            linked = pool[near]
+            worst[linked] = np.maximum(worst[linked], far[near])
+            worst[head] = max(worst[head], far[near].max())
+            joined = np.zeros(count, bool)
+            joined[first[linked]] = True
+            joined[first[head]] = True
+            if joined.sum() > 1:
+                first[joined[first]] = joined.argmax()
         pool = pool[far > NEAR]
-    return np.array(leaders), *(np.concatenate(x) for x in zip(*links))
+    return np.array(leaders), first, worst
 
 
 def _meet(hashes: int, reach: int):
-    """Links between classes of one prefix, of rows in the order of the prefixes. Leaders of a prefix
-    that the border of a batch may cut come with their sketches, to be compared across batches."""
+    """One link for each class of a prefix, to the first it is connected to there, of rows in the order of
+    the prefixes. Leaders of a prefix that the border of a batch may cut come with their sketches,
+    to be compared across batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,20 +203,21 @@ def _meet(hashes: int, reach: int):
             starts = np.flatnonzero(new)
             ends = np.r_[starts[1:], n]
             sketches = _matrix(batch.column("sketch"), hashes)
-            member, leader, far, cut = [], [], [], []
+            member, least, far, cut = [], [], [], []
             for a, b in zip(starts.tolist(), ends.tolist()):
-                heads, m, l, d = _led(sketches[a:b], reach)
-                member.append(m + a)
-                leader.append(l + a)
-                far.append(d)
+                heads, first, worst = _led(sketches[a:b], reach)
+                at = np.flatnonzero(worst >= 0)
+                member.append(at + a)
+                least.append(first[at] + a)
+                far.append(worst[at])
                 if a == 0 or b == n:
                     cut.append(heads + a)
-            member, leader, far, cut = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (member, leader, far, cut))
+            member, least, far, cut = (np.concatenate(x) for x in (member, least, far, cut))
             node = batch.column("node")
             nothing = pa.nulls(len(member), pa.binary())
             columns = [
                 pa.concat_arrays([node.take(pa.array(member)), node.take(pa.array(cut))]),
-                pa.concat_arrays([node.take(pa.array(leader)), node.take(pa.array(cut))]),
+                pa.concat_arrays([node.take(pa.array(least)), node.take(pa.array(cut))]),
                 pa.array(np.r_[far, np.zeros(len(cut), np.int64)].astype(np.int32)),
                 pa.array(np.r_[np.zeros(len(member), np.int32), tree[cut]].astype(np.int32)),
                 pa.concat_arrays([nothing, prefix.take(pa.array(cut)).cast(pa.binary())]),
@@ -228,11 +240,13 @@ def _meet_leaders(hashes: int, reach: int):
             far = np.zeros((len(held), len(held)), np.int32)
             for k in range(hashes):
                 far += sketches[:, k][:, None] != sketches[:, k][None, :]
-            least = _least_linked(far <= reach)
-            at = np.flatnonzero(least != np.arange(len(held)))
+            linked = far <= reach
+            np.fill_diagonal(linked, False)
+            least, worst = _least_linked(linked), np.where(linked, far, -1).max(axis=1)
+            at = np.flatnonzero(worst >= 0)
             return pa.RecordBatch.from_arrays([
                 pa.array([held[k]["a"] for k in at], pa.binary()), pa.array([held[k]["a"] for k in least[at]], pa.binary()),
-                pa.array(far[at, least[at]].astype(np.int32)),
+                pa.array(worst[at].astype(np.int32)),
             ], names=["a", "b", "far"])
 
         for batch in batches:
@@ -252,7 +266,8 @@ def _meet_leaders(hashes: int, reach: int):
 def candidates(classes: DataFrame, threshold: float, trees: int, full: int, recall: float) -> DataFrame:
     """(a, b, far, depth): links whose connected classes hold every pair to be compared.
 
-    `far` is the number of hashes in which the two differ, `depth` the length of the prefix by which they met.
+    A class is linked to the least one it is connected to under a prefix, which may be itself. `far` is the
+    most hashes in which `a` differs from a class it was linked to there, `depth` the length of the prefix.
     """
     spark, hashes = classes.sparkSession, trees * full
     parts, reach = int(spark.conf.get("spark.sql.shuffle.partitions")), slack(threshold, hashes)
@@ -274,12 +289,11 @@ def candidates(classes: DataFrame, threshold: float, trees: int, full: int, reca
             "tree", "prefix", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "a", "sketch")
         keys = ["tree", "prefix", "low", "high"]
         across = paired.repartition(*keys).sortWithinPartitions(*keys, "a").mapInArrow(_meet_leaders(hashes, 2 * NEAR + reach), "a binary, b binary, far int")
-        links = stored(met.filter("sketch is null").select("a", "b", "far").unionByName(across).groupBy("a", "b").agg(F.min("far").alias("far"))
+        links = stored(met.filter("sketch is null").select("a", "b", "far").unionByName(across).groupBy("a", "b").agg(F.max("far").alias("far"))
                        .withColumn("depth", F.lit(depth)), "jaccard-edges")
         found = links if found is None else found.unionByName(links)
         if depth > floor:
-            close = found.filter(F.col("far") <= reach)
-            worst = close.select(F.col("a").alias("node"), "far").unionByName(close.select(F.col("b").alias("node"), "far")).groupBy("node").agg(F.max("far").alias("far"))
+            worst = found.groupBy(F.col("a").alias("node")).agg(F.max("far").alias("far"))
             settled = worst.filter(F.col("far") <= settled_within(depth, trees, full, recall))
             active = stored(trie.select("node").distinct().join(settled, "node", "left_anti"), "jaccard-active")
     return found
