@@ -66,3 +66,16 @@ def test_order_does_not_change_the_verdict(spark):
 def test_empty_table(odd_docs):
     assert measured(odd_docs.limit(0)) == []
     assert Q.filter_quality(odd_docs.limit(0)).count() == 0
+
+
+def test_every_row_has_every_measure(odd_docs):
+    """Also texts that the first rule rejects: the query returns the measures of the method's own rules."""
+    names = ["n_lines", "n_capitals", "n_shouts"]
+    got = [(r["doc_id"], tuple(r[n] for n in names)) for r in Q.measure(odd_docs).collect()]
+
+    def plain(text):
+        text = text or ""
+        return sum(bool(WORD.search(line)) for line in text.split("\n")), sum(c in Q.CAPITALS for c in text), text.count("!")
+
+    assert sorted(got, key=key) == sorted(((r.doc_id, plain(r.text)) for r in odd_docs.collect()), key=key)
+    assert Q.measure(odd_docs).columns == ["doc_id", *Q.MEASURES, "base_failed", "kept"]
