@@ -65,11 +65,11 @@ def csv_ragged(spark, folder):
 
 @query("csv_multiline", "SELECT doc_id, 'first' || chr(10) || '\"' || text || '\",' || chr(10) AS body, n_chars FROM documents")
 def csv_multiline(spark, folder):
-    """One file whose quoted fields hold line breaks, quotes and separators, cut into records by many tasks."""
+    """Files whose quoted fields hold line breaks, quotes and separators, cut into records by many tasks."""
     path = scratch_path(spark, "csv_multiline")
     body = F.concat(F.lit('first\n"'), "text", F.lit('",\n'))
     documents = load(spark, folder, "documents").df.select("doc_id", body.alias("body"), "n_chars")
-    documents.coalesce(1).write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreTrailingWhiteSpace=False)
+    documents.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreTrailingWhiteSpace=False)
     kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
     try:

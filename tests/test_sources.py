@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veritable import ROW_ID, Dataset
 from veritable.operators import profile
 from veritable.plans.report import build_report
-from veritable.sources import row_ids, sinks, versions
+from veritable.sources import records, row_ids, sinks, versions
 from veritable.sources.delimited import guess_separator, header_names, scan_delimited, scan_text, validate
 from veritable.sources.synthetic import uniform_table
 
@@ -262,3 +262,56 @@ def test_replaced_versions_expire(spark, tmp_path):
     assert versions.expire(spark, root, dt.timedelta(0)) == [1, 2]
     assert versions.expire(spark, root, dt.timedelta(0)) == [] and len(os.listdir(f"{root}/data")) == 1
     assert versions.current(spark, root).count_rows() == 3
+
+
+def _split_small(spark, run):
+    """Files are cut into splits of 700 bytes meanwhile."""
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        return run()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("group_bytes, files", [(None, 4), (5_000, 9)])
+def test_small_splits_are_stored_in_groups(spark, tmp_path, monkeypatch, group_bytes, files):
+    """Records in file order in a few files of like size, each with the header; one record goes on through whole groups."""
+    rows = [f'{i},"{"line" * (i % 50)}\n{i}"' for i in range(300)]
+    rows[150] = '150,"' + "line\n" * 3_000 + '150"'
+    path = write(tmp_path / "one.csv", "\n".join(["id,body", *rows]) + "\n")
+    if group_bytes:
+        monkeypatch.setattr(records, "GROUP_BYTES", group_bytes)
+    out, ending = _split_small(spark, lambda: records.split_records(spark, path, "id,body"))
+    stored = spark.read.text(out, lineSep=ending).select("value", "_metadata.file_name").collect()
+    names = sorted({r.file_name for r in stored})
+    # all pieces of the long record are where it begins, so that the groups inside it have no file
+    assert 3 <= len(names) <= files
+    found = [[r.value for r in stored if r.file_name == name] for name in names]
+    assert all(part[0] == "id,body" for part in found)
+    assert [value for part in found for value in part[1:]] == rows
+
+
+def test_a_file_that_ends_inside_a_field(spark, tmp_path):
+    (tmp_path / "open").mkdir()
+    write(tmp_path / "open" / "a.csv", 'id,body\n1,x\n2,"' + "open\n" * 500)
+    write(tmp_path / "open" / "b.csv", 'id,body\n3,y\n4,"' + "shut\n" * 500 + '"\n5,z\n')
+    out, ending = _split_small(spark, lambda: records.split_records(spark, str(tmp_path / "open"), "id,body"))
+    got = sorted(r.value for r in spark.read.text(out, lineSep=ending).collect() if r.value != "id,body")
+    # the text of a file's last line has no line break of its own
+    assert got == ["1,x", '2,"' + "\n".join(["open"] * 500), "3,y", '4,"' + "shut\n" * 500 + '"', "5,z"]
+
+
+def test_csv_multiline_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The query's own files are as many as the parts of its table; none holds it whole."""
+    import checks.views
+
+    rows = [(i, f'a "{i}"\nb, c' if i % 7 else "", i) for i in range(80)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartitionByRange(8, "doc_id")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(checks.views, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = checks.views.csv_multiline(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, f'first\n"{text}",\n', n) for i, text, n in rows]
+    assert len(list((tmp_path / "csv_multiline").glob("part-*"))) > 1

@@ -2,13 +2,16 @@
 
 Whether a line break ends a record depends on the quotes before it in the file. Each split counts
 its quotes, a running sum over the splits of a file tells which of them begin inside a quoted
-field, and then every split cuts its own lines into records. A record that goes on in the next
-split is put together from its pieces. What comes to the driver are 17 bytes for each split.
+field, and then every split cuts its own lines into records. Neighbouring splits form groups; the
+pieces of a record that goes on in other splits go to the group where it begins, and one task a
+group puts them together. What comes to the driver are 26 bytes for each split.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,8 @@ from veritable.session import scratch_path
 # Control characters that text files do not use, to end records with.
 ENDINGS = "\x1e\x1d\x1c\x1f\x02\x03"
 _WHOLE, _BEGINS, _GOES_ON, _ENDS = range(4)
+# Bytes of text that one task stores.
+GROUP_BYTES = 32 << 20
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,31 +35,55 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select("value", where[0].alias("file"), where[1].alias("start"), F.xxhash64(*where).alias("split"))
 
 
-def _splits(lines: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str | None]:
-    """Of all splits by hash: their place, whether they begin inside a field and whether they begin a file; and a free character."""
+@dataclass(frozen=True)
+class _Splits:
+    """All splits by hash: whether they begin inside a field and whether they begin a file, their place and
+    group, and the group where the record begins that they begin inside of."""
+
+    marks: np.ndarray
+    inside: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
+    group: np.ndarray
+    begun: np.ndarray
+
+
+def _splits(lines: DataFrame, parallel: int) -> tuple[_Splits, int, str | None]:
+    """The splits, the number of groups, and a character that the text does not use."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     used = [F.bool_or(F.contains("value", F.lit(c))).alias(f"u{i}") for i, c in enumerate(ENDINGS)]
-    counted = lines.groupBy("split", "file", "start").agg((F.sum(quotes) % 2).alias("odd"), *used)
+    counted = lines.groupBy("split", "file", "start").agg(
+        (F.sum(quotes) % 2).alias("odd"), F.bool_or(quotes % 2 == 1).alias("turns"),
+        F.sum(F.octet_length("value") + 1).alias("bytes"), *used)
     order = Window.partitionBy("file").orderBy("start")
     inside = F.coalesce(F.sum("odd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
     placed = counted.select(
-        "split", inside.alias("inside"), (F.col("start") == 0).alias("first"),
+        "split", inside.alias("inside"), (F.col("start") == 0).alias("first"), (F.col("odd") == 1).alias("odd"), "turns", "bytes",
         F.row_number().over(Window.orderBy("file", "start")).cast("long").alias("place"),  # one row per split
         *[f"u{i}" for i in range(len(ENDINGS))],
     )
-    table = placed.toArrow().sort_by("split")
+    table = placed.toArrow().sort_by("place")
     free = [c for i, c in enumerate(ENDINGS) if not pc.any(table.column(f"u{i}")).as_py()]
-    columns = [table.column(n).to_numpy() for n in ("split", "place", "inside", "first")]
-    return *columns, free[0] if free else None
-
-
-def _cut(splits: np.ndarray, places: np.ndarray, inside: np.ndarray, first: np.ndarray):
-    """Lines to records and pieces of records: place of the split, number in it, kind, text."""
+    marks, inside, first, odd, turns, size = (
+        table.column(n).to_numpy() for n in ("split", "inside", "first", "odd", "turns", "bytes"))
+    place = np.arange(len(marks), dtype=np.int32)
+    tasks = max(1, min(len(marks), max(parallel, math.ceil(size.sum() / GROUP_BYTES))))
+    group = ((size.cumsum() - size) / max(1, size.sum()) * tasks).astype(np.int32)
+    # a split that begins inside a record has the beginning of another if it leaves the field and enters one again
+    begins = (inside != odd) & (~inside | turns)
+    last = np.maximum.accumulate(np.where(begins, place, 0))
+    begun = group[np.concatenate([place[:1], last[:-1]])]
+    by_hash = np.argsort(marks)
+    return _Splits(*(a[by_hash] for a in (marks, inside, first, place, group, begun))), tasks, free[0] if free else None
+
+
+def _cut(splits: _Splits):
+    """Lines to records and pieces of records: group, place of the split, number in it, kind, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int, str]] = []
+        out: list[tuple[int, int, int, int, str]] = []
         held: list[str] = []
-        now, place, number, open_, piece, header = None, 0, 0, False, False, False
+        now, at, place, number, open_, piece, header = None, 0, 0, 0, False, False, False
 
         def close(kind: int) -> None:
             nonlocal number, header
@@ -63,7 +92,8 @@ def _cut(splits: np.ndarray, places: np.ndarray, inside: np.ndarray, first: np.n
             if header:
                 header = False
             else:
-                out.append((place, number, kind, text.removesuffix("\r") if kind in (_WHOLE, _ENDS) else text))
+                group = int(splits.group[at] if kind in (_WHOLE, _BEGINS) else splits.begun[at])
+                out.append((group, place, number, kind, text.removesuffix("\r") if kind in (_WHOLE, _ENDS) else text))
                 number += 1
 
         for batch in batches:
@@ -72,8 +102,9 @@ def _cut(splits: np.ndarray, places: np.ndarray, inside: np.ndarray, first: np.n
                 if mark != now:
                     if held:
                         close(_GOES_ON if piece else _BEGINS)
-                    at = int(np.searchsorted(splits, mark))
-                    now, place, number, open_, header = mark, int(places[at]), 0, bool(inside[at]), bool(first[at])
+                    at = int(np.searchsorted(splits.marks, mark))
+                    now, place, number = mark, int(splits.place[at]), 0
+                    open_, header = bool(splits.inside[at]), bool(splits.first[at])
                     piece = open_
                 held.append(line)
                 open_ ^= bool(flips)
@@ -90,24 +121,46 @@ def _cut(splits: np.ndarray, places: np.ndarray, inside: np.ndarray, first: np.n
     return run
 
 
-def _batch(rows: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
-    place, number, kind, text = zip(*rows)
+def _batch(rows: list[tuple[int, int, int, int, str]]) -> pa.RecordBatch:
+    group, place, number, kind, text = zip(*rows)
     rows.clear()
     return pa.RecordBatch.from_arrays(
-        [pa.array(place, pa.int64()), pa.array(number, pa.int64()), pa.array(kind, pa.int32()), pa.array(text, pa.string())],
-        names=["place", "number", "kind", "text"])
+        [pa.array(group, pa.int32()), pa.array(place, pa.int32()), pa.array(number, pa.int64()), pa.array(kind, pa.int32()), pa.array(text, pa.string())],
+        names=["group", "place", "number", "kind", "text"])
 
 
-def _headed(header: str):
-    """Each file to be written begins with the header, as a file that was read does."""
+def _joined(header: str):
+    """Kinds and texts of a group in file order to its records; the file to be written begins with the header, as one that was read does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[str] = []
+        held: list[str] = []
         empty = True
+
+        def close() -> None:
+            out.append("\n".join(held))
+            held.clear()
+
+        def texts() -> pa.RecordBatch:
+            nonlocal empty
+            batch = pa.RecordBatch.from_arrays([pa.array([header, *out] if empty else out, pa.string())], names=["text"])
+            empty = False
+            out.clear()
+            return batch
+
         for batch in batches:
-            if empty and batch.num_rows:
-                empty = False
-                yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], names=["text"])
-            yield batch
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and kind in (_WHOLE, _BEGINS):  # the file before ended inside a field
+                    close()
+                held.append(text)
+                if kind in (_WHOLE, _ENDS):
+                    close()
+            if out:
+                yield texts()
+        if held:
+            close()
+        if out:
+            yield texts()
 
     return run
 
@@ -119,21 +172,12 @@ def split_records(spark: SparkSession, path: str, header: str) -> tuple[str, str
     records, are left out. None if the text uses every such character.
     """
     lines = _lines(spark, path)
-    *splits, ending = _splits(lines)
+    splits, tasks, ending = _splits(lines, spark.sparkContext.defaultParallelism)
     if ending is None:
         return None
-    cut = lines.select("value", "split").mapInArrow(_cut(*splits), "place long, number long, kind int, text string")
-    # pieces are few: two a split at most, and one where a split lies inside one field
-    pieces = cut.where(F.col("kind") != _WHOLE)
-    record = F.sum((F.col("kind") == _BEGINS).cast("int")).over(Window.orderBy("place", "number"))
-    joined = pieces.withColumn("record", record).groupBy("record").agg(
-        F.min(F.struct("place", "number")).alias("at"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "number", "text"))), lambda p: p["text"]), "\n").alias("text"),
-    )
-    every = cut.where(F.col("kind") == _WHOLE).select("place", "number", "text").unionByName(joined.select("at.place", "at.number", "text"))
+    cut = lines.select("value", "split").mapInArrow(_cut(splits), "group int, place int, number long, kind int, text string")
     out = scratch_path(spark, "records")
-    # splits in order over as many tasks as there are splits; one task keeps a split's records together
-    tasks = max(1, len(splits[0]))
-    ordered = every.repartitionByRange(tasks, "place", "number").sortWithinPartitions("place", "number").select("text")
-    ordered.mapInArrow(_headed(header), "text string").write.text(out, lineSep=ending)
+    # groups of neighbouring splits in order, so small splits do not make as many files and shuffle blocks
+    ordered = cut.repartitionById(tasks, F.col("group")).sortWithinPartitions("place", "number").select("kind", "text")
+    ordered.mapInArrow(_joined(header), "text string").write.text(out, compression="lz4", lineSep=ending)
     return out, ending
